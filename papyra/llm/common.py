@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 SHINGLE_WORDS = 5
 SIMILARITY = 0.75
 
+#: Rows and bytes of an Arrow batch at most: whole texts can be long, and a batch stands in memory several times.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+#: Ids up to which a set of them is sent to all executors; larger ones are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
 _fallback: list[str] = []
 
 
@@ -37,6 +42,10 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage, and a lost executor loses none of them."""
 
     def __init__(self, spark: SparkSession):
+        for key, most in ARROW_BATCH.items():
+            have = int(spark.conf.get(key, "0"))
+            if not 0 < have <= most:
+                spark.conf.set(key, str(most))
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/papyra-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -99,6 +108,11 @@ def shingle_set(text: str | None, k: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(ascii_words(text)), k))
 
 
+def broadcast_if_few(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A broadcast hint if df, which is counted, has few rows of a few bytes each."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

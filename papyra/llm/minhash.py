@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, Scratch, ascii_words, components, is_empty, mix64, odd_constants, shingle_hashes, table, word_hashes
+from .common import SHINGLE_WORDS, Scratch, ascii_words, broadcast_if_few, components, is_empty, mix64, odd_constants, shingle_hashes, table, word_hashes
 
 PERMUTATIONS = 48
 BANDS = 24
@@ -149,8 +149,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     sigs = firsts.select("id", "sig")
 
-    active = buckets.select("id").distinct()
-    text = docs.join(active.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    active = scratch.keep(buckets.select(F.col("id").alias("doc_id")).distinct())
+    text = docs.join(broadcast_if_few(active), "doc_id", "left_semi")
     sets = scratch.keep(text.mapInArrow(_sets(words), "id long, shingles array<long>"))
 
     def alike(pairs: DataFrame) -> DataFrame:
