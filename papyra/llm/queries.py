@@ -6,6 +6,10 @@ from importlib import import_module
 
 #: operator: (module, function); each is loaded when the table is built.
 OPERATORS = {
+    "op1_best_fit_packing": "packing",
+    "op5_line_dedup": "lines",
+    "op7_benchmark_decontamination": "decontam",
+    "op9_language_id": "langid",
     "op10_minhash_dedup": "minhash",
 }
 
@@ -16,4 +20,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import lines
+
+    return {"op5_line_dedup": lines.OP5_SQL}
