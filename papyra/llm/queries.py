@@ -16,7 +16,9 @@ OPERATORS = {
 
 def queries() -> dict:
     found = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in OPERATORS.items()}
-    return found
+    from corpus_pipeline import run
+
+    return found | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
