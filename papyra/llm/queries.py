@@ -7,8 +7,13 @@ from importlib import import_module
 #: operator: (module, function); each is loaded when the table is built.
 OPERATORS = {
     "op1_best_fit_packing": "packing",
+    "op2_quality_classifier": "quality",
+    "op3_embedding_dedup": "embeddings",
+    "op4_lm_scoring": "classlm",
     "op5_line_dedup": "lines",
+    "op6_substring_dedup": "passages",
     "op7_benchmark_decontamination": "decontam",
+    "op8_url_filters": "urls",
     "op9_language_id": "langid",
     "op10_minhash_dedup": "minhash",
 }
