@@ -6,8 +6,9 @@ similarity of 0.75 a band agrees with probability 0.75^4, and all 24 bands miss
 
 Documents with one and the same shingle set are collapsed first and only the smallest doc_id goes on. Buckets are never
 expanded into all pairs: first every member is compared with its bucket's smallest, then, in buckets whose members are
-still in different components, only pairs across components are tried, the most similar partner first, and in the end all
-that remain. Pairs are compared by signature and those that may be links are confirmed on the full shingle sets.
+still in different components, members of different components are compared. A task holds a bucket's shingle sets, or those of two blocks
+of a large bucket, tells by signature which pairs may be links, confirms them on the full sets, and passes on only links that
+join components: never more than it has members.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from .common import SHINGLE_WORDS, Scratch, ascii_words, broadcast_if_few, compo
 
 PERMUTATIONS = 48
 BANDS = 24
-#: Signature agreement below which a pair at the similarity wanted is practically impossible (over five standard deviations).
-MARGIN = 0.2
-#: Members of a bucket that one task compares at a time.
-BLOCK = 1024
+#: Signature agreement below which a pair at the similarity wanted is all but impossible (under one in ten thousand).
+MARGIN = 0.17
+#: Shingles of a bucket's members that one task holds at a time (eight bytes each), twice for two blocks.
+BLOCK_SHINGLES = 2_000_000
 
 _MULTIPLY = odd_constants(PERMUTATIONS, 7)
 _ADD = odd_constants(PERMUTATIONS, 8)
@@ -84,29 +85,33 @@ def _sets(words: int):
     return run
 
 
-def _across(similarity: float, best_only: bool):
-    """Of the members of one bucket, or of two blocks of it: pairs across components that may be links."""
+def _across(similarity: float, percent: int):
+    """Of the members of one bucket, or of two blocks of it: links that join components, confirmed on the full sets."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        ids, comp, block = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["block"].to_numpy()
+        ids, block, lo, hi = pdf["id"].to_numpy(), pdf["block"].to_numpy(), pdf["lo"].iat[0], pdf["hi"].iat[0]
+        comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
         sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(len(pdf), -1)
-        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
+        sets = [np.ascontiguousarray(x, dtype=np.int64).view(np.uint64) for x in pdf["shingles"]]  # sorted as unsigned
+        sizes = np.array([len(x) for x in sets])
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        got_a, got_b = [], []
         need = (similarity - MARGIN) * sig.shape[1]
+        got_a, got_b = [], []
         for i in left:
             other = right[(comp[right] != comp[i]) & ((right > i) if lo == hi else True)]
+            if len(other):
+                other = other[(sig[other] == sig[i]).sum(axis=1) >= need]
             if not len(other):
                 continue
-            same = (sig[other] == sig[i]).sum(axis=1)
-            fit = same >= need
-            other, same = other[fit], same[fit]
-            if best_only and len(other) > 1:  # the most similar of each other component
-                order = np.lexsort((ids[other], -same, comp[other]))
-                other = other[order][np.unique(comp[other][order], return_index=True)[1]]
-            got_a += [ids[i]] * len(other)
-            got_b += ids[other].tolist()
+            flat = np.concatenate([sets[j] for j in other])
+            at = np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)
+            both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[other])[:-1]]))
+            for j in other[100 * both >= percent * (sizes[i] + sizes[other] - both)]:
+                if comp[i] != comp[j]:
+                    comp[comp == comp[j]] = comp[i]
+                    got_a.append(ids[i])
+                    got_b.append(ids[j])
         a, b = np.array(got_a, dtype=np.int64), np.array(got_b, dtype=np.int64)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -142,8 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = scratch.keep(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("doc_id").alias("id")))
     # one row for each set; a row's own id keeps its bands
     firsts = named.join(keys.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key"])
-    firsts = scratch.keep(firsts.select(F.col("doc_id").alias("id"), "bands", "sig"))
-    member = firsts.select("id", F.explode("bands").alias("bucket"))
+    firsts = scratch.keep(firsts.select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sig"))
+    member = firsts.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     head = member.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
     buckets = scratch.keep(member.join(head, "bucket"))
     star = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
@@ -167,18 +172,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     edges = scratch.keep(confirmed(scratch.keep(alike(star))))
     labels = scratch.keep(components(edges, scratch))
-    wide = buckets.where("n > 2")
-    if not is_empty(wide):
-        for best_only in (True, False):
-            now = wide.join(labels, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).select("bucket", "id", "comp", "n")
-            mixed = now.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
-            now = now.join(mixed, "bucket", "left_semi").join(sigs, "id")
-            now = now.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            now = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-            pairs = now.select("bucket", "lo", "hi", "id", "comp", "block", "sig").groupBy("bucket", "lo", "hi").applyInPandas(_across(similarity, best_only), "a long, b long").distinct()
-            more = scratch.keep(confirmed(scratch.keep(pairs)))
-            if is_empty(more):
-                continue
+    now = buckets.where("n > 2").join(labels, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).select("bucket", "id", "comp", "n_shingles")
+    mixed = now.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum("n_shingles").alias("all")).where("c0 < c1")
+    mixed = scratch.keep(mixed.select("bucket", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("blocks")))
+    if not is_empty(mixed):
+        now = now.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        now = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+        now = now.select("bucket", "lo", "hi", "id", "comp", "block").join(sigs, "id").join(sets, "id")
+        more = scratch.keep(now.groupBy("bucket", "lo", "hi").applyInPandas(_across(similarity, percent), "a long, b long").distinct())
+        if not is_empty(more):
             edges = scratch.keep(edges.unionByName(more))
             labels = scratch.keep(components(edges, scratch))
     final = keys.join(labels, keys["id"] == labels["id"], "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
