@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from papyra.config import MAX_NUMBER_VARIANTS
 
+from .text import let
+
 #: A character's worth is its place here; all others are worth 0.
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WEIGHTS = (7, 3, 1)
@@ -64,11 +66,14 @@ def number_variants(field: Column, most: int = MAX_NUMBER_VARIANTS) -> Column:
     Reading k toggles the j-th of m ambiguous places where bit m-1-j of k is set, which is the order of a depth-first search
     that tries each character as it is before its twin.
     """
-    text = F.upper(F.coalesce(field, F.lit("")))
-    chars = F.filter(F.split(text, ""), lambda ch: ch != "")
-    places = F.filter(F.transform(chars, lambda ch, i: F.when(F.instr(F.lit(NUMBER_FROM), ch) > 0, i)), lambda i: i.isNotNull())
+    chars = F.filter(F.split(F.upper(F.coalesce(field, F.lit(""))), ""), lambda ch: ch != "")
+    places = lambda c: F.filter(F.transform(c, lambda ch, i: F.when(F.instr(F.lit(NUMBER_FROM), ch) > 0, i)), lambda i: i.isNotNull())
+    return let(chars, lambda c: let(F.struct(c.alias("chars"), places(c).alias("places")), lambda x: _readings(x["chars"], x["places"], most)))
+
+
+def _readings(chars: Column, places: Column, most: int) -> Column:
     m = F.size(places)
-    last = F.least(F.when(m < 10, F.shiftleft(F.lit(1), 1) * F.pow(F.lit(2), m - 1)).otherwise(most).cast("int"), F.lit(most)) - 1
+    last = F.when(m < 10, F.least(F.pow(F.lit(2), m).cast("int"), F.lit(most))).otherwise(most) - 1
 
     def reading(k: Column) -> Column:
         def char(ch: Column, i: Column) -> Column:
@@ -88,14 +93,18 @@ def correct_with_check_digit(field: Column, digit: Column, kind: str) -> Column:
     number that had to be corrected has no verdict: valid is null.
     """
     text = F.upper(F.coalesce(field, F.lit("")))
+    return let(text, lambda t: _supported(t, digit, kind))
+
+
+def _supported(text: Column, digit: Column, kind: str) -> Column:
     asis = F.struct(text.alias("value"), F.lit(True).alias("valid"), F.lit(0).alias("corrections")).cast(CORRECTION)
     if kind in ("date", "alpha"):
         fixed = correct_digits(text) if kind == "date" else correct_letters(text)
-        other = F.struct(fixed["value"].alias("value"), validate(fixed["value"], digit).alias("valid"), F.size(fixed["corrections"]).alias("corrections")).cast(CORRECTION)
+        other = let(fixed, lambda f: F.struct(f["value"].alias("value"), validate(f["value"], digit).alias("valid"), F.size(f["corrections"]).alias("corrections")).cast(CORRECTION))
     else:
         found = F.get(F.filter(number_variants(text), lambda v: validate(v["value"], digit)), F.lit(0))
         none = F.struct(text.alias("value"), F.lit(False).alias("valid"), F.lit(0).alias("corrections")).cast(CORRECTION)
-        other = F.when(found.isNotNull(), F.struct(found["value"].alias("value"), F.lit(None).cast("boolean").alias("valid"), found["corrections"].alias("corrections")).cast(CORRECTION)).otherwise(none)
+        other = let(found, lambda f: F.when(f.isNotNull(), F.struct(f["value"].alias("value"), F.lit(None).cast("boolean").alias("valid"), f["corrections"].alias("corrections")).cast(CORRECTION)).otherwise(none))
     return F.when(validate(text, digit), asis).otherwise(other)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papyra.config import SOON_DAYS
 
-from .text import EDGE
+from .text import EDGE, let
 
 #: Names of months in documents.
 MONTHS = {
@@ -49,10 +49,12 @@ def is_date(value: Column, mode: str | None = None, as_of: dt.date | None = None
 
 def expiry_status(value: Column, as_of: dt.date) -> Column:
     """struct(expired, status, daysUntilExpiry, daysExpired) of ISO text; UNKNOWN if it isn't a day."""
-    day = F.when(is_date(value), F.try_to_date(value, "yyyy-MM-dd"))
-    left = F.datediff(day, F.lit(as_of))
-    status = F.when(left.isNull(), "UNKNOWN").when(left < 0, "EXPIRED").when(left <= SOON_DAYS, "EXPIRING_SOON").otherwise("VALID")
-    return F.struct(F.coalesce(left < 0, F.lit(False)).alias("expired"), status.alias("status"), F.when(left >= 0, left).alias("daysUntilExpiry"), F.when(left < 0, -left).alias("daysExpired")).cast(EXPIRY)
+
+    def told(left: Column) -> Column:
+        status = F.when(left.isNull(), "UNKNOWN").when(left < 0, "EXPIRED").when(left <= SOON_DAYS, "EXPIRING_SOON").otherwise("VALID")
+        return F.struct(F.coalesce(left < 0, F.lit(False)).alias("expired"), status.alias("status"), F.when(left >= 0, left).alias("daysUntilExpiry"), F.when(left < 0, -left).alias("daysExpired")).cast(EXPIRY)
+
+    return let(F.datediff(F.when(is_date(value), F.try_to_date(value, "yyyy-MM-dd")), F.lit(as_of)), told)
 
 
 def _year(y: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Particles of names.
 PARTICLES = (
     "AL", "EL", "DE", "DA", "DI", "DO", "DOS", "DAS", "DEL", "DELA", "DELOS", "VAN", "VON", "DER", "DEN", "DEM", "BIN", "IBN", "ABU", "ABD",
@@ -76,28 +78,45 @@ def parse_name(zone: Column, visible_surname: Column | None = None, visible_give
     none = F.array().cast("array<string>")
     vs, vg = (visible_tokens(v) if v is not None else none for v in (visible_surname, visible_given))
     z = F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(zone, F.lit(""))), "[^A-Z<]", ""), "<{3,}", "<<")
+    return let(z, lambda z: _parts(z, lambda part: _named(part, vs, vg)))
+
+
+def _parts(z: Column, body) -> Column:
+    """body(struct(family, given, warnings)) of a cleaned zone."""
+    none = F.array().cast("array<string>")
     # a zone without a separator: filler between letters stands for it (no particle is made of such letters alone)
     broken = f"([A-Z])([{FILLER}]{{2,4}})([A-Z])"
     lacks = ~z.contains("<<")
     mended = F.when(lacks, F.regexp_replace(z, broken, "$1<<$3")).otherwise(z)
     repairs = F.when(lacks, F.transform(F.regexp_extract_all(z, F.lit(broken), 2), lambda m: F.concat(F.lit('Possible corrupted MRZ separator "'), m, F.lit('" replaced with "<<".')))).otherwise(none)
-    at = F.instr(mended, "<<")
-    family = F.when(at > 0, F.substring_index(mended, "<<", 1)).otherwise(mended)
-    given = F.when(at > 0, F.substr(mended, at + 2)).otherwise("")
-    missing = F.when(at > 0, none).otherwise(F.array(F.lit('Primary MRZ name separator "<<" was not found.')))
-    split = lambda part: F.filter(F.split(part, "<"), lambda t: t != "")
-    start = F.struct(none.alias("removed"), F.concat(repairs, missing).alias("warnings"), none.alias("reasons"))
-    one = _fold(split(family), start, True, vs)
-    two = _fold(split(given), one, False, vg)
-    surname, names = F.array_join(one["out"], " "), F.array_join(two["out"], " ")
-    lost = (names == "") & (given != "")
-    warnings = F.concat(two["warnings"], F.when(surname == "", F.array(F.lit("Surname could not be confidently parsed."))).otherwise(none), F.when(lost, F.array(F.lit("Given names were removed or not detected."))).otherwise(none))
-    gone = F.size(two["removed"])
-    reasons = F.concat(two["reasons"], F.when(gone > 0, F.array(F.concat(F.lit("Removed "), gone.cast("string"), F.lit(" OCR filler/noise token(s).")))).otherwise(none))
-    score = 100 - F.when(surname == "", 25).otherwise(0) - F.when(lost, 15).otherwise(0) - F.least(F.lit(35), 8 * gone) - F.least(F.lit(20), 4 * F.size(warnings))
-    score = F.greatest(F.lit(0), F.least(F.lit(100), score))
-    reasons = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("MRZ name parsed successfully.")))
-    return F.struct(surname.alias("surname"), names.alias("givenNames"), two["removed"].alias("removed"), F.struct(score.alias("score"), grade(score).alias("grade"), reasons.alias("reasons")).alias("confidence"), warnings.alias("warnings")).cast(NAME)
+
+    def cut(x: Column) -> Column:
+        at = F.instr(x["mended"], "<<")
+        missing = F.when(at > 0, none).otherwise(F.array(F.lit('Primary MRZ name separator "<<" was not found.')))
+        family = F.when(at > 0, F.substring_index(x["mended"], "<<", 1)).otherwise(x["mended"])
+        return F.struct(family.alias("family"), F.when(at > 0, F.substr(x["mended"], at + 2)).otherwise("").alias("given"), F.concat(x["repairs"], missing).alias("warnings"))
+
+    return let(let(F.struct(mended.alias("mended"), repairs.alias("repairs")), cut), body)
+
+
+def _named(part: Column, visible_surname: Column, visible_given: Column) -> Column:
+    none = F.array().cast("array<string>")
+    split = lambda x: F.filter(F.split(x, "<"), lambda t: t != "")
+    start = F.struct(none.alias("removed"), part["warnings"].alias("warnings"), none.alias("reasons"))
+    folded = let(_fold(split(part["family"]), start, True, visible_surname), lambda one: F.struct(F.array_join(one["out"], " ").alias("surname"), _fold(split(part["given"]), one, False, visible_given).alias("two")))
+
+    def judged(x: Column) -> Column:
+        two, surname, names = x["two"], x["surname"], F.array_join(x["two"]["out"], " ")
+        lost = (names == "") & (part["given"] != "")
+        warnings = F.concat(two["warnings"], F.when(surname == "", F.array(F.lit("Surname could not be confidently parsed."))).otherwise(none), F.when(lost, F.array(F.lit("Given names were removed or not detected."))).otherwise(none))
+        gone = F.size(two["removed"])
+        reasons = F.concat(two["reasons"], F.when(gone > 0, F.array(F.concat(F.lit("Removed "), gone.cast("string"), F.lit(" OCR filler/noise token(s).")))).otherwise(none))
+        score = 100 - F.when(surname == "", 25).otherwise(0) - F.when(lost, 15).otherwise(0) - F.least(F.lit(35), 8 * gone) - F.least(F.lit(20), 4 * F.size(warnings))
+        score = F.greatest(F.lit(0), F.least(F.lit(100), score))
+        reasons = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("MRZ name parsed successfully.")))
+        return F.struct(surname.alias("surname"), names.alias("givenNames"), two["removed"].alias("removed"), F.struct(score.alias("score"), grade(score).alias("grade"), reasons.alias("reasons")).alias("confidence"), warnings.alias("warnings")).cast(NAME)
+
+    return let(folded, judged)
 
 
 def mrz_name_text(zone: Column) -> Column:

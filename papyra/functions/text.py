@@ -83,6 +83,11 @@ def listed(*values: Column) -> Column:
     return F.filter(F.array(*values), lambda x: x.isNotNull())
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it: a binding inside one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_match(c: Column, patterns: tuple[str, ...], clean) -> Column:
     """clean(group 2, or if it is empty group 1) of the first pattern that is found; '' if none is."""
     out = F.lit("")

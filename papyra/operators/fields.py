@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from papyra.functions.dates import secondary_date
-from papyra.functions.text import EDGE, blank, collapse, drop_words, edged, first_match, literal, strip_accents
+from papyra.functions.text import EDGE, blank, collapse, drop_words, edged, first_match, let, literal, strip_accents
 
 #: Lines that begin with one of these hold a label, not a value.
 LABEL_LINES = (
@@ -90,9 +90,13 @@ def labelled_value(lines: Column, *labels: str) -> Column:
     def read(label: str, line: Column, one: Column, two: Column) -> Column:
         p = rf"(?i){edged(literal(label))}\s*[:\-]?\s*(.*)\z"
         clean = cleaner(label)
-        here, a, b = clean_value(F.regexp_extract(line, p, 1)), clean_value(one), clean_value(two)
-        value = F.when(is_useful(here), clean(here)).when(~is_label_line(one) & is_useful(a), clean(a)).when(~is_label_line(one) & ~is_label_line(two) & is_useful(b), clean(b))
-        return F.when(line.rlike(p), value)
+
+        def useful(value: Column, rest: Column) -> Column:
+            return let(clean_value(value), lambda v: F.when(is_useful(v), clean(v)).otherwise(rest))
+
+        none = F.lit(None).cast("string")
+        after = F.when(~is_label_line(one), useful(one, F.when(~is_label_line(two), useful(two, none))))
+        return F.when(line.rlike(p), useful(F.regexp_extract(line, p, 1), after))
 
     return _scan(lines, labels, read)
 
@@ -101,9 +105,9 @@ def labelled_date(lines: Column, *labels: str) -> Column:
     """The first date in the line of a label, or in the next two, up to a line that holds another label."""
 
     def read(label: str, line: Column, one: Column, two: Column) -> Column:
-        here, a, b = secondary_date(line), secondary_date(one), secondary_date(two)
-        value = F.when(here != "", here).when(~is_label_line(one) & (a != ""), a).when(~is_label_line(one) & ~is_label_line(two) & (b != ""), b)
-        return F.when(line.rlike(f"(?i){edged(literal(label))}"), value)
+        found = lambda text: F.nullif(secondary_date(text), F.lit(""))
+        after = F.when(~is_label_line(one), F.coalesce(found(one), F.when(~is_label_line(two), found(two))))
+        return F.when(line.rlike(f"(?i){edged(literal(label))}"), F.coalesce(found(line), after))
 
     return _scan(lines, labels, read)
 
@@ -114,9 +118,8 @@ BARE_NUMBER = edged("[A-Z]{1,4}[0-9]{5,12}")
 
 
 def document_number(lines: Column, flat: Column) -> Column:
-    near = F.regexp_replace(labelled_value(lines, *NUMBER_LABELS), r"\s", "")
     bare = clean_simple(F.regexp_extract(flat, BARE_NUMBER, 0))
-    return F.when(near.rlike(r"^[A-Z0-9]{5,25}\z"), near).otherwise(bare)
+    return let(F.regexp_replace(labelled_value(lines, *NUMBER_LABELS), r"\s", ""), lambda near: F.when(near.rlike(r"^[A-Z0-9]{5,25}\z"), near).otherwise(bare))
 
 
 def all_matches(text: Column, pattern: str) -> Column:

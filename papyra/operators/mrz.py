@@ -99,7 +99,7 @@ def parse_mrz(pages: DataFrame, text_col: str, as_of: dt.date, out: str = "mrz")
     """
     names = country_names(pages.sparkSession)
     known_codes = frozenset(names)
-    hidden = [f"__{x}" for x in ("lines", "best", "parts", "decoded")]
+    hidden = [f"__{x}" for x in ("lines", "best", "parts", "decoded", "dates", "status", "judged")]
     df = pages.withColumn("__lines", mrz_lines(F.col(text_col)))
     df = df.withColumn("__best", best_candidate_column(F.col("__lines"), as_of, known_codes))
     fmt, one, two = F.col("__best.format"), F.get("__best.lines", F.lit(0)), F.get("__best.lines", F.lit(1))
@@ -128,8 +128,11 @@ def parse_mrz(pages: DataFrame, text_col: str, as_of: dt.date, out: str = "mrz")
     )
     df = df.withColumn("__decoded", F.when(fmt.isNotNull(), decoded))
     d = F.col("__decoded")
-    born, ends = mrz_date(d["birth"]["value"], "birth", as_of), mrz_date(d["expiry"]["value"], "expiry", as_of)
-    status = expiry_status(ends, as_of)
+    # each step a column of its own, so that what later steps name often is worked out once
+    df = df.withColumn("__dates", F.when(fmt.isNotNull(), F.struct(mrz_date(d["birth"]["value"], "birth", as_of).alias("born"), mrz_date(d["expiry"]["value"], "expiry", as_of).alias("ends"))))
+    born, ends = F.col("__dates.born"), F.col("__dates.ends")
+    df = df.withColumn("__status", expiry_status(ends, as_of))
+    status = F.col("__status")
     every = d["number"]["valid"] & d["birth"]["valid"] & d["expiry"]["valid"] & d["composite"]
     # a corrected number has no verdict, and then the whole has none either
     every = F.when(d["number"]["valid"].isNull(), F.lit(None).cast("boolean")).otherwise(every)
@@ -137,17 +140,19 @@ def parse_mrz(pages: DataFrame, text_col: str, as_of: dt.date, out: str = "mrz")
     codes = country_map(names)
     look = lambda c: F.coalesce(F.try_element_at(codes, normal_code(c)), normal_code(c))
     known = lambda c: F.map_contains_key(codes, normal_code(c))
-    name = d["name"]
+    judged = F.struct(every.alias("every"), corrections.cast(CORRECTIONS).alias("corrections"), known(d["nation"]).alias("known_nation"), known(d["issuer"]).alias("known_issuer"), look(d["nation"]).alias("nation"), look(d["issuer"]).alias("issuer"))
+    df = df.withColumn("__judged", F.when(fmt.isNotNull(), judged))
+    j, name = F.col("__judged"), d["name"]
     warnings = F.concat(
         name["warnings"],
         name["warnings"],  # once from the name, once from the whole record
         listed(
             F.when((name["surname"] == "") | (name["givenNames"] == ""), "Name is incomplete."),
-            F.when(~known(d["nation"]), "Nationality code is not recognized."),
-            F.when(~known(d["issuer"]), "Issuing country code is not recognized."),
+            F.when(~j["known_nation"], "Nationality code is not recognized."),
+            F.when(~j["known_issuer"], "Issuing country code is not recognized."),
             F.when(status["status"] == "EXPIRED", "Document is expired."),
             F.when(status["status"] == "EXPIRING_SOON", "Document expires within 30 days."),
-            F.when(~F.coalesce(every, F.lit(False)), "One or more MRZ check digits failed."),
+            F.when(~F.coalesce(j["every"], F.lit(False)), "One or more MRZ check digits failed."),
         ),
     )
     no_text = F.array().cast("array<string>")
@@ -161,22 +166,22 @@ def parse_mrz(pages: DataFrame, text_col: str, as_of: dt.date, out: str = "mrz")
         "fullName": (full, ""),
         "nameConfidence": (name["confidence"], None),
         "removedNameNoiseTokens": (name["removed"], None),
-        "nationality": (look(d["nation"]), ""),
+        "nationality": (j["nation"], ""),
         "nationalityCode": (d["nation"], ""),
         "dateOfBirth": (born, ""),
         "gender": (gender(p["sex"]), "UNSPECIFIED"),
         "documentNumber": (F.regexp_replace(d["number"]["value"], "<", ""), ""),
-        "issuingCountry": (look(d["issuer"]), ""),
+        "issuingCountry": (j["issuer"], ""),
         "issuingCountryCode": (d["issuer"], ""),
         "issueDate": (F.lit(None).cast("string"), None),
         "expiryDate": (ends, ""),
         "expiryStatus": (status, expiry_status(F.lit(""), as_of)),
-        "checkDigits": (F.struct(d["number"]["valid"], d["birth"]["valid"], d["expiry"]["valid"], d["composite"], every).cast(CHECKS), F.struct(*[F.lit(False)] * 5).cast(CHECKS)),
+        "checkDigits": (F.struct(d["number"]["valid"], d["birth"]["valid"], d["expiry"]["valid"], d["composite"], j["every"]).cast(CHECKS), F.struct(*[F.lit(False)] * 5).cast(CHECKS)),
         "confidence": (
-            confidence(F.lit(True), every, status["status"], name["confidence"]["score"], known(d["nation"]), d["kind"]["type"], corrections),
+            confidence(F.lit(True), j["every"], status["status"], name["confidence"]["score"], j["known_nation"], d["kind"]["type"], j["corrections"]),
             F.struct(F.lit(0), F.lit("LOW"), F.array(F.lit("MRZ not parsed"))).cast(CONFIDENCE),
         ),
-        "corrections": (corrections.cast(CORRECTIONS), F.array().cast(CORRECTIONS)),
+        "corrections": (j["corrections"], F.array().cast(CORRECTIONS)),
         "warnings": (warnings, F.array(F.lit(NOT_FOUND))),
         "mrzRaw": (F.col("__best.raw"), F.col("__lines")),
         "mrzCleaned": (F.col("__best.lines"), no_text),
