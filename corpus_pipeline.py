@@ -25,6 +25,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir))
         scratch.drop(before)
     return docs

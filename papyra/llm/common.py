@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage, and a lost executor loses none of them."""
+    """Intermediate results of one operator.
+
+    keep() holds a result that several later steps read, on the executors' disks and with its lineage, so that what a lost
+    executor held is worked out again. write() cuts lineage, for steps that repeat: a table in the shared folder.
+    """
 
     def __init__(self, spark: SparkSession):
         for key, most in ARROW_BATCH.items():
@@ -47,6 +52,9 @@ class Scratch:
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/papyra-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.DISK_ONLY)
+
+    def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
@@ -55,7 +63,7 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
-        """Delete tables that nothing later reads."""
+        """Delete what write() made and nothing later reads."""
         for df in frames:
             path = getattr(df, "_scratch_path", None)
             if path:
@@ -121,16 +129,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Alternating large-star and small-star: each step is one aggregation and one join by node, so no component is ever
     gathered in one place, and the number of steps is logarithmic. Self-loops and repeated edges are fine.
     """
-    e = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.keep(large)
+        large = scratch.write(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        small = scratch.keep(small)
+        small = scratch.write(small)
         scratch.drop(e, large)
         e, before = small, state
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

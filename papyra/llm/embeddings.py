@@ -150,7 +150,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         sample = leaf.join(counts, ["label", "tree", "leaf"]).where(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) < share * (1 << 20))
         plans = scratch.keep(sample.groupBy("label", "tree", "leaf").applyInPandas(_fit(turn, cosine), "label string, tree int, leaf long, at array<double>"))
         routed = leaf.join(plans, ["label", "tree", "leaf"], "left").select("label", "tree", "leaf", "id", "embedding", "at")
-        old, leaf = leaf, scratch.keep(routed.mapInPandas(_route(turn, cosine), "label string, tree int, leaf long, id long, embedding array<double>"))
+        old, leaf = leaf, scratch.write(routed.mapInPandas(_route(turn, cosine), "label string, tree int, leaf long, id long, embedding array<double>"))
         scratch.drop(old)
     sizes = leaf.groupBy("label", "tree", "leaf").agg(F.count("*").alias("n"))
     spread = leaf.join(sizes.where("n > 1"), ["label", "tree", "leaf"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))

@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return both.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b").distinct()
 
     edges = scratch.keep(confirmed(scratch.keep(alike(star))))
-    labels = scratch.keep(components(edges, scratch))
+    labels = components(edges, scratch)
     now = buckets.where("n > 2").join(labels, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).select("bucket", "id", "comp", "n_shingles")
     mixed = now.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum("n_shingles").alias("all")).where("c0 < c1")
     mixed = scratch.keep(mixed.select("bucket", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("blocks")))
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = scratch.keep(now.groupBy("bucket", "lo", "hi").applyInPandas(_across(similarity, percent), "a long, b long").distinct())
         if not is_empty(more):
             edges = scratch.keep(edges.unionByName(more))
-            labels = scratch.keep(components(edges, scratch))
+            labels = components(edges, scratch)
     final = keys.join(labels, keys["id"] == labels["id"], "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
     # rows without a set get keys of their own, so that they don't meet in one task
     own = F.coalesce("set_key", F.encode(F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")), "utf-8"))

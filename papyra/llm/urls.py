@@ -82,7 +82,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         child = child.select("host", "template", "segment", F.when(stays, F.col("segment")).otherwise("*").alias("as"))
         joined = here.join(child, ["host", "template", "segment"], "left")
         step = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("as", F.lit("*"))))
-        old, tree = tree, scratch.keep(joined.select("host", "path", "n", "b", "a", "segments", step.alias("template")))
+        old, tree = tree, scratch.write(joined.select("host", "path", "n", "b", "a", "segments", step.alias("template")))
         scratch.drop(old)
     of_template = tree.groupBy("host", "template").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
     of_host = of_template.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("a").alias("ha"))
