@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,9 @@ ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.e
 #: Ids up to which a set of them is sent to all executors; larger ones are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
+#: Edges that one task unites in memory.
+TASK_EDGES = 250_000
+
 _fallback: list[str] = []
 
 
@@ -123,19 +128,41 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars around the smallest id of each of their components."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    rows = [(x, root(x)) for x in parent]
+    rows = [r for r in rows if r[0] != r[1]]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
+def components(edges: DataFrame, scratch: Scratch, task_edges: int = TASK_EDGES) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component_id), the smallest id reachable, for every id in an edge.
 
-    Alternating large-star and small-star: each step is one aggregation and one join by node, so no component is ever
-    gathered in one place, and the number of steps is logarithmic. Self-loops and repeated edges are fine.
+    Each task reduces TASK_EDGES edges or so to stars. One task's stars are the answer; those of several are joined by
+    alternating large-star and small-star steps, each an aggregation and a join by node, so that no component is ever
+    gathered in one place and the number of steps is logarithmic. Self-loops and repeated edges are fine.
     """
-    e = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    tasks = -(-scratch.keep(e).count() // task_edges)
+    e = scratch.keep(e.coalesce(max(tasks, 1)).mapInArrow(_forest, "u long, v long").distinct())
     state = None
-    while True:
+    while tasks > 1:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.write(large)
+        large = scratch.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         small = scratch.write(small)
