@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import constant_map
+
 #: Codes of travel documents beyond the three-letter codes of countries.
 SPECIAL = {
     "D": "Germany",
@@ -77,7 +78,7 @@ def country_table(spark: SparkSession) -> DataFrame:
 
 
 def country_map(names: dict[str, str] | None = None) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable((names or country_names()).items())])
+    return constant_map(names or country_names())
 
 
 def normal_code(code: Column) -> Column:
@@ -90,4 +91,4 @@ def country_name(code: Column, names: dict[str, str] | None = None) -> Column:
 
 
 def is_known_code(code: Column, names: dict[str, str] | None = None) -> Column:
-    return normal_code(code).isin(sorted(names or country_names()))
+    return F.map_contains_key(country_map(names), normal_code(code))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papyra.config import SOON_DAYS
 
-from .text import EDGE, let
+from .text import EDGE, constant_map, let
 
 #: Names of months in documents.
 MONTHS = {
@@ -67,8 +67,7 @@ def _joined(y: Column, m: Column, d: Column) -> Column:
 
 
 def month_number(name: Column) -> Column:
-    flat = [F.lit(x) for pair in MONTHS.items() for x in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*flat), F.upper(name)), F.lit(""))
+    return F.coalesce(F.try_element_at(constant_map(MONTHS), F.upper(name)), F.lit(""))
 
 
 def _iso(text: Column, sep: str, edge: str) -> tuple[Column, Column]:

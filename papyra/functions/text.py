@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -83,6 +84,11 @@ def listed(*values: Column) -> Column:
     return F.filter(F.array(*values), lambda x: x.isNotNull())
 
 
+def constant_map(entries: dict, kind: str = "string") -> Column:
+    """A map known when the plan is built, as one constant: a map of many single literals would slow the optimizer."""
+    return F.from_json(F.lit(json.dumps(entries, ensure_ascii=False)), f"map<string,{kind}>")
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value worked out once however often body names it: a binding inside one expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papyra.config import NAME_SIMILARITY, REVIEW_MEDIUM_FROM, TOKEN_SIMILARITY, VERIFIED_FROM, WARNINGS_FROM
 from papyra.functions.dates import is_date
-from papyra.functions.text import blank, collapse, drop_words, either, half_up, has, listed, present
+from papyra.functions.text import blank, collapse, constant_map, drop_words, either, half_up, has, let, listed, present
 
 #: Spellings of countries -> code; others stay as they are.
 COUNTRY_ALIASES = {
@@ -43,8 +43,7 @@ def sex(value: Column) -> Column:
 
 def country(value: Column) -> Column:
     v = F.regexp_replace(F.upper(F.coalesce(value, F.lit(""))), "[^A-Z]", "")
-    aliases = F.create_map(*[F.lit(x) for pair in COUNTRY_ALIASES.items() for x in pair])
-    return F.coalesce(F.try_element_at(aliases, v), v)
+    return F.coalesce(F.try_element_at(constant_map(COUNTRY_ALIASES), v), v)
 
 
 def without_confusions(value: Column) -> Column:
@@ -84,37 +83,43 @@ def mismatch(label: str, p: Column, s: Column, note: str, weight: int, critical:
 
 
 def compare_names(label: str, p: Column, s: Column, weight: int, critical: bool) -> Column:
-    a, b = plain_name(p), plain_name(s)
-    x, y = name_tokens(p), name_tokens(s)
-    best = F.greatest(token_overlap(x, y), similarity(a, b))
-    sorted_a, sorted_b = F.array_join(F.array_sort(x), " "), F.array_join(F.array_sort(y), " ")
-    return (
-        F.when((a == "") | (b == ""), _field(label, _shown(p), _shown(s), "Missing", 55, weight, critical, "Name could not be detected on one or both documents."))
-        .when(a == b, match(label, p, s, weight, critical))
-        .when((sorted_a != "") & (sorted_a == sorted_b), _field(label, p, s, "Partial Match", 92, weight, critical, "Same name tokens detected, but order is different."))
-        .when(best >= NAME_SIMILARITY, _field(label, p, s, "Partial Match", half_up(best * 100), weight, critical, "Names are highly similar but not identical."))
-        .otherwise(mismatch(label, p, s, "Names do not match.", weight, critical))
-    )
+    def sorted_tokens(x: Column) -> Column:
+        return F.array_join(F.array_sort(x), " ")
+
+    def judged(v: Column) -> Column:
+        a, b, x, y = v["a"], v["b"], v["x"], v["y"]
+        best = F.greatest(token_overlap(x, y), similarity(a, b))
+        near = let(best, lambda n: F.when(n >= NAME_SIMILARITY, _field(label, p, s, "Partial Match", half_up(n * 100), weight, critical, "Names are highly similar but not identical.")).otherwise(mismatch(label, p, s, "Names do not match.", weight, critical)))
+        return (
+            F.when((a == "") | (b == ""), _field(label, _shown(p), _shown(s), "Missing", 55, weight, critical, "Name could not be detected on one or both documents."))
+            .when(a == b, match(label, p, s, weight, critical))
+            .when((F.size(x) > 0) & (sorted_tokens(x) == sorted_tokens(y)), _field(label, p, s, "Partial Match", 92, weight, critical, "Same name tokens detected, but order is different."))
+            .otherwise(near)
+        )
+
+    return let(F.struct(plain_name(p).alias("a"), plain_name(s).alias("b"), name_tokens(p).alias("x"), name_tokens(s).alias("y")), judged)
 
 
 def compare_field(label: str, p: Column, s: Column, mode: str, weight: int = 10, critical: bool = False) -> Column:
     """A field of both records. mode: name, gender, country, or strict (equal but for characters that OCR confuses)."""
-    p, s = present(p), present(s)
-    a, b = plain(p), plain(s)
+    return let(F.struct(present(p).alias("p"), present(s).alias("s")), lambda v: _compared(label, v["p"], v["s"], mode, weight, critical))
+
+
+def _compared(label: str, p: Column, s: Column, mode: str, weight: int, critical: bool) -> Column:
     missing = _field(label, _shown(p), _shown(s), "Missing", 40 if critical else 65, weight, critical, "One or both values were not detected.")
     if mode == "name":
         rest = compare_names(label, p, s, weight, critical)
     elif mode == "gender":
-        x, y = sex(p), sex(s)
         unclear = _field(label, _shown(p), _shown(s), "Missing", 65, weight, False, "Gender could not be confidently normalized.")
-        rest = F.when((x == "") | (y == ""), unclear).when(x == y, match(label, p, s, weight, critical)).otherwise(mismatch(label, p, s, "Gender values are different.", weight, critical))
+        rest = let(F.struct(sex(p).alias("x"), sex(s).alias("y")), lambda v: F.when((v["x"] == "") | (v["y"] == ""), unclear).when(v["x"] == v["y"], match(label, p, s, weight, critical)).otherwise(mismatch(label, p, s, "Gender values are different.", weight, critical)))
     elif mode == "country":
         other = _field(label, _shown(p), _shown(s), "Information Only", 80, weight, False, "Country value differs. This may be normal depending on document type.")
         rest = F.when(country(p) == country(s), match(label, p, s, weight, critical)).otherwise(other)
     else:
         near = _field(label, p, s, "Partial Match", 90, weight, critical, "Values match after OCR confusion correction.")
+        a, b = plain(p), plain(s)
         rest = F.when(a == b, match(label, p, s, weight, critical)).when(without_confusions(a) == without_confusions(b), near).otherwise(mismatch(label, p, s, "Values are different.", weight, critical))
-    return F.when((a == "") | (b == ""), missing).otherwise(rest)
+    return F.when((plain(p) == "") | (plain(s) == ""), missing).otherwise(rest)
 
 
 def compare_full_name(p: Column, s: Column) -> Column:

@@ -12,7 +12,7 @@ from papyra.functions.checkdigit import correct_with_check_digit, correction_rec
 from papyra.functions.countries import country_map, country_names, normal_code
 from papyra.functions.dates import expiry_status, mrz_date
 from papyra.functions.names import grade, parse_name
-from papyra.functions.text import blank, collapse, has, listed, present
+from papyra.functions.text import blank, collapse, constant_map, has, listed, present
 
 from .variants import DOCUMENT_TYPES, best_candidate_column
 
@@ -47,7 +47,7 @@ def mrz_lines(text: Column) -> Column:
 
 def document_type(code: Column) -> Column:
     """struct(type, subtype) of a document code: by the code, else by its first letter."""
-    kinds = F.create_map(*[x for k, (a, b) in DOCUMENT_TYPES.items() for x in (F.lit(k), F.struct(F.lit(a).alias("type"), F.lit(b).alias("subtype")))])
+    kinds = constant_map({k: {"type": a, "subtype": b} for k, (a, b) in DOCUMENT_TYPES.items()}, "struct<type:string,subtype:string>")
     unknown = F.struct(F.lit("UNKNOWN").alias("type"), F.lit("UNKNOWN").alias("subtype"))
     c = F.upper(F.coalesce(code, F.lit("")))
     return F.coalesce(F.try_element_at(kinds, c), F.try_element_at(kinds, F.substring(c, 1, 1)), unknown)

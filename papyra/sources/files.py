@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.config import MAX_FILE_BYTES, MAX_PAGES, MAX_PIXELS, RENDER_SCALE
+from papyra.functions.text import constant_map
 
 #: Media types by the ends of names.
 MEDIA_TYPES = {"pdf": "application/pdf", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif"}
@@ -25,8 +26,7 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 
 def media_type(path: Column) -> Column:
-    types = F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair])
-    return F.coalesce(F.try_element_at(types, F.lower(F.element_at(F.split(path, r"\."), -1))), F.lit("application/octet-stream"))
+    return F.coalesce(F.try_element_at(constant_map(MEDIA_TYPES), F.lower(F.element_at(F.split(path, r"\."), -1))), F.lit("application/octet-stream"))
 
 
 def header(content: Column, n: int) -> Column:

