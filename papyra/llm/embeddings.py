@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +38,20 @@ def _directions(tree: int, turn: int, dim: int) -> np.ndarray:
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Last column: vectors, as the bytes of their unit vectors in double precision; the others pass through."""
+    for batch in batches:
+        column = batch.column(batch.num_columns - 1)
+        flat, ends = np.asarray(column.flatten(), dtype=np.float64), np.asarray(column.offsets)
+        out = []
+        for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0]):
+            x = flat[a:b]
+            out.append((x / np.linalg.norm(x)).tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(out, pa.binary())], names=batch.schema.names)
+
+
 def _unit(column: pd.Series) -> np.ndarray:
-    x = np.array(column.tolist(), dtype=np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
 
 
 def _spill(dim: int, cosine: float) -> float:
@@ -134,7 +146,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     label = F.concat_ws(":", F.col("raw_label").cast("string"), F.size("embedding").cast("string"))
     valid = valid.select("vec_id", "embedding", label.alias("label")).withColumn("k1", F.xxhash64("label", "embedding")).withColumn("k2", F.xxhash64(F.lit(1), "embedding", "label"))
     groups = valid.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("copies"), F.first("embedding").alias("embedding"), F.first("label").alias("label"))
-    groups = scratch.keep(groups)
+    groups = scratch.keep(groups.select("k1", "k2", "id", "copies", "label", "embedding").mapInArrow(_packed, "k1 long, k2 long, id long, copies long, label string, embedding binary"))
     most = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     trees = trees_for(most)
     leaf = groups.select("label", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"), F.lit(0).cast("long").alias("leaf"), "id", "embedding")
@@ -150,7 +162,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         sample = leaf.join(counts, ["label", "tree", "leaf"]).where(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) < share * (1 << 20))
         plans = scratch.keep(sample.groupBy("label", "tree", "leaf").applyInPandas(_fit(turn, cosine), "label string, tree int, leaf long, at array<double>"))
         routed = leaf.join(plans, ["label", "tree", "leaf"], "left").select("label", "tree", "leaf", "id", "embedding", "at")
-        old, leaf = leaf, scratch.write(routed.mapInPandas(_route(turn, cosine), "label string, tree int, leaf long, id long, embedding array<double>"))
+        old, leaf = leaf, scratch.write(routed.mapInPandas(_route(turn, cosine), "label string, tree int, leaf long, id long, embedding binary"))
         scratch.drop(old)
     sizes = leaf.groupBy("label", "tree", "leaf").agg(F.count("*").alias("n"))
     spread = leaf.join(sizes.where("n > 1"), ["label", "tree", "leaf"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
