@@ -28,16 +28,21 @@ def _norm(line: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
-    """All rows and columns of docs, text without the removed lines, and n_lines and n_removed.
+    """All rows and columns of docs, text without the removed lines, and n_lines and n_removed, which replace columns of these
+    names.
 
     Lines end at \\n. Empty lines are never boilerplate. Null and empty texts stay as they are (n_lines 0 for null). A null
     site counts as one site of its own. A null id sorts first. Rows that share an id and hold the same line at the same
     place are one occurrence: they keep or lose it together.
     """
-    spark: SparkSession = docs.sparkSession
+    found = _deduped(docs, id_col, text_col, site_col, sites)
+    return found.drop("n_lines", "n_removed").withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"})
+
+
+def _deduped(source: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
+    """source with its text deduplicated, and the columns __lines and __removed."""
+    spark: SparkSession = source.sparkSession
     scratch = Scratch(spark)
-    names = {c: f"__{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
-    source = docs.withColumnsRenamed(names)
     lines = source.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("line", _norm(F.col("line"))).where("line <> ''")
     lines = lines.select("id", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
@@ -60,8 +65,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts))
     n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size(F.filter(parts, lambda line, i: F.array_contains(F.col("__gone"), i))))
     kept_cols = [text.alias(c) if c == text_col else F.col(c) for c in source.columns]
-    out = out.select(*kept_cols, n_lines.cast("int").alias("__lines"), n_removed.cast("int").alias("__removed"))
-    return out.withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"})
+    return out.select(*kept_cols, n_lines.cast("int").alias("__lines"), n_removed.cast("int").alias("__removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +91,8 @@ SELECT doc_id, n_lines, n_removed, md5(text) AS text_md5, text FROM o
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their boilerplate lines. A document that loses every line was a copy and goes; n_chars follows the text."""
-    found = dedup_lines(docs)
-    found = found.where(~((F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")) == "")))
+    found = _deduped(docs)
+    found = found.where(~((F.col("__removed") > 0) & (F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")) == "")))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        found = found.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)
