@@ -164,40 +164,40 @@ def test_classification(spark):
     assert (zone.type, zone.confidence, zone.route) == ("Passport", 95, "mrz")
 
 
-def verdict(spark, visa=VISA):
-    schema = "case_id string, role string, page_number int, full_text string, mrz_text string"
-    pages = spark.createDataFrame([("c", "primary", 1, "", TD3_VALID), ("c", "secondary", 1, visa, None)], schema)
-    return run(pages, NOW)["verdicts"].first()
-
-
-def test_verdict(spark):
-    v = verdict(spark)
+SCHEMA = "case_id string, role string, page_number int, full_text string, mrz_text string"
+CHANGES = {
+    "same": (VISA, 97, "VERIFIED", "LOW", "All critical identity fields are valid and matched."),
+    "number": (VISA.replace("PASSPORT NO: L898902C3", "PASSPORT NO: X1234567"), 82, "REJECTED", "HIGH", "Critical issue detected: Passport Number."),
+    "birth": (VISA.replace("12/08/1974", "01/01/1980"), 72, "MANUAL REVIEW REQUIRED", "MEDIUM", "Document data could not be verified confidently and requires manual review."),
+    "expiry": (VISA.replace("2027-01-01", "2020-01-01"), 92, "REJECTED", "HIGH", "Critical issue detected: Secondary Document Expiry."),
+    "person": (VISA.replace("ERIKSSON", "SMITH").replace("ANNA MARIA", "JOHN").replace("12/08/1974", "01/01/1980"), 47, "REJECTED", "HIGH", "Critical issue detected: identity mismatch."),
+}
+
+
+@pytest.fixture(scope="module")
+def verdicts(spark):
+    """Each case as two pages of each role, in one run over one partition and, in another order, over several."""
+    rows = [row for case, (visa, *_) in CHANGES.items() for row in ((case, "primary", 1, "", TD3_VALID), (case, "primary", 2, "", TD3_VALID), (case, "secondary", 1, visa, None), (case, "secondary", 2, "", None))]
+    rows += [("alone", "primary", 1, "", TD3_VALID)]
+    one, many = spark.createDataFrame(rows, SCHEMA).coalesce(1), spark.createDataFrame(rows[::-1], SCHEMA).repartition(7)
+    first, second = (sorted(run(x, NOW)["verdicts"].collect()) for x in (one, many))
+    assert list(map(str, first)) == list(map(str, second))
+    return {v.case_id: v for v in first}
+
+
+def test_verdicts(verdicts):
+    assert set(verdicts) == set(CHANGES)
+    for case, (_, *expected) in CHANGES.items():
+        v = verdicts[case]
+        assert [v.score, v.decision, v.riskLevel, v.reason] == expected, case
+    v = verdicts["same"]
     assert [(f.label, f.status, f.score, f.weight) for f in v.fields] == [
         ("Full Name", "Exact Match", 100, 25), ("Date of Birth", "Exact Match", 100, 25), ("Gender", "Exact Match", 100, 10), ("Passport Number", "Exact Match", 100, 15),
         ("Nationality", "Information Only", 80, 10), ("Issuing Country", "Information Only", 85, 5), ("Primary Document Expiry", "Valid", 100, 5), ("Secondary Document Expiry", "Valid", 100, 5),
     ]
-    assert (v.score, v.decision, v.riskLevel, v.reason) == (97, "VERIFIED", "LOW", "All critical identity fields are valid and matched.")
     assert [a.split(":")[0] for a in v.alerts] == ["ℹ Nationality", "ℹ Issuing Country", "ℹ Secondary document detected as"]
 
 
-@pytest.mark.parametrize(
-    "old,new,score,decision,risk,reason",
-    [
-        ("PASSPORT NO: L898902C3", "PASSPORT NO: X1234567", 82, "REJECTED", "HIGH", "Critical issue detected: Passport Number."),
-        ("12/08/1974", "01/01/1980", 72, "MANUAL REVIEW REQUIRED", "MEDIUM", "Document data could not be verified confidently and requires manual review."),
-        ("2027-01-01", "2020-01-01", 92, "REJECTED", "HIGH", "Critical issue detected: Secondary Document Expiry."),
-    ],
-)
-def test_verdict_changes(spark, old, new, score, decision, risk, reason):
-    v = verdict(spark, VISA.replace(old, new))
-    assert (v.score, v.decision, v.riskLevel, v.reason) == (score, decision, risk, reason)
-
-
-def test_verdict_on_name_and_birth(spark):
-    v = verdict(spark, VISA.replace("ERIKSSON", "SMITH").replace("ANNA MARIA", "JOHN").replace("12/08/1974", "01/01/1980"))
-    assert (v.score, v.decision, v.reason) == (47, "REJECTED", "Critical issue detected: identity mismatch.")
-
-
 @pytest.mark.parametrize("other,status,score", [("ERIKSSON ANNA MARIA", "Partial Match", 92), ("MS ANNA MARIA ERIKSSON", "Partial Match", 92), ("ANNA MARIE ERIKSSON", "Partial Match", 95), ("JOHN SMITH", "Mismatch", 0)])
 def test_name_comparison(spark, other, status, score):
     f = value(spark, compare_field("Full Name", F.lit("ANNA MARIA ERIKSSON"), F.lit(other), "name", 25))
@@ -233,10 +233,3 @@ def test_specialised_readers(spark):
     u = read_uae(spark.createDataFrame([(VISA + "\nUID NO: 123456789",)], "t string"), "t", NOW).first()["record"]
     assert (u.documentSubtype, u.uid, u.passportNumber, u.expiryDate, u.dateOfBirth, u.gender) == ("UAE_RESIDENCE_VISA", "123456789", "L898902C3", "2027-01-01", "1974-08-12", "FEMALE")
 
-
-def test_partitions_do_not_matter(spark):
-    schema = "case_id string, role string, page_number int, full_text string, mrz_text string"
-    rows = [(f"c{i}", role, p, VISA if role == "secondary" else "", TD3_VALID if role == "primary" else None) for i in range(12) for role in ("primary", "secondary") for p in (1, 2)]
-    one, many = spark.createDataFrame(rows, schema).coalesce(1), spark.createDataFrame(rows[::-1], schema).repartition(7)
-    assert sorted(map(str, run(one, NOW)["verdicts"].collect())) == sorted(map(str, run(many, NOW)["verdicts"].collect()))
-
