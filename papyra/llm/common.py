@@ -47,8 +47,10 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate results of one operator.
 
-    keep() holds a result that several later steps read, on the executors' disks and with its lineage, so that what a lost
-    executor held is worked out again. write() cuts lineage, for steps that repeat: a table in the shared folder.
+    keep() and cache() hold a result that several later steps read on the executors' disks, with its lineage, so that what a
+    lost executor held is worked out again. After keep() later plans begin at the result anew, as plans that hold plans grow
+    with each step; cache() is for results that come straight from a scan. write() cuts lineage too, for steps that repeat: a
+    table in the shared folder.
     """
 
     def __init__(self, spark: SparkSession):
@@ -57,6 +59,10 @@ class Scratch:
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/papyra-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
+        rows = self.cache(df)._jdf.queryExecution().toRdd()
+        return DataFrame(self.spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), self.spark)
+
+    def cache(self, df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.DISK_ONLY)
 
     def write(self, df: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     seen = narrow.select("__id", "__declared", "__host", "__key", "__text").mapInArrow(_likelihoods(logp), schema)
     names = F.array(*[F.lit(x) for x in languages]) if k else F.array().cast("array<string>")
     best = F.when((F.col("n_trigrams") > 0) & (F.lit(k) > 0), F.element_at(names, F.array_position("text_log", F.array_max("text_log")).cast("int")))
-    seen = scratch.keep(seen.withColumn("text_language", best).withColumn("suffix", _suffix(F.col("__host"))))
+    seen = scratch.cache(seen.withColumn("text_language", best).withColumn("suffix", _suffix(F.col("__host"))))
 
     # priors: corpus -> suffix -> host
     known = seen.where(F.col("text_language").isNotNull())

@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark)
     similarity = percent / 100
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = scratch.keep(docs.mapInArrow(_sketch(words), _SKETCH))
+    sketch = scratch.cache(docs.mapInArrow(_sketch(words), _SKETCH))
     named = sketch.where("set_key is not null and doc_id is not null")
     keys = scratch.keep(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("doc_id").alias("id")))
     # one row for each set; a row's own id keeps its bands

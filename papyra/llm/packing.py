@@ -246,7 +246,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), F.col(text_col).alias("text"))
-    pieces = scratch.keep(source.mapInArrow(_pieces(tokenizer, capacity), _PIECES))
+    pieces = scratch.cache(source.mapInArrow(_pieces(tokenizer, capacity), _PIECES))
     # ranks within a length: lengths are dealt out over salts, and each salt's first rank is the sum of those before it
     salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_key", "piece"), F.lit(salts)).cast("int"))

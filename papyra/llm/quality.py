@@ -143,7 +143,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     scratch = Scratch(spark)
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    stats = scratch.keep(source.mapInArrow(_statistics, f"doc_id {kind}, stats array<double>"))
+    stats = scratch.cache(source.mapInArrow(_statistics, f"doc_id {kind}, stats array<double>"))
     code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     held = F.coalesce(code % folds == fold, F.lit(True))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held)
