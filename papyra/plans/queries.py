@@ -362,7 +362,7 @@ SELECT user_id, event_id, score, event_type, n_attempts FROM e WHERE rn = 1
 def file_checks(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", "text")
     k = F.col("doc_id") % 6
-    head = F.when(k == 0, F.lit("%PDF-1.7")).when(k == 1, F.lit("GIF89a")).when(k == 2, F.lit("RIFF1234WEBP")).when(k == 3, F.lit("%PDX")).otherwise(F.lit("plain"))
+    head = F.when(k == 0, F.lit("%PDF-1.7")).when(k == 1, F.lit("GIF89a")).when(k == 2, F.lit("RIFF1234WEBP")).when(k == 3, F.lit("%PDXXXXX")).otherwise(F.lit("plain text"))
     d = d.select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).cast("binary").alias("content"), F.concat(F.lit("/in/x."), F.element_at(F.array(*[F.lit(x) for x in ("pdf", "gif", "webp", "pdf", "txt", "PNG")]), (k + 1).cast("int"))).alias("path"))
     d = d.withColumn("mime", files.media_type(F.col("path"))).withColumn("length", F.when(k == 5, 16 * 1024 * 1024).otherwise(F.octet_length("content")).cast("long"))
     return files.check_files(d).select("doc_id", "mime", files.image_kind(F.col("content")).alias("kind"), "error", F.substring(files.data_url(F.col("mime"), files.header(F.col("content"), 6)), 1, 60).alias("url"))
@@ -372,8 +372,7 @@ FILE_CHECKS = """
 WITH d AS (SELECT doc_id, doc_id % 6 AS k FROM documents)
 SELECT doc_id, CASE k WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/webp' WHEN 3 THEN 'application/pdf' WHEN 4 THEN 'application/octet-stream' ELSE 'image/png' END AS mime, CASE k WHEN 1 THEN 'gif' WHEN 2 THEN 'webp' END AS kind,
   CASE k WHEN 3 THEN 'File is not a PDF.' WHEN 4 THEN 'Unsupported file type.' WHEN 5 THEN 'File exceeds the maximum size.' END AS error,
-  CASE k WHEN 0 THEN 'data:application/pdf;base64,JVBERi0x' WHEN 1 THEN 'data:image/gif;base64,R0lGODlh' WHEN 2 THEN 'data:image/webp;base64,UklGRjEy' WHEN 3 THEN 'data:application/pdf;base64,' || base64(encode('%PDX' || left((SELECT text FROM documents x WHERE x.doc_id = d.doc_id), 2)))
-    WHEN 4 THEN 'data:application/octet-stream;base64,' || base64(encode('plain' || left((SELECT text FROM documents x WHERE x.doc_id = d.doc_id), 1))) ELSE 'data:image/png;base64,' || base64(encode('plain' || left((SELECT text FROM documents x WHERE x.doc_id = d.doc_id), 1))) END AS url
+  CASE k WHEN 0 THEN 'data:application/pdf;base64,JVBERi0x' WHEN 1 THEN 'data:image/gif;base64,R0lGODlh' WHEN 2 THEN 'data:image/webp;base64,UklGRjEy' WHEN 3 THEN 'data:application/pdf;base64,JVBEWFhY' WHEN 4 THEN 'data:application/octet-stream;base64,cGxhaW4g' ELSE 'data:image/png;base64,cGxhaW4g' END AS url
 FROM d
 """
 
@@ -453,7 +452,7 @@ def secondary_records(spark, sf):
 
 SECONDARY_RECORDS = f"""
 WITH z AS ({_ZONE_SQL})
-SELECT CAST(c_custkey AS VARCHAR) AS case_id, 'Passport' AS document_type, CASE WHEN c_custkey % 4 = 0 THEN 'ZZZZ99999' ELSE number END AS number, surname, 'ANNA MARIA ' || surname AS full_name, birth, CASE WHEN male THEN 'M' ELSE 'F' END AS gender, '2027-01-01' AS expiry, 1 AS page FROM z
+SELECT CAST(c_custkey AS VARCHAR) AS case_id, 'Visa' AS document_type, CASE WHEN c_custkey % 4 = 0 THEN 'ZZZZ99999' ELSE number END AS number, surname, 'ANNA MARIA ' || surname AS full_name, birth, CASE WHEN male THEN 'M' ELSE 'F' END AS gender, '2027-01-01' AS expiry, 1 AS page FROM z
 """
 
 QUERIES = {
