@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, broadcast_if_few, table
 
 #: Trigrams are hashed to so many features.
 FEATURES = 1 << 14
@@ -90,13 +90,14 @@ def _suffix(host: Column) -> Column:
     return F.when(host.contains("."), last).otherwise(F.lit(""))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", carry: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, language, posterior, text_language, n_trigrams, rejected, reason.
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source") -> DataFrame:
+    """One row per row of docs: doc_id, row_key, language, posterior, text_language, n_trigrams, reason,
+    rejected.
 
-    With carry, all columns of docs come first, under their own names, and only `__rejected` is added. Null and empty texts,
-    and texts without letters, are rejected (reason no_text, language null). A null or rare declaration or a null host says
-    nothing. With no declared language at all every document is rejected, and an empty table gives no rows. Ties go to the
-    language first in alphabetical order.
+    row_key, a hash of id and text, tells rows with a null id apart. Null and empty texts, and texts without letters, are
+    rejected (reason no_text, language null). A null or rare declaration or a null host says nothing. With no declared
+    language at all every document is rejected, and an empty table gives no rows. Ties go to the language first in
+    alphabetical order. Repeated rows are judged alike.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
@@ -115,7 +116,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         sums = source.select("__declared", text).mapInArrow(_count(languages), "language int, feature int, n long").groupBy("language", "feature").agg(F.sum("n").alias("n")).toPandas()
         model[sums["language"].to_numpy(), sums["feature"].to_numpy()] = sums["n"].to_numpy()
     logp = np.log((model + 0.5) / (model.sum(axis=1, keepdims=True) + 0.5 * FEATURES)).astype(np.float32)
-    keep_cols = [F.col(c) for c in docs.columns if c != text_col] if carry else [F.col(id_col).alias("doc_id")]
     narrow = source.select(*([F.col(id_col).alias("__id"), "__declared", "__host", text.alias("__text")]))
     narrow = narrow.withColumn("__key", F.xxhash64("__id", "__text"))
     schema = f"__id {dict(docs.dtypes)[id_col]}, __declared string, __host string, __key long, n_trigrams long, gain double, text_log array<double>"
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     flat = F.array(*[F.lit(0.0) for _ in languages]) if k else F.array().cast("array<double>")
     spoken = F.coalesce(F.try_element_at(F.create_map(*entries), F.col("__declared")), flat) if entries else flat
 
-    joined = seen.join(by_host, "__host", "left").withColumn("prior", F.coalesce("prior", prior0)).withColumn("said", spoken)
+    joined = seen.join(broadcast_if_few(by_host, 100_000), "__host", "left").withColumn("prior", F.coalesce("prior", prior0)).withColumn("said", spoken)
     logs = F.zip_with(F.zip_with("text_log", "said", lambda a, b: a + b), F.col("prior"), lambda a, p: a + F.log(p))
     joined = joined.withColumn("log", logs).withColumn("top", F.array_max("log"))
     mass = F.aggregate(F.transform("log", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
@@ -168,7 +168,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known, as they were; lang becomes the language found."""
+    """Documents whose language is known, as they were."""
     found = identify(docs)
     bad = Scratch(spark).keep(found.where("rejected").select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key")).distinct())
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__doc"]) & (F.xxhash64(docs["doc_id"], docs["text"]) == bad["__key"]), "left_anti")

@@ -104,9 +104,9 @@ def _pieces(path: str | None, capacity: int):
 def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
     """Undominated ways to fill room from the lengths at hand, least waste first, then fewest pieces.
 
-    A filling is dominated if a piece of it, or two, could be replaced by one longer piece that fits, or if a piece that
-    fits could be added. Largest pieces are tried first, so that of equal waste the filling with larger pieces is found
-    first; the search ends when enough fillings without waste are known or a bounded number of steps is used.
+    Only maximal fillings count: one to which a piece that fits could be added is dominated. Largest pieces are tried first,
+    so that of equal waste the filling with larger pieces, which dominates those that use smaller ones in their place, is
+    found first; the search ends when enough fillings without waste are known or a bounded number of steps is used.
     """
     sizes = [int(s) for s in np.flatnonzero(counts)[::-1] if s <= room]
     found: list[tuple[int, tuple[int, ...]]] = []

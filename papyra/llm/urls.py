@@ -8,8 +8,6 @@ corpus's, and templates above the limit are rejected. All of it is grouped aggre
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +96,3 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
