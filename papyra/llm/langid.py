@@ -171,4 +171,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known, as they were."""
     found = identify(docs)
     bad = Scratch(spark).keep(found.where("rejected").select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key")).distinct())
+    bad = broadcast_if_few(bad)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__doc"]) & (F.xxhash64(docs["doc_id"], docs["text"]) == bad["__key"]), "left_anti")

@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, broadcast_if_few, table
 
 #: Distinct sites that make a line boilerplate.
 SITES = 10
 #: log2 of the sketch's registers: a standard error of some 3 percent; estimates within NEAR of the limit are counted exactly.
 SKETCH_LOG2 = 10
 NEAR = 0.25
-#: Rows of removals up to which they are sent to all executors.
+#: Lines, and documents with lines to remove, up to which they are sent to all executors.
 BROADCAST_ROWS = 100_000
 
 
@@ -46,19 +46,21 @@ def _deduped(source: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = source.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("line", _norm(F.col("line"))).where("line <> ''")
     lines = lines.select("id", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    # one sketch for each line hash, merged by aggregation; lines that stand once can't be boilerplate
-    spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", SKETCH_LOG2).alias("sketch"), F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
-    spread = spread.where(F.col("n") >= sites).select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - NEAR))
-    spread = scratch.keep(spread)
+    lines = scratch.cache(lines)
+    # a line that stands fewer times than the limit can't be on that many sites
+    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where(F.col("n") >= sites)
+    often = scratch.keep(often.select("h1", "h2", "first"))
+    # one sketch of sites for each line hash, merged by aggregation
+    sketches = lines.join(broadcast_if_few(often.select("h1", "h2"), BROADCAST_ROWS), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.hll_sketch_agg("site", SKETCH_LOG2).alias("sketch"))
+    sketches = sketches.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - NEAR))
+    spread = scratch.keep(often.join(sketches, ["h1", "h2"]))
     near = spread.where(F.col("estimate") < sites * (1 + NEAR)).select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").count().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    exact = lines.join(broadcast_if_few(near, BROADCAST_ROWS), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").count().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
     boiler = spread.join(exact, ["h1", "h2"], "left").where(F.coalesce("exact", "estimate") >= sites).select("h1", "h2", "first")
     boiler = scratch.keep(boiler)
-    few = boiler.count() <= BROADCAST_ROWS
-    gone = lines.join(F.broadcast(boiler) if few else boiler, ["h1", "h2"]).where(~F.struct("id", "pos").eqNullSafe(F.col("first")))
+    gone = lines.join(broadcast_if_few(boiler, BROADCAST_ROWS), ["h1", "h2"]).where(~F.struct("id", "pos").eqNullSafe(F.col("first")))
     gone = scratch.keep(gone.groupBy("id").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("id", "__id"))
-    small = gone.count() <= BROADCAST_ROWS // 10
-    out = source.join(F.broadcast(gone) if small else gone, source[id_col].eqNullSafe(gone["__id"]), "left")
+    out = source.join(broadcast_if_few(gone, BROADCAST_ROWS), source[id_col].eqNullSafe(gone["__id"]), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)

@@ -201,5 +201,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id or without words stay; of rows that share an id, those with the smallest id of their group stay.
     """
     found = near_duplicates(docs)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = broadcast_if_few(Scratch(spark).keep(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
