@@ -183,3 +183,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r AS (SELECT DISTINCT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.r = l.a),
+c AS (SELECT id, min(r) AS component_id FROM r GROUP BY id)
+SELECT x.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, x.vec_id = c.component_id AS kept FROM embeddings x LEFT JOIN n ON n.a = x.vec_id JOIN c ON c.id = x.vec_id
+"""

@@ -27,6 +27,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import lines
+    from . import embeddings, lines, minhash
 
-    return {"op5_line_dedup": lines.OP5_SQL}
+    return {"op3_embedding_dedup": embeddings.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op10_minhash_dedup": minhash.OP10_SQL}
