@@ -18,7 +18,7 @@ SITES = 10
 #: log2 of the sketch's registers: a standard error of some 3 percent; estimates within NEAR of the limit are counted exactly.
 SKETCH_LOG2 = 10
 NEAR = 0.25
-#: Lines, and documents with lines to remove, up to which they are sent to all executors.
+#: Lines up to which they are sent to all executors.
 BROADCAST_ROWS = 100_000
 
 
@@ -60,7 +60,7 @@ def _deduped(source: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     boiler = scratch.keep(boiler)
     gone = lines.join(broadcast_if_few(boiler, BROADCAST_ROWS), ["h1", "h2"]).where(~F.struct("id", "pos").eqNullSafe(F.col("first")))
     gone = scratch.keep(gone.groupBy("id").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("id", "__id"))
-    out = source.join(broadcast_if_few(gone, BROADCAST_ROWS), source[id_col].eqNullSafe(gone["__id"]), "left")
+    out = source.join(gone, source[id_col].eqNullSafe(gone["__id"]), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
