@@ -406,3 +406,32 @@ def test_pipeline_stages(spark, docs, corpus, tmp_path):
     assert not {90, 91, 92} & left[0] and set(range(60)) <= left[0]
     assert len(set(range(60, 75)) & left[2]) <= 1 and len({4, *range(75, 85)} & left[2]) == 1
     assert 0 not in left[3] and left[3] == left[4]
+
+
+def test_passages_whose_seeds_have_earlier_holders(spark):
+    rng = np.random.default_rng(12)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    shared, far = words(60), words(60)
+    near = [w if i % 9 else f"b{i}" for i, w in enumerate(far)]  # B and C alike; A only in parts
+    bodies = {2: shared[:30], 3: shared[30:], 7: shared, 9: shared, 11: far[:25], 12: near, 13: near[:59] + ["last"]}
+    rows = [(i, " ".join(words(50) + body + words(40)), "x", "s") for i, body in bodies.items()]
+    got = {(r.doc_id, r.other_id): r for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(got) == {(9, 7), (13, 12)}
+    assert (got[9, 7].start_word, got[9, 7].end_word, got[9, 7].other_start, got[9, 7].identity) == (50, 110, 50, 1.0)
+
+
+def test_packed_rows_and_partners():
+    rng = np.random.default_rng(13)
+    h, ids, pos = rng.integers(0, 40, 500), rng.integers(-9, 9, 500), rng.integers(0, 99, 500)
+    h.sort()
+    assert (passages.unpack(passages.pack([h, ids, pos]), 500, 3) == [h, ids, pos]).all()
+    at = defaultdict(lambda: defaultdict(list))
+    for x, i, p in zip(h.tolist(), ids.tolist(), pos.tolist()):
+        at[x][i].append(p)
+    want = Counter()
+    for by in at.values():
+        order = sorted(by)
+        for n, i in enumerate(order):
+            for j in {*order[:1], *order[max(n - 2, 0) : n]} if n else ():
+                want.update((i, j, p, min(by[j])) for p in by[i])
+    assert Counter(zip(*(x.tolist() for x in passages.partners(h, ids, pos, 2)))) == want
