@@ -435,3 +435,17 @@ def test_packed_rows_and_partners():
             for j in {*order[:1], *order[max(n - 2, 0) : n]} if n else ():
                 want.update((i, j, p, min(by[j])) for p in by[i])
     assert Counter(zip(*(x.tolist() for x in passages.partners(h, ids, pos, 2)))) == want
+
+
+def test_passage_recall_by_identity(spark):
+    rng = np.random.default_rng(14)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    rows = []
+    for pair in range(120):
+        body = words(60)
+        other = [w if rng.random() < (0.9, 0.85, 0.8)[pair % 3] else "x" + w for w in body]
+        rows += [(2 * pair + k, " ".join(words(30) + b + words(30)), "x", "s") for k, b in enumerate((body, other))]
+    got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got <= {(2 * p + 1, 2 * p) for p in range(120)}
+    for k, least in enumerate((0.97, 0.9, 0.8)):
+        assert sum((2 * p + 1, 2 * p) in got for p in range(k, 120, 3)) >= least * 40
