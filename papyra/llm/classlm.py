@@ -2,11 +2,13 @@
 
 P(word | word before) = P(class | class before) * P(word | class). Counts come from all training texts: unigrams of every
 word, and bigrams of the CLUSTERED most frequent words. The exchange algorithm moves each of those words to the class that
-raises the likelihood of the class bigrams most, until a round moves few. All other words form one class of their own, and
-so does the end of a text. Words are 64-bit hashes.
+raises the likelihood of the class bigrams most, until a round moves few. Executors then sum the classes before and after each
+further known word and give it the class of the same likelihood's greatest gain, and class transitions are counted anew over
+all training bigrams. Words beyond the known ones form one class of their own, and so does the end of a text. Words are 64-bit
+hashes.
 
-The driver holds the KNOWN most frequent words and a matrix of CLUSTERED by CLUSTERED bigrams at most, whatever the corpus.
-Rarer words are looked up by a join; each is rare, so no key of it is hot.
+The driver holds the KNOWN most frequent words with their classes, a matrix of CLUSTERED by CLUSTERED bigrams at most, and one
+of the classes, whatever the corpus. Rarer words are looked up by a join; each is rare, so no key of it is hot.
 """
 
 from __future__ import annotations
@@ -181,31 +183,147 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
     return of
 
 
+def _contexts(vocabulary: Vocabulary, of: np.ndarray):
+    """Counts of the classes beside each known word that isn't clustered: (word's place, code, n).
+
+    With k classes, codes under k are those of classes after the word, k is the word itself after it, and greater ones are
+    k + 1 and the class before.
+    """
+    k = int(of.max()) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            keys, n = _merged(parts)
+            for at in range(0, len(keys), 200_000):
+                x = keys[at : at + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array((x // (2 * k + 1)).astype(np.int32)), pa.array((x % (2 * k + 1)).astype(np.int32)), pa.array(n[at : at + 200_000])], names=["w", "code", "n"])
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if not texts:
+                continue
+            at = vocabulary.find(np.concatenate([_tokens(t) for t in texts])).astype(np.int64)
+            number = vocabulary.numbers(at)
+            cls = of[number]
+            i = np.flatnonzero((at >= 0) & (number == vocabulary.clustered + 1))
+            same_after, same_before = at[i + 1] == at[i], (i > 0) & (at[i - 1] == at[i])  # the last token is an end
+            after = np.where(same_after, k, cls[i + 1])
+            before = k + 1 + np.where(i > 0, cls[i - 1], of[vocabulary.clustered])
+            keys, n = np.unique(np.concatenate([at[i] * (2 * k + 1) + after, (at[i] * (2 * k + 1) + before)[~same_before]]), return_counts=True)
+            parts.append((keys, n))
+            if sum(len(p[0]) for p in parts) > 2 * FLUSH:
+                parts[:] = [_merged(parts)]
+                if len(parts[0][0]) > FLUSH:
+                    yield from flush()
+                    parts = []
+        if parts:
+            yield from flush()
+
+    return run
+
+
+def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The class to which each word goes from the last one, with the greatest gain in likelihood; of equal gains the first.
+
+    after, before: words by classes, without the word itself; own: how often it follows itself. The last two classes, the
+    end and all other words, aren't chosen.
+    """
+    k = len(cells)
+    a, c = k - 1, max(k - 2, 1)
+    follows, leads = cells.sum(axis=0), cells.sum(axis=1)
+
+    def f(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1.0))
+
+    def side(counts: np.ndarray, other: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Gain over the cells (class chosen, class beside), but for those on the diagonal."""
+        gain = np.zeros((len(counts), c))
+        w, d = np.nonzero(counts[:, :a])
+        if len(w):
+            n = counts[w, d][:, None]
+            each = f(table[:c, d].T + n) - f(table[:c, d].T)
+            inside = d < c
+            each[np.flatnonzero(inside), d[inside]] = 0
+            starts = np.flatnonzero(np.diff(w, prepend=-1))
+            gain[w[starts]] = np.add.reduceat(each, starts, axis=0)
+        left = np.maximum(table[None, :c, a] - other[:, :c], 0)  # without the word's own share of the class it leaves
+        return gain + f(left + counts[:, a : a + 1]) - f(left)
+
+    d = np.arange(c)
+    rn, ln = (after.sum(axis=1) + own)[:, None], (before.sum(axis=1) + own)[:, None]
+    gain = side(after, before, cells) + side(before, after, cells.T)
+    gain += f(cells[d, d] + after[:, :c] + before[:, :c] + own[:, None]) - f(cells[d, d])
+    gain -= f(leads[:c] + rn) - f(leads[:c]) + f(follows[:c] + ln) - f(follows[:c])
+    return gain.argmax(axis=1)
+
+
+def _assigned(cells: np.ndarray):
+    k = len(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Columns: w, codes, ns (arrays)."""
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            lists = batch.column(1)
+            row = np.repeat(np.arange(size), np.diff(np.asarray(lists.offsets)))
+            counts = np.zeros((size, 2 * k + 1))
+            counts[row, np.asarray(lists.flatten())] = np.asarray(batch.column(2).flatten())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best_classes(counts[:, :k], counts[:, k + 1 :], counts[:, k], cells).astype(np.int32))], names=["w", "class"])
+
+    return run
+
+
+def _transitions(vocabulary: Vocabulary, classes: np.ndarray, end: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, dtype=np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if not texts:
+                continue
+            at = vocabulary.find(np.concatenate([_tokens(t) for t in texts]))
+            w = np.append(classes, k - 1)[at].astype(np.int64)  # -1, an unknown word, is the last
+            total += np.bincount(np.concatenate([[end], w[:-1]]) * k + w, minlength=k * k)
+        keys = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((keys // k).astype(np.int32)), pa.array((keys % k).astype(np.int32)), pa.array(total[keys])], names=["a", "b", "n"])
+
+    return run
+
+
 class Model:
-    """Log10 probabilities: of classes after classes, and of known words in their classes."""
+    """Log10 probabilities: of classes after classes, and of known words in their classes.
+
+    Known words that aren't clustered are in the class of all others until settle() is told theirs.
+    """
 
     def __init__(self, vocabulary: Vocabulary, bigrams: np.ndarray, tokens: int, distinct: int, classes: int = CLASSES):
         of = exchange(bigrams, classes)
         k = int(of.max()) + 1
         one = np.zeros((len(of), k))
         one[np.arange(len(of)), of] = 1
-        cells = one.T @ bigrams @ one
+        self.of, self.vocabulary = of, vocabulary
+        self.tokens, self.distinct = tokens, distinct
+        self.base = np.log10((vocabulary.counts + UNIGRAM) / (tokens + UNIGRAM * (distinct + 1)))
+        self.settle(of[vocabulary.number], one.T @ bigrams @ one)
+
+    def settle(self, cls: np.ndarray, cells: np.ndarray) -> None:
+        """Classes of the known words, and bigrams of classes, of which the last one is that of all other words."""
+        vocabulary, k = self.vocabulary, len(cells)
         n = cells.sum(axis=0)
         share = (n + 1) / (n.sum() + k)
         self.step = np.log10((cells + TRANSITION * share[None, :]) / (cells.sum(axis=1, keepdims=True) + TRANSITION))
-        self.of, self.vocabulary = of, vocabulary
-        self.tokens, self.distinct = tokens, distinct
-        others = vocabulary.number == vocabulary.clustered + 1
-        clustered_types = len(vocabulary.number) - int(others.sum())
-        self.rare_n = tokens - int(vocabulary.counts[~others].sum())
-        self.rare_types = distinct - clustered_types + 1  # and one for all words never seen
-        cls = of[vocabulary.number]
+        self.cls, self.cells = cls, cells
+        others = cls == k - 1
+        self.rare_n = self.tokens - int(vocabulary.counts[~others].sum())
+        self.rare_types = self.distinct - int((~others).sum()) + 1  # and one for all words never seen
         total = np.bincount(cls[~others], weights=vocabulary.counts[~others], minlength=k)
         types = np.bincount(cls[~others], minlength=k)
         with np.errstate(divide="ignore", invalid="ignore"):
             inside = (vocabulary.counts + EMISSION) / (total[cls] + EMISSION * types[cls])
         self.emit = np.log10(np.where(others, (vocabulary.counts + UNIGRAM) / (self.rare_n + UNIGRAM * self.rare_types), inside))
-        self.base = np.log10((vocabulary.counts + UNIGRAM) / (tokens + UNIGRAM * (distinct + 1)))
 
 
 def _scores(model: Model):
@@ -216,7 +334,7 @@ def _scores(model: Model):
             for text in batch.column(2).to_pylist():
                 tokens = _tokens(text)
                 at = v.find(tokens)
-                cls = model.of[v.numbers(at)]
+                cls = np.append(model.cls, len(model.step) - 1)[at]
                 hit = at >= 0
                 n.append(len(tokens))
                 known.append(int(hit.sum()))
@@ -258,6 +376,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     bigrams[pairs["a"].to_numpy(), pairs["b"].to_numpy()] = pairs["n"].to_numpy()
     del pairs, frequent
     model = Model(vocabulary, bigrams, int(tokens), int(distinct))
+    # classes of the further known words, and transitions of all training bigrams
+    beside = train.mapInArrow(_contexts(vocabulary, model.of), "w int, code int, n long").groupBy("w", "code").agg(F.sum("n").alias("n"))
+    beside = beside.groupBy("w").agg(F.collect_list(F.struct("code", "n")).alias("x")).select("w", F.col("x.code").alias("codes"), F.col("x.n").alias("ns"))
+    found = beside.mapInArrow(_assigned(model.cells), "w int, class int").toPandas()
+    cls = model.cls.copy()
+    cls[found["w"].to_numpy()] = found["class"].to_numpy()
+    k = len(model.cells)
+    steps_seen = train.mapInArrow(_transitions(vocabulary, cls, int(model.of[vocabulary.clustered]), k), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
+    cells = np.zeros((k, k))
+    cells[steps_seen["a"].to_numpy(), steps_seen["b"].to_numpy()] = steps_seen["n"].to_numpy()
+    model.settle(cls, cells)
 
     keyed = rows.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row_key"), "text")
     scored = scratch.cache(keyed.mapInArrow(_scores(model), f"doc_id {dict(rows.dtypes)['doc_id']}, row_key long, n_tokens long, n_known long, base_score double, score double, tail array<long>"))

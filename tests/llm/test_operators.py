@@ -449,3 +449,34 @@ def test_passage_recall_by_identity(spark):
     assert got <= {(2 * p + 1, 2 * p) for p in range(120)}
     for k, least in enumerate((0.97, 0.9, 0.8)):
         assert sum((2 * p + 1, 2 * p) in got for p in range(k, 120, 3)) >= least * 40
+
+
+def test_lm_further_words_take_the_best_class():
+    rng = np.random.default_rng(15)
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    for _ in range(20):
+        k = 6
+        after, before, own = rng.integers(0, 4, (5, k)).astype(float), rng.integers(0, 4, (5, k)).astype(float), rng.integers(0, 3, 5).astype(float)
+        cells = rng.integers(20, 200, (k, k)).astype(float)
+        got = classlm.best_classes(after, before, own, cells)
+        for w in range(5):
+            gone = cells.copy()
+            gone[-1] -= after[w]
+            gone[:, -1] -= before[w]
+            gone[-1, -1] -= own[w]
+            likelihoods = []
+            for b in range(k - 2):
+                x = gone.copy()
+                x[b] += after[w]
+                x[:, b] += before[w]
+                x[b, b] += own[w]
+                likelihoods.append(f(x) - f(x.sum(axis=0)) - f(x.sum(axis=1)))
+            assert likelihoods[got[w]] >= max(likelihoods) - 1e-6
+
+
+def test_lm_learns_from_words_beyond_the_clustered(spark, monkeypatch):
+    monkeypatch.setattr(classlm, "CLUSTERED", 10)
+    rng = np.random.default_rng(16)
+    rows = [(i, " ".join(f"{'ab'[j % 2]}{int(rng.integers(0, 40))}" for j in range(60)), "x", "s") for i in range(200)]
+    got = [r for r in classlm.lm_scores(spark.createDataFrame(rows, SCHEMA)).collect() if r.held_out]
+    assert sum(r.score - r.base_score for r in got) > 0.25 * sum(r.n_tokens for r in got)  # of log10(2) that the order tells
