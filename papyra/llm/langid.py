@@ -5,6 +5,8 @@ For each document the log posteriors of the languages add up from four kinds of
 - the declared markup language: how often a text of a language declares which one, counted over all documents;
 - the address suffix (the host's last label) and the host: priors by grouped aggregation, smoothed hierarchically, the
   host's towards its suffix's and the suffix's towards the corpus's.
+Declared languages with too few documents for a model of their own share one. A text that fits it best is of the language it
+declares, or if that is none of them of an undetermined one.
 A document is rejected if it has no letters, or if no language reaches the posterior wanted, or if its text fits no
 language better than it fits one made of evenly spread trigrams.
 """
@@ -29,10 +31,12 @@ HOST_PULL, SUFFIX_PULL, DECLARED_PULL = 20.0, 50.0, 5.0
 TEMPER = 0.5
 #: Least posterior of a language; least gain over evenly spread trigrams, in nats a trigram.
 LEAST_POSTERIOR, LEAST_GAIN = 0.5, 0.5
-#: Declared languages with fewer documents than this share of the corpus teach no model of their own.
-LEAST_SHARE = 0.001
-#: Models at most; languages are far fewer, so this only bounds what is sent to executors.
+#: Declared languages with fewer documents, in a corpus of any size, share a model.
+LEAST_DOCUMENTS = 3
+#: Models of one language at most; languages are far fewer, so this only bounds what is sent to executors. Others share a model.
 MOST_LANGUAGES = 256
+#: The name of the languages that share a model.
+UNDETERMINED = "und"
 
 
 def _features(text: str) -> np.ndarray:
@@ -95,7 +99,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     rejected.
 
     row_key, a hash of id and text, tells rows with a null id apart. Null and empty texts, and texts without letters, are
-    rejected (reason no_text, language null). A null or rare declaration or a null host says nothing. With no declared
+    rejected (reason no_text, language null). A null declaration or a null host says nothing. With no declared
     language at all every document is rejected, and an empty table gives no rows. Ties go to the language first in
     alphabetical order. Repeated rows are judged alike.
     """
@@ -106,20 +110,24 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     host = F.lower(F.coalesce(F.col(host_col).cast("string"), F.lit(""))) if host_col else F.lit("")
     source = docs.withColumns({"__declared": declared, "__host": host})
     counts = source.where(text.isNotNull()).groupBy("__declared").count()
-    counts = counts.where("__declared <> ''").orderBy(F.desc("count"), "__declared").limit(MOST_LANGUAGES).collect()
-    whole = sum(r["count"] for r in counts)
-    languages = sorted(r[0] for r in counts if r["count"] >= LEAST_SHARE * whole)
+    counts = counts.where("__declared <> ''").orderBy(F.desc("count"), "__declared").limit(MOST_LANGUAGES + 1).collect()
+    languages = sorted(r[0] for r in counts[:MOST_LANGUAGES] if r["count"] >= LEAST_DOCUMENTS and r[0] != UNDETERMINED)
+    own = F.col("__declared").isin(languages)
+    if len(languages) < len(counts):
+        languages.append(UNDETERMINED)
+    # what a document declares, of the languages with models
+    source = source.withColumn("__group", F.when(own, F.col("__declared")).when(F.col("__declared") != "", UNDETERMINED))
     k = len(languages)
     # trigram counts by declared language: a model of k times FEATURES numbers, for any corpus
     model = np.zeros((max(k, 1), FEATURES))
     if k:
-        sums = source.select("__declared", text).mapInArrow(_count(languages), "language int, feature int, n long").groupBy("language", "feature").agg(F.sum("n").alias("n")).toPandas()
+        sums = source.select("__group", text).mapInArrow(_count(languages), "language int, feature int, n long").groupBy("language", "feature").agg(F.sum("n").alias("n")).toPandas()
         model[sums["language"].to_numpy(), sums["feature"].to_numpy()] = sums["n"].to_numpy()
     logp = np.log((model + 0.5) / (model.sum(axis=1, keepdims=True) + 0.5 * FEATURES)).astype(np.float32)
-    narrow = source.select(*([F.col(id_col).alias("__id"), "__declared", "__host", text.alias("__text")]))
+    narrow = source.select(*([F.col(id_col).alias("__id"), "__declared", "__group", "__host", text.alias("__text")]))
     narrow = narrow.withColumn("__key", F.xxhash64("__id", "__text"))
-    schema = f"__id {dict(docs.dtypes)[id_col]}, __declared string, __host string, __key long, n_trigrams long, gain double, text_log array<double>"
-    seen = narrow.select("__id", "__declared", "__host", "__key", "__text").mapInArrow(_likelihoods(logp), schema)
+    schema = f"__id {dict(docs.dtypes)[id_col]}, __declared string, __group string, __host string, __key long, n_trigrams long, gain double, text_log array<double>"
+    seen = narrow.select("__id", "__declared", "__group", "__host", "__key", "__text").mapInArrow(_likelihoods(logp), schema)
     names = F.array(*[F.lit(x) for x in languages]) if k else F.array().cast("array<string>")
     best = F.when((F.col("n_trigrams") > 0) & (F.lit(k) > 0), F.element_at(names, F.array_position("text_log", F.array_max("text_log")).cast("int")))
     seen = scratch.cache(seen.withColumn("text_language", best).withColumn("suffix", _suffix(F.col("__host"))))
@@ -141,7 +149,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     by_suffix = by_suffix.select("suffix", smooth(F.col("cs"), prior0, SUFFIX_PULL).alias("ps"))
     by_host = scratch.keep(counted.join(by_suffix, "suffix").select("__host", smooth(F.col("c"), F.col("ps"), HOST_PULL).alias("prior")))
     # declarations: P(declared | language), from texts that the trigrams decide
-    pairs = known.groupBy("text_language", "__declared").count().where(F.col("__declared").isin(languages)).collect() if k else []  # at most k * k rows
+    pairs = known.groupBy("text_language", "__group").count().where("__group is not null").collect() if k else []  # at most k * k rows
     said = {(r[0], r[1]): r[2] for r in pairs}
     of = {x: sum(said.get((x, d), 0) for d in languages) for x in languages}
     entries = []
@@ -149,7 +157,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         logs = [math.log((said.get((x, d), 0) + DECLARED_PULL / k) / (of[x] + DECLARED_PULL)) for x in languages]
         entries += [F.lit(d), F.array(*[F.lit(v) for v in logs])]
     flat = F.array(*[F.lit(0.0) for _ in languages]) if k else F.array().cast("array<double>")
-    spoken = F.coalesce(F.try_element_at(F.create_map(*entries), F.col("__declared")), flat) if entries else flat
+    spoken = F.coalesce(F.try_element_at(F.create_map(*entries), F.col("__group")), flat) if entries else flat
 
     joined = seen.join(broadcast_if_few(by_host, 100_000), "__host", "left").withColumn("prior", F.coalesce("prior", prior0)).withColumn("said", spoken)
     logs = F.zip_with(F.zip_with("text_log", "said", lambda a, b: a + b), F.col("prior"), lambda a, p: a + F.log(p))
@@ -157,6 +165,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     mass = F.aggregate(F.transform("log", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
     joined = joined.withColumn("posterior", F.when(F.col("text_language").isNotNull(), 1 / mass))
     lang = F.when(F.col("text_language").isNotNull(), F.element_at(names, F.array_position("log", F.col("top")).cast("int")))
+    lang = F.when((lang == UNDETERMINED) & (F.col("__group") == UNDETERMINED), F.col("__declared")).otherwise(lang)
     reason = F.when(F.col("n_trigrams") == 0, "no_text").when(F.col("text_language").isNull(), "no_model").when(F.col("gain") < LEAST_GAIN, "no_language").when(F.col("posterior") < LEAST_POSTERIOR, "unsure")
     out = joined.select(F.col("__id").alias("doc_id"), F.col("__key").alias("row_key"), lang.alias("language"), "posterior", "text_language", "n_trigrams", reason.alias("reason"))
     return out.withColumn("rejected", F.col("reason").isNotNull())

@@ -480,3 +480,18 @@ def test_lm_learns_from_words_beyond_the_clustered(spark, monkeypatch):
     rows = [(i, " ".join(f"{'ab'[j % 2]}{int(rng.integers(0, 40))}" for j in range(60)), "x", "s") for i in range(200)]
     got = [r for r in classlm.lm_scores(spark.createDataFrame(rows, SCHEMA)).collect() if r.held_out]
     assert sum(r.score - r.base_score for r in got) > 0.25 * sum(r.n_tokens for r in got)  # of log10(2) that the order tells
+
+
+def test_rare_languages_are_kept_whatever_the_corpus(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    letters = {"el": "αβγδεζηθικλμνοπρστυφ", "ka": "აბგდევზთიკლმნოპჟრსტ", "am": "ሀለሐመሠረሰሸቀበተቸኀነኘአከኸወዐ"}
+    vocabulary = {x: " ".join("".join(rng.choice(list(c), 4)) for _ in range(20)) for x, c in letters.items()}
+    rare = [(i, prose(rng, vocabulary[x], 60), x, "src") for i, x in enumerate(["el"] * 4 + ["ka"] * 2 + ["am"])]
+    for many in (60, 6000):  # the same texts in corpora of any size
+        rows = rare + [(100 + i, prose(rng, EN, 30), "en", f"src{i % 5}") for i in range(many)]
+        got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert all(got[i].language == x and not got[i].rejected for i, _, x, _ in rare)
+        assert all(got[100 + i].language == "en" for i in range(many))
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].language == x and not got[i].rejected for i, _, x, _ in rare)
