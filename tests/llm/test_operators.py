@@ -495,3 +495,13 @@ def test_rare_languages_are_kept_whatever_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
     got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i].language == x and not got[i].rejected for i, _, x, _ in rare)
+
+
+def test_long_items_at_the_least_similarity_are_leaks(spark):
+    rng = np.random.default_rng(18)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    items = [words(200) for _ in range(150)]
+    rows = [(i, " ".join(words(30) + item[28:] + words(30)), "x", "s") for i, item in enumerate(items)]  # 168 of 224 shingles
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    assert got == {(i, i) for i in range(150)}
