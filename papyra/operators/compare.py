@@ -127,7 +127,7 @@ def compare_full_name(p: Column, s: Column) -> Column:
     return compare_field("Full Name", whole(p), whole(s), "name", 25)
 
 
-def compare_passport_number(p: Column, s: Column) -> Column:
+def compare_document_number(p: Column, s: Column) -> Column:
     mine, theirs = either(p["passportNumber"], p["documentNumber"]), present(s["passportNumber"])
     none = _field("Passport Number", mine, F.lit("Not detected / not available"), "Not Available", 75, 15, False, "Secondary document does not show a passport number. This is acceptable for some document types.")
     return F.when(theirs == "", none).otherwise(compare_field("Passport Number", mine, theirs, "strict", 15, True))
@@ -172,7 +172,7 @@ def field_rows(p: Column, s: Column, as_of: dt.date) -> Column:
         compare_full_name(p, s),
         compare_field("Date of Birth", p["dateOfBirth"], s["dateOfBirth"], "strict", 25),
         compare_field("Gender", p["gender"], s["gender"], "gender", 10),
-        compare_passport_number(p, s),
+        compare_document_number(p, s),
         compare_nationality(p, s),
         compare_issuing_country(p, s),
         check_expiry("Primary Document Expiry", p["expiryDate"], True, as_of),

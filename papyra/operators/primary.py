@@ -1,4 +1,4 @@
-"""Primary documents (passports, travel and identity documents): pages to one flat record for each case."""
+"""Primary documents (booklets, travel and identity documents): pages to one flat record for each case."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from .fields import clean_simple
 from .mrz import parse_mrz, primary_score
 from .pages import best_page
 
+#: Fixed value: printed.
 LOW_WARNING = "Low confidence passport read. Please use a clearer image or PDF scan."
 #: Words on a page that aren't part of a name; that show that a line isn't one.
 NAME_STOPS = ("GIVEN", "NAME", "NAMES", "SURNAME", "FAMILY", "DATE", "BIRTH", "COUNTRY", "CITIZENSHIP", "SEX", "MALE", "FEMALE", "DOCUMENT", "PASSPORT", "TYPE", "CODE", "NATIONALITY")
@@ -30,8 +31,8 @@ def clean_name(value: Column) -> Column:
 
 def readable_type(kind: Column, subtype: Column) -> Column:
     k, s = F.upper(F.coalesce(kind, F.lit(""))), F.upper(F.coalesce(subtype, F.lit("")))
-    passport = k == "PASSPORT"
-    named = F.when(passport & (s == "DIPLOMATIC"), "Diplomatic Passport").when(passport & (s == "SERVICE"), "Service Passport").when(passport & (s == "OFFICIAL"), "Official Passport").when(passport, "Passport")
+    booklet = k == "PASSPORT"
+    named = F.when(booklet & (s == "DIPLOMATIC"), "Diplomatic Passport").when(booklet & (s == "SERVICE"), "Service Passport").when(booklet & (s == "OFFICIAL"), "Official Passport").when(booklet, "Passport")
     named = named.when(s == "REFUGEE", "Refugee Travel Document").when(k == "TRAVEL_DOCUMENT", "Travel Document").when(k == "IDENTITY_CARD", "Identity / Travel Card").when(k == "VISA", "Visa")
     return named.otherwise(either(k, F.lit("Unknown Document")))
 

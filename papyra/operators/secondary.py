@@ -14,7 +14,7 @@ from .pages import best_page
 
 #: Patterns of numbers, the number in the last group.
 VISA_NUMBER = tuple(rf"(?i){w}\s*(NO|NUMBER)?\s*[:\-]?\s*([A-Z0-9]{{5,25}})" for w in ("VISA", "VAF", "VIGNETTE"))
-PASSPORT_NUMBER = (r"(?i)PASSPORT\s*(NO|NUMBER)?\s*[:\-]?\s*([A-Z0-9]{5,25})", r"(?i)P\.?\s*NO\s*[:\-]?\s*([A-Z0-9]{5,25})", r"(?i)DOCUMENT\s*(NO|NUMBER)?\s*[:\-]?\s*([A-Z0-9]{5,25})")
+HOLDER_NUMBER = (r"(?i)PASSPORT\s*(NO|NUMBER)?\s*[:\-]?\s*([A-Z0-9]{5,25})", r"(?i)P\.?\s*NO\s*[:\-]?\s*([A-Z0-9]{5,25})", r"(?i)DOCUMENT\s*(NO|NUMBER)?\s*[:\-]?\s*([A-Z0-9]{5,25})")
 APPLICATION_NUMBER = tuple(rf"(?i){w}\s*(NO|NUMBER)?\s*[:\-]?\s*([A-Z0-9]{{5,25}})" for w in ("APPLICATION", "APP"))
 UCI = tuple(rf"(?i)(?<![A-Za-z0-9_]){w}\s*[:\-]?\s*([A-Z0-9]{{5,20}})" for w in ("UCI", "UC"))
 
@@ -64,7 +64,7 @@ def extract(pages: DataFrame, text_col: str = "full_text", rules: tuple[Rule, ..
         category(kind).alias("documentCategory"),
         f.document_number(lines, flat).alias("documentNumber"),
         f.pattern_value(flat, *VISA_NUMBER).alias("visaNumber"),
-        f.pattern_value(flat, *PASSPORT_NUMBER).alias("passportNumber"),
+        f.pattern_value(flat, *HOLDER_NUMBER).alias("passportNumber"),
         f.pattern_value(flat, *APPLICATION_NUMBER).alias("applicationNumber"),
         f.pattern_value(flat, *UCI).alias("uci"),
         surname.alias("surname"),

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,6 +42,9 @@ SHAPE, GENDER, KNOWN, WRONG_DATE, NO_CHECK = 10, 5, 10, -40, -100
 LEAST = {"TD3": 70, "TD2": 70, "TD1": 80}
 LENIENT_FROM = 95
 
+#: The highest score of all formats.
+MOST = max(SHAPE + sum(f["checks"]) + f["separator"] + f["alike"] + GENDER + 3 * KNOWN for f in FORMATS.values())
+
 CANDIDATE = "struct<format:string,raw:array<string>,lines:array<string>,score:int,gen_ord:bigint,valid_checks:int>"
 
 _TO_DIGIT = str.maketrans("OQDILBSZG<", "0001185260")
@@ -132,7 +137,7 @@ def _data_line(raw: str, width: int, fmt: str):
             yield forced(without(raw, i), width, SPANS[fmt])
 
 
-def line_variants(raw: str, role: str) -> list[str]:
+def line_variants(raw: str, role: str) -> Iterator[str]:
     """Distinct readings of a line in the order they are tried, MAX_LINE_VARIANTS at most. role: TD3_LINE1 and so on."""
     fmt, place = role.split("_LINE")
     width = FORMATS[fmt]["width"]
@@ -141,10 +146,34 @@ def line_variants(raw: str, role: str) -> list[str]:
     elif fmt != "TD1":
         made = _data_line(raw, width, fmt)
     elif place == "1":
-        made = [fit(raw, width), forced(raw, width, SPANS["TD1_1"]), *_deletions(raw, width, range(5, 15))]
+        made = chain((fit(raw, width), forced(raw, width, SPANS["TD1_1"])), _deletions(raw, width, range(5, 15)))
     else:
-        made = [fit(raw, width), forced(raw, width, SPANS["TD1_2"]), *_deletions(raw, width, (*range(7), *range(8, 15)))]
-    return list(dict.fromkeys(made))[:MAX_LINE_VARIANTS]
+        made = chain((fit(raw, width), forced(raw, width, SPANS["TD1_2"])), _deletions(raw, width, (*range(7), *range(8, 15))))
+    seen: set[str] = set()
+    for reading in made:
+        if reading not in seen:
+            seen.add(reading)
+            yield reading
+            if len(seen) == MAX_LINE_VARIANTS:
+                return
+
+
+class Replay:
+    """What an iterator gives, worked out as far as it is asked for, any number of times."""
+
+    def __init__(self, made: Iterator[str]):
+        self.made, self.seen = made, []
+
+    def __iter__(self) -> Iterator[str]:
+        i = 0
+        while True:
+            if i == len(self.seen):
+                more = next(self.made, None)
+                if more is None:
+                    return
+                self.seen.append(more)
+            yield self.seen[i]
+            i += 1
 
 
 def check(field: str, digit: str) -> bool:
@@ -185,16 +214,17 @@ def _digits(text: str) -> bool:
 def candidates(lines: list[str], year: int, known: frozenset[str]):
     """All acceptable candidates, in order of generation: (format, raw, lines, score, ordinal, valid checks)."""
     ordinal = 0
-    variants = lru_cache(None)(line_variants)
+    variants = lru_cache(None)(lambda raw, role: Replay(line_variants(raw, role)))
     for i in range(len(lines)):
         raw = [lines[i], lines[i + 1] if i + 1 < len(lines) else "", lines[i + 2] if i + 2 < len(lines) else ""]
         for fmt, count in (("TD3", 2), ("TD2", 2), ("TD1", 3)):
             rule, own = FORMATS[fmt], raw[:count]
             noise = any(w in " ".join(own) for w in NOISE_WORDS)
-            firsts = [v for v in variants(own[0], f"{fmt}_LINE1") if _OPENS.match(v)]
+            firsts = Replay(v for v in variants(own[0], f"{fmt}_LINE1") if _OPENS.match(v))
             birth, expiry = ((0, 6), (8, 14)) if fmt == "TD1" else ((13, 19), (21, 27))
-            seconds = [v for v in variants(own[1], f"{fmt}_LINE2") if _digits(v[birth[0] : birth[1]]) and _digits(v[expiry[0] : expiry[1]])] if firsts else []
-            thirds = variants(own[2], "TD1_LINE3") if count == 3 and seconds else [None]
+            dated_line = lambda v, b=birth, e=expiry: _digits(v[b[0] : b[1]]) and _digits(v[e[0] : e[1]])
+            seconds = Replay(filter(dated_line, variants(own[1], f"{fmt}_LINE2")))
+            thirds = variants(own[2], "TD1_LINE3") if count == 3 else (None,)
             for one in firsts:
                 kind, issuer = document_type(one[:2].replace("<", ""))[0], one[2:5].replace("<", "")
                 for two in seconds:
@@ -222,8 +252,17 @@ def candidates(lines: list[str], year: int, known: frozenset[str]):
 
 
 def best_candidate(lines: list[str], year: int, known: frozenset[str]) -> tuple | None:
-    """The acceptable candidate with the highest score; of equal scores the first generated."""
-    return max(candidates(lines, year, known), key=lambda c: (c[3], -c[4]), default=None)
+    """The acceptable candidate with the highest score; of equal scores the first generated.
+
+    None scores more than MOST, so that the first that does ends the search.
+    """
+    best = None
+    for c in candidates(lines, year, known):
+        if best is None or c[3] > best[3]:
+            best = c
+            if c[3] >= MOST:
+                break
+    return best
 
 
 def best_candidate_column(lines: Column, as_of: dt.date, known: frozenset[str]) -> Column:

@@ -21,16 +21,16 @@ from papyra.operators.primary import read_primary
 from papyra.operators.secondary import read_secondary
 from papyra.sources import files, sinks
 
+from . import zone_queries
+
 AS_OF = dt.date(2026, 11, 26)
-ALPHA = cd.ALPHABET
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _digit_sql(x: str, n: int) -> str:
-    return f"(list_sum(list_transform(range(1, {n + 1}), lambda i: greatest(instr('{ALPHA}', substr({x}, i, 1)) - 1, 0) * list_extract([7, 3, 1], CAST((i - 1) % 3 + 1 AS INTEGER)))) % 10)"
+_digit_sql = zone_queries.digit_sql
 
 
 # check digits
@@ -119,16 +119,6 @@ FROM z
 """
 
 
-def mrz_candidates(spark, sf):
-    """Zones that are sound, misread in the number, or beyond their dates: what is accepted, by which score."""
-    z = _zone(spark, sf)
-    k = F.col("c_custkey")
-    two = F.when(k % 3 == 1, F.concat(F.translate(F.substring("line2", 1, 9), "0", "O"), F.substr("line2", F.lit(10)))).when(k % 3 == 2, F.concat(F.substring("line2", 1, 21), F.lit("990231"), F.substr("line2", F.lit(28)))).otherwise(F.col("line2"))
-    m = F.col("mrz")
-    found = mrz.parse_mrz(z.select("c_custkey", F.concat_ws("\n", "line1", two).alias("text")), "text", AS_OF)
-    return found.select("c_custkey", m["mrzFormat"].alias("format"), m["candidateScore"].alias("score"), m["documentNumber"].alias("number"), F.size(m["corrections"]).alias("corrections"), m["checkDigits"]["allValid"].alias("all_valid"))
-
-
 def mrz_lines(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", mrz.mrz_lines(F.col("text")).alias("lines"))
     return d.select("doc_id", F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "\n").cast("binary")).alias("lines_md5"))
@@ -459,7 +449,6 @@ QUERIES = {
     "check_digit": (check_digit, CHECK_DIGIT),
     "check_digit_correct": (check_digit_correct, CHECK_DIGIT_CORRECT),
     "mrz_td3_parse": (mrz_td3_parse, MRZ_TD3_PARSE),
-    "mrz_candidates": (mrz_candidates, None),
     "mrz_lines": (mrz_lines, MRZ_LINES),
     "clean_lines": (clean_lines, CLEAN_LINES),
     "classify_keywords": (classify_keywords, CLASSIFY_KEYWORDS),
@@ -480,4 +469,4 @@ QUERIES = {
     "primary_records": (primary_records, PRIMARY_RECORDS),
     "secondary_records": (secondary_records, SECONDARY_RECORDS),
     "verify_cases": (verify_cases, VERIFY_CASES),
-}
+} | zone_queries.QUERIES

@@ -101,11 +101,11 @@ def test_corrected_number_has_no_verdict(spark):
 
 def test_variants_keep_their_order_and_number():
     raw = "L8989O2C36UTO7408122F3104150ZE184226B<<<<<16"
-    got = variants.line_variants(raw, "TD2_LINE2")
+    got = list(variants.line_variants(raw, "TD2_LINE2"))
     assert len(got) == 32 and len(set(got)) == 32 and got[0] == raw[:36]
     assert "L8989O2C36UTO7408122F3104150ZE184268" not in got
-    assert variants.line_variants("", "TD3_LINE2") == ["<" * 44, variants.forced("", 44, variants.SPANS["TD3"])]
-    names = variants.line_variants(LINE1, "TD3_LINE1")
+    assert list(variants.line_variants("", "TD3_LINE2")) == ["<" * 44, variants.forced("", 44, variants.SPANS["TD3"])]
+    names = list(variants.line_variants(LINE1, "TD3_LINE1"))
     assert names[0] == LINE1 and any("ER<<ON" in n for n in names[1:])
 
 
