@@ -26,6 +26,14 @@ BROADCAST_IDS = 500_000
 TASK_EDGES = 250_000
 
 _fallback: list[str] = []
+#: What Scratch holds on executors' disks until release().
+_held: list[DataFrame] = []
+
+
+def release() -> None:
+    """Free what operators hold on executors' disks; for callers that have written their results."""
+    while _held:
+        _held.pop().unpersist()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +71,8 @@ class Scratch:
         return DataFrame(self.spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), self.spark)
 
     def cache(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.DISK_ONLY)
+        _held.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1

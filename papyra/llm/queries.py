@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-from importlib import import_module
-
-#: operator: (module, function); each is loaded when the table is built.
-OPERATORS = {
-    "op1_best_fit_packing": "packing",
-    "op2_quality_classifier": "quality",
-    "op3_embedding_dedup": "embeddings",
-    "op4_lm_scoring": "classlm",
-    "op5_line_dedup": "lines",
-    "op6_substring_dedup": "passages",
-    "op7_benchmark_decontamination": "decontam",
-    "op8_url_filters": "urls",
-    "op9_language_id": "langid",
-    "op10_minhash_dedup": "minhash",
-}
+from . import classlm, decontam, embeddings, langid, lines, minhash, packing, passages, pipeline, quality, urls
 
 
 def queries() -> dict:
-    found = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in OPERATORS.items()}
-    from corpus_pipeline import run
-
-    return found | {"pipeline": run}
+    return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_quality_classifier": quality.op2_quality_classifier,
+        "op3_embedding_dedup": embeddings.op3_embedding_dedup,
+        "op4_lm_scoring": classlm.op4_lm_scoring,
+        "op5_line_dedup": lines.op5_line_dedup,
+        "op6_substring_dedup": passages.op6_substring_dedup,
+        "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
+        "op8_url_filters": urls.op8_url_filters,
+        "op9_language_id": langid.op9_language_id,
+        "op10_minhash_dedup": minhash.op10_minhash_dedup,
+        "pipeline": pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import embeddings, lines, minhash
-
     return {"op3_embedding_dedup": embeddings.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op10_minhash_dedup": minhash.OP10_SQL}

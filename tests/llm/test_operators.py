@@ -399,7 +399,7 @@ def test_empty_tables(spark, nothing):
 
 
 def test_pipeline_stages(spark, docs, corpus, tmp_path):
-    import corpus_pipeline
+    from papyra.llm import pipeline as corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "minhash_dedup", "decontamination", "packing"] and corpus_pipeline.ORACLE_SQL is None
     spark.createDataFrame([(1, corpus[0][1][:120])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
