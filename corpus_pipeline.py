@@ -1,30 +1,5 @@
-"""From raw documents to packed sequences: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to packed sequences; the stages are those of papyra.llm.pipeline."""
 
-from __future__ import annotations
+from papyra.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from papyra.llm import decontam, langid, lines, minhash, packing
-from papyra.llm.common import Scratch, table
-
-#: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
-STAGES = [
-    ("language_id", langid.stage),
-    ("line_dedup", lines.stage),
-    ("minhash_dedup", minhash.stage),
-    ("decontamination", decontam.stage),
-    ("packing", packing.stage),
-]
-
-#: Sketches, connected components and a tokenizer are beyond SQL; tests/llm hold the stages against brute-force versions.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, in order."""
-    scratch = Scratch(spark)
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        before, docs = docs, scratch.write(stage(spark, docs, sf_dir))
-        scratch.drop(before)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
