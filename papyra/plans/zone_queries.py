@@ -17,7 +17,9 @@ from papyra.operators.primary import read_visible
 from papyra.operators.specialised import read_schengen, read_uae
 
 AS_OF = dt.date(2026, 11, 26)
-_K = F.col("c_custkey")
+
+def _k() -> Column:
+    return F.col("c_custkey")
 
 
 def digit_sql(x: str, n: int) -> str:
@@ -34,23 +36,26 @@ def _two(x: Column) -> Column:
 
 def _of(values: tuple[str, ...], n: int | None = None) -> Column:
     """The value that a customer's key points at."""
-    return F.get(F.array(*[F.lit(v) for v in values]), (_K % (n or len(values))).cast("int"))
+    return F.get(F.array(*[F.lit(v) for v in values]), (_k() % (n or len(values))).cast("int"))
 
 
 def _of_sql(values: tuple[str, ...], n: int | None = None) -> str:
     return "list_extract([" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"], CAST(k % {n or len(values)} + 1 AS INTEGER))"
 
 
-_SURNAME = F.concat(F.lit("WATER"), F.translate(F.lpad((_K % 1000).cast("string"), 3, "0"), "0123456789", "ABDEFGHJMN"))
+def _surname() -> Column:
+    return F.concat(F.lit("WATER"), F.translate(F.lpad((_k() % 1000).cast("string"), 3, "0"), "0123456789", "ABDEFGHJMN"))
+
+
 _SURNAME_SQL = "'WATER' || translate(lpad(CAST(k % 1000 AS VARCHAR), 3, '0'), '0123456789', 'ABDEFGHJMN')"
 _NUMBER_SQL = "'A' || lpad(CAST(k * 7919 % 100000000 AS VARCHAR), 8, '0')"
 _MD_SQL = "lpad(CAST(1 + k % 12 AS VARCHAR), 2, '0') || lpad(CAST(1 + k % 28 AS VARCHAR), 2, '0')"
 
 
 def _base(spark, sf, first_year: int, years: int) -> DataFrame:
-    md = F.concat(_two(1 + _K % 12), _two(1 + _K % 28))
-    number = F.concat(F.lit("A"), F.lpad((_K * 7919 % 100000000).cast("string"), 8, "0"))
-    return spark.read.parquet(f"{sf}/customer.parquet").select(_K, _SURNAME.alias("surname"), F.concat(_two(30 + _K % 60), md).alias("birth"), F.concat(_two(first_year + _K % years), md).alias("expiry"), number.alias("number"))
+    md = F.concat(_two(1 + _k() % 12), _two(1 + _k() % 28))
+    number = F.concat(F.lit("A"), F.lpad((_k() * 7919 % 100000000).cast("string"), 8, "0"))
+    return spark.read.parquet(f"{sf}/customer.parquet").select(_k(), _surname().alias("surname"), F.concat(_two(30 + _k() % 60), md).alias("birth"), F.concat(_two(first_year + _k() % years), md).alias("expiry"), number.alias("number"))
 
 
 # zones of the three formats
@@ -65,16 +70,16 @@ def mrz_formats(spark, sf):
     Lines whose country has fewer than three letters open no zone.
     """
     c = _base(spark, sf, 22, 14)
-    issuer = F.when(_K % 11 == 0, "QQQ").otherwise(_of(_ISSUERS))
-    c = c.withColumns({"issuer": issuer, "nation": F.when(_K % 5 == 0, "FRA").otherwise(issuer), "sex": _of(_SEXES), "code": F.when(_K % 3 == 0, _of(CODES3)).otherwise(_of(CODES12))})
-    c = c.withColumns({"n": F.concat("number", _digit(F.col("number"), 9)), "b": F.concat("birth", _digit(F.col("birth"), 6)), "e": F.concat("expiry", _digit(F.col("expiry"), 6)), "more": F.when(_K % 2 == 1, F.concat(F.lit("Z"), F.lpad((_K % 10000).cast("string"), 4, "0"))).otherwise("")})
+    issuer = F.when(_k() % 11 == 0, "QQQ").otherwise(_of(_ISSUERS))
+    c = c.withColumns({"issuer": issuer, "nation": F.when(_k() % 5 == 0, "FRA").otherwise(issuer), "sex": _of(_SEXES), "code": F.when(_k() % 3 == 0, _of(CODES3)).otherwise(_of(CODES12))})
+    c = c.withColumns({"n": F.concat("number", _digit(F.col("number"), 9)), "b": F.concat("birth", _digit(F.col("birth"), 6)), "e": F.concat("expiry", _digit(F.col("expiry"), 6)), "more": F.when(_k() % 2 == 1, F.concat(F.lit("Z"), F.lpad((_k() % 10000).cast("string"), 4, "0"))).otherwise("")})
     name = F.concat("code", "issuer", "surname", F.lit("<<ANNA<MARIA"))
     td3 = F.concat_ws("\n", F.rpad(name, 44, "<"), F.concat("n", "nation", "b", "sex", "e", F.rpad("more", 15, "<"), _digit(F.concat("n", "b", "e", F.rpad("more", 15, "<")), 39)))
     td2 = F.concat_ws("\n", F.rpad(name, 36, "<"), F.concat("n", "nation", "b", "sex", "e", F.rpad("more", 7, "<"), _digit(F.concat("n", "b", "e", F.rpad("more", 7, "<")), 31)))
     one = F.concat("code", "issuer", "n", F.rpad("more", 15, "<"))
     td1 = F.concat_ws("\n", one, F.concat("b", "sex", "e", "nation", F.lit("<" * 11), _digit(F.concat(F.substr(one, F.lit(6)), "b", "e", F.lit("<" * 11)), 50)), F.rpad(F.concat("surname", F.lit("<<ANNA<MARIA")), 30, "<"))
     m = F.col("mrz")
-    text = F.when(_K % 3 == 0, td3).when(_K % 3 == 1, td2).otherwise(td1)
+    text = F.when(_k() % 3 == 0, td3).when(_k() % 3 == 1, td2).otherwise(td1)
     return mrz.parse_mrz(c.select("c_custkey", text.alias("text")), "text", AS_OF).select(
         "c_custkey", m["mrzFormat"].alias("format"), m["documentType"].alias("type"), m["documentSubtype"].alias("subtype"), m["surname"].alias("surname"), m["givenNames"].alias("given_names"), m["documentNumber"].alias("number"), m["nationality"].alias("nationality"),
         m["nationalityCode"].alias("nation_code"), m["issuingCountryCode"].alias("issuer_code"), m["dateOfBirth"].alias("birth"), m["gender"].alias("gender"), m["expiryDate"].alias("expiry"), m["expiryStatus"]["status"].alias("status"),
@@ -110,14 +115,14 @@ def mrz_candidates(spark, sf):
     """Zones that are sound, have a letter for a digit or one too many, wrong digits or dates, fillers read as letters, or print
     within: what is accepted, by which score, and what is corrected."""
     z = _base(spark, sf, 27, 9)
-    case = _K % 8
+    case = _k() % 8
     z = z.withColumns({"nd": _digit(F.col("number"), 9), "bd": _digit(F.col("birth"), 6), "ed": _digit(F.col("expiry"), 6)})
     z = z.withColumn("whole", _digit(F.concat("number", "nd", "birth", "bd", "expiry", "ed", F.lit("<" * 15)), 39))
     up = lambda c, n: ((F.col(c).cast("int") + n) % 10).cast("string")
     letters = lambda c, n: F.when(case == n, F.translate(c, "0", "O")).otherwise(F.col(c))
     z = z.withColumns({"number": letters("number", 1), "birth": letters("birth", 4), "expiry": F.when(case == 2, "990231").otherwise(letters("expiry", 4)), "nd": F.when(case == 7, up("nd", 1)).otherwise(F.col("nd")), "bd": F.when(case == 6, up("bd", 1)).when(case == 7, up("bd", 2)).otherwise(F.col("bd"))})
     two = F.concat("number", "nd", F.lit("UTO"), F.when(case == 3, "X").otherwise(""), "birth", "bd", F.lit("F"), "expiry", "ed", F.lit("<" * 15), "whole")
-    one = F.when(case == 5, F.rpad(F.concat(F.lit("P<UTO"), "surname", F.lit("<CANNA<MARIA")), 44, "L")).when(_K % 16 == 8, F.rpad(F.concat(F.lit("P<UTO"), "surname", F.lit("<<SIGNATURE")), 44, "<")).otherwise(F.rpad(F.concat(F.lit("P<UTO"), "surname", F.lit("<<ANNA<MARIA")), 44, "<"))
+    one = F.when(case == 5, F.rpad(F.concat(F.lit("P<UTO"), "surname", F.lit("<CANNA<MARIA")), 44, "L")).when(_k() % 16 == 8, F.rpad(F.concat(F.lit("P<UTO"), "surname", F.lit("<<SIGNATURE")), 44, "<")).otherwise(F.rpad(F.concat(F.lit("P<UTO"), "surname", F.lit("<<ANNA<MARIA")), 44, "<"))
     m = F.col("mrz")
     found = mrz.parse_mrz(z.select("c_custkey", F.concat_ws("\n", one, two).alias("text")), "text", AS_OF)
     return found.select("c_custkey", m["mrzFormat"].alias("format"), m["candidateScore"].alias("score"), m["documentNumber"].alias("number"), m["surname"].alias("surname"), m["givenNames"].alias("given_names"), m["dateOfBirth"].alias("birth"), F.size(m["corrections"]).alias("corrections"),
@@ -157,8 +162,8 @@ _ZONES = ("{}<<ANNA<MARIA<<<<", "{}<<LIZ<ANN<<<", "{}<<ANNA<KLKLKL<<", "{}KKANNA
 
 def name_zones(spark, sf):
     """Names with filler read as letters, with particles, and without a separator."""
-    zone = F.replace(_of(_ZONES), F.lit("{}"), _SURNAME)
-    c = spark.read.parquet(f"{sf}/customer.parquet").select(_K, parse_name(zone).alias("n"))
+    zone = F.replace(_of(_ZONES), F.lit("{}"), _surname())
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(_k(), parse_name(zone).alias("n"))
     return c.select("c_custkey", F.col("n.surname").alias("surname"), F.col("n.givenNames").alias("given_names"), F.array_join("n.removed", ",").alias("removed"), F.col("n.confidence.score").alias("score"), F.col("n.confidence.grade").alias("grade"), F.array_join("n.warnings", "|").alias("warnings"), F.array_join("n.confidence.reasons", "|").alias("reasons"))
 
 
@@ -181,7 +186,11 @@ FROM p
 
 # specialised readers: both sides match patterns against the same text
 
-_DAY = F.concat(_two(1 + _K % 28), F.lit("/"), _two(1 + _K % 12), F.lit("/"), (2025 + _K % 4).cast("string"))
+
+def _day() -> Column:
+    return F.concat(_two(1 + _k() % 28), F.lit("/"), _two(1 + _k() % 12), F.lit("/"), (2025 + _k() % 4).cast("string"))
+
+
 _DAY_SQL = "lpad(CAST(1 + k % 28 AS VARCHAR), 2, '0') || '/' || lpad(CAST(1 + k % 12 AS VARCHAR), 2, '0') || '/' || CAST(2025 + k % 4 AS VARCHAR)"
 #: Lines of a text: (label or several that take turns, value or several, or the text's own S surname, N number, D day).
 _SHORT_STAY = (
@@ -198,7 +207,7 @@ _EMIRATES = (
 
 
 def _made(form) -> Column:
-    own = {"D": _DAY, "N": F.concat(F.lit("A"), F.lpad((_K * 7919 % 100000000).cast("string"), 8, "0")), "S.": F.concat(_SURNAME, F.lit("."))}
+    own = {"D": _day(), "N": F.concat(F.lit("A"), F.lpad((_k() * 7919 % 100000000).cast("string"), 8, "0")), "S.": F.concat(_surname(), F.lit("."))}
     value = lambda v: F.coalesce(*[F.when(_of(v) == c, x) for c, x in own.items()], _of(v))
     return F.concat_ws("\n", *[F.concat(_of(a), value(b)) for a, b in form])
 
@@ -241,7 +250,7 @@ def short_stay_records(spark, sf):
     z = _base(spark, sf, 27, 9)
     n, b, e = (F.concat(c, _digit(F.col(c), w)) for c, w in (("number", 9), ("birth", 6), ("expiry", 6)))
     zone = F.concat_ws("\n", F.rpad(F.concat(F.lit("V<UTO"), "surname", F.lit("<<ANNA<MARIA")), 44, "<"), F.concat(n, F.lit("UTO"), b, F.lit("F"), e, F.lit("<" * 15), _digit(F.concat(n, b, e, F.lit("<" * 15)), 39)))
-    text = F.concat_ws("\n", F.when(_K % 5 < 2, zone), _made(_SHORT_STAY))
+    text = F.concat_ws("\n", F.when(_k() % 5 < 2, zone), _made(_SHORT_STAY))
     r = F.col("record")
     found = read_schengen(z.select("c_custkey", text.alias("text")), "text", AS_OF)
     return found.select("c_custkey", *[r[a].alias(b) for a, b in (("mrzFormat", "format"), ("surname", "surname"), ("givenNames", "given_names"), ("fullName", "full_name"), ("documentNumber", "number"), ("nationality", "nationality"), ("dateOfBirth", "birth"), ("gender", "gender"), ("issuingCountry", "issuing_country"),
@@ -270,7 +279,7 @@ FROM h
 
 def emirates_records(spark, sf):
     """Records of residence visas, entry permits and identity cards from their labels."""
-    c = spark.read.parquet(f"{sf}/customer.parquet").select(_K, _made(_EMIRATES).alias("text"))
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(_k(), _made(_EMIRATES).alias("text"))
     r = F.col("record")
     return read_uae(c, "text", AS_OF).select("c_custkey", *[r[a].alias(b) for a, b in (("documentType", "type"), ("documentSubtype", "subtype"), ("surname", "surname"), ("givenNames", "given_names"), ("nationality", "nationality"), ("nationalityCode", "nation_code"), ("dateOfBirth", "birth"), ("gender", "gender"), ("documentNumber", "number"),
                         ("issueDate", "issued"), ("expiryDate", "expiry"), ("uid", "uid"), ("fileNumber", "file_number"), ("emiratesId", "emirates_id"), ("passportNumber", "holder_number"), ("visaNumber", "visa_number"), ("entryType", "entry_type"), ("profession", "profession"), ("sponsorName", "sponsor"), ("portOfEntry", "port"))],
@@ -307,7 +316,7 @@ _VISIBLE = (
 
 def visible_records(spark, sf):
     """Records read from labels alone, where no zone is to be parsed."""
-    c = spark.read.parquet(f"{sf}/customer.parquet").select(_K, _made(_VISIBLE).alias("full_text"))
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(_k(), _made(_VISIBLE).alias("full_text"))
     r = F.col("record")
     return read_visible(c, AS_OF).select("c_custkey", *[r[a].alias(b) for a, b in (("surname", "surname"), ("givenNames", "given_names"), ("fullName", "full_name"), ("passportNumber", "number"), ("dateOfBirth", "birth"), ("gender", "gender"), ("issueDate", "issued"), ("expiryDate", "expiry"), ("confidenceScore", "confidence"), ("checkAllValid", "checks"))])
 
