@@ -9,7 +9,6 @@ short for that filling, so that the number of patterns stays near the number of
 
 from __future__ import annotations
 
-import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -25,8 +24,9 @@ from .common import Scratch, table
 #: Tokens of a sequence; the id that ends a document.
 CAPACITY = 2048
 END_ID = 0
-#: Branch and bound: fillings tried for a largest piece, and nodes in all. Beyond them the best solution so far counts.
-FILLINGS = 12
+#: Branch and bound: fillings tried for a largest piece, steps of the search for further ones, and nodes in all. Beyond them
+#: the best solution so far counts: no piece is lost, but there may be more sequences than needed.
+FILLINGS, STEPS = 12, 64
 NODES = 20_000
 
 _PIECES = "doc_id long, row_key long, piece int, start long, length int, ids_crc32 long"
@@ -101,38 +101,72 @@ def _pieces(path: str | None, capacity: int):
     return run
 
 
+def _replaceable(filling: tuple[int, ...], slack: int, spare: int) -> bool:
+    """Whether a piece at hand could take the place of some of a filling's pieces and be no smaller than they are together.
+
+    Sets of numbers are the bits of one integer: spare those of the lengths at hand, sums those of sums of pieces.
+    """
+    one, more = 0, 0  # sums of one piece, of two and more
+    for s in filling:
+        more |= (more | one) << s
+        one |= 1 << s
+    if more & spare:
+        return True
+    reach, width = one | more, 1
+    while width <= slack:  # sums with 0 to slack added
+        step = min(width, slack + 1 - width)
+        reach |= reach << step
+        width += step
+    return bool(reach & ~(one | more) & spare)
+
+
 def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill room from the lengths at hand, least waste first, then fewest pieces.
+    """Undominated ways to fill room from the lengths at hand, least waste first, then fewest pieces, then largest first.
 
-    Only maximal fillings count: one to which a piece that fits could be added is dominated. Largest pieces are tried first,
-    so that of equal waste the filling with larger pieces, which dominates those that use smaller ones in their place, is
-    found first; the search ends when enough fillings without waste are known or a bounded number of steps is used.
+    A piece that fills the room alone dominates all else. Otherwise each length that fits begins a filling, which the largest
+    lengths that still fit complete; a bounded search goes on to further fillings of the largest. A filling is dominated if a
+    piece could be added, or could replace some of its pieces without leaving more room, as those are better kept for later.
     """
-    sizes = [int(s) for s in np.flatnonzero(counts)[::-1] if s <= room]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    if not sizes:
+    if room <= 0:
         return [()]
-    smallest, falling = sizes[-1], -np.array(sizes)
-    steps = 0
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    while stack and steps < 2000 and sum(w == 0 for w, _ in found) < most:
-        i, left, taken = stack.pop()
-        steps += 1
-        if left < smallest:
-            found.append((left, taken))
-            continue
-        pos = int(np.searchsorted(falling[i:], -left)) + i
-        options = []
-        for j in range(pos, min(pos + most, len(sizes))):
-            s = sizes[j]
+    if counts[room]:
+        return [(room,)]
+    have = counts[: room + 1]
+    sizes = np.flatnonzero(have)[::-1]
+    if not len(sizes):
+        return [()]
+    largest = np.maximum.accumulate(np.where(have > 0, np.arange(room + 1), 0))  # that is not over a given room
+    chains, left = [sizes], room - sizes
+    while True:
+        nxt = largest[np.minimum(left, chains[-1])]
+        if not nxt.any():
+            break
+        chains.append(nxt)
+        left = left - nxt
+    order = np.argsort(left, kind="stable")[: 4 * most]
+    found = {tuple(int(c[i]) for c in chains if c[i]): None for i in order}
+    stack: list[tuple[int, tuple[int, ...]]] = [(room, ())]
+    for _ in range(STEPS):
+        if not stack:
+            break
+        rest, taken = stack.pop()
+        options, s = [], int(largest[min(rest, taken[-1] if taken else rest)])
+        while s and len(options) < 3:
             if counts[s] > taken.count(s):
-                options.append((j, left - s, (*taken, s)))
+                options.append((rest - s, (*taken, s)))
+            s = int(largest[s - 1])
         if options:
             stack += options[::-1]
         else:
-            found.append((left, taken))
-    found.sort(key=lambda x: (x[0], len(x[1]), [-s for s in x[1]]))
-    return [f for _, f in found[:most]] or [()]
+            found[taken] = None
+    spare = int.from_bytes(np.packbits(have > 0, bitorder="little").tobytes(), "little")
+    kept = []
+    for f in sorted(found, key=lambda f: (room - sum(f), len(f), [-s for s in f])):
+        if all(counts[s] >= f.count(s) for s in set(f)) and not _replaceable(f, room - sum(f), spare):
+            kept.append(f)
+            if len(kept) == most:
+                break
+    return kept or [next(iter(f for f in found if all(counts[s] >= f.count(s) for s in set(f))), (int(sizes[0]),))]
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -179,24 +213,44 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [(f, n) for gap in open_.values() for f, n in gap.items()]
 
 
+def waste_bound(histogram: np.ndarray, capacity: int = CAPACITY) -> int:
+    """No packing needs fewer sequences than this.
+
+    The greatest of three kinds of bounds: all tokens; for each least length, pieces over half a sequence with what room they
+    leave for the middling ones of that length or more; and pieces weighed by how many of their length a sequence holds.
+    """
+    sizes = np.arange(capacity + 1)
+    n, tokens = (np.append(np.cumsum(x[::-1])[::-1], 0) for x in (histogram, histogram * sizes))  # of a length or more
+    half = capacity // 2
+    least = np.arange(half + 1)
+    top = capacity - least + 1
+    large, large_tokens = n[half + 1] - n[top], tokens[half + 1] - tokens[top]
+    over = tokens[least] - tokens[half + 1] - (large * capacity - large_tokens)
+    best = max(-(-int(tokens[0]) // capacity), int((n[top] + large + np.maximum(0, -(-over // capacity))).max()))
+    for k in range(1, 21):
+        parts, exact = sizes * (k + 1) // capacity, sizes * (k + 1) % capacity == 0
+        whole = int((histogram * parts * np.where(exact, k, k + 1)).sum())  # in parts of 1 / (k * (k + 1))
+        best = max(best, -(-whole // (k * (k + 1))))
+    return best
+
+
 def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (filling, uses) that pack counts[length] pieces of each length into as few sequences as are found.
 
     Bin completion: the largest length left is completed by each undominated filling in turn, applied as often as the
-    counts allow; a branch is cut when the waste so far leaves no hope to beat the best solution, which best-fit gives
-    first and at each first dive again. It ends when the bound on waste is reached, else after NODES nodes.
+    counts allow; a branch is cut when what is left, by the bound on waste, leaves no hope to beat the best solution. Best-fit
+    gives the first one, and others from what is left at some nodes of each dive. The search ends when the bound of all is
+    reached, else after NODES nodes, whatever time they take.
     """
     counts = counts.astype(np.int64).copy()
-    total = int((counts * np.arange(len(counts))).sum())
-    if not total:
+    if not int((counts * np.arange(len(counts))).sum()):
         return []
-    large = int(counts[capacity // 2 + 1 :].sum())
-    bound = max(-(-total // capacity), large)
+    bound = waste_bound(counts, capacity)
     best = best_fit(counts, capacity)
     best_n = sum(n for _, n in best)
     nodes = 0
 
-    # each frame: counts, fillings still to be tried, the pattern that led here
+    # each frame: counts, sequences used, the largest length, fillings still to be tried, the pattern that led on
     def frame(c: np.ndarray, used: int):
         top = int(np.flatnonzero(c)[-1])
         c2 = c.copy()
@@ -222,13 +276,12 @@ def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[t
             after[s] -= k * times
         used2 = used + times
         stack[-1][4] = ((top, *filling), times)
-        rest = int((after * np.arange(len(after))).sum())
-        if used2 + max(-(-rest // capacity), int(after[capacity // 2 + 1 :].sum())) >= best_n:
+        if used2 + waste_bound(after, capacity) >= best_n:
             continue
-        if rest == 0:
+        if not after.any():
             best, best_n = [f[4] for f in stack], used2
             continue
-        if len(stack) in (1, 5, 20) or len(stack) % 50 == 0:  # best-fit on what is left is an incumbent too
+        if len(stack) & (len(stack) - 1) == 0 or len(stack) % 64 == 0:  # best-fit on what is left is an incumbent too
             tail = best_fit(after, capacity)
             n = used2 + sum(k for _, k in tail)
             if n < best_n:
@@ -284,9 +337,3 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: the packed pieces of all documents that are left."""
     return pack(docs)
-
-
-def waste_bound(histogram: np.ndarray, capacity: int = CAPACITY) -> int:
-    """No packing needs fewer sequences than this."""
-    total = int((histogram * np.arange(len(histogram))).sum())
-    return max(math.ceil(total / capacity), int(histogram[capacity // 2 + 1 :].sum()))

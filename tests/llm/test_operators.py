@@ -142,6 +142,50 @@ def test_packing_of_histograms(kind, n):
     assert (used == counts).all() and packing.waste_bound(counts) <= total <= sum(k for _, k in packing.best_fit(counts, 2048))
 
 
+def fewest(pieces, capacity):
+    """By trying every sequence that is open for each piece."""
+    best = len(pieces)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for room in {*rooms}:
+            if room >= pieces[i]:
+                rest = list(rooms)
+                rest.remove(room)
+                go(i + 1, [*rest, room - pieces[i]])
+        go(i + 1, [*rooms, capacity - pieces[i]])
+
+    go(0, [])
+    return best
+
+
+def test_packing_needs_no_more_than_all_ways_tried():
+    rng = np.random.default_rng(31)
+    for _ in range(120):
+        capacity = int(rng.integers(10, 30))
+        pieces = sorted((int(x) for x in rng.integers(1, capacity + 1, int(rng.integers(1, 10)))), reverse=True)
+        counts = np.bincount(pieces, minlength=capacity + 1)
+        want = fewest(pieces, capacity)
+        assert sum(n for _, n in packing.pack_histogram(counts, capacity)) == want >= packing.waste_bound(counts, capacity)
+
+
+def test_bin_completion_beats_best_fit(monkeypatch):
+    monkeypatch.setattr(packing, "NODES", 600)
+    counts = np.bincount(np.random.default_rng(32).integers(500, 801, 20_000), minlength=2049)
+    found = packing.pack_histogram(counts)
+    used = np.zeros(2049, dtype=int)
+    for filling, n in found:
+        assert sum(filling) <= 2048
+        np.add.at(used, list(filling), n)
+    assert (used == counts).all()
+    assert packing.waste_bound(counts) <= sum(n for _, n in found) < sum(n for _, n in packing.best_fit(counts, 2048)) - 100
+
+
 def test_packing_places_every_token(docs, corpus):
     from tokenizers import Tokenizer
     import public_tokenizers
