@@ -5,6 +5,11 @@ bounded sample of its own vectors; vectors close to the split go to both sides (
 stay with their node, so that neither the number of labels nor of leaves matters to the driver. Vectors that share a leaf in
 any tree are compared by their exact cosine, in blocks where a leaf can't be split further, and links are united.
 
+A pair can meet in several leaves. It counts in the first of those that both are in, which the leaf's task tells from the lists
+of leaves that vectors carry: so links are counted and united without a row for each of them, however large a cluster is.
+
+The number of trees follows from how close together a label's vectors are: the closer, the likelier a split parts a pair.
+
 Identical vectors are collapsed first: one of them takes part, and the others share its links.
 """
 
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, table
+from .common import Scratch, broadcast_if_few, components, table
 
 COSINE = 0.93
 #: Vectors of a leaf wanted, and at most before it is split again; vectors of a block of a leaf that can't be split.
@@ -28,8 +33,8 @@ LEAF, MOST_LEAF, BLOCK = 400, 1200, 1200
 FIT, LEVELS = 2048, 6
 #: Spill on each side of a split, as a share of the spread of projections of pairs at the cosine wanted.
 SPILL = 0.5
-#: Chance that a pair at the cosine wanted stays together at one split with this spill, and the miss allowed for all trees.
-KEPT, MISS = 0.965, 1e-4
+#: The miss allowed, over all trees, for a pair at the cosine wanted.
+MISS = 1e-4
 ROUNDS = 12
 
 
@@ -46,7 +51,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0]):
             x = flat[a:b]
-            out.append((x / np.linalg.norm(x)).tobytes())
+            norm = np.linalg.norm(x)
+            if not 1e-100 < norm < 1e100:  # its square has left the range of numbers
+                x = x / np.abs(x).max()
+                norm = np.linalg.norm(x)
+            out.append((x / norm).tobytes())
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(out, pa.binary())], names=batch.schema.names)
 
 
@@ -55,6 +64,7 @@ def _unit(column: pd.Series) -> np.ndarray:
 
 
 def _spill(dim: int, cosine: float) -> float:
+    """Of pairs at the cosine wanted the projections differ by this share of their usual difference."""
     return SPILL * math.sqrt(2 * (1 - cosine) / dim)
 
 
@@ -108,25 +118,79 @@ def _route(turn: int, cosine: float):
     return run
 
 
+def _earlier(places: list[np.ndarray], here: int) -> np.ndarray:
+    """Which of the leaves before this one, of those that two vectors at least are in, each vector is in."""
+    before = [p[p < here] for p in places]
+    rows = np.repeat(np.arange(len(before)), [len(p) for p in before])
+    _, column, times = np.unique(np.concatenate(before) if before else np.empty(0, dtype=np.int64), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    at = np.full(len(times), -1)
+    at[shared] = np.arange(len(shared))
+    out = np.zeros((len(before), len(shared)), dtype=np.float32)
+    keep = at[column] >= 0
+    out[rows[keep], at[column[keep]]] = 1
+    return out
+
+
 def _links(cosine: float):
-    """Pairs of a leaf, or of two blocks of it, whose cosine in double precision is high enough."""
+    """Of a leaf, or of two blocks of it: each vector's new links, weighed by copies, and the smallest id it is linked to here."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, block = _unit(pdf["embedding"]), pdf["id"].to_numpy(), pdf["block"].to_numpy()
-        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
+        x, block = _unit(pdf["embedding"]), pdf["block"].to_numpy()
+        lo, hi, here = pdf["lo"].iat[0], pdf["hi"].iat[0], int(pdf["place"].iat[0])
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        i, j = np.nonzero(x[left] @ x[right].T >= cosine)
-        a, b = ids[left[i]], ids[right[j]]
-        keep = a < b if lo == hi else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}).drop_duplicates()
+        near = x[left] @ x[right].T >= cosine
+        if lo == hi:
+            np.fill_diagonal(near, False)
+        left, right, near = left[near.any(axis=1)], right[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
+        every = np.union1d(left, right)
+        if not len(every):
+            return pd.DataFrame({"id": [], "n": [], "root": []}, dtype="int64")
+        ids, copies = pdf["id"].to_numpy()[every], pdf["copies"].to_numpy()[every]
+        i, j = np.searchsorted(every, left), np.searchsorted(every, right)
+        seen = _earlier([np.asarray(p) for p in pdf["places"].iloc[every]], here)
+        first = near & (seen[i] @ seen[j].T == 0)
+        n, root = np.zeros(len(every), dtype=np.int64), ids.copy()
+        n[i] += first @ copies[j]
+        if lo != hi:
+            n[j] += first.T @ copies[i]
+        most = np.iinfo(np.int64).max
+        while True:  # the smallest id spreads along links
+            new = root.copy()
+            new[i] = np.minimum(new[i], np.where(near, root[j][None, :], most).min(axis=1))
+            new[j] = np.minimum(new[j], np.where(near, new[i][:, None], most).min(axis=0))
+            if (new == root).all():
+                return pd.DataFrame({"id": ids, "n": n, "root": root})
+            root = new
 
     return run
 
 
-def trees_for(most: int) -> int:
+def kept_together(cosine: float, mean: float) -> float:
+    """Chance that one split leaves a pair at a cosine together, among vectors whose mean cosine is given.
+
+    Along a random direction a pair's middle and its half difference are normal, with variances in the proportion of
+    1 + cosine - 2 * mean to 1 - cosine; the pair is parted if its middle is nearer to the split than half the difference
+    less the spill. Summed over a grid of half differences.
+    """
+    half = math.sqrt((1 - cosine) / 2)
+    middle = math.sqrt(max(1 + cosine - 2 * mean, 1e-9) / 2)
+    grid = np.linspace(0, 6, 601)[1:]
+    weight = np.exp(-grid * grid / 2)
+    reach = np.maximum(grid * half - SPILL * 2 * half, 0) / middle
+    parted = np.array([math.erf(r / math.sqrt(2)) for r in reach])
+    return float(1 - (weight * parted).sum() / weight.sum())
+
+
+def _mean_cosine(pdf: pd.DataFrame) -> pd.DataFrame:
+    mean = _unit(pdf["embedding"]).mean(axis=0)
+    return pd.DataFrame({"label": [pdf["label"].iat[0]], "mean": [float(mean @ mean)]})
+
+
+def trees_for(most: int, kept: float) -> int:
     """Trees that bring the chance to miss a pair at the cosine wanted under MISS, for so many vectors under one label."""
     levels = max(0, math.ceil(math.log2(max(most, 1) / LEAF)))
-    together = KEPT**levels
+    together = kept**levels
     return 1 if levels == 0 else max(2, math.ceil(math.log(MISS) / math.log(1 - together)))
 
 
@@ -135,7 +199,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Only vectors with equal labels that are not null are compared, and of equal dimension. Vectors that are null, empty, zero
     or hold null or non-finite components link with nothing, nor do rows with a null id, whose component is null; all these
-    are kept. Rows that repeat an id and its vector are one vector. An empty table gives no rows.
+    are kept. Rows that repeat an id and its vector are one vector; rows that share an id and have different vectors share the
+    most links and the smallest component of them. Components so large or small that their squares leave the range of numbers
+    are scaled. An empty table gives no rows. Only the three columns named are read.
     """
     spark: SparkSession = vectors.sparkSession
     scratch = Scratch(spark)
@@ -147,8 +213,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     valid = valid.select("vec_id", "embedding", label.alias("label")).withColumn("k1", F.xxhash64("label", "embedding")).withColumn("k2", F.xxhash64(F.lit(1), "embedding", "label"))
     groups = valid.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("copies"), F.first("embedding").alias("embedding"), F.first("label").alias("label"))
     groups = scratch.keep(groups.select("k1", "k2", "id", "copies", "label", "embedding").mapInArrow(_packed, "k1 long, k2 long, id long, copies long, label string, embedding binary"))
-    most = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    trees = trees_for(most)
+    of_label = scratch.cache(groups.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > LEAF))
+    most = of_label.agg(F.max("n")).first()[0] or 0
+    share = F.least(F.lit(1.0), F.lit(float(FIT)) / F.col("n"))
+    sample = groups.join(of_label, "label").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
+    mean = sample.select("label", "embedding").groupBy("label").applyInPandas(_mean_cosine, "label string, mean double").agg(F.max("mean")).first()[0] or 0.0
+    trees = trees_for(most, kept_together(cosine, min(mean, cosine)))
     leaf = groups.select("label", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"), F.lit(0).cast("long").alias("leaf"), "id", "embedding")
     held = None
     for turn in range(ROUNDS):
@@ -164,15 +234,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         routed = leaf.join(plans, ["label", "tree", "leaf"], "left").select("label", "tree", "leaf", "id", "embedding", "at")
         old, leaf = leaf, scratch.write(routed.mapInPandas(_route(turn, cosine), "label string, tree int, leaf long, id long, embedding binary"))
         scratch.drop(old)
-    sizes = leaf.groupBy("label", "tree", "leaf").agg(F.count("*").alias("n"))
-    spread = leaf.join(sizes.where("n > 1"), ["label", "tree", "leaf"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    place = leaf.select("id", F.xxhash64("label", "tree", "leaf").alias("place"))
+    large = scratch.cache(place.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    held_by = place.groupBy("id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    spread = groups.select("id", "copies", "embedding").join(held_by, "id").withColumn("place", F.explode("places"))
+    spread = spread.join(broadcast_if_few(large), "place", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
     spread = spread.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select("label", "tree", "leaf", "lo", "hi", "block", "id", "embedding")
-    pairs = scratch.keep(spread.groupBy("label", "tree", "leaf", "lo", "hi").applyInPandas(_links(cosine), "a long, b long").distinct())
-    labels = components(pairs, scratch)
-    size = groups.select("id", "copies")
-    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    linked = ends.join(size.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.sum("copies").alias("more"))
+    spread = spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select("place", "lo", "hi", "block", "id", "copies", "places", "embedding")
+    met = scratch.cache(spread.groupBy("place", "lo", "hi").applyInPandas(_links(cosine), "id long, n long, root long"))
+    labels = components(met.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
+    linked = met.groupBy("id").agg(F.sum("n").alias("more"))
     of_group = groups.select("k1", "k2", "id", "copies").join(linked, "id", "left").join(labels, "id", "left")
     of_group = of_group.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("component_id", "id").alias("c"))
     found = valid.select("vec_id", "k1", "k2").join(of_group, ["k1", "k2"]).groupBy("vec_id").agg(F.max("n").alias("n"), F.min("c").alias("c"))
