@@ -26,14 +26,22 @@ BROADCAST_IDS = 500_000
 TASK_EDGES = 250_000
 
 _fallback: list[str] = []
-#: What Scratch holds on executors' disks until release().
+#: What Scratch holds until release(): results on executors' disks, and its tables by path.
 _held: list[DataFrame] = []
+_tables: dict[str, SparkSession] = {}
 
 
-def release() -> None:
-    """Free what operators hold on executors' disks; for callers that have written their results."""
+def release(but: DataFrame | None = None) -> None:
+    """Free what operators hold, except the table of `but`; for callers that have written their results."""
     while _held:
         _held.pop().unpersist()
+    for path in [p for p in _tables if p != getattr(but, "_scratch_path", None)]:
+        _delete(_tables.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,15 +88,15 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        _tables[path] = self.spark
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
         """Delete what write() made and nothing later reads."""
         for df in frames:
             path = getattr(df, "_scratch_path", None)
-            if path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            if path and _tables.pop(path, None):
+                _delete(self.spark, path)
 
 
 def ascii_words(text: str | None) -> list[bytes]:

@@ -51,7 +51,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0]):
             x = flat[a:b]
-            norm = np.linalg.norm(x)
+            with np.errstate(over="ignore", under="ignore"):
+                norm = np.linalg.norm(x)
             if not 1e-100 < norm < 1e100:  # its square has left the range of numbers
                 x = x / np.abs(x).max()
                 norm = np.linalg.norm(x)

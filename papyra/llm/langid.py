@@ -35,6 +35,8 @@ LEAST_POSTERIOR, LEAST_GAIN = 0.5, 0.5
 LEAST_DOCUMENTS = 3
 #: Models of one language at most; languages are far fewer, so this only bounds what is sent to executors. Others share a model.
 MOST_LANGUAGES = 256
+#: Priors of hosts (eight bytes each) up to which they are sent to all executors.
+PRIORS = 2_000_000
 #: The name of the languages that share a model.
 UNDETERMINED = "und"
 
@@ -159,7 +161,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     flat = F.array(*[F.lit(0.0) for _ in languages]) if k else F.array().cast("array<double>")
     spoken = F.coalesce(F.try_element_at(F.create_map(*entries), F.col("__group")), flat) if entries else flat
 
-    joined = seen.join(broadcast_if_few(by_host, 100_000), "__host", "left").withColumn("prior", F.coalesce("prior", prior0)).withColumn("said", spoken)
+    joined = seen.join(broadcast_if_few(by_host, PRIORS // max(k, 1)), "__host", "left").withColumn("prior", F.coalesce("prior", prior0)).withColumn("said", spoken)
     logs = F.zip_with(F.zip_with("text_log", "said", lambda a, b: a + b), F.col("prior"), lambda a, p: a + F.log(p))
     joined = joined.withColumn("log", logs).withColumn("top", F.array_max("log"))
     mass = F.aggregate(F.transform("log", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)

@@ -433,6 +433,69 @@ def test_url_templates(spark):
     assert got[100].verdict == "block" and got[300].verdict == "allow"
 
 
+def test_url_templates_equal_a_tree_built_by_hand(spark):
+    rng = np.random.default_rng(41)
+    pages = []
+    for i in range(700):
+        host = ("a.com", "b.com", "c.net", "d.org")[int(rng.integers(0, 4))]
+        first = ("de", "fr", "xx", f"r{int(rng.integers(0, 60))}")[int(rng.integers(0, 4))]
+        deep = "/".join(f"s{int(rng.integers(0, 3))}" for _ in range(int(rng.integers(0, 4))))
+        pages.append((i, f"http://{host}/{first}/{deep}", ""))
+    pages += [(1000 + i, "http://a.com/" + "/".join(["de" if i % 2 else "xx", *["deep"] * 14, str(i)]), "") for i in range(40)] + [(2000, None, ""), (2001, "no scheme", ""), (2002, "x://a.com", "")]
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    at = {i: (r.host, r.path[1:].split("/") if r.path else [], {"block": (1, 0), "allow": (0, 1)}.get(r.verdict if r.rule else None, (0, 0))) for i, r in got.items()}
+    template = dict.fromkeys(at, "")
+    for level in range(20):
+        child, parent = defaultdict(lambda: np.zeros(3)), defaultdict(lambda: np.zeros(3))
+        for i, (host, parts, (b, a)) in at.items():
+            if len(parts) > level:
+                child[host, template[i], parts[level]] += (1, b, a)
+                parent[host, template[i]] += (1, b, a)
+        stay = set()
+        for (host, above, part), (n, b, a) in child.items():
+            pn, pb, pa = parent[host, above]
+            own, others = a + b, pa + pb - a - b
+            if n < 5:
+                continue
+            if own and others:
+                rate = pb / (pa + pb)
+                good = abs(b / own - (pb - b) / others) / math.sqrt(max(rate * (1 - rate), 1e-9) * (1 / own + 1 / others)) >= 1.96
+            else:
+                good = bool(own) != bool(others) and n >= 0.02 * pn
+            if good:
+                stay.add((host, above, part))
+        for i, (host, parts, _) in at.items():
+            if len(parts) > level:
+                template[i] += "/" + (parts[level] if (host, template[i], parts[level]) in stay else "*")
+    of_template, of_host, whole = defaultdict(lambda: np.zeros(2)), defaultdict(lambda: np.zeros(2)), np.zeros(2)
+    for i, (host, _, says) in at.items():
+        of_template[host, template[i]] += says
+        of_host[host] += says
+        whole += says
+    prior = (whole[0] + 0.5) / (whole.sum() + 1)
+    for i, (host, _, _) in at.items():
+        above = (of_host[host][0] + 4 * prior) / (of_host[host].sum() + 4)
+        b, a = of_template[host, template[i]]
+        purity = (b + 4 * above) / (a + b + 4)
+        assert got[i].template == template[i] and abs(got[i].purity - purity) < 1e-5
+        assert got[i].rule or got[i].verdict == ("block" if purity >= 0.7 else "allow")
+    assert any(len(t) > 60 for t in template.values()) and (got[2000].host, got[2001].path, got[2002].host, got[2002].path) == ("", "", "a.com", "")
+
+
+def test_concentrated_vectors_keep_their_links(spark, monkeypatch):
+    for name, value in (("LEAF", 40), ("MOST_LEAF", 80), ("FIT", 300)):
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(42)
+    x = rng.standard_normal((900, 24)) * 0.15 + np.r_[2.0, np.zeros(23)]
+    vectors = spark.createDataFrame([(i, [float(v) for v in x[i]], 1) for i in range(900)] + [(900, [1e300, 1e300], 1), (901, [2e-310, 2e-310], 1)], "vec_id long, embedding array<double>, label int")
+    vectors = vectors.withColumns({c: F.lit("x") for c in ("id", "label_", "tree", "leaf", "n", "copies", "place", "k1")})
+    got = {r.vec_id: r for r in embeddings.near_vectors(vectors).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert all(got[i].n_links <= near[i] for i in range(900)) and sum(got[i].n_links for i in range(900)) >= 0.999 * near.sum() > 1000
+    assert got[900].n_links == got[901].n_links == 1 and not got[901].kept
+
+
 def test_empty_tables(spark, nothing):
     bench = spark.createDataFrame([(1, "some words of an item that is long")], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
