@@ -1,14 +1,16 @@
 """Files, pages, pixels, sinks and the stream."""
 
+import base64
 import datetime as dt
 import json
 import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.sources import files, images, sinks
+from papyra.sources import files, images, ocr, sinks
 from papyra.streaming.verify import stream_pages, verify_stream
 
 
@@ -85,6 +87,46 @@ def test_orientation(order):
     assert images.exif_orientation(b"no image") == 1 and images.upright(b"\xff\xd8\xff\xe1\0", corner).tolist() == corner.tolist()
 
 
+def png(plane, filters):
+    """A file of a plane, its rows filtered by the kinds given in turn."""
+    h, w, c = plane.shape
+    flat, out = plane.reshape(h, w * c).astype(int), b""
+    for y in range(h):
+        kind, line = filters[y % len(filters)], []
+        for x in range(w * c):
+            left, up = flat[y, x - c] if x >= c else 0, flat[y - 1, x] if y else 0
+            corner = flat[y - 1, x - c] if y and x >= c else 0
+            near = min((left, up, corner), key=lambda v: abs(left + up - corner - v))
+            line.append((flat[y, x] - (0, left, up, (left + up) // 2, near)[kind]) % 256)
+        out += bytes([kind, *line])
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[c], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("channels", [1, 2, 3, 4])
+def test_png(channels):
+    plane = np.random.default_rng(channels).integers(0, 256, (11, 7, channels)).astype(np.uint8)
+    got = ocr.decode_png(png(plane, (0, 1, 2, 3, 4)))
+    assert (got[..., 0] == plane[..., 0]).all() and (channels < 3 or (got == plane).all()) and got.shape[2] in (3, 4)
+    assert (ocr.load_image("data:image/png;base64," + base64.b64encode(png(plane, (4,))).decode()) == got).all()
+    with pytest.raises(ValueError):
+        ocr.load_image(b"plain")
+
+
+def test_page_texts(spark):
+    plane = np.full((20, 10, 3), 128, dtype=np.uint8)
+    rows = [(1, bytearray(png(plane, (2,)))), (2, None), (3, bytearray(b"no image"))]
+    pages = spark.createDataFrame(rows, "page_number int, image binary")
+    engine = lambda p, chars: f"{p.shape[0]}x{p.shape[1]} {p[0, 0, 0]} {len(chars or '')}"
+    got = {r.page_number: r for r in ocr.read_page_texts(pages, engine).collect()}
+    assert (got[1].full_text, got[1].mrz_text, got[1].text_error) == ("20x10 136 37", "27x30 128 37", None)
+    assert [(got[k].full_text, got[k].text_error) for k in (2, 3)] == [("", "No image."), ("", "Unable to load image.")]
+    second = ocr.read_page_texts(pages, engine, primary=False).first()
+    assert (second.full_text, second.mrz_text) == ("20x10 136 0", "") and ocr.read_page_texts(pages, None).first().full_text == ""
+    text = "%PDF-1.7 /Type /Pages /Count 2 /Type /Page /Type/Page"
+    assert value(spark, ocr.pdf_page_count(F.lit(text).cast("binary"))) == 2 and value(spark, ocr.pdf_page_count(F.lit(b"%PDF-1.7"))) is None
+
+
 def test_sinks(spark):
     assert sinks.label("dateOfBirth") == "Date Of Birth" and value(spark, sinks.label_column(F.lit("dateOfBirth"))) == "Date Of Birth"
     assert value(spark, sinks.escape_html(F.lit("<a href=\"x\">'&'"))) == "&lt;a href=&quot;x&quot;&gt;&#039;&amp;&#039;"
