@@ -1,14 +1,15 @@
 """LM scoring with Brown class-based n-grams (operator 4).
 
-P(word | word before) = P(class | class before) * P(word | class). Counts come from all training texts: unigrams of every
-word, and bigrams of the CLUSTERED most frequent words. The exchange algorithm moves each of those words to the class that
-raises the likelihood of the class bigrams most, until a round moves few. Executors then sum the classes before and after each
-further known word and give it the class of the same likelihood's greatest gain, and class transitions are counted anew over
-all training bigrams. Words beyond the known ones form one class of their own, and so does the end of a text. Words are 64-bit
-hashes.
-
-The driver holds the KNOWN most frequent words with their classes, a matrix of CLUSTERED by CLUSTERED bigrams at most, and one
-of the classes, whatever the corpus. Rarer words are looked up by a join; each is rare, so no key of it is hot.
+P(word | word before) = P(class | class before) * P(word | class). Counts come from all training texts. The exchange algorithm
+moves each of the CLUSTERED most frequent words to the class that raises the likelihood of the class bigrams most, until a
+round moves few. Executors then sum the classes before and after each further known word and give it the class of the same
+likelihood's greatest gain. Exchange goes on over all known words in REFINE rounds, in each of which executors move half of
+them at once; a round that doesn't raise the likelihood of all training bigrams is taken back. Words beyond the known ones
+form one class of their own, and so does the end of a text. Words are 64-bit hashes.
+
+Texts are read twice, for the unigrams and to turn their words into numbers, which the later steps read packed. The driver
+holds the KNOWN most frequent words with their classes, a matrix of CLUSTERED by CLUSTERED bigrams at most, and one of the
+classes, whatever the corpus. Rarer words are looked up by a join; each is rare, so no key of it is hot.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_words, table, word_hashes
+from .common import Scratch, ascii_words, mix64, table, word_hashes
 
 #: Words that the exchange algorithm clusters, and its classes.
-CLUSTERED, CLASSES = 1022, 64
-#: Rounds of exchange at most; it stops earlier when a round moves under one word in a hundred.
-ROUNDS = 6
+CLUSTERED, CLASSES = 2046, 64
+#: Rounds of exchange at most; it stops earlier when a round moves under one word in a hundred. Rounds over all known words.
+ROUNDS, REFINE = 6, 4
 #: Words that every executor knows; the others are joined.
 KNOWN = 200_000
 #: Pseudo-counts: of unigrams (as in the base), of words in clustered classes, of class transitions.
@@ -84,6 +85,10 @@ class Vocabulary:
         number[hashes == END] = clustered
         by = np.argsort(hashes)
         self.hashes, self.counts, self.number, self.clustered, self.size = hashes[by], counts[by], number[by], clustered, clustered + 2
+        # ranks by count, as small numbers pack well; the last is that of unknown words, whose place is -1
+        self.rank = np.empty(len(hashes) + 1, dtype=np.uint32)
+        self.rank[np.append(np.argsort(by)[order], -1)] = np.arange(len(hashes) + 1)
+        self.place = np.append(np.argsort(self.rank[:-1]), -1)
 
     def find(self, tokens: np.ndarray) -> np.ndarray:
         """Place of each token among the known words, or -1."""
@@ -94,17 +99,53 @@ class Vocabulary:
         return np.where(at >= 0, self.number[at], self.clustered + 1) if len(self.hashes) else np.full(len(at), self.clustered + 1)
 
 
+def pack(ranks: np.ndarray) -> bytes:
+    """Ranks under 2 ** 24 as three byte planes, compressed."""
+    planes = np.ascontiguousarray(ranks.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3])
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes, n: int) -> np.ndarray:
+    x = np.frombuffer(pa.decompress(blob, decompressed_size=3 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(3, n).astype(np.int64)
+    return x[0] | x[1] << 8 | x[2] << 16
+
+
+def _encoded(vocabulary: Vocabulary, base: np.ndarray):
+    """Rows (id, key, held_out, text) with their known words packed and the hashes of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, known, score, blobs, tail = [], [], [], [], []
+            for text in batch.column(3).to_pylist():
+                tokens = _tokens(text)
+                at = vocabulary.find(tokens)
+                hit = at >= 0
+                n.append(len(tokens))
+                known.append(int(hit.sum()))
+                score.append(float(base[at[hit]].sum()))
+                blobs.append(pack(vocabulary.rank[at]))
+                tail.append(tokens[~hit].astype(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tail])]).astype(np.int32)), pa.array(np.concatenate([*tail, np.empty(0, np.int64)])))
+            columns = [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(score, pa.float64()), pa.array(blobs, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "held_out", "n_tokens", "n_known", "base_score", "words", "tail"])
+
+    return run
+
+
+def _places(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows (n_tokens, words): the places of a batch's tokens, one text after the other, each with its end."""
+    for batch in batches:
+        if batch.num_rows:
+            yield vocabulary.place[np.concatenate([unpack(b, n) for n, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())])]
+
+
 def _bigrams(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = vocabulary.size
         total = np.zeros(m * m, dtype=np.int32)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            if not texts:
-                continue
-            tokens = [_tokens(t) for t in texts]
+        for at in _places(vocabulary, batches):
             # every text follows an end, and the texts of a batch stand one after the other
-            w = vocabulary.numbers(vocabulary.find(np.concatenate(tokens))).astype(np.int64)
+            w = vocabulary.numbers(at).astype(np.int64)
             before = np.concatenate([[vocabulary.clustered], w[:-1]])
             keys, n = np.unique(before * m + w, return_counts=True)
             total[keys] += n.astype(np.int32)
@@ -116,6 +157,21 @@ def _bigrams(vocabulary: Vocabulary):
     return run
 
 
+def _rows_packed(m: int):
+    """Rows (a, bs, ns) of a matrix of m columns: (a, whole row packed), as the driver collects them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = []
+            for b, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                row = np.zeros(m, dtype=np.int64)
+                row[b] = n
+                blobs.append(pa.compress(row.tobytes(), codec="zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["a", "row"])
+
+    return run
+
+
 def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
     """Class of each word by the exchange algorithm.
 
@@ -183,13 +239,13 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
     return of
 
 
-def _contexts(vocabulary: Vocabulary, of: np.ndarray):
-    """Counts of the classes beside each known word that isn't clustered: (word's place, code, n).
+def _contexts(vocabulary: Vocabulary, cls: np.ndarray, end: int, k: int, moving: np.ndarray):
+    """Counts of the classes beside each moving word: (word's place, code, n).
 
     With k classes, codes under k are those of classes after the word, k is the word itself after it, and greater ones are
     k + 1 and the class before.
     """
-    k = int(of.max()) + 1
+    cls, moving = np.append(cls, k - 1).astype(np.int64), np.append(moving, False)  # -1, an unknown word, is the last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -200,17 +256,12 @@ def _contexts(vocabulary: Vocabulary, of: np.ndarray):
                 x = keys[at : at + 200_000]
                 yield pa.RecordBatch.from_arrays([pa.array((x // (2 * k + 1)).astype(np.int32)), pa.array((x % (2 * k + 1)).astype(np.int32)), pa.array(n[at : at + 200_000])], names=["w", "code", "n"])
 
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            if not texts:
-                continue
-            at = vocabulary.find(np.concatenate([_tokens(t) for t in texts])).astype(np.int64)
-            number = vocabulary.numbers(at)
-            cls = of[number]
-            i = np.flatnonzero((at >= 0) & (number == vocabulary.clustered + 1))
+        for at in _places(vocabulary, batches):
+            c = cls[at]
+            i = np.flatnonzero(moving[at])
             same_after, same_before = at[i + 1] == at[i], (i > 0) & (at[i - 1] == at[i])  # the last token is an end
-            after = np.where(same_after, k, cls[i + 1])
-            before = k + 1 + np.where(i > 0, cls[i - 1], of[vocabulary.clustered])
+            after = np.where(same_after, k, c[i + 1])
+            before = k + 1 + np.where(i > 0, c[i - 1], end)
             keys, n = np.unique(np.concatenate([at[i] * (2 * k + 1) + after, (at[i] * (2 * k + 1) + before)[~same_before]]), return_counts=True)
             parts.append((keys, n))
             if sum(len(p[0]) for p in parts) > 2 * FLUSH:
@@ -224,14 +275,23 @@ def _contexts(vocabulary: Vocabulary, of: np.ndarray):
     return run
 
 
-def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """The class to which each word goes from the last one, with the greatest gain in likelihood; of equal gains the first.
+def likelihood(cells: np.ndarray) -> float:
+    """What of the log likelihood depends on the classes."""
+
+    def f(x: np.ndarray) -> float:
+        return float((x * np.log(np.maximum(x, 1.0))).sum())
+
+    return f(cells) - f(cells.sum(axis=0)) - f(cells.sum(axis=1))
+
+
+def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, cells: np.ndarray, a: int | None = None) -> np.ndarray:
+    """The class to which each word of class a goes, with the greatest gain in likelihood; of equal gains it stays, else the first.
 
     after, before: words by classes, without the word itself; own: how often it follows itself. The last two classes, the
-    end and all other words, aren't chosen.
+    end and all other words, aren't chosen; a is the last one unless told otherwise.
     """
     k = len(cells)
-    a, c = k - 1, max(k - 2, 1)
+    a, c = k - 1 if a is None else a, max(k - 2, 1)
     follows, leads = cells.sum(axis=0), cells.sum(axis=1)
 
     def f(x: np.ndarray) -> np.ndarray:
@@ -240,7 +300,7 @@ def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, cells:
     def side(counts: np.ndarray, other: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Gain over the cells (class chosen, class beside), but for those on the diagonal."""
         gain = np.zeros((len(counts), c))
-        w, d = np.nonzero(counts[:, :a])
+        w, d = np.nonzero(np.where(np.arange(k) == a, 0, counts))
         if len(w):
             n = counts[w, d][:, None]
             each = f(table[:c, d].T + n) - f(table[:c, d].T)
@@ -256,10 +316,16 @@ def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, cells:
     gain = side(after, before, cells) + side(before, after, cells.T)
     gain += f(cells[d, d] + after[:, :c] + before[:, :c] + own[:, None]) - f(cells[d, d])
     gain -= f(leads[:c] + rn) - f(leads[:c]) + f(follows[:c] + ln) - f(follows[:c])
+    if a < c:  # staying brings back what going takes away
+        others = np.arange(k) != a
+        back = [(f(line[others]) - f(line[others] - n[:, others])).sum(axis=1) for line, n in ((cells[a], after), (cells[:, a], before))]
+        inside = f(cells[a, a]) - f(cells[a, a] - after[:, a] - before[:, a] - own)
+        margins = f(leads[a]) - f(leads[a] - rn[:, 0]) + f(follows[a]) - f(follows[a] - ln[:, 0])
+        gain[:, a] = back[0] + back[1] + inside - margins + 1e-9
     return gain.argmax(axis=1)
 
 
-def _assigned(cells: np.ndarray):
+def _assigned(cells: np.ndarray, cls: np.ndarray):
     k = len(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +338,12 @@ def _assigned(cells: np.ndarray):
             row = np.repeat(np.arange(size), np.diff(np.asarray(lists.offsets)))
             counts = np.zeros((size, 2 * k + 1))
             counts[row, np.asarray(lists.flatten())] = np.asarray(batch.column(2).flatten())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best_classes(counts[:, :k], counts[:, k + 1 :], counts[:, k], cells).astype(np.int32))], names=["w", "class"])
+            now = cls[np.asarray(batch.column(0))]
+            best = np.empty(size, dtype=np.int32)
+            for a in np.unique(now).tolist():
+                x = counts[now == a]
+                best[now == a] = best_classes(x[:, :k], x[:, k + 1 :], x[:, k], cells, a)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], names=["w", "class"])
 
     return run
 
@@ -280,11 +351,7 @@ def _assigned(cells: np.ndarray):
 def _transitions(vocabulary: Vocabulary, classes: np.ndarray, end: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, dtype=np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            if not texts:
-                continue
-            at = vocabulary.find(np.concatenate([_tokens(t) for t in texts]))
+        for at in _places(vocabulary, batches):
             w = np.append(classes, k - 1)[at].astype(np.int64)  # -1, an unknown word, is the last
             total += np.bincount(np.concatenate([[end], w[:-1]]) * k + w, minlength=k * k)
         keys = np.flatnonzero(total)
@@ -306,7 +373,6 @@ class Model:
         one[np.arange(len(of)), of] = 1
         self.of, self.vocabulary = of, vocabulary
         self.tokens, self.distinct = tokens, distinct
-        self.base = np.log10((vocabulary.counts + UNIGRAM) / (tokens + UNIGRAM * (distinct + 1)))
         self.settle(of[vocabulary.number], one.T @ bigrams @ one)
 
     def settle(self, cls: np.ndarray, cells: np.ndarray) -> None:
@@ -327,23 +393,18 @@ class Model:
 
 
 def _scores(model: Model):
+    """Rows (n_tokens, words, others): the others with the score of the words that are known."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = model.vocabulary
+        of, end = np.append(model.cls, len(model.step) - 1), model.of[v.clustered]
         for batch in batches:
-            n, known, base, score, tail = [], [], [], [], []
-            for text in batch.column(2).to_pylist():
-                tokens = _tokens(text)
-                at = v.find(tokens)
-                cls = np.append(model.cls, len(model.step) - 1)[at]
-                hit = at >= 0
-                n.append(len(tokens))
-                known.append(int(hit.sum()))
-                base.append(float(model.base[at[hit]].sum()))
-                steps = model.step[np.concatenate([[model.of[v.clustered]], cls[:-1]]), cls].sum()
-                score.append(float(steps + model.emit[at[hit]].sum()))
-                tail.append(tokens[~hit].astype(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tail])]).astype(np.int32)), pa.array(np.concatenate([*tail, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), lists], names=["doc_id", "row_key", "n_tokens", "n_known", "base_score", "score", "tail"])
+            score = []
+            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = v.place[unpack(blob, n)]
+                cls = of[at]
+                score.append(float(model.step[np.concatenate([[end], cls[:-1]]), cls].sum() + model.emit[at[at >= 0]].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(score, pa.float64())], names=["doc_id", "row_key", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -369,37 +430,55 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         if have + n > KNOWN:
             break
         cutoff, have = s, have + n
-    frequent = words.where(step >= cutoff).toPandas() if cutoff is not None else words.limit(0).toPandas()
+    is_known = (step >= cutoff if cutoff is not None else F.lit(False)) | (F.col("h") == int(END.astype(np.int64)))
+    frequent = words.where(is_known).toPandas()
     vocabulary = Vocabulary(frequent["h"].to_numpy().astype(np.int64).view(np.uint64), frequent["n"].to_numpy().astype(np.int64), CLUSTERED)
-    pairs = train.mapInArrow(_bigrams(vocabulary), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
+    del frequent
+    kind = dict(rows.dtypes)["doc_id"]
+    about = f"doc_id {kind}, row_key long, held_out boolean, n_tokens long, n_known long, base_score double"
+    base = np.log10((vocabulary.counts + UNIGRAM) / (tokens + UNIGRAM * (distinct + 1)))
+    keyed = rows.select("doc_id", F.monotonically_increasing_id().alias("row_key"), "held_out", "text")
+    coded = scratch.cache(keyed.mapInArrow(_encoded(vocabulary, base), f"{about}, words binary, tail array<long>"))
+    learned = coded.where("not held_out").select("n_tokens", "words")
+
+    pairs = learned.mapInArrow(_bigrams(vocabulary), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = pairs.groupBy("a").agg(F.collect_list(F.struct("b", "n")).alias("x")).select("a", "x.b", "x.n")
     bigrams = np.zeros((vocabulary.size, vocabulary.size))
-    bigrams[pairs["a"].to_numpy(), pairs["b"].to_numpy()] = pairs["n"].to_numpy()
-    del pairs, frequent
+    for a, row in pairs.mapInArrow(_rows_packed(vocabulary.size), "a int, row binary").collect():
+        bigrams[a] = np.frombuffer(pa.decompress(row, decompressed_size=8 * vocabulary.size, codec="zstd", asbytes=True), dtype=np.int64)
     model = Model(vocabulary, bigrams, int(tokens), int(distinct))
-    # classes of the further known words, and transitions of all training bigrams
-    beside = train.mapInArrow(_contexts(vocabulary, model.of), "w int, code int, n long").groupBy("w", "code").agg(F.sum("n").alias("n"))
-    beside = beside.groupBy("w").agg(F.collect_list(F.struct("code", "n")).alias("x")).select("w", F.col("x.code").alias("codes"), F.col("x.n").alias("ns"))
-    found = beside.mapInArrow(_assigned(model.cells), "w int, class int").toPandas()
-    cls = model.cls.copy()
-    cls[found["w"].to_numpy()] = found["class"].to_numpy()
-    k = len(model.cells)
-    steps_seen = train.mapInArrow(_transitions(vocabulary, cls, int(model.of[vocabulary.clustered]), k), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
-    cells = np.zeros((k, k))
-    cells[steps_seen["a"].to_numpy(), steps_seen["b"].to_numpy()] = steps_seen["n"].to_numpy()
-    model.settle(cls, cells)
-
-    keyed = rows.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row_key"), "text")
-    scored = scratch.cache(keyed.mapInArrow(_scores(model), f"doc_id {dict(rows.dtypes)['doc_id']}, row_key long, n_tokens long, n_known long, base_score double, score double, tail array<long>"))
-    rare = words.where(step < cutoff) if cutoff is not None else words
-    tail = scored.select("row_key", F.explode("tail").alias("h")).groupBy("row_key", "h").agg(F.count("*").alias("k")).join(rare, "h", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+    del bigrams
+    k, end = len(model.cells), int(model.of[vocabulary.clustered])
+
+    def moved(cls: np.ndarray, cells: np.ndarray, moving: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes after the moving words went to their best ones, and the class bigrams of all training texts with them."""
+        beside = learned.mapInArrow(_contexts(vocabulary, cls, end, k, moving), "w int, code int, n long").groupBy("w", "code").agg(F.sum("n").alias("n"))
+        beside = beside.groupBy("w").agg(F.collect_list(F.struct("code", "n")).alias("x")).select("w", "x.code", "x.n")
+        found = beside.mapInArrow(_assigned(cells, cls), "w int, class int").toPandas()
+        cls = cls.copy()
+        cls[found["w"].to_numpy()] = found["class"].to_numpy()
+        seen = learned.mapInArrow(_transitions(vocabulary, cls, end, k), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
+        cells = np.zeros((k, k))
+        cells[seen["a"].to_numpy(), seen["b"].to_numpy()] = seen["n"].to_numpy()
+        return cls, cells
+
+    model.settle(*moved(model.cls, model.cells, vocabulary.number == vocabulary.clustered + 1))
+    for i in range(REFINE):
+        half = (mix64(vocabulary.hashes) + np.uint64(i)) % np.uint64(2) == 0
+        cls, cells = moved(model.cls, model.cells, half & (vocabulary.hashes != END))
+        if likelihood(cells) <= likelihood(model.cells):
+            break
+        model.settle(cls, cells)
+
+    scored = coded.select("n_tokens", "words", "doc_id", "row_key", "held_out", F.col("n_tokens").alias("n"), "n_known", "base_score").mapInArrow(_scores(model), f"{about}, score double")
+    tail = coded.select("row_key", F.explode("tail").alias("h")).groupBy("row_key", "h").agg(F.count("*").alias("k")).join(words.where(~is_known), "h", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     more = tail.groupBy("row_key").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"),
         F.sum(F.col("k") * F.log10((F.col("c") + UNIGRAM) / (tokens + UNIGRAM * (distinct + 1)))).alias("base"),
         F.sum(F.col("k") * F.log10((F.col("c") + UNIGRAM) / (model.rare_n + UNIGRAM * model.rare_types))).alias("rare"),
     )
-    out = scored.drop("tail").join(more, "row_key", "left")
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(True))
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rare", F.lit(0.0))).alias("score"))
+    out = scored.join(more, "row_key", "left")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rare", F.lit(0.0))).alias("score"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

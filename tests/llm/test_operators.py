@@ -590,6 +590,73 @@ def test_lm_further_words_take_the_best_class():
             assert likelihoods[got[w]] >= max(likelihoods) - 1e-6
 
 
+def test_lm_exchange_moves_words_to_the_best_class_or_leaves_them():
+    rng = np.random.default_rng(19)
+    for _ in range(20):
+        k = 6
+        a = int(rng.integers(0, k - 2))
+        after, before, own = rng.integers(0, 9, (5, k)).astype(float), rng.integers(0, 9, (5, k)).astype(float), rng.integers(0, 3, 5).astype(float)
+        cells = rng.integers(20, 60, (k, k)).astype(float)
+        got = classlm.best_classes(after, before, own, cells, a)
+        for w in range(5):
+            likelihoods = []
+            for b in range(k - 2):
+                x = cells.copy()
+                for c, sign in ((a, -1), (b, 1)):
+                    x[c] += sign * after[w]
+                    x[:, c] += sign * before[w]
+                    x[c, c] += sign * own[w]
+                likelihoods.append(classlm.likelihood(x))
+            assert likelihoods[got[w]] >= max(likelihoods) - 1e-6
+
+
+def test_lm_scores_equal_the_model_worked_out_by_hand(spark, monkeypatch):
+    rng = np.random.default_rng(20)
+    monkeypatch.setattr(classlm, "CLUSTERED", 12)
+    made = {}
+    settle = classlm.Model.settle
+
+    def spy(self, cls, cells):
+        settle(self, cls, cells)
+        made.setdefault("all", []).append((self, cls, cells))
+
+    monkeypatch.setattr(classlm.Model, "settle", spy)
+    rows = [(i, " ".join(f"{'abc'[j % 3]}{int(rng.zipf(1.7)) % 50}" for j in range(40)) if i % 9 else None, "x", "s") for i in range(120)]
+    got = classlm.lm_scores(spark.createDataFrame(rows, SCHEMA)).collect()
+    model, cls, cells = made["all"][-1]
+    seen = [classlm.likelihood(c) for _, _, c in made["all"][1:]]
+    assert seen == sorted(seen)  # no round over all known words lowers it
+    train = [[*(words_of(t) or []), "end"] for i, t, _, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for t in train for w in t)
+    h = lambda w: classlm.END if w == "end" else classlm.word_hashes([w if isinstance(w, bytes) else w.encode()])[0]
+    place = {int(x): i for i, x in enumerate(model.vocabulary.hashes)}
+    k = len(cells)
+    of = {w: int(cls[place[int(h(w))]]) for w in counts}
+    assert all(model.vocabulary.counts[place[int(h(w))]] == n for w, n in counts.items())
+    bigrams = np.zeros((k, k))
+    for t in train:
+        for x, y in zip(["end", *t[:-1]], t):
+            bigrams[of[x], of[y]] += 1
+    assert (bigrams == cells).all()
+    share = (bigrams.sum(axis=0) + 1) / (bigrams.sum() + k)
+    size, types = Counter(), Counter()
+    for w, n in counts.items():
+        size[of[w]] += n
+        types[of[w]] += 1
+    for r in got:
+        text = dict((x[0], x[1]) for x in rows)[r.doc_id]
+        score, last = 0.0, of["end"]
+        for w in [*(words_of(text) or []), "end"]:
+            c = of.get(w, k - 1)
+            score += math.log10((bigrams[last, c] + classlm.TRANSITION * share[c]) / (bigrams[last].sum() + classlm.TRANSITION))
+            if w in counts:
+                score += math.log10((counts[w] + classlm.EMISSION) / (size[c] + classlm.EMISSION * types[c]))
+            else:
+                score += math.log10(classlm.UNIGRAM / (classlm.UNIGRAM * 1))  # the one word never seen
+            last = c
+        assert math.isclose(r.score, score, rel_tol=1e-9)
+
+
 def test_lm_learns_from_words_beyond_the_clustered(spark, monkeypatch):
     monkeypatch.setattr(classlm, "CLUSTERED", 10)
     rng = np.random.default_rng(16)
