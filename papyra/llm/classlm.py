@@ -14,6 +14,7 @@ classes, whatever the corpus. Rarer words are looked up by a join; each is rare,
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_words, mix64, table, word_hashes
+from .common import Scratch, ascii_words, mix64, pack, table, unpack, word_hashes
 
 #: Words that the exchange algorithm clusters, and its classes.
 CLUSTERED, CLASSES = 2046, 64
@@ -32,8 +33,8 @@ ROUNDS, REFINE = 6, 4
 KNOWN = 200_000
 #: Pseudo-counts: of unigrams (as in the base), of words in clustered classes, of class transitions.
 UNIGRAM, EMISSION, TRANSITION = 0.1, 0.05, 8.0
-#: Distinct words that a task holds before it passes its counts on.
-FLUSH = 1_000_000
+#: Distinct words that a task holds before it passes its counts on, and parts into which contexts of words are dealt.
+FLUSH, PARTS = 1_000_000, 256
 
 #: The end of a text: a hash of white space, which no word can be.
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
@@ -61,8 +62,11 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(0).to_pylist()
         if not texts:
             continue
-        keys, n = np.unique(np.concatenate([_tokens(t) for t in texts]), return_counts=True)
-        parts.append((keys, n))
+        count: Counter[bytes] = Counter()
+        for t in texts:
+            count.update(ascii_words(t))
+        keys = np.append(word_hashes(list(count)), END)
+        parts.append((keys, np.append(np.fromiter(count.values(), np.int64, len(count)), len(texts))))
         held += len(keys)
         if held > 2 * FLUSH:
             parts[:] = [_merged(parts)]
@@ -99,13 +103,13 @@ class Vocabulary:
         return np.where(at >= 0, self.number[at], self.clustered + 1) if len(self.hashes) else np.full(len(at), self.clustered + 1)
 
 
-def pack(ranks: np.ndarray) -> bytes:
+def pack_ranks(ranks: np.ndarray) -> bytes:
     """Ranks under 2 ** 24 as three byte planes, compressed."""
     planes = np.ascontiguousarray(ranks.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3])
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def unpack(blob: bytes, n: int) -> np.ndarray:
+def unpack_ranks(blob: bytes, n: int) -> np.ndarray:
     x = np.frombuffer(pa.decompress(blob, decompressed_size=3 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(3, n).astype(np.int64)
     return x[0] | x[1] << 8 | x[2] << 16
 
@@ -123,7 +127,7 @@ def _encoded(vocabulary: Vocabulary, base: np.ndarray):
                 n.append(len(tokens))
                 known.append(int(hit.sum()))
                 score.append(float(base[at[hit]].sum()))
-                blobs.append(pack(vocabulary.rank[at]))
+                blobs.append(pack_ranks(vocabulary.rank[at]))
                 tail.append(tokens[~hit].astype(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tail])]).astype(np.int32)), pa.array(np.concatenate([*tail, np.empty(0, np.int64)])))
             columns = [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(score, pa.float64()), pa.array(blobs, pa.binary()), lists]
@@ -136,7 +140,7 @@ def _places(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterat
     """Rows (n_tokens, words): the places of a batch's tokens, one text after the other, each with its end."""
     for batch in batches:
         if batch.num_rows:
-            yield vocabulary.place[np.concatenate([unpack(b, n) for n, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())])]
+            yield vocabulary.place[np.concatenate([unpack_ranks(b, n) for n, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())])]
 
 
 def _bigrams(vocabulary: Vocabulary):
@@ -240,21 +244,24 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
 
 
 def _contexts(vocabulary: Vocabulary, cls: np.ndarray, end: int, k: int, moving: np.ndarray):
-    """Counts of the classes beside each moving word: (word's place, code, n).
+    """Counts of the classes beside each moving word, packed: (part, n, rows of (word's place and code, count)).
 
+    Places are of sorted hashes, so that ranges of them are parts of like size, and all rows of a word are in one.
     With k classes, codes under k are those of classes after the word, k is the word itself after it, and greater ones are
     k + 1 and the class before.
     """
     cls, moving = np.append(cls, k - 1).astype(np.int64), np.append(moving, False)  # -1, an unknown word, is the last
+    bounds = np.arange(PARTS + 1) * (len(cls) - 1) // PARTS * (2 * k + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
             keys, n = _merged(parts)
-            for at in range(0, len(keys), 200_000):
-                x = keys[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array((x // (2 * k + 1)).astype(np.int32)), pa.array((x % (2 * k + 1)).astype(np.int32)), pa.array(n[at : at + 200_000])], names=["w", "code", "n"])
+            cuts = np.searchsorted(keys, bounds)
+            some = np.flatnonzero(np.diff(cuts))
+            blobs = [pack([keys[cuts[i] : cuts[i + 1]], n[cuts[i] : cuts[i + 1]]]) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.diff(cuts)[some].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "n", "rows"])
 
         for at in _places(vocabulary, batches):
             c = cls[at]
@@ -328,22 +335,38 @@ def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, cells:
 def _assigned(cells: np.ndarray, cls: np.ndarray):
     k = len(cells)
 
+    def classed(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, n = _merged(parts)
+        words, row = np.unique(keys // (2 * k + 1), return_inverse=True)
+        for x in range(0, len(words), 512):
+            w = words[x : x + 512]
+            some = slice(*np.searchsorted(row, [x, x + len(w)]))
+            counts = np.zeros((len(w), 2 * k + 1))
+            counts[row[some] - x, keys[some] % (2 * k + 1)] = n[some]
+            now = cls[w]
+            best = np.empty(len(w), dtype=np.int32)
+            for a in np.unique(now).tolist():
+                c = counts[now == a]
+                best[now == a] = best_classes(c[:, :k], c[:, k + 1 :], c[:, k], cells, a)
+            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), pa.array(best)], names=["w", "class"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Columns: w, codes, ns (arrays)."""
+        """Packed contexts sorted by part: each word's best class."""
+        part, held, size = None, [], 0
         for batch in batches:
-            size = batch.num_rows
-            if not size:
-                continue
-            lists = batch.column(1)
-            row = np.repeat(np.arange(size), np.diff(np.asarray(lists.offsets)))
-            counts = np.zeros((size, 2 * k + 1))
-            counts[row, np.asarray(lists.flatten())] = np.asarray(batch.column(2).flatten())
-            now = cls[np.asarray(batch.column(0))]
-            best = np.empty(size, dtype=np.int32)
-            for a in np.unique(now).tolist():
-                x = counts[now == a]
-                best[now == a] = best_classes(x[:, :k], x[:, k + 1 :], x[:, k], cells, a)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], names=["w", "class"])
+            for p, n, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if p != part and held:
+                    yield from classed(held)
+                    held, size = [], 0
+                part = p
+                keys, counts = unpack(blob, n, 2)
+                held.append((keys, counts))
+                size += n
+                if size > FLUSH:  # all distinct rows of a part are some hundred thousands
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+        if held:
+            yield from classed(held)
 
     return run
 
@@ -401,7 +424,7 @@ def _scores(model: Model):
         for batch in batches:
             score = []
             for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at = v.place[unpack(blob, n)]
+                at = v.place[unpack_ranks(blob, n)]
                 cls = of[at]
                 score.append(float(model.step[np.concatenate([[end], cls[:-1]]), cls].sum() + model.emit[at[at >= 0]].sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(score, pa.float64())], names=["doc_id", "row_key", "held_out", "n_tokens", "n_known", "base_score", "score"])
@@ -452,8 +475,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     def moved(cls: np.ndarray, cells: np.ndarray, moving: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Classes after the moving words went to their best ones, and the class bigrams of all training texts with them."""
-        beside = learned.mapInArrow(_contexts(vocabulary, cls, end, k, moving), "w int, code int, n long").groupBy("w", "code").agg(F.sum("n").alias("n"))
-        beside = beside.groupBy("w").agg(F.collect_list(F.struct("code", "n")).alias("x")).select("w", "x.code", "x.n")
+        beside = learned.mapInArrow(_contexts(vocabulary, cls, end, k, moving), "part int, n int, rows binary").repartition("part").sortWithinPartitions("part")
         found = beside.mapInArrow(_assigned(cells, cls), "w int, class int").toPandas()
         cls = cls.copy()
         cls[found["w"].to_numpy()] = found["class"].to_numpy()
