@@ -536,6 +536,25 @@ def test_passages_whose_seeds_have_earlier_holders(spark):
     assert (got[9, 7].start_word, got[9, 7].end_word, got[9, 7].other_start, got[9, 7].identity) == (50, 110, 50, 1.0)
 
 
+def test_gaps_of_any_length_are_aligned():
+    rng = np.random.default_rng(21)
+    for size in (0, 1, 5, 40, 90):
+        for _ in range(5):
+            a, b = rng.integers(0, 6, int(rng.integers(0, size + 1))), rng.integers(0, 6, size)
+            table = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+            assert passages._common(a, b) == passages._common(b, a) == table[-1, -1]
+    # two texts alike but for a word in four over 3,000 words, between anchors on two diagonals
+    common = rng.integers(10, 10**9, 3000)
+    a, b = common.copy(), common.copy()
+    b[::4] = 1
+    a, b = np.concatenate([[2] * 5, a, [3] * 5]), np.concatenate([[2] * 5, [4], b, [3] * 5])
+    got = passages.align(a, b, np.array([0, len(a) - 5]), np.array([0, len(b) - 5]))
+    assert got[:4] == (0, len(a), 0, len(b)) and math.isclose(got[4], (len(a) - 750) / len(b))
+
+
 def test_packed_rows_and_partners():
     rng = np.random.default_rng(13)
     h, ids, pos = rng.integers(0, 40, 500), rng.integers(-9, 9, 500), rng.integers(0, 99, 500)
