@@ -552,7 +552,23 @@ def test_gaps_of_any_length_are_aligned():
     b[::4] = 1
     a, b = np.concatenate([[2] * 5, a, [3] * 5]), np.concatenate([[2] * 5, [4], b, [3] * 5])
     got = passages.align(a, b, np.array([0, len(a) - 5]), np.array([0, len(b) - 5]))
-    assert got[:4] == (0, len(a), 0, len(b)) and math.isclose(got[4], (len(a) - 750) / len(b))
+    assert got[:4] == (0, len(a), 0, len(b)) and math.isclose(got[4], (len(a) - 750) / len(b)) and not got[5]
+
+
+def test_passages_go_on_as_far_as_texts_are_alike(spark):
+    """Beyond the seeds every fifth word differs, over 1,500 words before and 400 after: no seed, and more than one slice."""
+    rng = np.random.default_rng(23)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    odd = lambda body: [w if i % 5 else "x" + w for i, w in enumerate(body)]
+    before, seeds, after = words(1500), words(30), words(400)
+    near = odd(before) + seeds + odd(after)
+    rows = [(1, words(50) + before + seeds + after + words(40)), (2, words(30) + near + words(60)), (3, near)]  # 3 has nothing around
+    got = {(r.doc_id, r.other_id): r for r in passages.repeated_passages(spark.createDataFrame([(i, " ".join(w), "x", "s") for i, w in rows], SCHEMA)).collect()}
+    assert {(2, 1), (3, 2)} <= set(got) <= {(2, 1), (3, 1), (3, 2)}
+    r = got[2, 1]
+    assert (r.start_word, r.end_word, r.other_start, r.other_end) == (31, 1960, 51, 1980)  # the first word of each end differs
+    assert math.isclose(r.identity, 1 - (300 - 1 + 80) / 1929)
+    assert (got[3, 2].start_word, got[3, 2].end_word, got[3, 2].identity) == (0, 1930, 1.0)
 
 
 def test_packed_rows_and_partners():
