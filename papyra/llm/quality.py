@@ -136,8 +136,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Labels of rows whose crc32(id as text) mod folds is fold are never learned from; other labels that are 0 or 1 are, and
-    all else is ignored. Without two labels to learn from every score is 0.5. Null, empty and very long texts are scored like
-    any other; a null id is held out. Repeated rows get equal scores.
+    all else is ignored, as are ids with both labels. Without two labels to learn from every score is 0.5. Null, empty and
+    very long texts are scored like any other; a null id is held out. Repeated rows get equal scores and are learned from as
+    often as they occur.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
@@ -147,7 +148,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     held = F.coalesce(code % folds == fold, F.lit(True))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held)
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     n = known.count()
     if n > TRAIN_ROWS:  # a bounded sample, the same for the same labels
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * TRAIN_ROWS * 0.99 / n))
