@@ -7,6 +7,7 @@ For each document the log posteriors of the languages add up from four kinds of
   host's towards its suffix's and the suffix's towards the corpus's.
 Declared languages with too few documents for a model of their own share one. A text that fits it best is of the language it
 declares, or if that is none of them of an undetermined one.
+Documents name a language and a source; of web pages page_evidence() takes both from the markup and the address.
 A document is rejected if it has no letters, or if no language reaches the posterior wanted, or if its text fits no
 language better than it fits one made of evenly spread trigrams.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_few, table
+from .urls import split_url
 
 #: Trigrams are hashed to so many features.
 FEATURES = 1 << 14
@@ -43,9 +45,10 @@ UNDETERMINED = "und"
 
 def _features(text: str) -> np.ndarray:
     """Hashed byte trigrams of a text, lower-cased A-Z, with digits and ASCII punctuation as blanks and blanks joined."""
-    b = np.frombuffer((" " + " ".join(text.lower().encode("utf-8", "surrogatepass").translate(_BLANK).decode("latin-1").split()) + " ").encode("latin-1"), dtype=np.uint8).astype(np.uint32)
-    if len(b) < 4:
+    words = text.lower().encode("utf-8", "surrogatepass").translate(_BLANK).split()
+    if not words:
         return np.empty(0, dtype=np.int64)
+    b = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8).astype(np.uint32)
     x = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     return ((x * np.uint32(2654435761)) >> np.uint32(32 - 14)).astype(np.int64)
 
@@ -91,6 +94,19 @@ def _likelihoods(logp: np.ndarray):
     return run
 
 
+def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per row of pages for identify(): doc_id, text, lang, source.
+
+    text is the markup without comments, scripts, styles, tags and entities; lang what the html element declares; source the
+    host of the address, without a port. A null markup has a null text and language; a url without :// has an empty host.
+    """
+    bare = F.regexp_replace(F.col(html_col), r"(?s)<!--.*?-->", " ")
+    html = F.regexp_replace(bare, r"(?is)<(script|style)\b.*?</\1\s*>|<[a-z/!][^>]*>|&#?\w+;", " ")
+    lang = F.regexp_extract(bare, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})""", 1)
+    host = F.regexp_replace(split_url(F.col(url_col))[0], r":\d*$", "")
+    return pages.select(F.col(id_col).alias("doc_id"), html.alias("text"), lang.alias("lang"), host.alias("source"))
+
+
 def _suffix(host: Column) -> Column:
     last = F.element_at(F.split(host, r"\."), -1)
     return F.when(host.contains("."), last).otherwise(F.lit(""))
@@ -179,7 +195,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known, as they were."""
+    """Documents whose language is known, as they were.
+
+    Null and empty texts and those without letters go; rows with a null id are judged like any other, and repeated rows stay or
+    go together. A null language or source says nothing. An empty table stays empty.
+    """
     found = identify(docs)
     bad = Scratch(spark).keep(found.where("rejected").select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key")).distinct())
     bad = broadcast_if_few(bad)

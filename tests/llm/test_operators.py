@@ -723,3 +723,132 @@ def test_long_items_at_the_least_similarity_are_leaks(spark):
     bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(rows, SCHEMA), bench).collect()}
     assert got == {(i, i) for i in range(150)}
+
+
+def test_quality_equals_a_direct_fit(spark):
+    """Least squares over stacked rows instead of summed equations, and the isotonic fit by its max-min formula."""
+    rng = np.random.default_rng(51)
+    rows, labels = [], []
+    for i in range(500):
+        share = rng.random()
+        rows.append((i, " ".join(w + ("###" if rng.random() < share else "") for w in prose(rng, EN, int(rng.integers(20, 90))).split()), "en", "s"))
+        if i % 7:
+            labels.append((i, int(rng.random() > share), 0))
+    both = next(i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1)
+    labels += [(both, 0, 0), (both, 1, 0), (1, 7, 0), labels[5]]
+    rows += [(600, None, "en", "s"), (601, "", "en", "s"), rows[9]]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("y", "stats", "score", "held_out", "calibrates")})
+    got = quality.score_quality(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumns({c: F.lit(1) for c in ("y", "n", "most", "text")})).collect()
+    assert len(got) == len(rows)
+
+    learn = {i: y for i, y, _ in labels if y in (0, 1) and i != both and zlib.crc32(str(i).encode()) % 3 != 1}
+    calibrates = {r.id for r in spark.range(600).where(f"pmod(xxhash64(id, 3), {quality.HOLD}) = 0").collect()}
+    x = {i: np.array(quality.statistics(t)) for i, t, *_ in rows}
+    train = [i for i, *_ in rows if i in learn]  # a repeated row counts twice
+    of = np.array([x[i] for i in train])
+    mean, sd = of.mean(axis=0), of.std(axis=0)
+    draw = np.random.default_rng(quality.SEED)
+    w, b = draw.normal(0, 1 / quality.WIDTH, (len(mean), quality.FEATURES)), draw.uniform(0, 2 * np.pi, quality.FEATURES)
+
+    def features(i):
+        z = np.clip((x[i] - mean) / np.where(sd > 1e-9, sd, 1), -8, 8)
+        return np.append(np.sqrt(2 / quality.FEATURES) * np.cos(z @ w + b), 1)
+
+    fit = [i for i in train if i not in calibrates]
+    penalty = np.full(quality.FEATURES + 1, quality.RIDGE * len(fit) / quality.FEATURES)
+    penalty[-1] = 1e-9
+    stacked = np.vstack([*(features(i) for i in fit), np.diag(np.sqrt(penalty))])
+    weights = np.linalg.lstsq(stacked, np.array([*(learn[i] for i in fit), *([0.0] * len(penalty))]), rcond=None)[0]
+    held = sorted((features(i) @ weights, learn[i]) for i in train if i in calibrates)
+    y = np.array([v for _, v in held], dtype=float)
+    n = len(y)
+    fitted = [round(max(min(y[a:z].mean() for z in range(i + 1, n + 1)) for a in range(i + 1)), 9) for i in range(n)]
+    knots, values = [], []
+    for level in sorted(set(fitted)):
+        at = [i for i in range(n) if fitted[i] == level]
+        knots += [held[at[0]][0], held[at[-1]][0]]
+        values += [(y[at].sum() + 1) / (len(at) + 2)] * 2
+    assert len(set(values)) > 3
+    for r in got:
+        want = np.interp(features(r.doc_id) @ weights, knots, np.maximum.accumulate(values))
+        assert abs(r.score - want) < 1e-3 and r.predicted == int(r.score >= 0.5)
+
+
+def test_quality_statistics_by_hand():
+    got = dict(zip(quality.STATISTICS, quality.statistics("Ab cd cd.\n\nAb 1 cd cd.\nAb cd cd.")))
+    assert math.isclose(got["log_words"], math.log1p(10)) and math.isclose(got["distinct_words"], 4 / 10) and math.isclose(got["most_frequent_word"], 3 / 10)
+    assert math.isclose(got["word_length"], (6 + 6 + 9 + 1) / 10) and got["repeated_neighbour"] == 0 and math.isclose(got["distinct_pairs"], 5 / 9)
+    assert math.isclose(got["distinct_lines"], 2 / 3) and math.isclose(got["capitalised_words"], 3 / 10) and math.isclose(got["upper"], 3 / 32) and math.isclose(got["digit"], 1 / 32)
+    assert all(v == 0 for k, v in zip(quality.STATISTICS, quality.statistics(None)) if "word" in k) and quality.statistics(None) == quality.statistics("")
+
+
+def test_language_posteriors_worked_out_by_hand(spark):
+    """Declarations are missing or wrong, and many texts are too short to tell: hosts and suffixes do."""
+    rng = np.random.default_rng(52)
+    vocabulary = {"en": EN, "fr": FR, "de": "der und über für können dass nicht eine auch noch schon wäre größe à propos"}
+    hosts = {"en": ("a.com", "b.com", "x.org"), "fr": ("c.fr", "d.fr", "b.com"), "de": ("e.de", "localhost", None)}
+    rows, truth = [], {}
+    for i in range(360):
+        lang = ("en", "fr", "de")[i % 3]
+        declared = None if i % 5 == 0 else ("en", "fr", "de")[(i + 1) % 3] if i % 8 == 0 else ("EN-gb", "fr", " de")[i % 3]
+        text = prose(rng, vocabulary[lang], 1 if i % 6 == 0 else int(rng.integers(3, 25)))
+        rows.append((i, text if i % 30 else "xq" if i % 60 else f"{text}, 5 À!", declared, hosts[lang][int(rng.integers(0, 3))]))
+        truth[i] = lang
+    rows += [(400, "a", None, "c.fr"), (401, "12 34", "fr", "c.fr"), (402, "a", None, None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+    def trigrams(text):
+        b = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.lower().encode())
+        b = b" " + b" ".join(b.split()) + b" "
+        return [((int.from_bytes(b[i : i + 3], "big") * 2654435761) & 0xFFFFFFFF) >> 18 for i in range(len(b) - 2)] if b.strip() else []
+
+    names = ["de", "en", "fr"]
+    said = {i: (d or "").strip()[:2].lower() or None for i, _, d, _ in rows}
+    counts = {x: Counter(t for i, text, *_ in rows if said[i] == x for t in trigrams(text)) for x in names}
+    log = lambda x, t: math.log((counts[x][t] + 0.5) / (sum(counts[x].values()) + 0.5 * langid.FEATURES))
+    text_log, first = {}, {}
+    for i, text, *_ in rows:
+        t = trigrams(text)
+        if t:
+            mean = [sum(log(x, v) for v in t) / len(t) for x in names]
+            text_log[i] = [(m - max(mean)) * math.sqrt(len(t)) for m in mean]
+            first[i] = names[int(np.argmax(mean))]
+    host = {i: h or "" for i, _, _, h in rows}
+    suffix = {i: h.split(".")[-1] if "." in h else "" for i, h in host.items()}
+    base = [(sum(v == x for v in first.values()) + 1) / (len(first) + 3) for x in names]
+
+    def smooth(keys, key, above, pull):
+        own = [sum(keys[i] == key and first[i] == x for i in first) for x in names]
+        return [(c + pull * p) / (sum(own) + pull) for c, p in zip(own, above)]
+
+    of = {x: sum(first[i] == x and said[i] is not None for i in first) for x in names}
+    for i, *_ in rows:
+        if i not in first:
+            assert got[i].reason == "no_text" and got[i].language is None and got[i].posterior is None
+            continue
+        prior = smooth(host, host[i], smooth(suffix, suffix[i], base, langid.SUFFIX_PULL), langid.HOST_PULL)
+        total = [a + math.log(p) for a, p in zip(text_log[i], prior)]
+        if said[i]:
+            total = [v + math.log((sum(first[j] == x and said[j] == said[i] for j in first) + langid.DECLARED_PULL / 3) / (of[x] + langid.DECLARED_PULL)) for v, x in zip(total, names)]
+        mass = [math.exp(v - max(total)) for v in total]
+        assert got[i].text_language == first[i] and got[i].n_trigrams == len(trigrams(rows[i][1] if i < 400 else "a"))
+        assert got[i].language == names[int(np.argmax(total))] and math.isclose(got[i].posterior, 1 / sum(mass), rel_tol=1e-4)
+    right = [got[i].language == x for i, x in truth.items()]
+    alone = [first[i] == x for i, x in truth.items()]
+    wrongly = [got[i].language == x for i, x in truth.items() if said[i] not in (None, x) and len(rows[i][1].split()) > 8]
+    assert sum(right) >= sum(alone) and sum(right) >= 0.95 * len(right) and all(wrongly) and wrongly
+    assert got[400].language == "fr" and got[401].rejected
+
+
+def test_language_of_pages(spark):
+    html = '<!-- <html lang="xx"> --><HTML class="a" Lang=\'fr-CA\'><style>p{margin:0}</style><p>les &amp; des<br>dans<script>the and with</script></p></html>'
+    pages = [(1, "https://A.example.fr:80/x", html), (2, None, None), (3, "no scheme", "plain <b>text</b> 1 < 2"), (3, "x://h", "")]
+    got = [(r.doc_id, None if r.text is None else r.text.split(), r.lang, r.source) for r in langid.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()]
+    assert got == [(1, ["les", "des", "dans"], "fr", "a.example.fr"), (2, None, None, ""), (3, ["plain", "text", "1", "<", "2"], "", ""), (3, [], "", "h")]
+    rng = np.random.default_rng(53)
+    made, truth = [], {}
+    for i in range(120):  # one declaration in six is wrong
+        truth[i] = lang = ("en", "fr")[i % 2]
+        made.append((i, f"http://s{i % 7}.{('com', 'fr')[i % 2]}/{i}", f'<html lang="{lang if i % 6 else "en" if lang == "fr" else "fr"}"><p>{prose(rng, EN if lang == "en" else FR, 30)}</p></html>'))
+    found = langid.identify(langid.page_evidence(spark.createDataFrame(made, "page_id long, url string, html string"))).collect()
+    assert {r.doc_id: r.language for r in found} == truth and not any(r.rejected for r in found)
