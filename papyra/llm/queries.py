@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classlm, decontam, embeddings, langid, lines, minhash, packing, passages, pipeline, quality, urls
+from . import classlm, decontam, embeddings, langid, lines, minhash, packing, passages, pipeline, quality, rules, urls
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_url_filters": urls.op8_url_filters,
         "op9_language_id": langid.op9_language_id,
         "op10_minhash_dedup": minhash.op10_minhash_dedup,
+        "op11_quality_rules": rules.op11_quality_rules,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": embeddings.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op10_minhash_dedup": minhash.OP10_SQL}
+    return {"op3_embedding_dedup": embeddings.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op10_minhash_dedup": minhash.OP10_SQL, "op11_quality_rules": rules.OP11_SQL}
