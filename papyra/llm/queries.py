@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classlm, decontam, embeddings, langid, lines, minhash, packing, passages, pipeline, quality, rules, urls
+from . import classlm, decontam, embeddings, langid, lines, minhash, packing, passages, pipeline, quality, repair, rules, urls
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_language_id": langid.op9_language_id,
         "op10_minhash_dedup": minhash.op10_minhash_dedup,
         "op11_quality_rules": rules.op11_quality_rules,
+        "op13_conversation_repair": repair.op13_conversation_repair,
         "pipeline": pipeline.run,
     }
 
