@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classlm, decontam, embeddings, langid, lines, minhash, packing, passages, pipeline, quality, repair, rules, urls
+from . import classlm, decontam, embeddings, langid, lines, minhash, packing, passages, phrases, pipeline, quality, repair, rules, urls
 
 
 def queries() -> dict:
@@ -18,10 +18,11 @@ def queries() -> dict:
         "op9_language_id": langid.op9_language_id,
         "op10_minhash_dedup": minhash.op10_minhash_dedup,
         "op11_quality_rules": rules.op11_quality_rules,
+        "op12_phrase_mining": phrases.op12_phrase_mining,
         "op13_conversation_repair": repair.op13_conversation_repair,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": embeddings.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op10_minhash_dedup": minhash.OP10_SQL, "op11_quality_rules": rules.OP11_SQL}
+    return {"op3_embedding_dedup": embeddings.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op10_minhash_dedup": minhash.OP10_SQL, "op11_quality_rules": rules.OP11_SQL, "op12_phrase_mining": phrases.OP12_SQL}
