@@ -30,10 +30,10 @@ BROADCAST_GROUPS = 20_000
 
 #: Each measure: its value as a whole number, its least spread, and whether low values fail too.
 MEASURES = {
-    "word_length": ("1000 * word_chars div n_words", 1000, True),
-    "symbols": ("10000 * n_symbols div n_words", 300, False),
-    "dup_lines": ("10000 * n_dup_lines div n_lines", 1600, False),
-    "repeated": ("10000 * n_repeat_words div n_words", 900, False),
+    "word_length": ("1000 * word_chars div nullif(n_words, 0)", 1000, True),
+    "symbols": ("10000 * n_symbols div nullif(n_words, 0)", 300, False),
+    "dup_lines": ("10000 * n_dup_lines div nullif(n_lines, 0)", 1600, False),
+    "repeated": ("10000 * n_repeat_words div nullif(n_words, 0)", 900, False),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 COUNTED = f"struct<{','.join(f'{c}:bigint' for c in COUNTS)}>"
