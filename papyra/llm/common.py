@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +28,19 @@ BROADCAST_IDS = 500_000
 TASK_EDGES = 250_000
 
 _fallback: list[str] = []
-#: What Scratch holds until release(): results on executors' disks, and its tables by path.
-_held: list[DataFrame] = []
-_tables: dict[str, SparkSession] = {}
+#: The list that collecting() gathers new Scratches in, if any.
+_collector: ContextVar[list[Scratch] | None] = ContextVar("collector", default=None)
 
 
-def release(but: DataFrame | None = None) -> None:
-    """Free what operators hold, except the table of `but`; for callers that have written their results."""
-    while _held:
-        _held.pop().unpersist()
-    for path in [p for p in _tables if p != getattr(but, "_scratch_path", None)]:
-        _delete(_tables.pop(path), path)
+@contextmanager
+def collecting() -> Iterator[list[Scratch]]:
+    """Gathers the Scratches that are made within, for a caller that frees them once it has written what was built with them."""
+    made: list[Scratch] = []
+    token = _collector.set(made)
+    try:
+        yield made
+    finally:
+        _collector.reset(token)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -64,7 +68,7 @@ class Scratch:
     """Intermediate results of one operator.
 
     keep() and cache() hold a result that several later steps read on the executors' disks, with its lineage, so that what a
-    lost executor held is worked out again. After keep() later plans begin at the result anew, as plans that hold plans grow
+    lost executor held is worked out again. What a Scratch holds is its own until free(). After keep() later plans begin at the result anew, as plans that hold plans grow
     with each step; cache() is for results that come straight from a scan. write() cuts lineage too, for steps that repeat: a
     table in the shared folder.
     """
@@ -73,13 +77,18 @@ class Scratch:
         for key, most in ARROW_BATCH.items():
             spark.conf.set(key, str(most))
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/papyra-{uuid.uuid4().hex}", 0
+        self.held: list[DataFrame] = []
+        self.tables: set[str] = set()
+        made = _collector.get()
+        if made is not None:
+            made.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         rows = self.cache(df)._jdf.queryExecution().toRdd()
         return DataFrame(self.spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), self.spark)
 
     def cache(self, df: DataFrame) -> DataFrame:
-        _held.append(df.persist(StorageLevel.DISK_ONLY))
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
         return df
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -88,16 +97,24 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
-        _tables[path] = self.spark
+        self.tables.add(path)
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
         """Delete what write() made and nothing later reads."""
         for df in frames:
             path = getattr(df, "_scratch_path", None)
-            if path and _tables.pop(path, None):
+            if path in self.tables:
+                self.tables.remove(path)
                 _delete(self.spark, path)
 
+    def free(self) -> None:
+        """Let go of all that this Scratch holds; what was built with it can't be read any more."""
+        while self.held:
+            self.held.pop().unpersist()
+        while self.tables:
+            _delete(self.spark, self.tables.pop())
+
 
 def ascii_words(text: str | None) -> list[bytes]:
     """Lower-case A-Z only; words are runs without \\x20 and \\x09-\\x0D. bytes.split and bytes.lower do exactly that."""

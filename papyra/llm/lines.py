@@ -32,8 +32,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names.
 
     Lines end at \\n. Empty lines are never boilerplate. Null and empty texts stay as they are (n_lines 0 for null). A null
-    site counts as one site of its own. A null id sorts first. Rows that share an id and hold the same line at the same
-    place are one occurrence: they keep or lose it together.
+    site counts as one site of its own. A null id sorts first. Rows that share an id are told apart by their texts; rows alike in
+    both are one occurrence, whose lines stay or go together.
     """
     found = _deduped(docs, id_col, text_col, site_col, sites)
     return found.drop("n_lines", "n_removed").withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"})
@@ -43,12 +43,13 @@ def _deduped(source: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """source with its text deduplicated, and the columns __lines and __removed."""
     spark: SparkSession = source.sparkSession
     scratch = Scratch(spark)
-    lines = source.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
+    row = F.xxhash64(text_col)  # with the id it says which row: ids may be shared
+    lines = source.select(F.col(id_col).alias("id"), row.alias("row"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("line", _norm(F.col("line"))).where("line <> ''")
-    lines = lines.select("id", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    lines = lines.select("id", "row", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     lines = scratch.cache(lines)
     # a line that stands fewer times than the limit can't be on that many sites
-    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where(F.col("n") >= sites)
+    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos", "row")).alias("first")).where(F.col("n") >= sites)
     often = scratch.keep(often.select("h1", "h2", "first"))
     # one sketch of sites for each line hash, merged by aggregation
     sketches = lines.join(broadcast_if_few(often.select("h1", "h2"), BROADCAST_ROWS), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.hll_sketch_agg("site", SKETCH_LOG2).alias("sketch"))
@@ -58,9 +59,9 @@ def _deduped(source: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exact = lines.join(broadcast_if_few(near, BROADCAST_ROWS), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").count().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
     boiler = spread.join(exact, ["h1", "h2"], "left").where(F.coalesce("exact", "estimate") >= sites).select("h1", "h2", "first")
     boiler = scratch.keep(boiler)
-    gone = lines.join(broadcast_if_few(boiler, BROADCAST_ROWS), ["h1", "h2"]).where(~F.struct("id", "pos").eqNullSafe(F.col("first")))
-    gone = scratch.keep(gone.groupBy("id").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("id", "__id"))
-    out = source.join(gone, source[id_col].eqNullSafe(gone["__id"]), "left")
+    gone = lines.join(broadcast_if_few(boiler, BROADCAST_ROWS), ["h1", "h2"]).where(~F.struct("id", "pos", "row").eqNullSafe(F.col("first")))
+    gone = scratch.keep(gone.groupBy("id", "row").agg(F.collect_set("pos").alias("__gone")).withColumnsRenamed({"id": "__id", "row": "__row"}))
+    out = source.join(gone, source[id_col].eqNullSafe(gone["__id"]) & (row == gone["__row"]), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
@@ -77,16 +78,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = f"""
 WITH l AS (
-  SELECT d.doc_id, d.source, u.pos - 1 AS pos, trim(regexp_replace(list_extract(string_split(d.text, chr(10)), u.pos), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS line
+  SELECT d.doc_id, md5(d.text) AS row, d.source, u.pos - 1 AS pos, trim(regexp_replace(list_extract(string_split(d.text, chr(10)), u.pos), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS line
   FROM documents d, unnest(range(1, len(string_split(d.text, chr(10))) + 1)) AS u(pos)),
-b AS (SELECT line, min((doc_id, pos)) AS f FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= {SITES}),
-r AS (SELECT doc_id, list(pos) AS gone FROM (SELECT DISTINCT l.doc_id, l.pos FROM l JOIN b ON l.line = b.line WHERE (l.doc_id, l.pos) <> b.f) GROUP BY doc_id),
+b AS (SELECT line, min((doc_id, pos, row)) AS f FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= {SITES}),
+r AS (SELECT doc_id, row, list(pos) AS gone FROM (SELECT DISTINCT l.doc_id, l.row, l.pos FROM l JOIN b ON l.line = b.line WHERE (l.doc_id, l.pos, l.row) IS DISTINCT FROM b.f) GROUP BY doc_id, row),
 o AS (
   SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(r.gone), 0) AS INTEGER) AS n_removed,
     CASE WHEN r.gone IS NULL THEN d.text ELSE (
       SELECT coalesce(string_agg(list_extract(string_split(d.text, chr(10)), i), chr(10) ORDER BY i), '')
       FROM unnest(range(1, len(string_split(d.text, chr(10))) + 1)) AS t(i) WHERE NOT list_contains(r.gone, i - 1)) END AS text
-  FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id)
+  FROM documents d LEFT JOIN r ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND md5(d.text) = r.row)
 SELECT doc_id, n_lines, n_removed, md5(text) AS text_md5, text FROM o
 """
 

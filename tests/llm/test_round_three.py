@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.llm import phrases, repair, rules
+from papyra.llm import lines, phrases, pipeline, repair, rules
+from papyra.llm.common import collecting
 
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -320,3 +321,35 @@ def test_new_operators_on_empty_tables(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     found = repair.edits(repair.damage(turns))
     assert repair.report(found).count() == 0 and repair.repaired(found).count() == 0
+
+
+# --- rows that share ids, and results of others
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    rows = [(i, "boiler line\nown words %d" % i, f"site{i}") for i in range(13)]
+    rows += [(500, "boiler line\nz", "a"), (500, "unique first\nz2", "a"), (None, "boiler line\nn", "a"), (None, "another first\nn2", "b"), (None, None, "a")]
+    got = {(r.doc_id, r.text): r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()}
+    want = {(i, "own words %d" % i): 1 for i in range(13)}
+    # the null id sorts first, so that its line is the one that stays
+    want |= {(500, "z"): 1, (500, "unique first\nz2"): 0, (None, "boiler line\nn"): 0, (None, "another first\nn2"): 0, (None, None): 0}
+    assert got == want
+
+
+def test_the_pipeline_leaves_results_of_others_alone(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    en = "the and with that from this have were their which about there would could other people after first water".split()
+    docs = [(i, " ".join(rng.choice(en, 60)) + f" own{i} word{i}.", "en", f"src{i % 4}", 0) for i in range(40)] + [(99, None, None, None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "some item of a benchmark that nobody copied here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    with collecting() as made:
+        lazy = lines.dedup_lines(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    packed = pipeline.run(spark, str(tmp_path))
+    ids = {r.doc_id for r in packed.collect()}
+    assert ids and ids <= set(range(40)) and lazy.count() == 41 and any(s.held for s in made)
+    for s in made:
+        s.free()
+    assert not any(s.held or s.tables for s in made) and packed.count()
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(str(tmp_path / "empty/documents.parquet"))
+    spark.createDataFrame([(1, "an item")], "item_id long, text string").write.parquet(str(tmp_path / "empty/benchmark.parquet"))
+    assert pipeline.run(spark, str(tmp_path / "empty")).count() == 0
