@@ -4,7 +4,7 @@ Texts are read in shards. In a shard each word has a bitmap of the positions whe
 no word, so that nothing reaches over them. The bitmap of a phrase, shifted by one position and ANDed with that of a word,
 is the bitmap of the longer phrase, and its popcount says how often that stands in the shard. Popcounts of all shards add up.
 
-Bitmaps are compressed: only the 64-bit words that hold a bit are kept, with their places. Which phrases can be frequent at
+Bitmaps are compressed: only the 64-bit words that hold a bit are kept, by their places. Which phrases can be frequent at
 all is told to the shards by a filter of bits, whose size is fixed; what passes by chance is counted too and then falls to the
 exact threshold, so that the filter never changes a result.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ LANGS = 20_000
 FILTER_LOG2 = 27
 #: Positions of a shard at most (but a text is never cut), and distinct words that a task counts before it gives them away.
 SHARD, COUNTED = 4_000_000, 500_000
+#: Words that follow a phrase, up to which it is ANDed with each of them; with more, with all in one pass.
+FEW = 4
 #: Rows of an output batch.
 ROWS = 65_536
 
@@ -80,47 +83,58 @@ class BitFilter:
 
 
 class Bitmap:
-    """Positions as the 64-bit words that hold some of them (bits) and the places of these words (at), in order."""
+    """Positions as bits of 64-bit words, of which only those that hold some are kept: place -> bits. Most phrases stand in few
+    places of a shard, where this beats arrays."""
 
-    __slots__ = ("at", "bits")
+    __slots__ = ("words",)
 
-    def __init__(self, at: np.ndarray, bits: np.ndarray):
-        self.at, self.bits = at, bits
+    def __init__(self, words: dict[int, int]):
+        self.words = words
 
     @classmethod
     def of(cls, positions: np.ndarray) -> Bitmap:
         """positions: in order, each once."""
+        if not len(positions):
+            return cls({})
         at = positions >> 6
         new = np.flatnonzero(np.diff(at, prepend=-1))
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (positions & 63).astype(np.uint64), new) if len(new) else np.zeros(0, np.uint64)
-        return cls(at[new], bits)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (positions & 63).astype(np.uint64), new)
+        return cls(dict(zip(at[new].tolist(), bits.tolist())))
 
     def shifted(self) -> Bitmap:
         """Each position one further."""
-        up, carry = self.bits << np.uint64(1), self.bits >> np.uint64(63)
-        if carry.any():
-            over = np.flatnonzero(carry)
-            at = np.concatenate([self.at, self.at[over] + 1])
-            bits = np.concatenate([up, carry[over]])
-            order = np.argsort(at, kind="stable")
-            at, bits = at[order], bits[order]
-            new = np.flatnonzero(np.diff(at, prepend=-1))
-            return Bitmap(at[new], np.bitwise_or.reduceat(bits, new)).dense()
-        return Bitmap(self.at, up).dense()
-
-    def dense(self) -> Bitmap:
-        on = self.bits != 0
-        return self if on.all() else Bitmap(self.at[on], self.bits[on])
+        out: dict[int, int] = {}
+        for at, bits in self.words.items():
+            if bits >> 63:
+                out[at + 1] = out.get(at + 1, 0) | 1
+            bits = bits << 1 & 0xFFFFFFFFFFFFFFFF
+            if bits:
+                out[at] = out.get(at, 0) | bits
+        return Bitmap(out)
 
     def __and__(self, other: Bitmap) -> Bitmap:
-        a, b = (self, other) if len(self.at) <= len(other.at) else (other, self)
-        if not len(a.at):
-            return a
-        i = np.minimum(np.searchsorted(b.at, a.at), len(b.at) - 1)
-        return Bitmap(a.at, np.where(b.at[i] == a.at, a.bits & b.bits[i], np.uint64(0))).dense()
+        a, b = (self.words, other.words) if len(self.words) <= len(other.words) else (other.words, self.words)
+        get = b.get
+        return Bitmap({at: both for at, bits in a.items() if (both := bits & get(at, 0))})
+
+    def dealt(self, word: memoryview) -> dict[int, Bitmap]:
+        """ANDs with the bitmaps of all words that have a bit in common with this one, in one pass: as each position is in one
+        word's bitmap only, its bit goes to that word's AND and to no other's."""
+        out: dict[int, dict[int, int]] = {}
+        for p in self.positions():
+            bits = out.setdefault(word[p], {})
+            bits[p >> 6] = bits.get(p >> 6, 0) | 1 << (p & 63)
+        return {x: Bitmap(bits) for x, bits in out.items()}
+
+    def positions(self) -> Iterator[int]:
+        for at, bits in self.words.items():
+            while bits:
+                low = bits & -bits
+                yield (at << 6) + low.bit_length() - 1
+                bits ^= low
 
     def popcount(self) -> int:
-        return int(np.bitwise_count(self.bits).sum())
+        return sum(map(int.bit_count, self.words.values()))
 
 
 class Shard:
@@ -145,19 +159,17 @@ class Shard:
         return np.concatenate(self.parts) if self.parts else np.zeros(0, np.int32), np.array(self.hashes, dtype=np.uint64)
 
 
-def _bitmaps(at: np.ndarray, which: np.ndarray) -> Callable[[int], Bitmap]:
-    """The bitmaps of words that are in `which`, made when they are first asked for."""
-    spots = np.flatnonzero(which[at])
+def _bitmaps(at: np.ndarray, part: np.ndarray) -> Callable[[int], Bitmap]:
+    """The bitmaps of words over the positions in `part`, made when they are first asked for."""
+    spots = np.flatnonzero(part)
     spots = spots[np.argsort(at[spots], kind="stable")]
     words, begin = np.unique(at[spots], return_index=True)
     span = dict(zip(words.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(spots)])))
-    made: dict[int, Bitmap] = {}
 
+    @lru_cache(None)
     def bitmap(w: int) -> Bitmap:
-        if w not in made:
-            a, b = span[w]
-            made[w] = Bitmap.of(spots[a:b])
-        return made[w]
+        a, b = span[w]
+        return Bitmap.of(spots[a:b])
 
     return bitmap
 
@@ -180,30 +192,31 @@ def extended(at: np.ndarray, hashes: np.ndarray, frequent: BitFilter, most: int
         return
     alive = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
     alive = alive[frequent.has(pair_hashes(hashes[at[alive]], hashes[at[alive + 1]]))]
-    # only what another such pair follows at once can begin a phrase of three words
-    on = np.zeros(len(at) + 1, dtype=bool)
+    on = np.zeros(len(at), dtype=bool)
     on[alive] = True
-    used = np.zeros(len(hashes), dtype=bool)
-    used[at[alive]] = used[at[alive + 1]] = True
-    bitmap = _bitmaps(at, used)
-    couples = lambda spots: divmod(np.unique(at[spots].astype(np.int64) * len(hashes) + at[spots + 1]), len(hashes))
-    follow: dict[int, list[int]] = {}
-    middle = alive[on[alive - 1] & (alive > 0)]
-    for w, v in zip(*(x.tolist() for x in couples(middle))):
-        follow.setdefault(w, []).append(v)
+    part = on.copy()
+    part[alive + 1] = True
+    bitmap = _bitmaps(at, part)
+    # only what another such pair follows at once can begin a phrase of three words
     roots = alive[on[alive + 1]]
-    for w, v in zip(*(x.tolist() for x in couples(roots))):
-        stack = [((w, v), bitmap(w).shifted() & bitmap(v))]
+    couples = divmod(np.unique(at[roots].astype(np.int64) * len(hashes) + at[roots + 1]), len(hashes))
+    word, goes_on = memoryview(at), memoryview(on)
+    moved_word = lru_cache(1)(lambda w: bitmap(w).shifted())
+    for w, v in zip(*(x.tolist() for x in couples)):
+        stack = [((w, v), moved_word(w) & bitmap(v))]
         while stack:
             words, spots = stack.pop()
+            # words that follow in this shard; the others' bitmaps have nothing in common with this one
+            following = {word[p + 1] for p in spots.positions() if goes_on[p]}
+            if not following:
+                continue
             moved = spots.shifted()
-            for x in follow.get(words[-1], ()):
-                longer = moved & bitmap(x)
-                n = longer.popcount()
-                if n:
-                    yield (*words, x), n
-                    if len(words) + 1 < most:
-                        stack.append(((*words, x), longer))
+            each = {x: moved & bitmap(x) for x in following} if len(following) <= FEW else moved.dealt(word)
+            for x in following:
+                longer = each[x]
+                yield (*words, x), longer.popcount()
+                if len(words) + 1 < most:
+                    stack.append(((*words, x), longer))
 
 
 def _shards(batches: Iterator[pa.RecordBatch], words: BitFilter) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
