@@ -101,7 +101,7 @@ def parse_mrz(pages: DataFrame, text_col: str, as_of: dt.date, out: str = "mrz")
     known_codes = frozenset(names)
     hidden = [f"__{x}" for x in ("lines", "best", "parts", "decoded", "dates", "status", "judged")]
     df = pages.withColumn("__lines", mrz_lines(F.col(text_col)))
-    df = df.withColumn("__best", best_candidate_column(F.col("__lines"), as_of, known_codes))
+    df = df.withColumn("__best", best_candidate_column("__lines", as_of, known_codes))
     fmt, one, two = F.col("__best.format"), F.get("__best.lines", F.lit(0)), F.get("__best.lines", F.lit(1))
     parts = F.struct(
         _by_format(fmt, _cut(one, 5, 14), _cut(two, 0, 9)).alias("number"),
@@ -124,7 +124,7 @@ def parse_mrz(pages: DataFrame, text_col: str, as_of: dt.date, out: str = "mrz")
         document_type(F.regexp_replace(_cut(one, 0, 2), "<", "")).alias("kind"),
         F.regexp_replace(_cut(one, 2, 5), "<", "").alias("issuer"),
         F.regexp_replace(p["nation"], "<", "").alias("nation"),
-        composite_valid(fmt, one, two).alias("composite"),
+        F.col("__best.composite").alias("composite"),
     )
     df = df.withColumn("__decoded", F.when(fmt.isNotNull(), decoded))
     d = F.col("__decoded")

@@ -1,19 +1,16 @@
 """Readings of the lines of a machine-readable zone, and the best candidate among them.
 
-Repairing a separator depends on what stands in it, and a stretch that isn't repaired is still passed over, which no built-in
-expression can say; so this one step is an Arrow UDF. It gets only the few lines of a page that look like part of a zone.
-Lines are judged one by one before they are combined: a candidate's score is the sum of what its lines earn and a bonus.
+All of it is one expression of built-in functions, written as SQL: what formats, lines and checks differ in is data, so that each
+step stands in the plan once. Lines are judged one by one before they are combined: a candidate's score is the sum of what its
+lines earn and a bonus. The search is a fold over start lines and formats whose state is the best candidate so far; a format that
+can't beat it is not looked at, nor is a reading worked out for it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import re
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,250 +27,231 @@ DOCUMENT_TYPES = {
     "PT": ("TRAVEL_DOCUMENT", "TRAVEL_DOCUMENT"), "PR": ("TRAVEL_DOCUMENT", "REFUGEE"), "IP": ("IDENTITY_CARD", "PASSPORT_CARD"), "I": ("IDENTITY_CARD", "STANDARD"),
     "ID": ("IDENTITY_CARD", "STANDARD"), "C": ("IDENTITY_CARD", "STANDARD"), "A": ("IDENTITY_CARD", "STANDARD"), "V": ("VISA", "STANDARD"),
 }
-#: Fixed values, by format: width; points for document number, birth, expiry, composite, separator, countries alike; noise.
+#: Fixed values, by format: width; points for document number, birth, expiry, composite, separator, countries alike.
+#: Noise, wrong dates and fewer than two valid checks cost points too, but rule a candidate out in any case.
 FORMATS = {
-    "TD3": {"width": 44, "checks": (25, 25, 25, 30), "separator": 20, "alike": 30, "noise": -80},
-    "TD2": {"width": 36, "checks": (20, 20, 20, 25), "separator": 20, "alike": 30, "noise": -80},
-    "TD1": {"width": 30, "checks": (20, 20, 20, 25), "separator": 15, "alike": 0, "noise": -100},
+    "TD3": {"width": 44, "checks": (25, 25, 25, 30), "separator": 20, "alike": 30},
+    "TD2": {"width": 36, "checks": (20, 20, 20, 25), "separator": 20, "alike": 30},
+    "TD1": {"width": 30, "checks": (20, 20, 20, 25), "separator": 15, "alike": 0},
 }
-#: Points for shape, gender, and known type, issuing country and nationality; wrong dates; no valid check.
-SHAPE, GENDER, KNOWN, WRONG_DATE, NO_CHECK = 10, 5, 10, -40, -100
+#: Points for shape, gender, and known type, issuing country and nationality.
+SHAPE, GENDER, KNOWN = 10, 5, 10
 #: Least score by format, and the score from which an unknown type or country is let pass (never for TD1).
 LEAST = {"TD3": 70, "TD2": 70, "TD1": 80}
 LENIENT_FROM = 95
 
-#: The highest score of all formats.
-MOST = max(SHAPE + sum(f["checks"]) + f["separator"] + f["alike"] + GENDER + 3 * KNOWN for f in FORMATS.values())
+#: What OCR reads for digits, and the digits; where digits stand, by kind of line.
+DIGIT_FROM, DIGIT_TO = "OQDILBSZG<", "0001185260"
+SPANS = {
+    "TD3": ((9, 10), (13, 20), (21, 28), (43, 44)),
+    "TD2": ((9, 10), (13, 20), (21, 28), (35, 36)),
+    "TD1_1": ((14, 15),),
+    "TD1_2": ((0, 7), (8, 15), (29, 30)),
+}
 
-CANDIDATE = "struct<format:string,raw:array<string>,lines:array<string>,score:int,gen_ord:bigint,valid_checks:int>"
+CANDIDATE = "struct<format:string,raw:array<string>,lines:array<string>,score:int,gen_ord:bigint,valid_checks:int,composite:boolean>"
+_SPAN = "array<struct<a:int,b:int>>"
+_SUM = "array<struct<p:int,w:int>>"
+_CHECK = f"array<struct<sum:{_SUM},digit:int,points:int>>"
+_ROLE = f"struct<width:int,name:boolean,spans:{_SPAN},places:array<int>,realign:boolean,every:boolean>"
+_FORMAT = (
+    f"struct<name:string,count:int,most:int,least:int,strict:boolean,composite:int,alike:int,separator:int,roles:array<{_ROLE}>,"
+    f"checks:array<{_CHECK}>,parts:array<{_SUM}>,digit:int,nation:int,sex:int,birth:int,expiry:int>"
+)
 
-_TO_DIGIT = str.maketrans("OQDILBSZG<", "0001185260")
-_WORTH = {ch: i for i, ch in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
-_FILL = "<" * 30
 
+def _spans(kind: str) -> list[dict]:
+    return [{"a": a, "b": b} for a, b in SPANS[kind]]
 
-def force_digits(text: str) -> str:
-    return text.translate(_TO_DIGIT)
 
+def _role(fmt: str, line: int) -> dict:
+    """What the readings of a line follow from."""
+    width = FORMATS[fmt]["width"]
+    if (fmt, line) in (("TD3", 1), ("TD2", 1), ("TD1", 3)):
+        return {"width": width, "name": True, "spans": [], "places": [], "realign": False, "every": False}
+    if fmt == "TD1":
+        return {"width": width, "name": False, "spans": _spans(f"TD1_{line}"), "places": [*range(5, 15)] if line == 1 else [*range(7), *range(8, 15)], "realign": False, "every": False}
+    return {"width": width, "name": False, "spans": _spans(fmt), "places": [*range(10, 45 if fmt == "TD3" else 36)], "realign": True, "every": True}
 
-def fit(text: str, width: int) -> str:
-    return text[:width].ljust(width, "<")
 
+def _sum(*spans: tuple[int, int], after: int = 0) -> list[dict]:
+    """Places and weights of a check digit's field; after: so many places of it stand in the line before."""
+    places = [p for a, b in spans for p in range(a, b)]
+    return [{"p": p, "w": (7, 3, 1)[(after + i) % 3]} for i, p in enumerate(places)]
 
-def forced(text: str, width: int, spans: tuple[tuple[int, int], ...]) -> str:
-    """text at its width, with digits forced where spans say; a span beyond the end adds and is cut again."""
-    line = fit(text, width)
-    for a, b in spans:
-        line = line[:a] + force_digits(line[a:b])[: b - a].ljust(b - a, "<") + line[b:]
-    return fit(line, width)
 
+def _format(fmt: str) -> dict:
+    rule, end = FORMATS[fmt], FORMATS[fmt]["width"] - 1
+    number, birth, expiry, composite = rule["checks"]
+    checked = lambda a, b, points: {"sum": _sum((a, b)), "digit": b, "points": points}
+    if fmt == "TD1":
+        at = {"checks": [[checked(5, 14, number)], [checked(0, 6, birth), checked(8, 14, expiry)]], "parts": [_sum((5, 30)), _sum((0, 7), (8, 15), (18, 29), after=25)], "nation": 15, "sex": 7, "birth": 0, "expiry": 8}
+    else:
+        at = {"checks": [[], [checked(0, 9, number), checked(13, 19, birth), checked(21, 27, expiry)]], "parts": [[], _sum((0, 10), (13, 20), (21, end))], "nation": 10, "sex": 20, "birth": 13, "expiry": 21}
+    lines = 3 if fmt == "TD1" else 2
+    most = SHAPE + sum(rule["checks"]) + rule["separator"] + rule["alike"] + GENDER + 3 * KNOWN
+    return at | {"name": fmt, "count": lines, "most": most, "least": LEAST[fmt], "strict": fmt == "TD1", "composite": composite, "alike": rule["alike"], "separator": rule["separator"], "roles": [_role(fmt, i + 1) for i in range(lines)], "digit": end}
 
-#: Where digits stand, by kind of line.
-SPANS = {
-    "TD3": ((9, 10), (13, 20), (21, 28), (43, 44)),
-    "TD2": ((9, 10), (13, 20), (21, 28), (35, 36)),
-    "TD1_1": ((14, 15),),
-    "TD1_2": ((0, 7), (8, 15), (29, 30)),
-}
+
+# pieces of SQL; each takes and gives the text of an expression
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """body, in which name stands for value, which is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _replaced(text: str, *steps: tuple[str, str]) -> str:
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{by}')"
+    return text
+
+
+def _constant(value, kind: str) -> str:
+    return f"from_json('{json.dumps(value)}', '{kind}')"
+
+
+#: Letters that OCR reads for fillers between names, in a class.
+_RUN = "[<KLISZC]"
+_END = r"\\z"
 
 
-def separated(zone: str, mode: str) -> str:
+def between_sql(zone: str, aggressive: str) -> str:
+    """A zone whose misread separators between two letters are repaired.
+
+    A machine over stretches of possible filler and of other letters. Its state is what is settled, the letter that a separator
+    may follow, and the filler since then. When a letter ends two or more of filler, the stretch is either repaired or stands as
+    it is; both ends of it are passed over either way. Filler at the end of the zone ends with its last letter.
+    """
+    state = "cast(named_struct('done', {}, 'first', {}, 'run', {}) as struct<done:string,first:string,run:string>)"
+    real = lambda run: f"(contains({run}, '<') OR NOT contains({run}, 'C') OR {run} RLIKE '^C{{3,}}{_END}' OR ({aggressive} AND length({run}) >= 4))"
+    mended = lambda run: f"if({real(run)}, '<<', {run})"
+    opens = let_sql("length(regexp_extract(t, '^<*', 0))", "n", state.format("concat(s.done, left(t, n))", "substr(t, n + 1, 1)", "substr(t, n + 2)"))
+    step = f"""CASE WHEN t RLIKE '^{_RUN}' THEN if(s.first <> '', {state.format("s.done", "s.first", "t")}, {opens})
+      WHEN length(s.run) >= 2 THEN {state.format(f"concat(s.done, s.first, {mended('s.run')}, left(t, greatest(length(t) - 1, 1)))", "if(length(t) > 1, right(t, 1), '')", "''")}
+      ELSE {state.format("concat(s.done, s.first, s.run, left(t, length(t) - 1))", "right(t, 1)", "''")} END"""
+    last = f"'^(.{{2,}})([KLISZC])(<*){_END}'"
+    cut = let_sql(f"regexp_extract(s.run, {last}, 1)", "m", f"concat({mended('m')}, substr(s.run, length(m) + 1))")
+    end = f"concat(s.done, s.first, if(s.run RLIKE {last}, {cut}, s.run))"
+    return f"aggregate(regexp_extract_all({zone}, '{_RUN}+|[^<KLISZC]+', 0), {state.format(chr(39) * 2, chr(39) * 2, chr(39) * 2)}, (s, t) -> {step}, s -> {end})"
+
+
+def separated_sql(zone: str, aggressive: str) -> str:
     """A name zone whose separators were misread as filler letters."""
-    zone = re.sub("[^A-Z<]", "", zone)
-    for p in ("<{3,}", "[KLISZ]{3,}", "C{3,}"):
-        zone = re.sub(p, "<<", zone)
-    zone = re.sub("<([KLISZC])<C?([KLISZC]){2,}([A-Z]{2,})", r"<<\2\3", zone)
-    zone = re.sub("<C?([KLISZC]){2,}([A-Z]{2,})", r"<<\1\2", zone)
-
-    def between(m: re.Match) -> str:
-        sep = m[2]
-        real = "<" in sep or "C" not in sep or (set(sep) == {"C"} and len(sep) >= 3) or (mode == "aggressive" and len(sep) >= 4)
-        return f"{m[1]}<<{m[3]}" if real else m[0]
-
-    zone = re.sub("([A-Z])([<KLISZC]{2,})([A-Z])", between, zone)
-    return re.sub("<{3,}", "<<", re.sub(r"[<KLISZC]{7,}\Z", _FILL, zone))
-
-
-def conservative(zone: str) -> str:
-    for p in ("<{3,}", "[KLISZ]{3,}", "C{4,}"):
-        zone = re.sub(p, "<<", zone)
-    return re.sub(r"[<KLISZC]{8,}\Z", _FILL, zone)
-
-
-def name_line(raw: str, width: int) -> list[str]:
-    out = [fit(raw, width)]
-    if len(raw) >= 5:
-        out += [fit(raw[:5] + z, width) for z in (separated(raw[5:], "balanced"), conservative(raw[5:]), separated(raw[5:], "aggressive"))]
-    return out
-
-
-def without(raw: str, i: int) -> str:
-    return raw[:i] + raw[i + 1 :]
-
-
-def _deletions(raw: str, width: int, places: range | tuple[int, ...]):
-    if len(raw) > width:
-        for i in places:
-            if i < len(raw):
-                cut = without(raw, i)
-                yield fit(cut, width)
-                yield forced(cut, width, SPANS["TD3"])
-                yield forced(cut, width, SPANS["TD2"])
-
-
-def _data_line(raw: str, width: int, fmt: str):
-    yield fit(raw, width)
-    yield forced(raw, width, SPANS[fmt])
-    if len(raw) > width:
-        if re.match(r"[A-Z]{4}[0-9OBISZGL]{6}", raw[10:20]):
-            yield forced(without(raw, 13), width, SPANS[fmt])
-        for i in range(13, 17):
-            cut = without(raw, i)
-            if re.fullmatch("[A-Z]{3}", cut[10:13]) and re.fullmatch("[0-9]{6}", force_digits(cut[13:19])):
-                yield forced(cut, width, SPANS[fmt])
-    yield from _deletions(raw, width, range(10, 45 if fmt == "TD3" else 36))
-    if len(raw) > width:
-        for i in range(len(raw)):
-            yield forced(without(raw, i), width, SPANS[fmt])
-
-
-def line_variants(raw: str, role: str) -> Iterator[str]:
-    """Distinct readings of a line in the order they are tried, MAX_LINE_VARIANTS at most. role: TD3_LINE1 and so on."""
-    fmt, place = role.split("_LINE")
-    width = FORMATS[fmt]["width"]
-    if (fmt, place) in (("TD3", "1"), ("TD2", "1"), ("TD1", "3")):
-        made = name_line(raw, width)
-    elif fmt != "TD1":
-        made = _data_line(raw, width, fmt)
-    elif place == "1":
-        made = chain((fit(raw, width), forced(raw, width, SPANS["TD1_1"])), _deletions(raw, width, range(5, 15)))
+    opened = _replaced(zone, ("[^A-Z<]", ""), ("<{3,}", "<<"), ("[KLISZ]{3,}", "<<"), ("C{3,}", "<<"), ("<([KLISZC])<C?([KLISZC]){2,}([A-Z]{2,})", "<<$2$3"), ("<C?([KLISZC]){2,}([A-Z]{2,})", "<<$1$2"))
+    return _replaced(between_sql(opened, aggressive), (f"{_RUN}{{7,}}{_END}", "<" * 30), ("<{3,}", "<<"))
+
+
+def conservative_sql(zone: str) -> str:
+    return _replaced(zone, ("<{3,}", "<<"), ("[KLISZ]{3,}", "<<"), ("C{4,}", "<<"), (f"{_RUN}{{8,}}{_END}", "<" * 30))
+
+
+def _fit(text: str, width: str) -> str:
+    return f"rpad({text}, {width}, '<')"
+
+
+def _digits(text: str) -> str:
+    return f"translate({text}, '{DIGIT_FROM}', '{DIGIT_TO}')"
+
+
+def _forced(text: str, width: str, spans: str) -> str:
+    """text at its width, with digits where spans say."""
+    return f"aggregate({spans}, {_fit(text, width)}, (x, p) -> concat(left(x, p.a), {_digits('substr(x, p.a + 1, p.b - p.a)')}, substr(x, p.b + 1)))"
+
+
+def readings_sql(raw: str, role: str) -> str:
+    """Distinct readings of a line in the order they are tried, MAX_LINE_VARIANTS at most. raw, role: names."""
+    names = f"transform(array(0, 1, 2), m -> concat(left({raw}, 5), if(m = 1, {conservative_sql(f'substr({raw}, 6)')}, {separated_sql(f'substr({raw}, 6)', 'm = 2')})))"
+    name_line = f"transform(if(length({raw}) >= 5, concat(array({raw}), {names}), array({raw})), x -> {_fit('x', f'{role}.width')})"
+    spans = {k: _constant(_spans(k), _SPAN) for k in ("TD3", "TD2")}
+    plain = f"cast(null as {_SPAN})"
+    pair = lambda text, how: f"named_struct('t', {text}, 's', {how})"
+    cut = lambda i: f"concat(left({raw}, {i}), substr({raw}, {i} + 2))"
+    none = f"cast(array() as array<struct<t:string,s:{_SPAN}>>)"
+    moved = f"if(substr({raw}, 11, 10) RLIKE '^[A-Z]{{4}}[0-9OBISZGL]{{6}}', array({pair(cut('13'), f'{role}.spans')}), {none})"
+    shifted = f"transform(filter(transform(array(13, 14, 15, 16), i -> {cut('i')}), c -> substr(c, 11, 3) RLIKE '^[A-Z]{{3}}{_END}' AND {_digits('substr(c, 14, 6)')} RLIKE '^[0-9]{{6}}{_END}'), c -> {pair('c', f'{role}.spans')})"
+    each = f"array({pair('c', plain)}, {pair('c', spans['TD3'])}, {pair('c', spans['TD2'])})"
+    deleted = f"flatten(transform(filter({role}.places, i -> i < length({raw})), i -> {let_sql(cut('i'), 'c', each)}))"
+    every = f"if({role}.every, transform(sequence(0, length({raw}) - 1), i -> {pair(cut('i'), f'{role}.spans')}), {none})"
+    longer = f"concat(if({role}.realign, concat({moved}, {shifted}), {none}), {deleted}, {every})"
+    tried = f"concat(array({pair(raw, plain)}, {pair(raw, f'{role}.spans')}), if(length({raw}) > {role}.width, {longer}, {none}))"
+    data_line = f"transform({tried}, v -> if(v.s IS NULL, {_fit('v.t', f'{role}.width')}, {_forced('v.t', f'{role}.width', 'v.s')}))"
+    return f"slice(array_distinct(if({role}.name, {name_line}, {data_line})), 1, {MAX_LINE_VARIANTS})"
+
+
+def _at(text: str, begin: str, n: int) -> str:
+    return f"substr({text}, {begin} + 1, {n})"
+
+
+def _known(code: str, known: str) -> str:
+    return f"contains('{known}', concat(',', {code}, ','))"
+
+
+def _summed(of: str) -> str:
+    return f"aggregate({of}, 0, (a, q) -> a + greatest(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(x, q.p + 1, 1)) - 1, 0) * q.w)"
+
+
+def _judged(line: int, known: str) -> str:
+    """What a reading x of a line earns by itself: struct of points, valid checks, part of the composite sum, country, and
+    whether what must be known is known. f, i: the format, and the reading's place."""
+    valid = f"filter(f.checks[{line}], c -> substr(x, c.digit + 1, 1) = cast({_summed('c.sum')} % 10 as string))"
+    if line == 0:
+        types = "," + ",".join(DOCUMENT_TYPES) + ","
+        code = "replace(left(x, 2), '<', '')"
+        kind = f"({_known(code, types)} OR {_known(f'left({code}, 1)', types)})"
+        country = "replace(substr(x, 3, 3), '<', '')"
+        issuer = _known(country, known)
+        points = f"if({kind}, {KNOWN}, 0) + if({issuer}, {KNOWN}, 0) + if(f.count = 2 AND contains(x, '<<'), f.separator, 0)"
+        sure = f"{kind} AND {issuer}"
     else:
-        made = chain((fit(raw, width), forced(raw, width, SPANS["TD1_2"])), _deletions(raw, width, (*range(7), *range(8, 15))))
-    seen: set[str] = set()
-    for reading in made:
-        if reading not in seen:
-            seen.add(reading)
-            yield reading
-            if len(seen) == MAX_LINE_VARIANTS:
-                return
-
-
-class Replay:
-    """What an iterator gives, worked out as far as it is asked for, any number of times."""
-
-    def __init__(self, made: Iterator[str]):
-        self.made, self.seen = made, []
-
-    def __iter__(self) -> Iterator[str]:
-        i = 0
-        while True:
-            if i == len(self.seen):
-                more = next(self.made, None)
-                if more is None:
-                    return
-                self.seen.append(more)
-            yield self.seen[i]
-            i += 1
-
-
-def check(field: str, digit: str) -> bool:
-    return digit not in ("", "<") and str(sum((7, 3, 1)[i % 3] * _WORTH.get(ch, 0) for i, ch in enumerate(field)) % 10) == digit
-
-
-def _real(year: int, month: str, day: str) -> bool:
-    try:
-        dt.date(year, int(month), int(day))
-    except ValueError:
-        return False
-    return True
-
-
-def dates_ok(birth: str, expiry: str, year: int) -> bool:
-    yy = int(birth[:2])
-    born = (1900 if yy > year % 100 else 2000) + yy
-    ends = year // 100 * 100 + int(expiry[:2])
-    ends += 100 if ends < year - 5 else 0
-    return 1900 <= born <= year and year - 30 <= ends <= year + 30 and _real(born, birth[2:4], birth[4:6]) and _real(ends, expiry[2:4], expiry[4:6])
-
-
-def document_type(code: str) -> tuple[str, str]:
-    return DOCUMENT_TYPES.get(code) or DOCUMENT_TYPES.get(code[:1]) or ("UNKNOWN", "UNKNOWN")
-
-
-def _known(code: str, known: frozenset[str]) -> bool:
-    return re.sub("[^A-Z]", "", code) in known
-
-
-_OPENS = re.compile("[A-Z][A-Z<][A-Z]{3}")
-
-
-def _digits(text: str) -> bool:
-    return len(text) == 6 and text.isascii() and text.isdigit()
-
-
-def candidates(lines: list[str], year: int, known: frozenset[str]):
-    """All acceptable candidates, in order of generation: (format, raw, lines, score, ordinal, valid checks)."""
-    ordinal = 0
-    variants = lru_cache(None)(lambda raw, role: Replay(line_variants(raw, role)))
-    for i in range(len(lines)):
-        raw = [lines[i], lines[i + 1] if i + 1 < len(lines) else "", lines[i + 2] if i + 2 < len(lines) else ""]
-        for fmt, count in (("TD3", 2), ("TD2", 2), ("TD1", 3)):
-            rule, own = FORMATS[fmt], raw[:count]
-            noise = any(w in " ".join(own) for w in NOISE_WORDS)
-            firsts = Replay(v for v in variants(own[0], f"{fmt}_LINE1") if _OPENS.match(v))
-            birth, expiry = ((0, 6), (8, 14)) if fmt == "TD1" else ((13, 19), (21, 27))
-            dated_line = lambda v, b=birth, e=expiry: _digits(v[b[0] : b[1]]) and _digits(v[e[0] : e[1]])
-            seconds = Replay(filter(dated_line, variants(own[1], f"{fmt}_LINE2")))
-            thirds = variants(own[2], "TD1_LINE3") if count == 3 else (None,)
-            for one in firsts:
-                kind, issuer = document_type(one[:2].replace("<", ""))[0], one[2:5].replace("<", "")
-                for two in seconds:
-                    if fmt == "TD1":
-                        number, nation, sex = check(one[5:14], one[14]), two[15:18].replace("<", ""), two[7]
-                        whole = check(one[5:30] + two[:7] + two[8:15] + two[18:29], two[29])
-                    else:
-                        end = rule["width"] - 1
-                        number, nation, sex = check(two[:9], two[9]), two[10:13].replace("<", ""), two[20]
-                        whole = check(two[:10] + two[13:20] + two[21:end], two[end])
-                    checks = (number, check(two[birth[0] : birth[1]], two[birth[1]]), check(two[expiry[0] : expiry[1]], two[expiry[1]]), whole)
-                    valid, dated = sum(checks), dates_ok(two[birth[0] : birth[1]], two[expiry[0] : expiry[1]], year)
-                    alike = bool(issuer) and issuer == nation
-                    score = SHAPE + sum(p for p, ok in zip(rule["checks"], checks) if ok) + GENDER * (sex in "MFX<") + KNOWN * ((kind != "UNKNOWN") + (issuer in known) + _known(nation, known))
-                    score += rule["alike"] * alike + (0 if dated else WRONG_DATE) + (rule["noise"] if noise else 0) + (0 if valid else NO_CHECK)
-                    for three in thirds:
-                        ordinal += 1
-                        total = max(0, score + rule["separator"] * ("<<" in (one if three is None else three)))
-                        if noise or not dated or valid < 2 or total < LEAST[fmt]:
-                            continue
-                        strange = kind == "UNKNOWN" or issuer not in known
-                        if strange and (fmt == "TD1" or total < LENIENT_FROM) or fmt == "TD1" and not _known(nation, known):
-                            continue
-                        yield fmt, own, [one, two] if three is None else [one, two, three], total, ordinal, valid
-
-
-def best_candidate(lines: list[str], year: int, known: frozenset[str]) -> tuple | None:
-    """The acceptable candidate with the highest score; of equal scores the first generated.
-
-    None scores more than MOST, so that the first that does ends the search.
-    """
-    best = None
-    for c in candidates(lines, year, known):
-        if best is None or c[3] > best[3]:
-            best = c
-            if c[3] >= MOST:
-                break
-    return best
-
-
-def best_candidate_column(lines: Column, as_of: dt.date, known: frozenset[str]) -> Column:
-    """best_candidate as a column (CANDIDATE), null where there is none."""
-    year = as_of.year
-    names = ("format", "raw", "lines", "score", "gen_ord", "valid_checks")
-
-    @F.pandas_udf(CANDIDATE)
-    def pick(column: pd.Series) -> pd.DataFrame:
-        found = [best_candidate(list(x), year, known) if x is not None and len(x) else None for x in column]
-        return pd.DataFrame([dict(zip(names, c)) if c else dict.fromkeys(names) for c in found], columns=list(names))
-
-    picked = pick(lines)
-    return F.when(picked["format"].isNotNull(), picked)
+        country = f"replace({_at('x', 'f.nation', 3)}, '<', '')"
+        sure = _known(f"regexp_replace({country}, '[^A-Z]', '')", known)
+        points = f"if({sure}, {KNOWN}, 0) + if({_at('x', 'f.sex', 1)} IN ('M', 'F', 'X', '<'), {GENDER}, 0)"
+    of_checks = f"aggregate(v, {points}, (a, c) -> a + c.points)"
+    return let_sql(valid, "v", f"named_struct('x', x, 'i', i, 'points', {of_checks}, 'valid', size(v), 'part', {_summed(f'f.parts[{line}]')}, 'country', {country}, 'sure', {sure})")
+
+
+def _dated(year: int) -> str:
+    """Whether a reading x holds a birth and an expiry that can be. Both are six digits."""
+    born = "cast(substr(x, f.birth + 1, 2) as int)"
+    ends = f"({year // 100 * 100} + cast(substr(x, f.expiry + 1, 2) as int))"
+    both = f"array(named_struct('y', if({born} > {year % 100}, 1900, 2000) + {born}, 'd', {_at('x', 'f.birth', 6)}, 'low', 1900, 'high', {year}), named_struct('y', if({ends} < {year - 5}, 100, 0) + {ends}, 'd', {_at('x', 'f.expiry', 6)}, 'low', {year - 30}, 'high', {year + 30}))"
+    return f"forall({both}, d -> d.y BETWEEN d.low AND d.high AND try_to_date(concat(cast(d.y as string), substr(d.d, 3)), 'yyyyMMdd') IS NOT NULL)"
+
+
+def best_candidate_sql(lines: str, year: int, known: frozenset[str]) -> str:
+    """The acceptable candidate (CANDIDATE) with the highest score among those of `lines`; of equal scores the first generated.
+    Null where there is none."""
+    codes = "," + ",".join(sorted(known)) + ","
+    digits = lambda at: f"{_at('x', at, 6)} RLIKE '^[0-9]{{6}}{_END}'"
+    read = f"transform(sequence(0, f.count - 1), n -> {let_sql('named_struct(' + chr(39) + 'raw' + chr(39) + ', own[n], ' + chr(39) + 'role' + chr(39) + ', f.roles[n])', 'l', readings_sql('l.raw', 'l.role'))})"
+    firsts = f"transform(filter(transform(r[0], (x, i) -> struct(x, i)), y -> y.x RLIKE '^[A-Z][A-Z<][A-Z]{{3}}'), y -> {_pairwise('y', _judged(0, codes))})"
+    seconds = f"transform(filter(transform(r[1], (x, i) -> struct(x, i)), y -> {_pairwise('y', f'{digits('f.birth')} AND {digits('f.expiry')} AND {_dated(year)}')}), y -> {_pairwise('y', _judged(1, codes))})"
+    # the reading of a third line matters only by its separator: the first that has one, else the first
+    third = "if(f.count = 3, coalesce(filter(transform(r[2], (x, i) -> struct(x, i)), y -> contains(y.x, '<<'))[0], named_struct('x', r[2][0], 'i', 0)), cast(null as struct<x:string,i:int>))"
+    whole = "substr(two.x, f.digit + 1, 1) = cast((one.part + two.part) % 10 as string)"
+    score = f"{SHAPE} + one.points + two.points + if(whole, f.composite, 0) + if(one.country <> '' AND one.country = two.country, f.alike, 0) + if(coalesce(contains(p.third.x, '<<'), false), f.separator, 0)"
+    fine = f"score > b.score AND score >= f.least AND one.valid + two.valid + cast(whole as int) >= 2 AND (one.sure OR (NOT f.strict AND score >= {LENIENT_FROM})) AND (two.sure OR NOT f.strict)"
+    lines_read = "if(p.third IS NULL, array(one.x, two.x), array(one.x, two.x, p.third.x))"
+    order = f"((cast(k as bigint) * {MAX_LINE_VARIANTS} + one.i) * {MAX_LINE_VARIANTS} + two.i) * {MAX_LINE_VARIANTS} + coalesce(p.third.i, 0)"
+    made = f"cast(named_struct('format', f.name, 'raw', own, 'lines', {lines_read}, 'score', score, 'gen_ord', {order}, 'valid_checks', one.valid + two.valid + cast(whole as int), 'composite', whole) as {CANDIDATE})"
+    better = let_sql(whole, "whole", let_sql(score, "score", f"if({fine}, {made}, b)"))
+    pairs = f"aggregate(p.firsts, best, (a, one) -> aggregate(p.seconds, a, (b, two) -> {better}))"
+    search = let_sql(read, "r", let_sql(f"named_struct('firsts', {firsts}, 'seconds', {seconds}, 'third', {third})", "p", pairs))
+    noisy = f"concat_ws(' ', own) RLIKE '{'|'.join(NOISE_WORDS)}'"
+    own = "transform(sequence(0, f.count - 1), n -> coalesce(get(z, k div 3 + n), ''))"
+    step = let_sql("formats[k % 3]", "f", f"if(best.score >= f.most, best, {let_sql(own, 'own', f'if({noisy}, best, {search})')})")
+    nothing = f"cast(named_struct('format', null, 'raw', null, 'lines', null, 'score', 0, 'gen_ord', null, 'valid_checks', null, 'composite', null) as {CANDIDATE})"
+    folded = f"aggregate(sequence(0, 3 * size(z) - 1), {nothing}, (best, k) -> {step}, best -> if(best.format IS NULL, cast(null as {CANDIDATE}), best))"
+    formats = _constant([_format(x) for x in ("TD3", "TD2", "TD1")], f"array<{_FORMAT}>")
+    return f"if(size({lines}) > 0, {let_sql(formats, 'formats', let_sql(lines, 'z', folded))}, cast(null as {CANDIDATE}))"
+
+
+def _pairwise(y: str, body: str) -> str:
+    """body, which names x and i, of a struct y of both."""
+    return let_sql(f"{y}.x", "x", let_sql(f"{y}.i", "i", body))
+
+
+def best_candidate_column(lines: str, as_of: dt.date, known: frozenset[str]) -> Column:
+    """best_candidate_sql as a column. lines: the name of an array of lines."""
+    return F.expr(best_candidate_sql(lines, as_of.year, known))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import checkdigit as cd
 from papyra.functions.names import parse_name
-from papyra.operators import mrz
+from papyra.operators import mrz, variants
 from papyra.operators.primary import read_visible
 from papyra.operators.specialised import read_schengen, read_uae
 
@@ -187,6 +187,42 @@ FROM p
 # specialised readers: both sides match patterns against the same text
 
 
+# separators of name zones, over zones whose letters follow from a digest of the key
+
+_LETTERS = "AB<KLISZCCKKE<RN"
+_MODES = ("balanced", "conservative", "aggressive")
+
+
+def separator_repairs(spark, sf):
+    """Name zones repaired in three modes, each as the first line of three formats."""
+    zone = F.translate(F.md5(_k().cast("string").cast("binary")), "0123456789abcdef", _LETTERS)
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(_k(), zone.alias("zone"))
+    made = {"balanced": variants.separated_sql("zone", "false"), "conservative": variants.conservative_sql("zone"), "aggressive": variants.separated_sql("zone", "true")}
+    c = c.select("c_custkey", "zone", *[F.expr(made[m]).alias(m) for m in _MODES])
+    lines = lambda m: F.concat_ws("|", *[F.rpad(F.concat(F.lit("P<UTO"), F.col(m)), f["width"], "<") for f in variants.FORMATS.values()])
+    return c.select("c_custkey", "zone", *[lines(m).alias(m) for m in _MODES])
+
+
+def _steps_sql(x: str, *steps: tuple[str, str]) -> str:
+    for pattern, by in steps:
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x
+
+
+_OPENED = _steps_sql("zone", ("<{3,}", "<<"), ("[KLISZ]{3,}", "<<"), ("C{3,}", "<<"), ("<([KLISZC])<C?([KLISZC]){2,}([A-Z]{2,})", r"<<\2\3"), ("<C?([KLISZC]){2,}([A-Z]{2,})", r"<<\1\2"))
+# stretches are put in braces first, and then those that are repaired are replaced
+_MARKED = _steps_sql("opened", ("([A-Z])([<KLISZC]{2,})([A-Z])", r"\1{\2}\3"))
+_REAL = ((r"\{[<KLISZ]+\}", "<<"), (r"\{[KLISZC]*<[<KLISZC]*\}", "<<"), (r"\{C{3,}\}", "<<"))
+_CLOSED = ((r"[{}]", ""), ("[<KLISZC]{7,}$", "<" * 30), ("<{3,}", "<<"))
+SEPARATOR_REPAIRS = f"""
+WITH z AS (SELECT c_custkey, translate(md5(CAST(c_custkey AS VARCHAR)), '0123456789abcdef', '{_LETTERS}') AS zone FROM customer),
+o AS (SELECT *, {_OPENED} AS opened FROM z),
+m AS (SELECT *, {_MARKED} AS marked FROM o),
+r AS (SELECT *, {_steps_sql("marked", *_REAL, *_CLOSED)} AS b, {_steps_sql("zone", ("<{3,}", "<<"), ("[KLISZ]{3,}", "<<"), ("C{4,}", "<<"), ("[<KLISZC]{8,}$", "<" * 30))} AS c, {_steps_sql("marked", *_REAL, (r"[{][<KLISZC]{4,}[}]", "<<"), *_CLOSED)} AS a FROM m)
+SELECT c_custkey, zone, {", ".join("concat_ws('|', " + ", ".join(f"rpad('P<UTO' || {x}, {f['width']}, '<')" for f in variants.FORMATS.values()) + f") AS {m}" for x, m in zip("bca", _MODES))} FROM r
+"""
+
+
 def _day() -> Column:
     return F.concat(_two(1 + _k() % 28), F.lit("/"), _two(1 + _k() % 12), F.lit("/"), (2025 + _k() % 4).cast("string"))
 
@@ -328,6 +364,7 @@ SELECT k AS c_custkey, surname, given AS given_names, trim(given || ' ' || surna
 """
 
 QUERIES = {
+    "separator_repairs": (separator_repairs, SEPARATOR_REPAIRS),
     "mrz_formats": (mrz_formats, MRZ_FORMATS),
     "mrz_candidates": (mrz_candidates, MRZ_CANDIDATES),
     "name_zones": (name_zones, NAME_ZONES),

@@ -1,6 +1,8 @@
 """The engine on published specimens and rows derived by hand."""
 
 import datetime as dt
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from papyra.operators.primary import read_primary, read_visible
 from papyra.operators.secondary import read_secondary
 from papyra.operators.specialised import read_schengen, read_uae
 from papyra.plans.verify import run
+from tests import zones_by_hand
 
 THEN, NOW = dt.date(2016, 1, 1), dt.date(2026, 11, 26)
 LINE1 = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<"
@@ -99,14 +102,78 @@ def test_corrected_number_has_no_verdict(spark):
     assert (p.checkDocumentNumber, p.checkComposite, p.checkAllValid) == ("", "FAIL", "")
 
 
-def test_variants_keep_their_order_and_number():
+def readings(spark, raw, fmt, line):
+    role = variants._constant(variants._role(fmt, line), variants._ROLE)
+    return value(spark, F.expr(variants.let_sql(f"named_struct('raw', '{raw}', 'role', {role})", "l", variants.readings_sql("l.raw", "l.role"))))
+
+
+def test_variants_keep_their_order_and_number(spark):
     raw = "L8989O2C36UTO7408122F3104150ZE184226B<<<<<16"
-    got = list(variants.line_variants(raw, "TD2_LINE2"))
+    got = readings(spark, raw, "TD2", 2)
     assert len(got) == 32 and len(set(got)) == 32 and got[0] == raw[:36]
     assert "L8989O2C36UTO7408122F3104150ZE184268" not in got
-    assert list(variants.line_variants("", "TD3_LINE2")) == ["<" * 44, variants.forced("", 44, variants.SPANS["TD3"])]
-    names = list(variants.line_variants(LINE1, "TD3_LINE1"))
+    assert readings(spark, "", "TD3", 2) == ["<" * 44, zones_by_hand.forced("", 44, variants.SPANS["TD3"])]
+    names = readings(spark, LINE1, "TD3", 1)
     assert names[0] == LINE1 and any("ER<<ON" in n for n in names[1:])
+    for text in (raw, LINE1, "I<UTOD231458907<<<<<<<<<<<<<<<X", "7408122F12O4159UTO<<<<<<<<<<<<6", "AB", "", raw + "00"):
+        for fmt, line in (("TD3", 1), ("TD3", 2), ("TD2", 1), ("TD2", 2), ("TD1", 1), ("TD1", 2), ("TD1", 3)):
+            assert readings(spark, text, fmt, line) == list(zones_by_hand.line_variants(text, f"{fmt}_LINE{line}")), (text, fmt, line)
+
+
+def test_separators_equal_the_expressions_by_hand(spark):
+    rng = random.Random(5)
+    zones = ["".join(rng.choice("AB<KLISZCCKKX<Z") for _ in range(rng.randrange(40))) for _ in range(1500)]
+    zones += ["", "A", "<<", "AKK", "AKKB", "ACCB", "ACCCB", "ACCCCB", "A<CB", "AKCB<", "ACCK<<", "AKKBKKC", "KKKK", "C" * 9, "AB" + "<" * 9, "A1KKB"]
+    rows = spark.createDataFrame([(z,) for z in zones], "z string").select("z", *[F.expr(variants.separated_sql("z", a)).alias(m) for a, m in (("false", "balanced"), ("true", "aggressive"))], F.expr(variants.conservative_sql("z")).alias("conservative"))
+    for r in rows.collect():
+        assert (r.balanced, r.aggressive, r.conservative) == (zones_by_hand.separated(r.z, "balanced"), zones_by_hand.separated(r.z, "aggressive"), zones_by_hand.conservative(r.z)), r.z
+
+
+def digit(field):
+    return str(sum((7, 3, 1)[i % 3] * "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".find(ch) * (ch != "<") for i, ch in enumerate(field)) % 10)
+
+
+def random_zone(rng):
+    """Lines of a zone in one of the formats, with up to two characters changed, added or lost in each."""
+    number, birth, expiry = "".join(rng.choice("ABL0O1I89S") for _ in range(9)), rng.choice(["740812", "990101", "010203", "741331"]), rng.choice(["310415", "280101", "190101"])
+    nation = rng.choice(["UTO", "GBR", "D<<", "QQQ"])
+    issuer, sex = rng.choice([nation, nation, "USA"]), rng.choice("MFX<Z")
+    name = rng.choice(["ERIKSSON<<ANNA<MARIA", "SMITH<JOHN", "KLKL<<ANNA", "DOKKANNA", "DATE<<X", "A<<B", "SCCHMIDT<<C", "SMITHCCJO"])
+    fmt = rng.choice(["TD3", "TD2", "TD1"])
+    if fmt == "TD1":
+        one = rng.choice(["I<", "ID", "Q<"]) + issuer + number + digit(number) + "Z12".ljust(15, "<")
+        two = birth + digit(birth) + sex + expiry + digit(expiry) + nation + "<" * 11
+        lines = [one, two + digit(one[5:30] + two[:7] + two[8:15] + two[18:29]), name.ljust(30, "<")]
+    else:
+        width = 44 if fmt == "TD3" else 36
+        two = (number + digit(number) + nation + birth + digit(birth) + sex + expiry + digit(expiry) + "ZE184").ljust(width - 1, "<")
+        lines = [(rng.choice(["P<", "V<", "XX"]) + issuer + name).ljust(width, "<"), two + digit(two[:10] + two[13:20] + two[21 : width - 1])]
+    out = []
+    for line in lines:
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            i, k = rng.randrange(len(line)), rng.randrange(3)
+            line = line[:i] + (rng.choice("O0I1BSZK<9A") if k < 2 else "") + line[i + (k != 0) :]
+        out.append(line)
+    return out
+
+
+def test_best_candidates_equal_all_tried_by_hand(spark):
+    rng = random.Random(7)
+    zones = [[], [""], ["P<UTOABC<<" * 4]]
+    for _ in range(400):
+        lines = random_zone(rng)
+        zones.append(["P<UTOABC<<" * 4, *lines] if rng.random() < 0.2 else lines[:1] if rng.random() < 0.05 else lines)
+    known = frozenset(country_names(spark))
+    rows = spark.createDataFrame(list(enumerate(zones)), "i int, z array<string>").repartition(4)
+    found = {r.i: r.c for r in rows.select("i", variants.best_candidate_column("z", NOW, known).alias("c")).collect()}
+    formats = Counter()
+    for i, zone in enumerate(zones):
+        want, got = zones_by_hand.best_candidate(zone, NOW.year, known), found[i]
+        formats[want and want[0]] += 1
+        assert (want is None) == (got is None), zone
+        if want:
+            assert (got.format, got.raw, got.lines, got.score, got.valid_checks) == (want[0], list(want[1]), want[2], want[3], want[5]), zone
+    assert min(formats[x] for x in ("TD3", "TD2", "TD1")) > 10
 
 
 def test_lines_and_page_noise(spark):
