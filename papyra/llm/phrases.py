@@ -5,8 +5,9 @@ no word, so that nothing reaches over them. The bitmap of a phrase, shifted by o
 is the bitmap of the longer phrase, and its popcount says how often that stands in the shard. Popcounts of all shards add up.
 
 Bitmaps are compressed: only the 64-bit words that hold a bit are kept, by their places. Which phrases can be frequent at
-all is told to the shards by a filter of bits, whose size is fixed; what passes by chance is counted too and then falls to the
-exact threshold, so that the filter never changes a result.
+all is told to the shards beforehand: words are counted, then hashes of pairs and of three words in a row, whose buckets are
+summed over all shards, packed by ranges. Those that reach the threshold go into a filter of bits, whose size is fixed. What
+passes by chance is counted by its bitmap too and then falls to the exact threshold, so that filters never change a result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, is_empty, mix64, table
+from .common import Scratch, is_empty, mix64, pack, table, unpack
 
 #: Least occurrences of a phrase, most words in one, rows reported for each language.
 LEAST, MOST_WORDS, TOP = 100, 5, 2_000
@@ -29,6 +30,8 @@ LEAST, MOST_WORDS, TOP = 100, 5, 2_000
 LANGS = 20_000
 #: log2 of the bits of a filter (16 MB): all that is ever sent to every executor.
 FILTER_LOG2 = 27
+#: log2 of the buckets that hashes of pairs and threes are counted in, and positions of the corpus for each range of them.
+BUCKETS_LOG2, RANGE = 30, 1_000_000
 #: Positions of a shard at most (but a text is never cut), and distinct words that a task counts before it gives them away.
 SHARD, COUNTED = 4_000_000, 500_000
 #: Words that follow a phrase, up to which it is ANDed with each of them; with more, with all in one pass.
@@ -51,6 +54,10 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+def _signed(h: np.ndarray) -> np.ndarray:
+    return h.view(np.int64)
+
+
 def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix64(first * _ODD + second)
 
@@ -174,63 +181,114 @@ def _bitmaps(at: np.ndarray, part: np.ndarray) -> Callable[[int], Bitmap]:
     return bitmap
 
 
-def pairs(at: np.ndarray, hashes: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """(first, second, count) of all pairs of words in a shard.
-
-    Each position is in one word's bitmap only. So the shifted bitmaps of all words are ANDed with all others at once, by dealing
-    each shifted bit to the word that holds its position, and popcounts are counts of what each pair of words was dealt.
-    """
-    first, second = at[:-1], at[1:]
-    both = (first > 0) & (second > 0)
-    keys, n = np.unique(first[both].astype(np.int64) * len(hashes) + second[both], return_counts=True)
-    return [(hashes[keys // len(hashes)], hashes[keys % len(hashes)], n)]
-
-
-def extended(at: np.ndarray, hashes: np.ndarray, frequent: BitFilter, most: int = MOST_WORDS) -> Iterator[tuple[tuple[int, ...], int]]:
-    """(words, count) of each phrase of three words or more in a shard whose pairs pass the filter, depth first."""
-    if len(at) < 3:
-        return
-    alive = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
-    alive = alive[frequent.has(pair_hashes(hashes[at[alive]], hashes[at[alive + 1]]))]
-    on = np.zeros(len(at), dtype=bool)
-    on[alive] = True
-    part = on.copy()
-    part[alive + 1] = True
+def runs(at: np.ndarray, hashes: np.ndarray, frequent: BitFilter | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where two words stand in a row, or three if a filter of pairs is given that both pairs of them pass; and their hashes."""
+    starts = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
+    found = pair_hashes(hashes[at[starts]], hashes[at[starts + 1]])
+    if frequent is None:
+        return starts, found
+    passed = frequent.has(found)
+    starts, found = starts[passed], found[passed]
+    both = np.flatnonzero(np.diff(starts) == 1)
+    return starts[both], pair_hashes(found[both], hashes[at[starts[both] + 2]])
+
+
+def extended(at: np.ndarray, hashes: np.ndarray, twos: BitFilter, threes: BitFilter | None, most: int = MOST_WORDS) -> Iterator[tuple[tuple[int, ...], int]]:
+    """(words, count) of each phrase of two words or more in a shard whose pairs and threes pass the filters, depth first."""
+    on = [np.zeros(len(at), dtype=bool) for _ in range(2)]  # by its start: whether a pair, and three words, pass
+    starts, found = runs(at, hashes, None)
+    starts = starts[twos.has(found)]
+    on[0][starts] = True
+    if threes is not None:
+        begin, found = runs(at, hashes, twos)
+        on[1][begin[threes.has(found)]] = True
+    part = on[0].copy()
+    part[starts + 1] = True
     bitmap = _bitmaps(at, part)
-    # only what another such pair follows at once can begin a phrase of three words
-    roots = alive[on[alive + 1]]
-    couples = divmod(np.unique(at[roots].astype(np.int64) * len(hashes) + at[roots + 1]), len(hashes))
-    word, goes_on = memoryview(at), memoryview(on)
-    moved_word = lru_cache(1)(lambda w: bitmap(w).shifted())
-    for w, v in zip(*(x.tolist() for x in couples)):
-        stack = [((w, v), moved_word(w) & bitmap(v))]
+    word, two, three = memoryview(at), memoryview(on[0]), memoryview(on[1])
+    for w in np.unique(at[starts]).tolist():
+        stack = [((w,), bitmap(w))]
         while stack:
             words, spots = stack.pop()
             # words that follow in this shard; the others' bitmaps have nothing in common with this one
-            following = {word[p + 1] for p in spots.positions() if goes_on[p]}
+            following = {word[p + 1] for p in spots.positions() if (two[p] if len(words) == 1 else three[p - 1])}
             if not following:
                 continue
             moved = spots.shifted()
             each = {x: moved & bitmap(x) for x in following} if len(following) <= FEW else moved.dealt(word)
             for x in following:
-                longer = each[x]
-                yield (*words, x), longer.popcount()
+                yield (*words, x), each[x].popcount()
                 if len(words) + 1 < most:
-                    stack.append(((*words, x), longer))
+                    stack.append(((*words, x), each[x]))
+
+
+def shards(docs: DataFrame, words: BitFilter) -> DataFrame:
+    """(lang, at, hashes) of docs (lang, text): each shard's words by position and their hashes, compressed."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[str, Shard] = {}
 
-def _shards(batches: Iterator[pa.RecordBatch], words: BitFilter) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, word of each position, hashes of words) of each shard of a task's texts (lang, text)."""
-    open_: dict[str, Shard] = {}
+        def out(lang: str) -> pa.RecordBatch:
+            at, hashes = open_.pop(lang).positions()
+            packed = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (at, hashes)]
+            return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), *[pa.array([x], pa.binary()) for x in packed], pa.array([len(at)], pa.int64()), pa.array([len(hashes)], pa.int64())], names=["lang", "at", "hashes", "size", "words"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                shard = open_.get(lang) or open_.setdefault(lang, Shard(words))
+                shard.add(text)
+                if sum(s.size for s in open_.values()) > SHARD:  # the largest, so that many languages don't fill memory either
+                    yield out(max(open_, key=lambda x: open_[x].size))
+        for lang in list(open_):
+            yield out(lang)
+
+    return docs.mapInArrow(cut, "lang string, at binary, hashes binary, size long, words long")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, word of each position, hashes of words) of shards."""
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            shard = open_.get(lang) or open_.setdefault(lang, Shard(words))
-            shard.add(text)
-            if sum(s.size for s in open_.values()) > SHARD:  # the largest, so that many languages don't fill memory either
-                largest = max(open_, key=lambda x: open_[x].size)
-                yield (largest, *open_.pop(largest).positions())
-    for lang, shard in open_.items():
-        yield (lang, *shard.positions())
+        for lang, at, hashes, size, words in zip(*(c.to_pylist() for c in batch.columns)):
+            yield lang, *(np.frombuffer(pa.decompress(x, decompressed_size=n * kind().itemsize, codec="zstd", asbytes=True), dtype=kind) for x, n, kind in ((at, size, np.int32), (hashes, words, np.uint64)))
+
+
+def _added(buckets: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket once, in order, with the sum of its counts."""
+    order = np.argsort(buckets, kind="stable")
+    buckets, n = buckets[order], n[order]
+    new = np.flatnonzero(np.diff(buckets, prepend=-1))
+    return buckets[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def frequent_runs(parts: DataFrame, frequent: BitFilter | None, least: int, ranges: int, log2: int) -> BitFilter:
+    """A filter of pairs, or of threes if a filter of pairs is given, whose bucket has `least` or more over all shards.
+
+    Buckets are of all languages together. A task gives away its sums packed, one row for each range of buckets; there are as
+    many ranges as keep what one task unpacks about as large for any corpus.
+    """
+    bits = max(0, (ranges - 1).bit_length())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _, at, hashes in _read(batches):
+            found, often = np.unique(runs(at, hashes, frequent)[1] >> np.uint64(64 - BUCKETS_LOG2), return_counts=True)
+            buckets, n = _added(np.concatenate([buckets, found.astype(np.int64)]), np.concatenate([n, often]))
+        part = buckets >> (BUCKETS_LOG2 - bits)
+        begin = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        rows = [(int(part[a]), b - a, pack([buckets[a:b], n[a:b]])) for a, b in zip(begin, [*begin[1:], len(part)])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["part", "n", "blob"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for part, n, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                more = unpack(blob, n, 2)
+                had = sums.get(part)
+                sums[part] = _added(*(np.concatenate([had[i], more[i]]) for i in (0, 1))) if had else (more[0], more[1])
+        for buckets, n in sums.values():
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[n >= least] << (64 - BUCKETS_LOG2))], names=["h"])
+
+    return BitFilter.of(parts.mapInArrow(count, "part int, n int, blob binary").repartition(ranges, "part").mapInArrow(total, "h long"), "h", log2)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -258,47 +316,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "lang string, word binary, id long, n long").groupBy("lang", "word").agg(F.max("id").alias("id"), F.sum("n").alias("n"))
 
 
-def _signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
-def _hash_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = np.asarray(b.column(0).flatten()).reshape(-1, 2).view(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(pair_hashes(ids[:, 0], ids[:, 1])))], names=["h"])
-
-
-def pair_counts(docs: DataFrame, words: BitFilter) -> DataFrame:
-    """(lang, ids, n) of pairs of words that pass the filter."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, at, hashes in _shards(batches, words):
-            for first, second, n in pairs(at, hashes):
-                for i in range(0, len(n), ROWS):
-                    cut = slice(i, i + ROWS)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[cut]), pa.string()), pa.array(_signed(first[cut])), pa.array(_signed(second[cut])), pa.array(n[cut])], names=["lang", "a", "b", "n"])
-
-    found = docs.mapInArrow(count, "lang string, a long, b long, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
-    return found.select("lang", F.array("a", "b").alias("ids"), "n")
-
-
-def longer_counts(docs: DataFrame, words: BitFilter, frequent: BitFilter, most: int) -> DataFrame:
-    """(lang, ids, n) of phrases of three to `most` words whose pairs pass the filter."""
+def phrase_counts(parts: DataFrame, twos: BitFilter, threes: BitFilter | None, most: int) -> DataFrame:
+    """(lang, ids, n) of phrases of two to `most` words that pass the filters: popcounts of their bitmaps, summed over shards."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("ids", pa.list_(pa.int64())), ("n", pa.int64())])
-        for lang, at, hashes in _shards(batches, words):
+        for lang, at, hashes in _read(batches):
             ids, counts = [], []
             signed = _signed(hashes).tolist()
-            for phrase, n in extended(at, hashes, frequent, most):
+            batch = lambda: pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids, schema.field("ids").type), pa.array(counts, pa.int64())], schema=schema)  # noqa: B023, E731
+            for phrase, n in extended(at, hashes, twos, threes, most):
                 ids.append([signed[x] for x in phrase])
                 counts.append(n)
                 if len(ids) == ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * ROWS, pa.string()), pa.array(ids, schema.field("ids").type), pa.array(counts, pa.int64())], schema=schema)
+                    yield batch()
                     ids, counts = [], []
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids, schema.field("ids").type), pa.array(counts, pa.int64())], schema=schema)
+            yield batch()
 
-    return docs.mapInArrow(count, "lang string, ids array<bigint>, n long").groupBy("lang", "ids").agg(F.sum("n").alias("n"))
+    return parts.mapInArrow(count, "lang string, ids array<bigint>, n long").groupBy("lang", "ids").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, most_words: int = MOST_WORDS, filter_log2: int = FILTER_LOG2) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -313,16 +348,15 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     if words.groupBy("lang", "id").count().where("count > 1").take(1):
         raise ValueError("two frequent words share a 64-bit hash")
     keep = BitFilter.of(words, "id", filter_log2)
-    phrases = [words.select("lang", F.array("id").alias("ids"), "n")]
-    if most_words > 1:
-        phrases.append(scratch.cache(pair_counts(texts, keep).where(F.col("n") >= least)))
-    if most_words > 2 and not is_empty(phrases[1]):
-        frequent = BitFilter.of(phrases[1].select("ids").mapInArrow(_hash_pairs, "h long"), "h", filter_log2)
-        phrases.append(scratch.cache(longer_counts(texts, keep, frequent, most_words).where(F.col("n") >= least)))
-    every = phrases[0]
-    for p in phrases[1:]:
-        every = every.unionByName(p)
-    return totals, words, every
+    single = words.select("lang", F.array("id").alias("ids"), "n")
+    if most_words < 2 or is_empty(words):
+        return totals, words, single
+    parts = scratch.cache(shards(texts, keep))
+    ranges = 1 + min(totals.agg(F.sum("n")).first()[0] // RANGE, 1 << 20)
+    twos = frequent_runs(parts, None, least, ranges, filter_log2)
+    threes = frequent_runs(parts, twos, least, ranges, filter_log2) if most_words > 2 else None
+    longer = scratch.cache(phrase_counts(parts, twos, threes, most_words).where(F.col("n") >= least))
+    return totals, words, single.unionByName(longer)
 
 
 def score(totals: DataFrame, phrases: DataFrame) -> DataFrame:
