@@ -95,13 +95,13 @@ def let(value: Column, body) -> Column:
 
 
 def first_match(c: Column, patterns: tuple[str, ...], clean) -> Column:
-    """clean(group 2, or if it is empty group 1) of the first pattern that is found; '' if none is."""
+    """clean(group 2, or if it is empty group 1) of the first pattern that is found; clean('') if none is."""
     out = F.lit("")
     for p in reversed(patterns):
         groups = _groups(p)
         value = F.regexp_extract(c, p, 1) if groups < 2 else either(F.regexp_extract(c, p, 2), F.regexp_extract(c, p, 1))
-        out = F.when(c.rlike(p), clean(value)).otherwise(out)
-    return out
+        out = F.when(c.rlike(p), value).otherwise(out)
+    return clean(out)
 
 
 def _groups(pattern: str) -> int:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.functions.text import collapse, strip_accents
+from papyra.functions.text import collapse, let, strip_accents
+
+from .automaton import MOST_BYTES, Automaton
 
 
 @dataclass(frozen=True)
@@ -49,32 +54,110 @@ def _plain(keyword: str) -> str:
     return " ".join("".join(x for x in unicodedata.normalize("NFD", keyword) if not 0x300 <= ord(x) <= 0x36F).upper().split())
 
 
-def score_rule(rule: Rule, text: Column) -> tuple[Column, Column]:
-    """(score, keywords that are found) of a rule in a normalised text. Keywords match anywhere, also inside words."""
-    plain = [_plain(k) for k in rule.keywords]
-    points = sum((F.when(text.contains(k), LONG_POINTS if len(k) > LONG else SHORT_POINTS).otherwise(0) for k in plain), F.lit(0))
-    hits = sum((text.contains(k).cast("int") for k in plain), F.lit(0))
-    found = F.filter(F.array(*[F.when(text.contains(p), F.lit(k)) for p, k in zip(plain, rule.keywords)]), lambda x: x.isNotNull())
-    return points + F.when(hits >= 3, THREE).otherwise(0) + F.when(hits >= 5, FIVE).otherwise(0), found
+#: Rules up to which they are a constant of the plan; with more, texts go through an automaton.
+PLAIN_RULES = 50
+CLASSIFICATION = "struct<type:string,category:string,route:string,confidence:int,matchedKeywords:array<string>,alternatives:array<struct<type:string,confidence:int,route:string>>>"
+_RULE = "array<struct<i:int,type:string,category:string,route:string,keywords:array<struct<k:string,plain:string,points:int>>>>"
+_RANKED = "struct<k:int,i:int,type:string,category:string,route:string,found:array<string>>"
+
+
+def _points(plain: str) -> int:
+    return LONG_POINTS if len(plain) > LONG else SHORT_POINTS
+
+
+class Rules:
+    """Rules in their order, from a table of any size that the driver can hold."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules = rules
+        self.keywords = [(i, k, _plain(k)) for i, r in enumerate(rules) for k in r.keywords]
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Rules:
+        """From a table (rule_ord, type, category, route, keyword, keyword_ord). Bounded by the automaton: MOST_BYTES."""
+        size = table.agg(F.sum(F.octet_length("keyword"))).first()[0] or 0
+        if size > MOST_BYTES:
+            raise ValueError(f"keywords of over {MOST_BYTES} bytes")
+        found: dict[int, list] = {}
+        for r in table.orderBy("rule_ord", "keyword_ord", "keyword").collect():
+            found.setdefault(r["rule_ord"], []).append(r)
+        return cls(tuple(Rule(own[0]["type"], own[0]["category"], own[0]["route"], tuple(r["keyword"] for r in own)) for own in found.values()))
+
+    @cached_property
+    def automaton(self) -> Automaton:
+        return Automaton([plain for _, _, plain in self.keywords])
+
+    def ranked(self, texts: list[str | None]) -> list[list[tuple[int, int, list[str]]]]:
+        """For each text the first four rules, as (score, rule, keywords found), by score and then order."""
+        out: list[dict[int, list]] = [{} for _ in texts]
+        for row, k in zip(*(x.tolist() for x in self.automaton.found(texts))):
+            i, keyword, plain = self.keywords[k]
+            own = out[row].setdefault(i, [0, []])
+            own[0] += _points(plain)
+            own[1].append(keyword)
+        ranked = []
+        for hits in out:
+            best = sorted((-(points + THREE * (len(found) >= 3) + FIVE * (len(found) >= 5)), i, found) for i, (points, found) in hits.items())[:4]
+            i = 0
+            while len(best) < 4 and i < len(self.rules):  # rules without a hit follow in their order
+                if i not in hits:
+                    best.append((0, i, []))
+                i += 1
+            ranked.append([(-s, i, found) for s, i, found in best])
+        return ranked
+
+
+def rules_frame(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The table that Rules.of() reads."""
+    rows = [(i, r.type, r.category, r.route, k, j) for i, r in enumerate(rules) for j, k in enumerate(r.keywords)]
+    return spark.createDataFrame(rows, "rule_ord int, type string, category string, route string, keyword string, keyword_ord int")
 
 
-def classify(text: Column, rules: tuple[Rule, ...] = RULES, mrz_format: Column | None = None, mrz_type: Column | None = None) -> Column:
+def _ranked_by_plan(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """All rules, scored by one expression over a constant of them."""
+    data = [{"i": i, "type": r.type, "category": r.category, "route": r.route, "keywords": [{"k": k, "plain": _plain(k), "points": _points(_plain(k))} for k in r.keywords]} for i, r in enumerate(rules)]
+    table = F.from_json(F.lit(json.dumps(data, ensure_ascii=False)), _RULE)
+
+    def scored(t: Column, r: Column) -> Column:
+        def rank(found: Column) -> Column:
+            n = F.size(found)
+            score = F.aggregate(found, F.lit(0), lambda a, k: a + k["points"]) + F.when(n >= 3, THREE).otherwise(0) + F.when(n >= 5, FIVE).otherwise(0)
+            return F.struct((-score).alias("k"), r["i"].alias("i"), r["type"].alias("type"), r["category"].alias("category"), r["route"].alias("route"), F.transform(found, lambda k: k["k"]).alias("found")).cast(_RANKED)
+
+        return let(F.filter(r["keywords"], lambda k: t.contains(k["plain"])), rank)
+
+    return let(text, lambda t: F.transform(table, lambda r: scored(t, r)))
+
+
+def _ranked_by_automaton(text: Column, rules: Rules) -> Column:
+    """The first four rules, found by the automaton, which is sent to the executors once."""
+
+    @F.pandas_udf(f"array<{_RANKED}>")
+    def rank(texts: pd.Series) -> pd.Series:
+        told = lambda s, i, found: {"k": -s, "i": i, "type": rules.rules[i].type, "category": rules.rules[i].category, "route": rules.rules[i].route, "found": found}
+        return pd.Series([[told(*x) for x in row] for row in rules.ranked(texts.tolist())])
+
+    return rank(text)
+
+
+def classify(text: Column, rules: Rules | tuple[Rule, ...] = RULES, mrz_format: Column | None = None, mrz_type: Column | None = None) -> Column:
     """struct(type, category, route, confidence, matchedKeywords, alternatives) of an already normalised text.
 
-    Pass normalize(text) as a column of its own, so that it is computed once. Equal scores keep the rules' order. Without any
-    hit the type is unknown, but the route stays the first rule's. A zone, if given, counts as one more rule.
+    Keywords match anywhere, also inside words. Equal scores keep the rules' order. Without any hit the type is unknown, but the
+    route stays the first rule's. A zone, if given, counts as one more rule. Many rules are looked for by an automaton.
     """
-    entries = []
-    for i, rule in enumerate(rules):
-        score, found = score_rule(rule, text)
-        entries.append(F.struct((-score).alias("k"), F.lit(i).alias("i"), F.lit(rule.type).alias("type"), F.lit(rule.category).alias("category"), F.lit(rule.route).alias("route"), found.alias("found")))
+    rules = rules if isinstance(rules, Rules) else Rules(rules)
+    ranked = _ranked_by_plan(text, rules.rules) if len(rules.keywords) <= 4 * PLAIN_RULES and len(rules.rules) <= PLAIN_RULES else _ranked_by_automaton(text, rules)
     if mrz_format is not None:
         is_zone = mrz_format.isNotNull() & (mrz_format != "NONE") & (mrz_format != "")
         kind = F.coalesce(F.nullif(mrz_type, F.lit("")) if mrz_type is not None else F.lit(None), F.lit("Passport"))
-        zone = F.struct(F.lit(-MRZ_SCORE).alias("k"), F.lit(len(rules)).alias("i"), kind.alias("type"), F.lit("Primary Travel Document").alias("category"), F.lit("mrz").alias("route"), F.array(F.lit("MRZ")).alias("found"))
-        entries.append(F.when(is_zone, zone))
-    ranked = F.array_sort(F.filter(F.array(*entries), lambda x: x.isNotNull()))
-    best = F.get(ranked, F.lit(0))
-    hit = best["k"] < 0
-    others = F.transform(F.slice(ranked, 2, 3), lambda x: F.struct(x["type"].alias("type"), F.least(F.lit(MOST), -x["k"]).alias("confidence"), x["route"].alias("route")))
-    return F.struct(F.when(hit, best["type"]).otherwise(UNKNOWN_TYPE).alias("type"), F.when(hit, best["category"]).otherwise("Other").alias("category"), best["route"].alias("route"), F.least(F.lit(MOST), -best["k"]).alias("confidence"), best["found"].alias("matchedKeywords"), others.alias("alternatives"))
+        zone = F.struct(F.lit(-MRZ_SCORE).alias("k"), F.lit(len(rules.rules)).alias("i"), kind.alias("type"), F.lit("Primary Travel Document").alias("category"), F.lit("mrz").alias("route"), F.array(F.lit("MRZ")).alias("found")).cast(_RANKED)
+        ranked = F.concat(ranked, F.when(is_zone, F.array(zone)).otherwise(F.array().cast(f"array<{_RANKED}>")))
+
+    def told(r: Column) -> Column:
+        best = F.get(r, F.lit(0))
+        hit = best["k"] < 0
+        others = F.transform(F.slice(r, 2, 3), lambda x: F.struct(x["type"].alias("type"), F.least(F.lit(MOST), -x["k"]).alias("confidence"), x["route"].alias("route")))
+        return F.struct(F.when(hit, best["type"]).otherwise(UNKNOWN_TYPE).alias("type"), F.when(hit, best["category"]).otherwise("Other").alias("category"), best["route"].alias("route"), F.least(F.lit(MOST), -best["k"]).alias("confidence"), best["found"].alias("matchedKeywords"), others.alias("alternatives")).cast(CLASSIFICATION)
+
+    return let(F.array_sort(ranked), told)

@@ -5,10 +5,11 @@ Lines stay one array for each page: a label and its value are at most two lines
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions.dates import secondary_date
@@ -53,11 +54,15 @@ def clean_simple(value: Column) -> Column:
     return collapse(F.regexp_replace(blank(F.upper(F.coalesce(value, F.lit("")))), r"[^A-Z0-9\s/-]", ""))
 
 
-def cleaner(label: str) -> Callable[[Column], Column]:
-    """How a label's values are cleaned; known when the plan is built."""
+#: How a value is cleaned, or that it is a date.
+NAME, COUNTRY, SIMPLE, DATE = range(4)
+
+
+def kind_of(label: str) -> int:
+    """How a label's values are cleaned, by words in it."""
     if any(x in label for x in ("NAME", "NOM", "HOLDER")):
-        return clean_name
-    return clean_country if any(x in label for x in ("CITIZENSHIP", "BIRTH", "NATION")) else clean_simple
+        return NAME
+    return COUNTRY if any(x in label for x in ("CITIZENSHIP", "BIRTH", "NATION")) else SIMPLE
 
 
 def is_label_line(line: Column) -> Column:
@@ -72,44 +77,84 @@ def _plain(label: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFD", label) if not 0x300 <= ord(x) <= 0x36F).upper()
 
 
-def _scan(lines: Column, labels: tuple[str, ...], read: Callable[[str, Column, Column, Column], Column]) -> Column:
-    """The first non-null of read(label, line, next, next but one) over lines, and for each line over labels; else ''."""
-    plain = list(dict.fromkeys(_plain(x) for x in labels))
+@dataclass(frozen=True)
+class Field:
+    """A field of a form: the labels that its value may stand behind, and whether it is a date."""
 
-    def at(line: Column, i: Column) -> Column:
-        after = [F.coalesce(F.get(lines, i + k), F.lit("")) for k in (1, 2)]
-        return F.coalesce(*[read(label, line, *after) for label in plain])
+    name: str
+    labels: tuple[str, ...]
+    date: bool = False
 
-    return F.coalesce(F.get(F.filter(F.transform(lines, at), lambda x: x.isNotNull()), F.lit(0)), F.lit(""))
 
+#: Labels that a table of them may hold: it becomes one constant of the plan.
+MOST_LABELS = 20_000
+_TABLE = "array<array<struct<label:string,pattern:string,kind:int>>>"
+_READ = "struct<value:string,stop:boolean>"
 
-def labelled_value(lines: Column, *labels: str) -> Column:
-    """The value of the first label that has one: what follows it in its line, else one of the next two lines, up to a line
-    that holds another label."""
 
-    def read(label: str, line: Column, one: Column, two: Column) -> Column:
-        p = rf"(?i){edged(literal(label))}\s*[:\-]?\s*(.*)\z"
-        clean = cleaner(label)
+def fields_of(labels: DataFrame, date: str | None = "date") -> tuple[Field, ...]:
+    """Fields from a table (field, field_ord, label, label_ord, date); both ordinals say what comes first."""
+    rows = labels.select("field", "field_ord", "label", "label_ord", date).limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"over {MOST_LABELS} labels")
+    found: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["field_ord"], r["field"], r["label_ord"], r["label"])):
+        found.setdefault(r["field"], []).append(r)
+    return tuple(Field(name, tuple(r["label"] for r in own), bool(own[0][date])) for name, own in found.items())
 
-        def useful(value: Column, rest: Column) -> Column:
-            return let(clean_value(value), lambda v: F.when(is_useful(v), clean(v)).otherwise(rest))
 
-        none = F.lit(None).cast("string")
-        after = F.when(~is_label_line(one), useful(one, F.when(~is_label_line(two), useful(two, none))))
-        return F.when(line.rlike(p), useful(F.regexp_extract(line, p, 1), after))
+def labels_frame(spark: SparkSession, found: tuple[Field, ...]) -> DataFrame:
+    """The table that fields_of() reads."""
+    rows = [(f.name, i, label, j, f.date) for i, f in enumerate(found) for j, label in enumerate(f.labels)]
+    return spark.createDataFrame(rows, "field string, field_ord int, label string, label_ord int, date boolean")
 
-    return _scan(lines, labels, read)
 
+def labelled(lines: Column, found: tuple[Field, ...]) -> Column:
+    """The value of each field, as an array in the fields' order; '' where there is none.
 
-def labelled_date(lines: Column, *labels: str) -> Column:
-    """The first date in the line of a label, or in the next two, up to a line that holds another label."""
+    Lines are gone through in order, and for each line its field's labels. The value is what follows the label in its line, else
+    one of the next two lines, up to a line that holds another label; a date may stand anywhere in these lines. Labels are data
+    of one expression, whatever their number; a label's pattern is tried only in lines that contain it.
+    """
+    table = []
+    for f in found:
+        plain = list(dict.fromkeys(_plain(x) for x in f.labels))
+        table.append([{"label": x, "pattern": rf"(?i){edged(literal(x))}\s*[:\-]?\s*(.*)\z", "kind": DATE if f.date else kind_of(x)} for x in plain])
+    labels = F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), _TABLE)
+    none = F.lit(None).cast("string")
+
+    def value(text: Column, kind: Column) -> Column:
+        cleaned = lambda v: F.when(kind == NAME, clean_name(v)).when(kind == COUNTRY, clean_country(v)).otherwise(clean_simple(v))
+        return F.when(kind == DATE, F.nullif(secondary_date(text), F.lit(""))).otherwise(let(clean_value(text), lambda v: F.when(is_useful(v), cleaned(v))))
+
+    def read(z: Column, i: Column, label: Column) -> Column:
+        line = F.get(z, i)
+        rest = F.when(label["kind"] == DATE, line).otherwise(F.call_function("regexp_extract", line, label["pattern"], F.lit(1)))
+
+        def step(s: Column, k: Column) -> Column:
+            text = F.when(k == 0, rest).otherwise(F.coalesce(F.get(z, i + k), F.lit("")))
+            next_one = let(text, lambda t: F.when((k > 0) & is_label_line(t), F.struct(none.alias("value"), F.lit(True).alias("stop")).cast(_READ)).otherwise(F.struct(value(t, label["kind"]).alias("value"), F.lit(False).alias("stop")).cast(_READ)))
+            return F.when(s["stop"] | s["value"].isNotNull(), s).otherwise(next_one)
+
+        start = F.struct(none.alias("value"), F.lit(False).alias("stop")).cast(_READ)
+        return F.aggregate(F.array(F.lit(0), F.lit(1), F.lit(2)), start, step, lambda s: s["value"])
 
-    def read(label: str, line: Column, one: Column, two: Column) -> Column:
-        found = lambda text: F.nullif(secondary_date(text), F.lit(""))
-        after = F.when(~is_label_line(one), F.coalesce(found(one), F.when(~is_label_line(two), found(two))))
-        return F.when(line.rlike(f"(?i){edged(literal(label))}"), F.coalesce(found(line), after))
+    def of_field(z: Column, own: Column) -> Column:
+        def at(v: Column, i: Column) -> Column:
+            hit = lambda label: F.get(z, i).contains(label["label"]) & F.rlike(F.get(z, i), label["pattern"])
+            return F.when(v.isNotNull(), v).otherwise(F.aggregate(own, none, lambda u, label: F.when(u.isNull() & hit(label), read(z, i, label)).otherwise(u)))
 
-    return _scan(lines, labels, read)
+        return F.coalesce(F.when(F.size(z) > 0, F.aggregate(F.sequence(F.lit(0), F.size(z) - 1), none, at)), F.lit(""))
+
+    return let(lines, lambda z: F.transform(labels, lambda own: of_field(z, own)))
+
+
+def labelled_value(lines: Column, *labels: str) -> Column:
+    return F.get(labelled(lines, (Field("value", labels),)), F.lit(0))
+
+
+def labelled_date(lines: Column, *labels: str) -> Column:
+    return F.get(labelled(lines, (Field("date", labels, True),)), F.lit(0))
 
 
 #: Labels of document numbers, and the shape of a number without one.
@@ -117,9 +162,11 @@ NUMBER_LABELS = ("DOCUMENT NO", "DOCUMENT NUMBER", "DOC NO", "CARD NO", "PERMIT
 BARE_NUMBER = edged("[A-Z]{1,4}[0-9]{5,12}")
 
 
-def document_number(lines: Column, flat: Column) -> Column:
+def document_number(lines: Column, flat: Column, labelled_number: Column | None = None) -> Column:
+    """labelled_number: what was read behind NUMBER_LABELS, if it is known already."""
     bare = clean_simple(F.regexp_extract(flat, BARE_NUMBER, 0))
-    return let(F.regexp_replace(labelled_value(lines, *NUMBER_LABELS), r"\s", ""), lambda near: F.when(near.rlike(r"^[A-Z0-9]{5,25}\z"), near).otherwise(bare))
+    near = labelled_value(lines, *NUMBER_LABELS) if labelled_number is None else labelled_number
+    return let(F.regexp_replace(near, r"\s", ""), lambda near: F.when(near.rlike(r"^[A-Z0-9]{5,25}\z"), near).otherwise(bare))
 
 
 def all_matches(text: Column, pattern: str) -> Column:

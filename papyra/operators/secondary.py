@@ -9,7 +9,7 @@ from papyra.config import LOW_SECONDARY_SCORE
 from papyra.functions.text import has, present
 
 from . import fields as f
-from .classify import RULES, Rule, classify, normalize
+from .classify import RULES, Rule, Rules, classify, normalize
 from .pages import best_page
 
 #: Patterns of numbers, the number in the last group.
@@ -43,49 +43,57 @@ def category(kind: Column) -> Column:
     return out
 
 
-def extract(pages: DataFrame, text_col: str = "full_text", rules: tuple[Rule, ...] = RULES, out: str = "data") -> DataFrame:
-    """pages with two struct columns: classification, and `out`, the 26 fields read from text_col."""
+#: The labels of each field, in the order they are tried.
+FIELDS = (
+    f.Field("surname", ("FAMILY NAME", "SURNAME", "LAST NAME", "NOM")),
+    f.Field("givenNames", ("GIVEN NAME(S)", "GIVEN NAMES", "GIVEN NAME", "FIRST NAME", "FORENAME", "PRENOMS", "PRÉNOMS")),
+    f.Field("fullName", ("FULL NAME", "NAME OF HOLDER", "HOLDER", "NAME")),
+    f.Field("documentNumber", f.NUMBER_LABELS),
+    f.Field("nationality", ("NATIONALITY", "NATION")),
+    f.Field("citizenship", ("COUNTRY OF CITIZENSHIP", "CITIZENSHIP")),
+    f.Field("countryOfBirth", ("COUNTRY OF BIRTH", "PLACE OF BIRTH", "BIRTH PLACE")),
+    f.Field("dateOfBirth", ("DATE OF BIRTH", "DOB", "BIRTH"), True),
+    f.Field("gender", ("SEX", "GENDER")),
+    f.Field("issueDate", ("DATE ISSUED", "ISSUE DATE", "DATE OF ISSUE", "ISSUED"), True),
+    f.Field("expiryDate", ("EXPIRY DATE", "EXPIRATION DATE", "VALID UNTIL", "VALID TO", "EXPIRES"), True),
+    f.Field("entries", ("ENTRIES", "NO. OF ENTRIES", "NUMBER OF ENTRIES")),
+    f.Field("durationOfStay", ("DURATION OF STAY", "DURATION")),
+    f.Field("validFrom", ("VALID FROM", "FROM"), True),
+    f.Field("validUntil", ("VALID UNTIL", "VALID TO", "UNTIL"), True),
+)
+
+
+def extract(pages: DataFrame, text_col: str = "full_text", rules: Rules | tuple[Rule, ...] = RULES, out: str = "data", labels: tuple[f.Field, ...] = FIELDS) -> DataFrame:
+    """pages with two struct columns: classification, and `out`, the 26 fields read from text_col. labels: those of other forms,
+    for the fields named in FIELDS; fields without labels are empty."""
     df = pages.withColumns({"__lines": f.clean_lines(F.col(text_col)), "__normal": normalize(F.col(text_col))})
-    df = df.withColumn("classification", classify(F.col("__normal"), rules)).withColumn("__flat", F.array_join("__lines", "\n"))
+    df = df.withColumns({"classification": classify(F.col("__normal"), rules), "__flat": F.array_join("__lines", "\n"), "__found": f.labelled(F.col("__lines"), labels)})
     lines, flat, kind = F.col("__lines"), F.col("__flat"), F.col("classification.type")
-    df = df.withColumns(
-        {
-            "__surname": f.labelled_value(lines, "FAMILY NAME", "SURNAME", "LAST NAME", "NOM"),
-            "__given": f.labelled_value(lines, "GIVEN NAME(S)", "GIVEN NAMES", "GIVEN NAME", "FIRST NAME", "FORENAME", "PRENOMS", "PRÉNOMS"),
-            "__full": f.labelled_value(lines, "FULL NAME", "NAME OF HOLDER", "HOLDER", "NAME"),
-        }
-    )
-    surname, given = F.col("__surname"), F.col("__given")
-    full = F.when(has(given) & has(surname), F.concat(given, F.lit(" "), surname)).otherwise(F.col("__full"))
-    record = F.struct(
-        kind.alias("documentType"),
-        kind.alias("classificationType"),
-        F.concat(F.col("classification.confidence").cast("string"), F.lit("%")).alias("classificationConfidence"),
-        category(kind).alias("documentCategory"),
-        f.document_number(lines, flat).alias("documentNumber"),
-        f.pattern_value(flat, *VISA_NUMBER).alias("visaNumber"),
-        f.pattern_value(flat, *HOLDER_NUMBER).alias("passportNumber"),
-        f.pattern_value(flat, *APPLICATION_NUMBER).alias("applicationNumber"),
-        f.pattern_value(flat, *UCI).alias("uci"),
-        surname.alias("surname"),
-        given.alias("givenNames"),
-        f.clean_name(full).alias("fullName"),
-        f.labelled_value(lines, "NATIONALITY", "NATION").alias("nationality"),
-        f.labelled_value(lines, "COUNTRY OF CITIZENSHIP", "CITIZENSHIP").alias("citizenship"),
-        f.labelled_value(lines, "COUNTRY OF BIRTH", "PLACE OF BIRTH", "BIRTH PLACE").alias("countryOfBirth"),
-        f.labelled_date(lines, "DATE OF BIRTH", "DOB", "BIRTH").alias("dateOfBirth"),
-        f.sex(f.labelled_value(lines, "SEX", "GENDER")).alias("gender"),
-        f.labelled_date(lines, "DATE ISSUED", "ISSUE DATE", "DATE OF ISSUE", "ISSUED").alias("issueDate"),
-        f.labelled_date(lines, "EXPIRY DATE", "EXPIRATION DATE", "VALID UNTIL", "VALID TO", "EXPIRES").alias("expiryDate"),
-        f.labelled_value(lines, "ENTRIES", "NO. OF ENTRIES", "NUMBER OF ENTRIES").alias("entries"),
-        f.labelled_value(lines, "DURATION OF STAY", "DURATION").alias("durationOfStay"),
-        f.labelled_date(lines, "VALID FROM", "FROM").alias("validFrom"),
-        f.labelled_date(lines, "VALID UNTIL", "VALID TO", "UNTIL").alias("validUntil"),
-        f.issuing_country(F.col(text_col)).alias("issuingCountry"),
-        F.array_join("classification.matchedKeywords", ", ").alias("matchedClassificationKeywords"),
-        F.when(has(F.col(text_col)), "OCR detected text. Field extraction uses line-based parsing and document classification.").otherwise("OCR library unavailable or no text detected.").alias("confidenceScore"),
-    )
-    return df.withColumn(out, record).drop("__lines", "__normal", "__flat", "__surname", "__given", "__full")
+    place = {x.name: i for i, x in enumerate(labels)}
+    found = lambda name: F.get(F.col("__found"), F.lit(place[name])) if name in place else F.lit("")
+    surname, given = found("surname"), found("givenNames")
+    full = F.when(has(given) & has(surname), F.concat(given, F.lit(" "), surname)).otherwise(found("fullName"))
+    read = {
+        "documentType": kind,
+        "classificationType": kind,
+        "classificationConfidence": F.concat(F.col("classification.confidence").cast("string"), F.lit("%")),
+        "documentCategory": category(kind),
+        "documentNumber": f.document_number(lines, flat, found("documentNumber")),
+        "visaNumber": f.pattern_value(flat, *VISA_NUMBER),
+        "passportNumber": f.pattern_value(flat, *HOLDER_NUMBER),
+        "applicationNumber": f.pattern_value(flat, *APPLICATION_NUMBER),
+        "uci": f.pattern_value(flat, *UCI),
+        "surname": surname,
+        "givenNames": given,
+        "fullName": f.clean_name(full),
+        **{k: found(k) for k in ("nationality", "citizenship", "countryOfBirth", "dateOfBirth")},
+        "gender": f.sex(found("gender")),
+        **{k: found(k) for k in ("issueDate", "expiryDate", "entries", "durationOfStay", "validFrom", "validUntil")},
+        "issuingCountry": f.issuing_country(F.col(text_col)),
+        "matchedClassificationKeywords": F.array_join("classification.matchedKeywords", ", "),
+        "confidenceScore": F.when(has(F.col(text_col)), "OCR detected text. Field extraction uses line-based parsing and document classification.").otherwise("OCR library unavailable or no text detected."),
+    }
+    return df.withColumn(out, F.struct(*[v.alias(k) for k, v in read.items()])).drop("__lines", "__normal", "__flat", "__found")
 
 
 def page_score(text: Column, confidence: Column, data: Column) -> Column:
@@ -95,13 +103,13 @@ def page_score(text: Column, confidence: Column, data: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int")
 
 
-def read_secondary(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def read_secondary(pages: DataFrame, rules: Rules | tuple[Rule, ...] = RULES, labels: tuple[f.Field, ...] = FIELDS) -> DataFrame:
     """One record for each case_id of pages (case_id, page_number, full_text): that of its best page.
 
     The best page has the highest score; of equal ones the first counts. A case whose best page scores low has a warning,
     others have none (null). Null texts are read as empty pages.
     """
-    read = extract(pages.withColumn("full_text", present(F.col("full_text"))), "full_text", rules)
+    read = extract(pages.withColumn("full_text", present(F.col("full_text"))), "full_text", rules, labels=labels)
     scored = read.withColumn("score", page_score(F.col("full_text"), F.col("classification.confidence"), F.col("data")))
     best = best_page(scored, "case_id", "page_number", "score", ["data", "classification"])
     warning = F.when(F.col("score") < LOW_SECONDARY_SCORE, LOW_WARNING)

@@ -15,7 +15,7 @@ from papyra.functions import dates
 from papyra.functions.countries import country_table, normal_code
 from papyra.functions.text import strip_accents
 from papyra.operators import compare, fields, mrz
-from papyra.operators.classify import Rule, classify, normalize
+from papyra.operators.classify import Rule, Rules, classify, normalize
 from papyra.operators.pages import best_page
 from papyra.operators.primary import read_primary
 from papyra.operators.secondary import read_secondary
@@ -177,6 +177,41 @@ FROM k GROUP BY doc_id
 """
 
 
+# rules from a table: a rule for ten documents each, whose keywords are cuts of their texts
+
+def _cuts(spark, sf) -> DataFrame:
+    """(rule_ord, type, category, route, keyword, keyword_ord)"""
+    d = _t(spark, sf, "documents").select("doc_id", normalize(F.col("text")).alias("n"))
+    keyword = F.substr("n", (1 + F.col("doc_id") % 50).cast("int"), (6 + F.col("doc_id") % 12).cast("int"))
+    rule = (F.col("doc_id") / 10).cast("int")
+    d = d.select(rule.alias("rule_ord"), F.concat(F.lit("rule "), rule.cast("string")).alias("type"), F.lit("Cuts").alias("category"), F.concat(F.lit("r"), (rule % 7).cast("string")).alias("route"), F.trim(keyword).alias("keyword"), (F.col("doc_id") % 10).cast("int").alias("keyword_ord"))
+    return d.where(F.length("keyword") >= 4)
+
+
+def classify_table(spark, sf):
+    """Documents by rules that come as a table, one keyword a document; found by one automaton."""
+    rules = Rules.of(_cuts(spark, sf))
+    d = _t(spark, sf, "documents").select("doc_id", normalize(F.col("text")).alias("n"))
+    c = d.repartition(spark.sparkContext.defaultParallelism).select("doc_id", classify(F.col("n"), rules).alias("c"))
+    flat = F.array_join(F.transform("c.alternatives", lambda a: F.concat(a["type"], F.lit(":"), a["confidence"].cast("string"))), "|")
+    return c.select("doc_id", F.col("c.type").alias("type"), F.col("c.route").alias("route"), F.col("c.confidence").alias("confidence"), F.md5(F.array_join("c.matchedKeywords", "|").cast("binary")).alias("matched_md5"), flat.alias("alternatives"))
+
+
+CLASSIFY_TABLE = """
+WITH d AS (SELECT doc_id, trim(regexp_replace(upper(replace(strip_accents(text), 'ß', 'SS')), '\\s+', ' ', 'g')) AS n FROM documents),
+k AS (SELECT doc_id // 10 AS rule, doc_id % 10 AS o, trim(substr(n, CAST(1 + doc_id % 50 AS BIGINT), CAST(6 + doc_id % 12 AS BIGINT))) AS k FROM d),
+hit AS (SELECT d.doc_id, rule, o, k FROM d JOIN k ON length(k) >= 4 AND contains(n, k)),
+s AS (SELECT doc_id, rule, sum(CASE WHEN length(k) > 14 THEN 18 ELSE 10 END) + CASE WHEN count(*) >= 3 THEN 20 ELSE 0 END + CASE WHEN count(*) >= 5 THEN 25 ELSE 0 END AS s, string_agg(k, '|' ORDER BY o) AS f FROM hit GROUP BY doc_id, rule),
+-- without a hit only the first rules matter
+z AS (SELECT doc_id, rule, 0 AS s, '' AS f FROM d, (SELECT DISTINCT rule FROM k WHERE length(k) >= 4 ORDER BY rule LIMIT 8) ),
+a AS (SELECT * FROM s UNION ALL SELECT z.* FROM z LEFT JOIN s ON s.doc_id = z.doc_id AND s.rule = z.rule WHERE s.rule IS NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, rule) AS rn FROM a)
+SELECT doc_id, max(CASE WHEN rn = 1 THEN CASE WHEN s > 0 THEN 'rule ' || rule ELSE 'Unknown Travel / Immigration Document' END END) AS type, max(CASE WHEN rn = 1 THEN 'r' || rule % 7 END) AS route, CAST(max(CASE WHEN rn = 1 THEN least(99, s) END) AS INTEGER) AS confidence,
+  md5(max(CASE WHEN rn = 1 THEN f END)) AS matched_md5, string_agg(CASE WHEN rn BETWEEN 2 AND 4 THEN 'rule ' || rule || ':' || CAST(CAST(least(99, s) AS INTEGER) AS VARCHAR) END, '|' ORDER BY rn) AS alternatives
+FROM r WHERE rn <= 4 GROUP BY doc_id
+"""
+
+
 # labelled fields in forms made from customers and their orders
 
 def label_values(spark, sf):
@@ -452,6 +487,7 @@ QUERIES = {
     "mrz_lines": (mrz_lines, MRZ_LINES),
     "clean_lines": (clean_lines, CLEAN_LINES),
     "classify_keywords": (classify_keywords, CLASSIFY_KEYWORDS),
+    "classify_table": (classify_table, CLASSIFY_TABLE),
     "label_values": (label_values, LABEL_VALUES),
     "date_extract": (date_extract, DATE_EXTRACT),
     "mrz_date_pivot": (mrz_date_pivot, MRZ_DATE_PIVOT),
