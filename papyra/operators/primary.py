@@ -98,18 +98,32 @@ def flat_record(m: Column, full_text: Column, mrz_text: Column, extra_warnings:
     }
 
 
+def _parsed_pages(pages: DataFrame, as_of: dt.date) -> DataFrame:
+    """pages with mrz and score. The zone's own text comes first; null texts are empty."""
+    text = pages.withColumns({"full_text": present(F.col("full_text")), "mrz_text": present(F.col("mrz_text"))})
+    text = text.withColumn("__all", F.concat_ws("\n", "mrz_text", "full_text"))
+    return parse_mrz(text, "__all", as_of).withColumn("score", primary_score(F.col("mrz"), F.col("__all"))).drop("__all")
+
+
+def _record() -> dict[str, Column]:
+    low = F.when(F.col("score") < LOW_PRIMARY_SCORE, F.array(F.lit(LOW_WARNING))).otherwise(F.array().cast("array<string>"))
+    record = flat_record(F.col("mrz"), F.col("full_text"), F.col("mrz_text"), low)
+    return record | {"selectedPage": F.col("page_number"), "processingScore": F.col("score")}
+
+
+def primary_pages(pages: DataFrame, as_of: dt.date) -> DataFrame:
+    """pages with their score and the record that each would give by itself."""
+    parsed = _parsed_pages(pages, as_of)
+    return parsed.withColumn("record", F.struct(*[c.alias(k) for k, c in _record().items()])).drop("mrz")
+
+
 def read_primary(pages: DataFrame, as_of: dt.date) -> DataFrame:
     """One flat record for each case_id of pages (case_id, page_number, full_text, mrz_text): that of its best page.
 
     The zone's own text comes first. The highest score wins, of equal ones the first page. Null texts are empty.
     """
-    text = pages.withColumns({"full_text": present(F.col("full_text")), "mrz_text": present(F.col("mrz_text"))})
-    text = text.withColumn("__all", F.concat_ws("\n", "mrz_text", "full_text"))
-    parsed = parse_mrz(text, "__all", as_of).withColumn("score", primary_score(F.col("mrz"), F.col("__all")))
-    best = best_page(parsed, "case_id", "page_number", "score", ["mrz", "full_text", "mrz_text"])
-    low = F.when(F.col("score") < LOW_PRIMARY_SCORE, F.array(F.lit(LOW_WARNING))).otherwise(F.array().cast("array<string>"))
-    record = flat_record(F.col("mrz"), F.col("full_text"), F.col("mrz_text"), low)
-    return best.select("case_id", *[c.alias(k) for k, c in record.items()], F.col("page_number").alias("selectedPage"), F.col("score").alias("processingScore"), "attempts")
+    best = best_page(_parsed_pages(pages, as_of), "case_id", "page_number", "score", ["mrz", "full_text", "mrz_text"])
+    return best.select("case_id", *[c.alias(k) for k, c in _record().items()], "attempts")
 
 
 # what is read from the visible text where there is no zone parser

@@ -103,15 +103,28 @@ def page_score(text: Column, confidence: Column, data: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int")
 
 
+def _scored_pages(pages: DataFrame, rules: Rules | tuple[Rule, ...], labels: tuple[f.Field, ...] = FIELDS) -> DataFrame:
+    read = extract(pages.withColumn("full_text", present(F.col("full_text"))), "full_text", rules, labels=labels)
+    return read.withColumn("score", page_score(F.col("full_text"), F.col("classification.confidence"), F.col("data")))
+
+
+def secondary_pages(pages: DataFrame, rules: Rules | tuple[Rule, ...] = RULES) -> DataFrame:
+    """pages with their score and the record that each would give by itself."""
+    scored = _scored_pages(pages, rules)
+    warning = F.when(F.col("score") < LOW_SECONDARY_SCORE, LOW_WARNING)
+    names = scored.schema["data"].dataType.names
+    record = F.struct(*[F.col(f"data.{c}").alias(c) for c in names], F.col("page_number").alias("selectedPage"), F.col("score").alias("processingScore"), warning.alias("warnings"))
+    return scored.withColumn("record", record).drop("data", "classification")
+
+
 def read_secondary(pages: DataFrame, rules: Rules | tuple[Rule, ...] = RULES, labels: tuple[f.Field, ...] = FIELDS) -> DataFrame:
     """One record for each case_id of pages (case_id, page_number, full_text): that of its best page.
 
     The best page has the highest score; of equal ones the first counts. A case whose best page scores low has a warning,
     others have none (null). Null texts are read as empty pages.
     """
-    read = extract(pages.withColumn("full_text", present(F.col("full_text"))), "full_text", rules, labels=labels)
-    scored = read.withColumn("score", page_score(F.col("full_text"), F.col("classification.confidence"), F.col("data")))
+    scored = _scored_pages(pages, rules, labels)
     best = best_page(scored, "case_id", "page_number", "score", ["data", "classification"])
     warning = F.when(F.col("score") < LOW_SECONDARY_SCORE, LOW_WARNING)
-    names = read.schema["data"].dataType.names
+    names = scored.schema["data"].dataType.names
     return best.select("case_id", *[F.col(f"data.{c}").alias(c) for c in names], F.col("page_number").alias("selectedPage"), F.col("score").alias("processingScore"), warning.alias("warnings"), "attempts")

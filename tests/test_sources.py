@@ -3,6 +3,7 @@
 import base64
 import datetime as dt
 import json
+import os
 import struct
 import zlib
 
@@ -148,4 +149,36 @@ def test_stream(spark, tmp_path):
     query = verify_stream(stream_pages(spark, str(tmp_path / "in")), NOW, lambda df, n: got.extend(df.collect()), str(tmp_path / "state"))
     query.awaitTermination(120)
     assert query.exception() is None
-    assert [(v.case_id, v.score) for v in got] == [("c", 97)] and NOW == dt.date(2026, 11, 26)
+    assert [(v.case_id, v.revision, v.score) for v in got] == [("c", 1, 97)] and NOW == dt.date(2026, 11, 26)
+
+
+def test_documents_that_arrive_apart(spark, tmp_path):
+    from tests.test_travel_documents import NOW, TD3_VALID, VISA
+
+    def page(case, role, number, hour, full="", zone=None):
+        return {"case_id": case, "role": role, "page_number": number, "full_text": full, "mrz_text": zone, "arrived": f"2026-01-01T{hour:02d}:00:00Z"}
+
+    batches = [
+        [page("c", "primary", 2, 1, zone=TD3_VALID), page("d", "primary", 1, 1, zone=TD3_VALID), page("e", "secondary", 1, 1, VISA)],
+        [page("c", "secondary", 1, 2, "VISA"), page("c", "primary", 1, 2, "nothing"), page("e", "primary", 1, 2, zone=TD3_VALID)],
+        [page("c", "secondary", 2, 3, VISA), page("c", "primary", 2, 3, zone=TD3_VALID)],  # a better page, and one that is repeated
+        [page("c", "secondary", 3, 4, VISA)],  # as good as the second, which came first
+        [page("z", "secondary", 1, 20, VISA)],  # time passes
+        [page("c", "secondary", 4, 2, VISA), page("z", "primary", 1, 20, zone=TD3_VALID)],  # too late for its case; z is complete
+    ]
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(batches):
+        path = tmp_path / "in" / f"{i}.json"
+        path.write_text("\n".join(map(json.dumps, rows)))
+        os.utime(path, (1_700_000_000 + 60 * i,) * 2)
+    got = []
+    pages = stream_pages(spark, str(tmp_path / "in"), late="1 hour", files=1)
+    query = verify_stream(pages, NOW, lambda df, n: got.extend(df.collect()), str(tmp_path / "state"), wait="6 hours")
+    query.awaitTermination(240)
+    assert query.exception() is None
+    by_case = {}
+    for v in got:
+        by_case.setdefault(v.case_id, []).append((v.revision, v.complete, v.decision, v.score))
+    assert [x[:2] for x in by_case["c"]] == [(1, True), (2, True)] and by_case["c"][1][2:] == ("VERIFIED", 97) and by_case["c"][0][3] < 97
+    assert by_case["d"] == [(1, False, None, None)] and next(v for v in got if v.case_id == "d").reason == "secondary document did not arrive"
+    assert by_case["e"] == [(1, True, "VERIFIED", 97)] and by_case["z"] == [(1, True, "VERIFIED", 97)]
