@@ -11,13 +11,15 @@ from papyra.functions import checkdigit as cd
 from papyra.functions import dates as d
 from papyra.functions.countries import country_name, country_names, country_table, is_known_code
 from papyra.functions.names import parse_name
-from papyra.operators import fields, variants
-from papyra.operators.classify import UNKNOWN_TYPE, classify, normalize
+from papyra.operators import fields, reference, secondary, variants
+from papyra.operators.automaton import Automaton
+from papyra.operators.classify import RULES, UNKNOWN_TYPE, Rule, Rules, classify, normalize, rules_frame
 from papyra.operators.compare import compare_field, similarity
 from papyra.operators.mrz import mrz_lines, parse_mrz
 from papyra.operators.primary import read_primary, read_visible
 from papyra.operators.secondary import read_secondary
 from papyra.operators.specialised import read_schengen, read_uae
+from papyra.plans import catalogue
 from papyra.plans.verify import run
 from tests import zones_by_hand
 
@@ -300,3 +302,58 @@ def test_specialised_readers(spark):
     u = read_uae(spark.createDataFrame([(VISA + "\nUID NO: 123456789",)], "t string"), "t", NOW).first()["record"]
     assert (u.documentSubtype, u.uid, u.passportNumber, u.expiryDate, u.dateOfBirth, u.gender) == ("UAE_RESIDENCE_VISA", "123456789", "L898902C3", "2027-01-01", "1974-08-12", "FEMALE")
 
+
+
+def test_names_of_codes_by_date(spark):
+    table = spark.createDataFrame(
+        [("UTO", "Old", None, dt.date(2000, 1, 1)), ("uto", "New", dt.date(2000, 1, 1), None), ("UTO", "Newest", dt.date(2010, 1, 1), dt.date(2011, 1, 1)), ("GAP", "First", dt.date(1990, 1, 1), dt.date(1991, 1, 1)), (None, "none", None, None), ("<", "blank", None, None)],
+        reference.SCHEMA,
+    )
+    rows = [(1, "UTO", dt.date(1999, 12, 31)), (2, "u t o<", dt.date(2000, 1, 1)), (3, "UTO", dt.date(2010, 6, 1)), (4, "UTO", dt.date(2011, 1, 1)), (5, "GAP", dt.date(1995, 1, 1)), (6, "QQQ", dt.date(1995, 1, 1)), (7, None, dt.date(1995, 1, 1)), (8, "UTO", None), (1, "UTO", dt.date(1999, 12, 31))]
+    records = spark.createDataFrame(rows, "id int, code string, day date").withColumns({"name": F.lit("mine"), "versions": F.lit(0)})
+    named = reference.with_name(records, "code", table, F.col("day"), "found")
+    assert named.columns == [*records.columns, "found"]
+    assert Counter((r.id, r.found) for r in named.collect()) == Counter([(1, "Old"), (1, "Old"), (2, "New"), (3, "Newest"), (4, "New"), (5, "GAP"), (6, "QQQ"), (7, ""), (8, "UTO")])
+    assert {r.found for r in reference.with_name(records.where("id = 1"), "code", table, dt.date(2020, 1, 1), "found").collect()} == {"New"}
+    assert sorted(r.id for r in reference.with_known_code(records, "code", table).collect()) == [1, 1, 2, 3, 4, 5, 8]
+    assert sorted(r.id for r in reference.with_unknown_code(records, "code", table).collect()) == [6, 7]
+    assert reference.with_name(records, "code", reference.default_table(spark).limit(0), NOW, "found").where("id = 6").first().found == "QQQ"
+    assert reference.with_name(records.limit(0), "code", table, NOW, "found").count() == 0
+
+
+def test_functions_in_sql_text(spark):
+    assert "papyra_lines" in catalogue.register(spark, NOW)
+    spark.createDataFrame([(1, "x\n" + TD3_VALID), (2, None), (3, "")], "k int, text string").createOrReplaceTempView("pages_of_test")
+    lines = spark.sql("SELECT k, l.line_no, l.line FROM pages_of_test, LATERAL papyra_lines(text) l ORDER BY k, line_no").collect()
+    assert [tuple(r) for r in lines] == [(1, i, line) for i, line in enumerate(TD3_VALID.split("\n"))]
+    zones = {r.k: r.z for r in spark.sql("SELECT k, papyra_zone(text) AS z FROM pages_of_test").collect()}
+    assert (zones[1].format, zones[1].score, zones[1].composite, zones[2], zones[3]) == ("TD3", 200, True, None, None)
+    got = spark.sql("SELECT papyra_check_digit('l898902c3') AS a, papyra_check_digit('') AS b, papyra_is_valid('L898902C3', '<') AS c, papyra_date('740812', 'birth') AS d, papyra_date('2O0101', 'birth') AS e, papyra_country('d<<') AS f, papyra_country(null) AS g").first()
+    assert tuple(got) == (6, 0, False, "1974-08-12", "", "Germany", "")
+    for fmt, line in (("TD3", 1), ("TD2", 2), ("TD1", 3)):
+        read = spark.sql(f"SELECT r.reading_no, r.reading FROM (SELECT '{LINE1}7' AS x), LATERAL papyra_readings(x, '{fmt}', {line}) r ORDER BY reading_no").collect()
+        assert [r.reading for r in read] == list(zones_by_hand.line_variants(LINE1 + "7", f"{fmt}_LINE{line}"))
+
+
+def test_rules_and_labels_from_tables(spark):
+    assert Rules.of(rules_frame(spark)).rules == RULES
+    text = normalize(F.lit(VISA + "\nSCHENGEN SPONSOR"))
+    few, many = (value(spark, classify(text, r)) for r in (RULES, Rules(RULES + tuple(Rule(f"R{i}", "c", "r", (f"KEYWORD {i}", f"WORD {i}")) for i in range(5000)))))
+    assert few == many and few.type == "UAE Residence Visa"
+    none = value(spark, classify(F.lit(""), Rules(RULES + (Rule("x", "y", "z", tuple(f"K{i}" for i in range(300))),))))
+    assert (none.type, none.route, [a.confidence for a in none.alternatives]) == (UNKNOWN_TYPE, "refugee", [0, 0, 0])
+    table = fields.labels_frame(spark, secondary.FIELDS)
+    assert fields.fields_of(table) == secondary.FIELDS
+    swapped = fields.fields_of(spark.createDataFrame([("surname", 0, "APELLIDO", 0, False), ("dateOfBirth", 1, "NACIDO", 0, True)], table.schema))
+    page = spark.createDataFrame([("c", 1, "APELLIDO: GARCIA\nNACIDO EL\n01/02/1980\nSURNAME: SMITH")], "case_id string, page_number int, full_text string")
+    r = read_secondary(page, labels=swapped).first()
+    assert (r.surname, r.dateOfBirth, r.givenNames, r.expiryDate) == ("GARCIA", "1980-02-01", "", "")
+
+
+def test_automaton_finds_all_keywords():
+    rng = random.Random(1)
+    for _ in range(150):
+        words = ["".join(rng.choice("abé") for _ in range(rng.randrange(0 if rng.random() < 0.1 else 1, 6))) for _ in range(rng.randrange(1, 12))]
+        texts = ["".join(rng.choice("abéc") for _ in range(rng.randrange(40))) for _ in range(6)] + [None, "", "ab" * 1500]
+        got = list(zip(*(x.tolist() for x in Automaton(words).found(texts))))
+        assert got == sorted((i, j) for i, t in enumerate(texts) for j, w in enumerate(words) if w in (t or ""))
