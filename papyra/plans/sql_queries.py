@@ -1,4 +1,5 @@
-"""Queries in SQL text by the functions of the catalogue, and over a reference table that changes, with the same in DuckDB SQL."""
+"""Queries in SQL text by the functions of the catalogue, over a reference table that changes, and over files, with the same in
+DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from papyra.operators.reference import with_known_code, with_name, with_unknown_code
+from papyra.sources.files import fitted_scale, pages_to_render
+from papyra.sources.pdf import pdf_pages
 
 from .catalogue import register
 from .zone_queries import AS_OF, digit_sql
@@ -65,7 +68,40 @@ WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, c_nationkey AS k
 SELECT o_orderkey, lower(o.code) || '<' AS code, k % 5 <> 0 AS known, CASE WHEN k % 5 = 0 THEN o.code WHEN day < DATE '{_CHANGE}' THEN n_name || ' I' WHEN k % 2 = 0 THEN n_name || ' II' ELSE o.code END AS nation FROM o JOIN nation ON n_nationkey = k
 """
 
+
+
+# pages of PDF files that are made from customers
+
+
+def _files(spark, sf):
+    """(c_custkey, content): files of one to four pages, every second turned; each tenth breaks off after its first object."""
+    k = F.col("c_custkey")
+    n = (k % 4 + 1).cast("int")
+    numbers = F.sequence(F.lit(1), n)
+    kids = F.array_join(F.transform(numbers, lambda i: F.concat((i + 2).cast("string"), F.lit(" 0 R"))), " ")
+    pages = F.array_join(F.transform(numbers, lambda i: F.concat((i + 2).cast("string"), F.lit(" 0 obj\n<< /Type /Page /Parent 2 0 R"), F.when(i % 2 == 0, " /Rotate 90").otherwise(""), F.lit(" >>\nendobj\n"))), "")
+    box = F.concat(F.lit("[0 0 "), (400 + k % 4000).cast("string"), F.lit(" "), (600 + k % 3000).cast("string"), F.lit("]"))
+    text = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n"), F.when(k % 10 != 0, F.concat(F.lit("2 0 obj\n<< /Type /Pages /Kids ["), kids, F.lit("] /MediaBox "), box, F.lit(" >>\nendobj\n"), pages, F.lit("trailer\n<< /Root 1 0 R >>\n"))).otherwise(""))
+    return spark.read.parquet(f"{sf}/customer.parquet").select(k, text.cast("binary").alias("content"))
+
+
+def pdf_page_sizes(spark, sf):
+    """Pages of files with their sizes, as they are turned, and the scale that each is drawn at; the first three pages of a file."""
+    p = _files(spark, sf).select("c_custkey", pdf_pages(F.col("content")).alias("pages"))
+    wanted = F.filter("pages", lambda x: F.array_contains(pages_to_render(F.size("pages"), None, 3), x["page"]))
+    p = p.select("c_custkey", F.coalesce(F.size("pages"), F.lit(0)).alias("n_pages"), F.explode_outer(wanted).alias("p"))
+    return p.select("c_custkey", "n_pages", "p.*", F.round(fitted_scale(F.col("p.width"), F.col("p.height")), 6).alias("scale"))
+
+
+PDF_PAGE_SIZES = """
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_custkey % 4 + 1 END AS n, 400.0::DOUBLE + c_custkey % 4000 AS w, 600.0::DOUBLE + c_custkey % 3000 AS h FROM customer),
+p AS (SELECT c.*, i AS page, CASE WHEN i % 2 = 0 THEN h ELSE w END AS width, CASE WHEN i % 2 = 0 THEN w ELSE h END AS height FROM c LEFT JOIN (SELECT unnest(range(1, 4)) AS i) r ON i <= n)
+SELECT c_custkey, CAST(n AS INTEGER) AS n_pages, CAST(page AS INTEGER) AS page, CASE WHEN page IS NOT NULL THEN width END AS width, CASE WHEN page IS NOT NULL THEN height END AS height, CAST(CASE WHEN page IS NOT NULL THEN (page + 1) % 2 * 90 END AS INTEGER) AS rotate,
+  CASE WHEN page IS NULL THEN 2.5 ELSE round(CASE WHEN w * 2.5 * h * 2.5 > 25000000 THEN 2.5 * sqrt(25000000.0::DOUBLE / (w * 2.5 * h * 2.5)) ELSE 2.5 END, 6) END AS scale FROM p
+"""
+
 QUERIES = {
+    "pdf_page_sizes": (pdf_page_sizes, PDF_PAGE_SIZES),
     "zones_in_sql": (zones_in_sql, ZONES_IN_SQL),
     "reference_versions": (reference_versions, REFERENCE_VERSIONS),
 }

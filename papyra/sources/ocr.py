@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .files import ascii_text
 from .images import crop_zone, prepare_page, protect_size, upright
 
 #: Fixed value: characters that an engine may read on primary documents.
@@ -25,12 +24,7 @@ PlaneReader = Callable[[np.ndarray, str | None], str]
 _TEXTS = "struct<full_text:string,mrz_text:string,text_error:string>"
 
 
-def pdf_page_count(content: Column) -> Column:
-    """Pages of a PDF whose page objects stand in the open; null if they are inside compressed streams."""
-    return F.nullif(F.regexp_count(ascii_text(content), F.lit(r"/Type\s*/Page(?![A-Za-z])")), F.lit(0))
-
-
-def _unfiltered(rows: np.ndarray, width: int) -> np.ndarray:
+def unfiltered(rows: np.ndarray, width: int) -> np.ndarray:
     """Rows of a PNG, the first byte of each its filter, as plain bytes; width: bytes of a pixel."""
     out = np.zeros((rows.shape[0] + 1, rows.shape[1] - 1 + width), dtype=np.int64)  # with an empty row and pixel before
     for y, row in enumerate(rows, 1):
@@ -67,7 +61,7 @@ def decode_png(content: bytes) -> np.ndarray:
     w, h, channels = head[0], head[1], {0: 1, 2: 3, 4: 2, 6: 4}[head[3]]
     protect_size(w, h)
     rows = np.frombuffer(zlib.decompress(b"".join(data)), dtype=np.uint8).reshape(h, w * channels + 1)
-    plane = _unfiltered(rows, channels).reshape(h, w, channels)
+    plane = unfiltered(rows, channels).reshape(h, w, channels)
     return plane if channels > 2 else np.concatenate([np.repeat(plane[..., :1], 3, axis=2), plane[..., 1:]], axis=2)
 
 

@@ -10,8 +10,10 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
-from papyra.sources import files, images, ocr, sinks
+from papyra.sources import files, images, ocr, pdf, sinks
+from papyra.sources import pages as source
 from papyra.streaming.verify import stream_pages, verify_stream
 
 
@@ -124,8 +126,95 @@ def test_page_texts(spark):
     assert [(got[k].full_text, got[k].text_error) for k in (2, 3)] == [("", "No image."), ("", "Unable to load image.")]
     second = ocr.read_page_texts(pages, engine, primary=False).first()
     assert (second.full_text, second.mrz_text) == ("20x10 136 0", "") and ocr.read_page_texts(pages, None).first().full_text == ""
-    text = "%PDF-1.7 /Type /Pages /Count 2 /Type /Page /Type/Page"
-    assert value(spark, ocr.pdf_page_count(F.lit(text).cast("binary"))) == 2 and value(spark, ocr.pdf_page_count(F.lit(b"%PDF-1.7"))) is None
+
+
+PDF_OBJECTS = {
+    1: b"<< /Type /Catalog /Pages 2 0 R >>",
+    2: b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 3 /MediaBox [0 0 595.5 842] >>",
+    3: b"<< /Type /Page /Parent 2 0 R /Rotate 90 >>",
+    4: b"<< /Type /Pages /Parent 2 0 R /Kids [5 0 R 6 0 R 2 0 R] /MediaBox [0 0 100 200] >>",  # holds the root again
+    5: b"<</Type/Page/CropBox[10 10 60 500]>>",
+    6: b"<< /Type /Page /MediaBox [0 0 7 0 R 8] /Note (a \\) (b) c) /X <48 65> /Y null /Z [true -1.5] % so\n >>",
+    7: b"300",
+}
+PDF_SIZES = [(1, 842.0, 595.5, 90), (2, 50.0, 190.0, 0), (3, 300.0, 8.0, 0)]
+
+
+def table_pdf(objects, off=0, before=b"", prev=None):
+    """A file with a cross-reference table; before: an earlier revision, whose table stands at prev."""
+    out, at = before or b"%PDF-1.4\n%\xe2\xe3\n", {}
+    for n, body in objects.items():
+        at[n] = len(out)
+        out += b"%d 0 obj\n" % n + body + b"\nendobj\n"
+    place = len(out)
+    out += b"xref\n" + b"".join(b"%d 1\n%010d 00000 n \n" % (n, x) for n, x in at.items())
+    extra = b" /Prev %d" % prev if prev else b""
+    return out + b"trailer\n<< /Size 99 /Root 1 0 R%s >>\nstartxref\n%d\n%%%%EOF\n" % (extra, place + off)
+
+
+def stream_pdf(objects):
+    """A file whose objects stand in a compressed stream, found by a cross-reference stream with a predictor."""
+    inner, heads = b"", []
+    for n, body in objects.items():
+        heads.append(b"%d %d" % (n, len(inner)))
+        inner += body + b" "
+    first = b" ".join(heads) + b" "
+    packed = zlib.compress(first + inner)
+    out = b"%PDF-1.5\n"
+    rows = {20: (1, len(out), 0)} | {n: (2, 20, i) for i, n in enumerate(objects)}
+    out += b"20 0 obj\n<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n" % (len(objects), len(first), len(packed)) + packed + b"\nendstream\nendobj\n"
+    place, raw, before = len(out), b"", bytes(4)
+    rows[21] = (1, place, 0)
+    for n in range(22):
+        row = struct.pack(">BHB", *rows.get(n, (0, 0, 0)))
+        raw += b"\x02" + bytes((p - q) & 255 for p, q in zip(row, before))
+        before = row
+    table = zlib.compress(raw)
+    out += b"21 0 obj\n<< /Type /XRef /Size 22 /W [1 2 1] /Root 1 0 R /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 4 >> /Length %d >>\nstream\n" % len(table) + table
+    return out + b"\nendstream\nendobj\nstartxref\n%d\n%%%%EOF" % place
+
+
+def scan_pdf(image, kind, w, h):
+    head = b"<< /Subtype /Image /Width %d /Height %d /BitsPerComponent 8 /ColorSpace /DeviceRGB /Filter /%s /Length %d >>\nstream\n" % (w, h, kind, len(image))
+    page = b"<< /Type /Page /MediaBox [0 0 10 20] /Resources << /XObject << /I 4 0 R >> >> >>"
+    return table_pdf({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] >>", 3: page, 4: head + image + b"\nendstream"})
+
+
+def test_pdf_structure(spark):
+    whole = table_pdf(PDF_OBJECTS)
+    revised = table_pdf({7: b"301", 3: b"<< /Type /Page /Parent 2 0 R >>"}, before=whole, prev=whole.rindex(b"xref\n", 0, whole.rindex(b"startxref")))
+    later = [(1, 595.5, 842.0, 0), PDF_SIZES[1], (3, 301.0, 8.0, 0)]
+    cases = [(whole, PDF_SIZES), (table_pdf(PDF_OBJECTS, off=9), PDF_SIZES), (stream_pdf(PDF_OBJECTS), PDF_SIZES), (stream_pdf(PDF_OBJECTS).replace(b"startxref", b"startxxxx"), PDF_SIZES), (revised, later)]
+    cases += [(b"%PDF-1.7", None), (b"GIF89a", None), (b"", None), (None, None), (whole.replace(b"/Root", b"/Encrypt 7 0 R /Root"), None), (b"%PDF-1.4\n1 0 obj\n" + b"[" * 500, None)]
+    cases += [(b"%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj 2 0 obj <</Kids[2 0 R 2 0 R]>> endobj", None)]
+    rows = spark.createDataFrame([(i, None if c is None else bytearray(c)) for i, (c, _) in enumerate(cases)], "i int, content binary")
+    got = {r.i: (r.p, r.n) for r in rows.select("i", pdf.pdf_pages(F.col("content")).alias("p"), pdf.pdf_page_count(F.col("content")).alias("n")).collect()}
+    for i, (_, want) in enumerate(cases):
+        pages, n = got[i]
+        assert ([tuple(p) for p in pages] if pages else None, n) == (want, len(want) if want else None), i
+
+
+def test_pages_as_a_source(spark, tmp_path):
+    plane = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
+    files = {"a.pdf": table_pdf(PDF_OBJECTS), "sub/b.PDF": scan_pdf(zlib.compress(plane.tobytes()), b"FlateDecode", 3, 2), "c.png": png(plane, (0,)), "broken.pdf": b"%PDF-1.4", "note.txt": b"x", "d.pdf": scan_pdf(b"\xff\xd8\xff\xe0jpeg", b"DCTDecode", 3, 2), "e.pdf": scan_pdf(b"zz", b"FlateDecode", 3, 2)}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    source.register(spark)
+    pages = spark.read.format("papyra_pages").load(str(tmp_path))
+    got = {(r.path.rsplit("/", 1)[-1], r.page_number): r for r in pages.collect()}
+    assert set(got) == {("a.pdf", 1), ("a.pdf", 2), ("a.pdf", 3), ("b.PDF", 1), ("c.png", 1), ("broken.pdf", None), ("d.pdf", 1), ("e.pdf", 1)}
+    assert [tuple(got["a.pdf", i])[1:5] for i in (1, 2, 3)] == PDF_SIZES and got["broken.pdf", None].error and got["e.pdf", 1].error and got["e.pdf", 1].width == 10
+    assert (ocr.load_image(bytes(got["b.PDF", 1].image)) == plane).all() and bytes(got["c.png", 1].image) == files["c.png"] and bytes(got["d.pdf", 1].image) == b"\xff\xd8\xff\xe0jpeg"
+    second = pages.where("page_number = 2")
+    assert [(r.path.rsplit("/", 1)[-1], r.width) for r in second.collect()] == [("a.pdf", 50.0)]
+    plan = second._jdf.queryExecution().executedPlan().toString()
+    assert "page_number" in plan and "Filter (page_number" not in plan.replace("#", "").replace("isnotnull(page_number", "")
+    assert pages.where("page_number > 1 and page_number <= 2 and page_number in (2, 3)").count() == 1
+    assert pages.where(F.col("path") == got["c.png", 1].path).count() == 1
+    reader = source.PageReader({"path": str(tmp_path)})
+    kept = list(reader.pushFilters([EqualTo(("page_number",), 2), EqualTo(("width",), 1.0)]))
+    assert kept == [EqualTo(("width",), 1.0)] and reader.asked.only == frozenset({2})
 
 
 def test_sinks(spark):
