@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,6 @@ BUCKETS_LOG2, RANGE = 30, 1_000_000
 SHARD, COUNTED = 4_000_000, 500_000
 #: Words that follow a phrase, up to which it is ANDed with each of them; with more, with all in one pass.
 FEW = 4
-#: Rows of an output batch.
-ROWS = 65_536
 
 _ENDS = bytes.maketrans(b",;:!?\x0a\x0b\x0c\x0d", b".........")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -316,24 +315,65 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "lang string, word binary, id long, n long").groupBy("lang", "word").agg(F.max("id").alias("id"), F.sum("n").alias("n"))
 
 
-def phrase_counts(parts: DataFrame, twos: BitFilter, threes: BitFilter | None, most: int) -> DataFrame:
-    """(lang, ids, n) of phrases of two to `most` words that pass the filters: popcounts of their bitmaps, summed over shards."""
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """Rows (hash, length, ids, count) with each phrase once, in the order of their hashes, and the sum of its counts."""
+    rows = rows[:, np.lexsort(rows[-2::-1])]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(rows[:-1]) != 0).any(axis=0)])) if rows.shape[1] else np.zeros(0, np.int64)
+    out = rows[:, new]
+    if len(new):
+        out[-1] = np.add.reduceat(rows[-1], new)
+    return out
+
+
+def phrase_counts(parts: DataFrame, twos: BitFilter, threes: BitFilter | None, most: int, least: int, ranges: int) -> DataFrame:
+    """(lang, ids, n) of phrases of two to `most` words that stand `least` times or more: popcounts of their bitmaps, summed over
+    shards. As with buckets, a task gives away its sums packed, by ranges of the phrases' hashes."""
+    bits = max(0, (ranges - 1).bit_length())
+
+    def of_shard(at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        words: list[tuple[int, ...]] = []
+        counts: list[int] = []
+        for phrase, n in extended(at, hashes, twos, threes, most):
+            words.append(phrase)
+            counts.append(n)
+        rows = np.zeros((most + 3, len(words)), dtype=np.int64)
+        rows[1] = np.fromiter(map(len, words), np.int64, len(words))
+        within = np.arange(most)[None, :] < rows[1][:, None]
+        ids = np.zeros((len(words), most), dtype=np.uint64)
+        ids[within] = hashes[np.fromiter(chain.from_iterable(words), np.int64, int(rows[1].sum()))]
+        h = rows[1].astype(np.uint64)
+        for column in ids.T:
+            h = pair_hashes(h, column)
+        rows[0], rows[2:-1], rows[-1] = (h >> np.uint64(1)).view(np.int64), ids.T.view(np.int64), counts
+        return rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("ids", pa.list_(pa.int64())), ("n", pa.int64())])
+        found: dict[str, np.ndarray] = {}
         for lang, at, hashes in _read(batches):
-            ids, counts = [], []
-            signed = _signed(hashes).tolist()
-            batch = lambda: pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids, schema.field("ids").type), pa.array(counts, pa.int64())], schema=schema)  # noqa: B023, E731
-            for phrase, n in extended(at, hashes, twos, threes, most):
-                ids.append([signed[x] for x in phrase])
-                counts.append(n)
-                if len(ids) == ROWS:
-                    yield batch()
-                    ids, counts = [], []
-            yield batch()
+            rows = of_shard(at, hashes)
+            found[lang] = _merged(np.concatenate([found[lang], rows], axis=1) if lang in found else rows)
+        packed = []
+        for lang, rows in found.items():
+            part = rows[0] >> (63 - bits)
+            begin = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            packed += [(lang, int(part[a]), b - a, pack([np.ascontiguousarray(c[a:b]) for c in rows])) for a, b in zip(begin, [*begin[1:], len(part)])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in packed], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary()))], names=["lang", "part", "n", "blob"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for lang, part, n, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = unpack(blob, n, most + 3)
+                had = sums.get((lang, part))
+                sums[lang, part] = _merged(np.concatenate([had, rows], axis=1)) if had is not None else rows
+        schema = pa.schema([("lang", pa.string()), ("ids", pa.list_(pa.int64())), ("n", pa.int64())])
+        for (lang, _), rows in sums.items():
+            rows = rows[:, rows[-1] >= least]
+            ids = [ids[:k] for k, ids in zip(rows[1].tolist(), rows[2:-1].T.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids, schema.field("ids").type), pa.array(rows[-1])], schema=schema)
 
-    return parts.mapInArrow(count, "lang string, ids array<bigint>, n long").groupBy("lang", "ids").agg(F.sum("n").alias("n"))
+    packed = parts.mapInArrow(count, "lang string, part int, n int, blob binary").repartition(ranges, "lang", "part")
+    return packed.mapInArrow(total, "lang string, ids array<bigint>, n long")
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, most_words: int = MOST_WORDS, filter_log2: int = FILTER_LOG2) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -355,7 +395,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     ranges = 1 + min(totals.agg(F.sum("n")).first()[0] // RANGE, 1 << 20)
     twos = frequent_runs(parts, None, least, ranges, filter_log2)
     threes = frequent_runs(parts, twos, least, ranges, filter_log2) if most_words > 2 else None
-    longer = scratch.cache(phrase_counts(parts, twos, threes, most_words).where(F.col("n") >= least))
+    longer = scratch.cache(phrase_counts(parts, twos, threes, most_words, least, ranges))
     return totals, words, single.unionByName(longer)
 
 
