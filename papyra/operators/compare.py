@@ -20,7 +20,42 @@ NAME_STOPS = ("GIVEN", "NAME", "NAMES", "SURNAME", "FAMILY")
 TITLES = ("MR", "MS", "MRS", "MISS")
 WARNED = ("Partial Match", "Missing", "Not Available", "Invalid Date")
 
-FIELD = "struct<label:string,passportValue:string,visaValue:string,status:string,statusClass:string,score:int,weight:int,critical:boolean,note:string>"
+#: What notes, alerts and reasons say.
+NOTES = {
+    "identical": "Values are identical.",
+    "name_missing": "Name could not be detected on one or both documents.",
+    "name_order": "Same name tokens detected, but order is different.",
+    "name_near": "Names are highly similar but not identical.",
+    "missing": "One or both values were not detected.",
+    "gender_unclear": "Gender could not be confidently normalized.",
+    "gender": "Gender values are different.",
+    "country": "Country value differs. This may be normal depending on document type.",
+    "confusions": "Values match after OCR confusion correction.",
+    "different": "Values are different.",
+    "no_number": "Secondary document does not show a passport number. This is acceptable for some document types.",
+    "no_nation": "Nationality or citizenship could not be detected.",
+    "citizenship": "Secondary document shows citizenship. Citizenship may differ from issuing country or travel document nationality.",
+    "no_secondary_nation": "Secondary document nationality/citizenship was not detected.",
+    "no_issuers": "Issuing country was not detected on one or both documents.",
+    "no_issuer": "Secondary document issuing country was not detected.",
+    "same_issuer": "Both documents appear to be issued by the same country.",
+    "other_issuer": "Different issuing countries can be normal for visas, residence permits, refugee documents, and travel documents.",
+    "no_expiry": "Expiry date was not detected.",
+    "bad_expiry": "Date format could not be validated.",
+    "expired": " is expired.",
+    "valid": " is valid.",
+    "alert_expired": ": document is expired.",
+    "alert_zone": "⚠ Primary document MRZ was not detected clearly.",
+    "alert_kind": "ℹ Secondary document detected as: ",
+    "verified": "All critical identity fields are valid and matched.",
+    "attention_before": "Identity appears acceptable, but ",
+    "attention_after": " field(s) require attention.",
+    "rejected": "Critical issue detected: ",
+    "identity": "identity mismatch",
+    "review": "Document data could not be verified confidently and requires manual review.",
+    "not_shown": "Not detected / not available",
+}
+FIELD = "struct<label:string,primaryValue:string,secondaryValue:string,status:string,statusClass:string,score:int,weight:int,critical:boolean,note:string>"
 ABSENT = "Not detected"
 
 
@@ -66,7 +101,7 @@ def token_overlap(a: Column, b: Column) -> Column:
 def _field(label, p: Column, s: Column, status, score, weight: int, critical=False, note="") -> Column:
     status_class = {"Exact Match": "match", "Valid": "match", "Mismatch": "mismatch", "Expired": "mismatch"}
     parts = [label, p, s, status, status_class.get(status, "partial"), score, weight, critical, note]
-    names = ("label", "passportValue", "visaValue", "status", "statusClass", "score", "weight", "critical", "note")
+    names = ("label", "primaryValue", "secondaryValue", "status", "statusClass", "score", "weight", "critical", "note")
     return F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(n) for x, n in zip(parts, names)]).cast(FIELD)
 
 
@@ -75,7 +110,7 @@ def _shown(value: Column) -> Column:
 
 
 def match(label: str, p: Column, s: Column, weight: int, critical: bool) -> Column:
-    return _field(label, _shown(p), _shown(s), "Exact Match", 100, weight, critical, "Values are identical.")
+    return _field(label, _shown(p), _shown(s), "Exact Match", 100, weight, critical, NOTES["identical"])
 
 
 def mismatch(label: str, p: Column, s: Column, note: str, weight: int, critical: bool) -> Column:
@@ -89,11 +124,11 @@ def compare_names(label: str, p: Column, s: Column, weight: int, critical: bool)
     def judged(v: Column) -> Column:
         a, b, x, y = v["a"], v["b"], v["x"], v["y"]
         best = F.greatest(token_overlap(x, y), similarity(a, b))
-        near = let(best, lambda n: F.when(n >= NAME_SIMILARITY, _field(label, p, s, "Partial Match", half_up(n * 100), weight, critical, "Names are highly similar but not identical.")).otherwise(mismatch(label, p, s, "Names do not match.", weight, critical)))
+        near = let(best, lambda n: F.when(n >= NAME_SIMILARITY, _field(label, p, s, "Partial Match", half_up(n * 100), weight, critical, NOTES["name_near"])).otherwise(mismatch(label, p, s, "Names do not match.", weight, critical)))
         return (
-            F.when((a == "") | (b == ""), _field(label, _shown(p), _shown(s), "Missing", 55, weight, critical, "Name could not be detected on one or both documents."))
+            F.when((a == "") | (b == ""), _field(label, _shown(p), _shown(s), "Missing", 55, weight, critical, NOTES["name_missing"]))
             .when(a == b, match(label, p, s, weight, critical))
-            .when((F.size(x) > 0) & (sorted_tokens(x) == sorted_tokens(y)), _field(label, p, s, "Partial Match", 92, weight, critical, "Same name tokens detected, but order is different."))
+            .when((F.size(x) > 0) & (sorted_tokens(x) == sorted_tokens(y)), _field(label, p, s, "Partial Match", 92, weight, critical, NOTES["name_order"]))
             .otherwise(near)
         )
 
@@ -106,19 +141,19 @@ def compare_field(label: str, p: Column, s: Column, mode: str, weight: int = 10,
 
 
 def _compared(label: str, p: Column, s: Column, mode: str, weight: int, critical: bool) -> Column:
-    missing = _field(label, _shown(p), _shown(s), "Missing", 40 if critical else 65, weight, critical, "One or both values were not detected.")
+    missing = _field(label, _shown(p), _shown(s), "Missing", 40 if critical else 65, weight, critical, NOTES["missing"])
     if mode == "name":
         rest = compare_names(label, p, s, weight, critical)
     elif mode == "gender":
-        unclear = _field(label, _shown(p), _shown(s), "Missing", 65, weight, False, "Gender could not be confidently normalized.")
-        rest = let(F.struct(sex(p).alias("x"), sex(s).alias("y")), lambda v: F.when((v["x"] == "") | (v["y"] == ""), unclear).when(v["x"] == v["y"], match(label, p, s, weight, critical)).otherwise(mismatch(label, p, s, "Gender values are different.", weight, critical)))
+        unclear = _field(label, _shown(p), _shown(s), "Missing", 65, weight, False, NOTES["gender_unclear"])
+        rest = let(F.struct(sex(p).alias("x"), sex(s).alias("y")), lambda v: F.when((v["x"] == "") | (v["y"] == ""), unclear).when(v["x"] == v["y"], match(label, p, s, weight, critical)).otherwise(mismatch(label, p, s, NOTES["gender"], weight, critical)))
     elif mode == "country":
-        other = _field(label, _shown(p), _shown(s), "Information Only", 80, weight, False, "Country value differs. This may be normal depending on document type.")
+        other = _field(label, _shown(p), _shown(s), "Information Only", 80, weight, False, NOTES["country"])
         rest = F.when(country(p) == country(s), match(label, p, s, weight, critical)).otherwise(other)
     else:
-        near = _field(label, p, s, "Partial Match", 90, weight, critical, "Values match after OCR confusion correction.")
+        near = _field(label, p, s, "Partial Match", 90, weight, critical, NOTES["confusions"])
         a, b = plain(p), plain(s)
-        rest = F.when(a == b, match(label, p, s, weight, critical)).when(without_confusions(a) == without_confusions(b), near).otherwise(mismatch(label, p, s, "Values are different.", weight, critical))
+        rest = F.when(a == b, match(label, p, s, weight, critical)).when(without_confusions(a) == without_confusions(b), near).otherwise(mismatch(label, p, s, NOTES["different"], weight, critical))
     return F.when((plain(p) == "") | (plain(s) == ""), missing).otherwise(rest)
 
 
@@ -128,8 +163,8 @@ def compare_full_name(p: Column, s: Column) -> Column:
 
 
 def compare_document_number(p: Column, s: Column) -> Column:
-    mine, theirs = either(p["passportNumber"], p["documentNumber"]), present(s["passportNumber"])
-    none = _field("Passport Number", mine, F.lit("Not detected / not available"), "Not Available", 75, 15, False, "Secondary document does not show a passport number. This is acceptable for some document types.")
+    mine, theirs = either(p["holderNumber"], p["documentNumber"]), present(s["holderNumber"])
+    none = _field("Passport Number", mine, F.lit(NOTES["not_shown"]), "Not Available", 75, 15, False, NOTES["no_number"])
     return F.when(theirs == "", none).otherwise(compare_field("Passport Number", mine, theirs, "strict", 15, True))
 
 
@@ -137,20 +172,20 @@ def compare_nationality(p: Column, s: Column) -> Column:
     both, mine, nation, citizen = "Nationality / Citizenship", present(p["nationality"]), present(s["nationality"]), present(s["citizenship"])
     absent = F.lit(ABSENT)
     return (
-        F.when((mine == "") & (nation == "") & (citizen == ""), _field(both, absent, absent, "Missing", 65, 10, False, "Nationality or citizenship could not be detected."))
+        F.when((mine == "") & (nation == "") & (citizen == ""), _field(both, absent, absent, "Missing", 65, 10, False, NOTES["no_nation"]))
         .when(nation != "", compare_field("Nationality", mine, nation, "country", 10, False))
-        .when(citizen != "", _field(both, _shown(mine), citizen, "Information Only", 85, 10, False, "Secondary document shows citizenship. Citizenship may differ from issuing country or travel document nationality."))
-        .otherwise(_field(both, _shown(mine), absent, "Missing", 65, 10, False, "Secondary document nationality/citizenship was not detected."))
+        .when(citizen != "", _field(both, _shown(mine), citizen, "Information Only", 85, 10, False, NOTES["citizenship"]))
+        .otherwise(_field(both, _shown(mine), absent, "Missing", 65, 10, False, NOTES["no_secondary_nation"]))
     )
 
 
 def compare_issuing_country(p: Column, s: Column) -> Column:
     label, mine, theirs, absent = "Issuing Country", present(p["issuingCountry"]), present(s["issuingCountry"]), F.lit(ABSENT)
     return (
-        F.when((mine == "") & (theirs == ""), _field(label, absent, absent, "Missing", 70, 5, False, "Issuing country was not detected on one or both documents."))
-        .when(theirs == "", _field(label, _shown(mine), absent, "Not Available", 75, 5, False, "Secondary document issuing country was not detected."))
-        .when(country(mine) == country(theirs), _field(label, mine, theirs, "Exact Match", 100, 5, False, "Both documents appear to be issued by the same country."))
-        .otherwise(_field(label, _shown(mine), theirs, "Information Only", 85, 5, False, "Different issuing countries can be normal for visas, residence permits, refugee documents, and travel documents."))
+        F.when((mine == "") & (theirs == ""), _field(label, absent, absent, "Missing", 70, 5, False, NOTES["no_issuers"]))
+        .when(theirs == "", _field(label, _shown(mine), absent, "Not Available", 75, 5, False, NOTES["no_issuer"]))
+        .when(country(mine) == country(theirs), _field(label, mine, theirs, "Exact Match", 100, 5, False, NOTES["same_issuer"]))
+        .otherwise(_field(label, _shown(mine), theirs, "Information Only", 85, 5, False, NOTES["other_issuer"]))
     )
 
 
@@ -159,10 +194,10 @@ def check_expiry(label: str, value: Column, primary: bool, as_of: dt.date) -> Co
     p, s = (_shown(value), F.lit("")) if primary else (F.lit(""), _shown(value))
     day = F.when(is_date(value), F.try_to_date(value, "yyyy-MM-dd"))
     return (
-        F.when(value == "", _field(label, p, s, "Missing", 70, 5, False, "Expiry date was not detected."))
-        .when(day.isNull(), _field(label, p, s, "Invalid Date", 60, 5, False, "Date format could not be validated."))
-        .when(day < F.lit(as_of), _field(label, p, s, "Expired", 0, 5, True, f"{label} is expired."))
-        .otherwise(_field(label, p, s, "Valid", 100, 5, False, f"{label} is valid."))
+        F.when(value == "", _field(label, p, s, "Missing", 70, 5, False, NOTES["no_expiry"]))
+        .when(day.isNull(), _field(label, p, s, "Invalid Date", 60, 5, False, NOTES["bad_expiry"]))
+        .when(day < F.lit(as_of), _field(label, p, s, "Expired", 0, 5, True, label + NOTES["expired"]))
+        .otherwise(_field(label, p, s, "Valid", 100, 5, False, label + NOTES["valid"]))
     )
 
 
@@ -185,12 +220,12 @@ def alerts(fields: Column, mrz_text: Column, secondary_type: Column) -> Column:
         named = F.concat(f["label"], F.lit(": "), f["note"])
         return (
             F.when(f["status"] == "Mismatch", F.concat(F.lit("❌ "), named))
-            .when(f["status"] == "Expired", F.concat(F.lit("❌ "), f["label"], F.lit(": document is expired.")))
+            .when(f["status"] == "Expired", F.concat(F.lit("❌ "), f["label"], F.lit(NOTES["alert_expired"])))
             .when(f["status"].isin(*WARNED), F.concat(F.lit("⚠ "), named))
             .when(f["status"] == "Information Only", F.concat(F.lit("ℹ "), named))
         )
 
-    record = listed(F.when(~has(mrz_text), "⚠ Primary document MRZ was not detected clearly."), F.when(has(secondary_type), F.concat(F.lit("ℹ Secondary document detected as: "), secondary_type, F.lit("."))))
+    record = listed(F.when(~has(mrz_text), F.lit(NOTES["alert_zone"])), F.when(has(secondary_type), F.concat(F.lit(NOTES["alert_kind"]), secondary_type, F.lit("."))))
     return F.concat(F.filter(F.transform(fields, of), lambda x: x.isNotNull()), record)
 
 
@@ -217,10 +252,10 @@ def reason(fields: Column, decision: Column) -> Column:
     bad = F.array_join(F.transform(F.filter(fields, lambda f: f["critical"] & f["status"].isin("Mismatch", "Expired")), lambda f: f["label"]), ", ")
     warned = F.size(F.filter(fields, lambda f: f["status"].isin(*WARNED)))
     return (
-        F.when(decision == "VERIFIED", "All critical identity fields are valid and matched.")
-        .when(decision == "VERIFIED WITH WARNINGS", F.concat(F.lit("Identity appears acceptable, but "), warned.cast("string"), F.lit(" field(s) require attention.")))
-        .when(decision == "REJECTED", F.concat(F.lit("Critical issue detected: "), either(bad, F.lit("identity mismatch")), F.lit(".")))
-        .otherwise("Document data could not be verified confidently and requires manual review.")
+        F.when(decision == "VERIFIED", NOTES["verified"])
+        .when(decision == "VERIFIED WITH WARNINGS", F.concat(F.lit(NOTES["attention_before"]), warned.cast("string"), F.lit(NOTES["attention_after"])))
+        .when(decision == "REJECTED", F.concat(F.lit(NOTES["rejected"]), either(bad, F.lit(NOTES["identity"])), F.lit(".")))
+        .otherwise(NOTES["review"])
     )
 
 

@@ -64,7 +64,7 @@ def flat_record(m: Column, full_text: Column, mrz_text: Column, extra_warnings:
         "issuingCountry": present(m["issuingCountryCode"]),
         "issuingCountryName": present(m["issuingCountry"]),
         "issuingCountryCode": present(m["issuingCountryCode"]),
-        "passportNumber": present(m["documentNumber"]),
+        "holderNumber": present(m["documentNumber"]),
         "documentNumber": present(m["documentNumber"]),
         "surname": surname,
         "givenNames": given,

@@ -20,7 +20,7 @@ UCI = tuple(rf"(?i)(?<![A-Za-z0-9_]){w}\s*[:\-]?\s*([A-Z0-9]{{5,20}})" for w in
 
 #: Points for what a page shows, by field.
 POINTS = {
-    "documentNumber": 12, "visaNumber": 12, "passportNumber": 12, "applicationNumber": 10, "uci": 10, "surname": 8, "givenNames": 8, "fullName": 8,
+    "documentNumber": 12, "visaNumber": 12, "holderNumber": 12, "applicationNumber": 10, "uci": 10, "surname": 8, "givenNames": 8, "fullName": 8,
     "dateOfBirth": 10, "gender": 5, "expiryDate": 10, "issueDate": 5, "issuingCountry": 5,
 }
 LOW_WARNING = "Low confidence secondary document read. Please use a clearer image or PDF scan."
@@ -80,7 +80,7 @@ def extract(pages: DataFrame, text_col: str = "full_text", rules: Rules | tuple[
         "documentCategory": category(kind),
         "documentNumber": f.document_number(lines, flat, found("documentNumber")),
         "visaNumber": f.pattern_value(flat, *VISA_NUMBER),
-        "passportNumber": f.pattern_value(flat, *HOLDER_NUMBER),
+        "holderNumber": f.pattern_value(flat, *HOLDER_NUMBER),
         "applicationNumber": f.pattern_value(flat, *APPLICATION_NUMBER),
         "uci": f.pattern_value(flat, *UCI),
         "surname": surname,

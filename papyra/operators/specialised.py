@@ -38,7 +38,7 @@ SCHENGEN = {
     "duration": _p(rf"DURATION\s+OF\s+STAY{_SEP}([0-9]{{1,3}})", rf"DURATION{_SEP}([0-9]{{1,3}})"),
     "issuingPost": _p(rf"ISSUED\s+IN{_SEP}{_WORDS}", rf"ISSUING\s+AUTHORITY{_SEP}{_WORDS}"),
     "remarks": _p(rf"REMARKS{_SEP}([A-Z0-9\s/-]+)", rf"OBSERVATIONS{_SEP}([A-Z0-9\s/-]+)"),
-    "passportNumber": _p(rf"PASSPORT{_NO}{_SEP}([A-Z0-9]{{5,20}})"),
+    "holderNumber": _p(rf"PASSPORT{_NO}{_SEP}([A-Z0-9]{{5,20}})"),
     "surname": _p(rf"SURNAME{_SEP}{_NAME}", rf"FAMILY\s+NAME{_SEP}{_NAME}"),
     "givenNames": _p(rf"GIVEN\s+NAMES?{_SEP}{_NAME}", rf"FIRST\s+NAME{_SEP}{_NAME}"),
 }
@@ -49,7 +49,7 @@ UAE = {
     "uid": _p(rf"UID{_NO}{_SEP}([0-9]{{6,20}})"),
     "fileNumber": _p(rf"FILE{_NO}{_SEP}([0-9/.-]{{6,25}})", rf"UNIFIED{_NO}{_SEP}([0-9]{{6,20}})"),
     "emiratesId": _p(rf"EMIRATES\s*ID{_SEP}([0-9\-]{{10,25}})", rf"ID\s*NUMBER{_SEP}([0-9\-]{{10,25}})"),
-    "passportNumber": _p(rf"PASSPORT{_NO}{_SEP}([A-Z0-9]{{5,20}})"),
+    "holderNumber": _p(rf"PASSPORT{_NO}{_SEP}([A-Z0-9]{{5,20}})"),
     "surname": _p(rf"SURNAME{_SEP}{_NAME}", rf"FAMILY\s+NAME{_SEP}{_NAME}"),
     "givenNames": _p(rf"GIVEN\s+NAMES?{_SEP}{_NAME}", rf"NAME{_SEP}{_NAME}"),
     "nationality": _p(rf"NATIONALITY{_SEP}{_WORDS}"),
@@ -75,6 +75,20 @@ def _clean(kept: str):
     return lambda value: F.trim(F.regexp_replace(F.regexp_replace(blank(value), r"\s+", " "), f"(?i)[^A-Z0-9\\s{kept}]", ""))
 
 
+#: Warnings, and what points are for.
+NOTES = {
+    "short_expiry": "Schengen visa expiry date not detected.",
+    "short_name": "Holder name not fully detected from visa text.",
+    "expiry": "Expiry date not detected.",
+    "name": "Name not fully detected.",
+    "number": "Passport number not detected.",
+    "document_found": "document number detected",
+    "holder_found": "passport number detected",
+    "name_found": "name detected",
+    "expiry_found": "expiry detected",
+}
+
+
 def _score(base: int, points: list[tuple[Column, int, str]], warnings: Column) -> Column:
     score = sum((F.when(ok, n).otherwise(0) for ok, n, _ in points), F.lit(base)) - 5 * F.size(warnings)
     score = F.greatest(F.lit(0), F.least(F.lit(100), score))
@@ -98,12 +112,12 @@ def read_schengen(pages: DataFrame, text_col: str, as_of: dt.date, out: str = "r
     f, m = F.col("__f"), F.col("__m")
     until, since = visa_date(f["validUntil"]), visa_date(f["validFrom"])
     named = has(f["surname"]) & has(f["givenNames"])
-    warnings = listed(F.when(until == "", "Schengen visa expiry date not detected."), F.when(~named, "Holder name not fully detected from visa text."))
+    warnings = listed(F.when(until == "", NOTES["short_expiry"]), F.when(~named, NOTES["short_name"]))
     surname, given = either(f["surname"], m["surname"]), either(f["givenNames"], m["givenNames"])
-    trust = _score(20, [(m["mrzFormat"] != "NONE", 40, "MRZ detected"), (until != "", 15, "expiry detected"), (named, 10, "name detected")], warnings)
+    trust = _score(20, [(m["mrzFormat"] != "NONE", 40, "MRZ detected"), (until != "", 15, NOTES["expiry_found"]), (named, 10, NOTES["name_found"])], warnings)
     record = {
         "documentType": F.lit("VISA"), "documentSubtype": F.lit("SCHENGEN"), "mrzFormat": m["mrzFormat"], "surname": surname, "givenNames": given, "fullName": _full(given, surname),
-        "nationality": m["nationality"], "nationalityCode": m["nationalityCode"], "dateOfBirth": m["dateOfBirth"], "gender": m["gender"], "documentNumber": either(f["passportNumber"], m["documentNumber"]),
+        "nationality": m["nationality"], "nationalityCode": m["nationalityCode"], "dateOfBirth": m["dateOfBirth"], "gender": m["gender"], "documentNumber": either(f["holderNumber"], m["documentNumber"]),
         "issuingCountry": either(f["validFor"], F.lit("Schengen Area")), "issuingCountryCode": F.lit("SCHENGEN"), "issueDate": F.lit(None).cast("string"), "expiryDate": until, "visaType": f["visaType"], "validFor": f["validFor"],
         "validFrom": since, "validUntil": until, "entries": F.when(f["entries"] == "MULTIPLE", "MULT").otherwise(f["entries"]), "durationOfStay": f["duration"], "issuingPost": f["issuingPost"], "remarks": f["remarks"],
         "expiryStatus": expiry_status(until, as_of), "checkDigits": m["checkDigits"], "confidence": trust, "corrections": F.array().cast("array<struct<field:string,original:string,corrected:string>>"), "warnings": warnings,
@@ -139,17 +153,17 @@ def read_uae(pages: DataFrame, text_col: str, as_of: dt.date, out: str = "record
     expiry = residence_date(f["expiryDate"])
     named = has(f["surname"]) | has(f["givenNames"])
     number = either(f["visaNumber"], f["emiratesId"], f["uid"])
-    warnings = listed(F.when(expiry == "", "Expiry date not detected."), F.when(~named, "Name not fully detected."), F.when(~has(f["passportNumber"]), "Passport number not detected."))
+    warnings = listed(F.when(expiry == "", NOTES["expiry"]), F.when(~named, NOTES["name"]), F.when(~has(f["holderNumber"]), NOTES["number"]))
     code = nationality_code(f["nationality"])
     names = country_map(country_names(pages.sparkSession))
     g = F.upper(f["gender"])
-    trust = _score(25, [(named, 10, "name detected"), (has(number), 20, "document number detected"), (expiry != "", 15, "expiry detected"), (has(f["passportNumber"]), 15, "passport number detected")], warnings)
+    trust = _score(25, [(named, 10, NOTES["name_found"]), (has(number), 20, NOTES["document_found"]), (expiry != "", 15, NOTES["expiry_found"]), (has(f["holderNumber"]), 15, NOTES["holder_found"])], warnings)
     no = F.array().cast("array<string>")
     record = {
         "documentType": F.when(subtype == "EMIRATES_ID", "IDENTITY_CARD").otherwise("RESIDENCE"), "documentSubtype": subtype, "mrzFormat": F.lit("NONE"), "surname": f["surname"], "givenNames": f["givenNames"],
         "fullName": _full(f["givenNames"], f["surname"]), "nationality": F.coalesce(F.try_element_at(names, normal_code(code)), code), "nationalityCode": code, "dateOfBirth": residence_date(f["dob"]),
         "gender": F.when(g.isin("M", "MALE"), "MALE").when(g.isin("F", "FEMALE"), "FEMALE").otherwise("UNSPECIFIED"), "documentNumber": number, "issuingCountry": F.lit("United Arab Emirates"), "issuingCountryCode": F.lit("ARE"),
-        "issueDate": residence_date(f["issueDate"]), "expiryDate": expiry, "uid": f["uid"], "fileNumber": f["fileNumber"], "emiratesId": f["emiratesId"], "passportNumber": f["passportNumber"], "visaNumber": f["visaNumber"],
+        "issueDate": residence_date(f["issueDate"]), "expiryDate": expiry, "uid": f["uid"], "fileNumber": f["fileNumber"], "emiratesId": f["emiratesId"], "holderNumber": f["holderNumber"], "visaNumber": f["visaNumber"],
         "entryType": f["entryType"], "profession": f["profession"], "sponsorName": f["sponsor"], "sponsorNumber": f["sponsorNumber"], "portOfEntry": f["portOfEntry"], "expiryStatus": expiry_status(expiry, as_of),
         "checkDigits": F.struct(*[F.lit(False)] * 5).cast(CHECKS), "confidence": trust, "corrections": F.array().cast("array<struct<field:string,original:string,corrected:string>>"), "warnings": warnings, "mrzRaw": no, "mrzCleaned": no,
         "rawOcrText": F.coalesce(F.col(text_col), F.lit("")),

@@ -299,10 +299,10 @@ def _pairs(spark, sf) -> DataFrame:
     k, o = F.col("c_custkey"), F.col("o")
     born = F.date_format(F.date_add(F.lit(dt.date(1960, 1, 1)), (k % 9000).cast("int")), "yyyy-MM-dd")
     other = F.date_format(F.date_add(F.lit(dt.date(1960, 1, 1)), (k % 9000).cast("int") + 1), "yyyy-MM-dd")
-    p = F.struct(F.lit("").alias("fullName"), F.lit("ANNA").alias("givenNames"), F.col("c_mktsegment").alias("surname"), born.alias("dateOfBirth"), F.when(k % 2 == 0, "M").otherwise("X").alias("gender"), F.lit("").alias("passportNumber"), _number(k).alias("documentNumber"),
+    p = F.struct(F.lit("").alias("fullName"), F.lit("ANNA").alias("givenNames"), F.col("c_mktsegment").alias("surname"), born.alias("dateOfBirth"), F.when(k % 2 == 0, "M").otherwise("X").alias("gender"), F.lit("").alias("holderNumber"), _number(k).alias("documentNumber"),
                  F.lit("UTO").alias("nationality"), F.lit("ARE").alias("issuingCountry"), F.lit("2030-01-01").alias("expiryDate"), F.when(k % 7 == 0, "").otherwise("P<UTO").alias("mrzRawData"))
     s = F.struct(F.when(o % 5 == 0, "JOHN SMITHSON").when(o % 5 == 1, F.concat(F.col("c_mktsegment"), F.lit(" ANNA"))).otherwise(F.concat(F.lit("Anna "), F.col("c_mktsegment"))).alias("fullName"), F.lit("").alias("givenNames"), F.lit("").alias("surname"),
-                 F.when(o % 3 == 0, other).otherwise(born).alias("dateOfBirth"), F.lit("MALE").alias("gender"), F.when(o % 4 == 0, "").when(o % 4 == 1, F.translate(_number(k), "0", "O")).when(o % 4 == 2, F.lit("QQQQQ")).otherwise(_number(k)).alias("passportNumber"),
+                 F.when(o % 3 == 0, other).otherwise(born).alias("dateOfBirth"), F.lit("MALE").alias("gender"), F.when(o % 4 == 0, "").when(o % 4 == 1, F.translate(_number(k), "0", "O")).when(o % 4 == 2, F.lit("QQQQQ")).otherwise(_number(k)).alias("holderNumber"),
                  F.when(o % 2 == 0, "UTO").otherwise("").alias("nationality"), F.when(o % 6 == 1, "UTOPIA").otherwise("").alias("citizenship"), F.when(o % 3 == 1, "United Arab Emirates").otherwise("").alias("issuingCountry"),
                  F.when(k % 5 == 0, "2020-01-01").when(k % 5 == 1, "2025-13-40").when(k % 5 == 2, "").otherwise("2027-01-01").alias("expiryDate"), F.lit("Visa").alias("documentType"))
     return c.select("c_custkey", p.alias("primary"), s.alias("secondary"))
@@ -461,7 +461,7 @@ FROM customer
 
 def primary_records(spark, sf):
     p = _case_pages(spark, sf).where("role = 'primary'")
-    return read_primary(p, AS_OF).select("case_id", F.col("documentType").alias("document_type"), F.col("passportNumber").alias("number"), "surname", F.col("givenNames").alias("given_names"), F.col("dateOfBirth").alias("birth"), "gender", F.col("checkAllValid").alias("checks"), F.col("selectedPage").alias("page"), F.col("processingScore").alias("score"))
+    return read_primary(p, AS_OF).select("case_id", F.col("documentType").alias("document_type"), F.col("holderNumber").alias("number"), "surname", F.col("givenNames").alias("given_names"), F.col("dateOfBirth").alias("birth"), "gender", F.col("checkAllValid").alias("checks"), F.col("selectedPage").alias("page"), F.col("processingScore").alias("score"))
 
 
 PRIMARY_RECORDS = f"""
@@ -472,7 +472,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS case_id, 'Passport' AS document_type, numbe
 
 def secondary_records(spark, sf):
     s = _case_pages(spark, sf).where("role = 'secondary'")
-    return read_secondary(s).select("case_id", F.col("documentType").alias("document_type"), F.col("passportNumber").alias("number"), "surname", F.col("fullName").alias("full_name"), F.col("dateOfBirth").alias("birth"), "gender", F.col("expiryDate").alias("expiry"), F.col("selectedPage").alias("page"))
+    return read_secondary(s).select("case_id", F.col("documentType").alias("document_type"), F.col("holderNumber").alias("number"), "surname", F.col("fullName").alias("full_name"), F.col("dateOfBirth").alias("birth"), "gender", F.col("expiryDate").alias("expiry"), F.col("selectedPage").alias("page"))
 
 
 SECONDARY_RECORDS = f"""

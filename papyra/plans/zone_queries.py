@@ -318,7 +318,7 @@ def emirates_records(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet").select(_k(), _made(_EMIRATES).alias("text"))
     r = F.col("record")
     return read_uae(c, "text", AS_OF).select("c_custkey", *[r[a].alias(b) for a, b in (("documentType", "type"), ("documentSubtype", "subtype"), ("surname", "surname"), ("givenNames", "given_names"), ("nationality", "nationality"), ("nationalityCode", "nation_code"), ("dateOfBirth", "birth"), ("gender", "gender"), ("documentNumber", "number"),
-                        ("issueDate", "issued"), ("expiryDate", "expiry"), ("uid", "uid"), ("fileNumber", "file_number"), ("emiratesId", "emirates_id"), ("passportNumber", "holder_number"), ("visaNumber", "visa_number"), ("entryType", "entry_type"), ("profession", "profession"), ("sponsorName", "sponsor"), ("portOfEntry", "port"))],
+                        ("issueDate", "issued"), ("expiryDate", "expiry"), ("uid", "uid"), ("fileNumber", "file_number"), ("emiratesId", "emirates_id"), ("holderNumber", "holder_number"), ("visaNumber", "visa_number"), ("entryType", "entry_type"), ("profession", "profession"), ("sponsorName", "sponsor"), ("portOfEntry", "port"))],
                         r["expiryStatus"]["status"].alias("status"), r["confidence"]["score"].alias("confidence"), r["confidence"]["grade"].alias("grade"), F.array_join(r["warnings"], "|").alias("warnings"))
 
 
@@ -354,7 +354,7 @@ def visible_records(spark, sf):
     """Records read from labels alone, where no zone is to be parsed."""
     c = spark.read.parquet(f"{sf}/customer.parquet").select(_k(), _made(_VISIBLE).alias("full_text"))
     r = F.col("record")
-    return read_visible(c, AS_OF).select("c_custkey", *[r[a].alias(b) for a, b in (("surname", "surname"), ("givenNames", "given_names"), ("fullName", "full_name"), ("passportNumber", "number"), ("dateOfBirth", "birth"), ("gender", "gender"), ("issueDate", "issued"), ("expiryDate", "expiry"), ("confidenceScore", "confidence"), ("checkAllValid", "checks"))])
+    return read_visible(c, AS_OF).select("c_custkey", *[r[a].alias(b) for a, b in (("surname", "surname"), ("givenNames", "given_names"), ("fullName", "full_name"), ("holderNumber", "number"), ("dateOfBirth", "birth"), ("gender", "gender"), ("issueDate", "issued"), ("expiryDate", "expiry"), ("confidenceScore", "confidence"), ("checkAllValid", "checks"))])
 
 
 VISIBLE_RECORDS = f"""

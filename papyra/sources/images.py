@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -32,10 +33,51 @@ def enhance_contrast(plane: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(32)
+def weights(size: int, target: int) -> np.ndarray:
+    """A matrix that takes a line of `size` pixels to one of `target`, whose rows sum to 1.
+
+    Smaller: each new pixel is the mean of what it covers, with the share of pixels that it covers in part. Larger: each lies
+    between the two nearest pixel centres, and at an edge is the pixel there.
+    """
+    if target < size:
+        edges = np.arange(target + 1) * (size / target)
+        left, right = edges[:-1, None], edges[1:, None]
+        at = np.arange(size)[None, :]
+        covered = np.clip(np.minimum(right, at + 1) - np.maximum(left, at), 0, None)
+        return covered / covered.sum(axis=1, keepdims=True)
+    centre = np.clip((np.arange(target) + 0.5) * (size / target) - 0.5, 0, size - 1)
+    low = np.minimum(np.floor(centre).astype(np.int64), max(size - 2, 0))
+    out = np.zeros((target, size))
+    rows = np.arange(target)
+    out[rows, low] += 1 - (centre - low)
+    out[rows, np.minimum(low + 1, size - 1)] += centre - low
+    return out
+
+
+#: Rows and columns of a matrix of weights that are held at once.
+STRIP = 256
+
+
+def _along(plane: np.ndarray, target: int) -> np.ndarray:
+    """plane with its first axis taken to `target`, in strips whose weights touch few of the rows."""
+    matrix, parts = weights(plane.shape[0], target), []
+    for a in range(0, target, STRIP):
+        part = matrix[a : a + STRIP]
+        used = np.flatnonzero(part.any(axis=0))
+        rows = plane[used[0] : used[-1] + 1]
+        parts.append(np.tensordot(part[:, used[0] : used[-1] + 1], rows, axes=(1, 0)))
+    return np.concatenate(parts)
+
+
 def resize(plane: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Nearest neighbours; engines that smooth may be used in its place."""
-    h, w = plane.shape[:2]
-    return plane[np.minimum(np.arange(height) * h // height, h - 1)][:, np.minimum(np.arange(width) * w // width, w - 1)]
+    """A plane of another size: rows and columns apart, each by means of areas where it shrinks and between centres where it grows."""
+    out = plane.astype(np.float64)
+    if height != plane.shape[0]:
+        out = _along(out, height)
+    if width != plane.shape[1]:
+        out = _along(out.transpose(1, 0, 2), width).transpose(1, 0, 2)
+    return clamp(out)
 
 
 def prepare_page(plane: np.ndarray) -> np.ndarray:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .images import crop_zone, prepare_page, protect_size, upright
+from .jpeg import decode_jpeg
 
 #: Fixed value: characters that an engine may read on primary documents.
 ZONE_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789<"
@@ -65,8 +66,8 @@ def decode_png(content: bytes) -> np.ndarray:
     return plane if channels > 2 else np.concatenate([np.repeat(plane[..., :1], 3, axis=2), plane[..., 1:]], axis=2)
 
 
-#: By the first bytes of a file. JPEG, WebP and GIF take a decoder of the caller's.
-DECODERS: dict[bytes, Decoder] = {b"\x89PNG": decode_png}
+#: By the first bytes of a file. WebP and GIF, and progressive JPEG files, take a decoder of the caller's.
+DECODERS: dict[bytes, Decoder] = {b"\x89PNG": decode_png, b"\xff\xd8\xff": decode_jpeg}
 
 
 def load_image(content: bytes | str, decoders: dict[bytes, Decoder] | None = None) -> np.ndarray:

@@ -41,7 +41,7 @@ def data_table(records: DataFrame, key: str) -> DataFrame:
 def comparison_table(rows: DataFrame) -> DataFrame:
     """Five columns of a comparison, absent values named as such."""
     text = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(ABSENT))
-    return rows.select(*[c for c in rows.columns if c in ("case_id", "field_ord")], "label", text("passportValue").alias("passportValue"), text("visaValue").alias("visaValue"), "status", text("note").alias("note"))
+    return rows.select(*[c for c in rows.columns if c in ("case_id", "field_ord")], "label", text("primaryValue").alias("primaryValue"), text("secondaryValue").alias("secondaryValue"), "status", text("note").alias("note"))
 
 
 def decision_table(verdicts: DataFrame, key: str = "case_id") -> DataFrame:

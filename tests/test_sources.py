@@ -128,6 +128,136 @@ def test_page_texts(spark):
     assert (second.full_text, second.mrz_text) == ("20x10 136 0", "") and ocr.read_page_texts(pages, None).first().full_text == ""
 
 
+def integrated(plane, width, height):
+    """A smaller plane by direct integration over pixels, for tests."""
+    h, w = plane.shape[:2]
+    out = np.zeros((height, width, plane.shape[2]))
+    for y in range(height):
+        for x in range(width):
+            top, bottom, left, right = y * h / height, (y + 1) * h / height, x * w / width, (x + 1) * w / width
+            total = area = 0
+            for j in range(int(top), min(h, int(np.ceil(bottom)))):
+                for i in range(int(left), min(w, int(np.ceil(right)))):
+                    share = (min(bottom, j + 1) - max(top, j)) * (min(right, i + 1) - max(left, i))
+                    total, area = total + share * plane[j, i].astype(float), area + share
+            out[y, x] = total / area
+    return np.clip(np.rint(out), 0, 255)
+
+
+def test_resampling(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(images, "STRIP", 4)
+    plane = rng.integers(0, 256, (17, 23, 3), dtype=np.uint8)
+    for width, height in ((5, 4), (23, 6), (11, 17), (22, 16), (1, 1)):
+        assert np.abs(images.resize(plane, width, height) - integrated(plane, width, height)).max() <= 1
+    grown = images.resize(plane, 69, 51).astype(float)
+    assert np.abs(grown[1::3, 1::3] - plane).max() == 0  # the middle of three lies on a pixel's centre
+    between = (2 * plane[:, :-1].astype(float) + plane[:, 1:]) / 3
+    assert np.abs(grown[1::3, 2:-1:3][:, : between.shape[1]] - between).max() <= 1
+    assert (images.resize(plane, 23, 17) == plane).all() and (images.resize(np.full((7, 9, 4), 77, np.uint8), 100, 3) == 77).all()
+    assert images.resize(plane[:1, :1], 4, 3).shape == (3, 4, 3)
+
+
+def huffman(lengths):
+    """Counts by length, and codes, of values that all get codes of these lengths, shortest first."""
+    codes, code, last = {}, 0, 0
+    for value, n in sorted(lengths.items(), key=lambda x: (x[1], x[0])):
+        code <<= n - last
+        codes[value], last = (code, n), n
+        code += 1
+    ordered = sorted(lengths, key=lambda v: (lengths[v], v))
+    return bytes([0, *(sum(n == k for n in lengths.values()) for k in range(1, 17))][1:]) + bytes(ordered), codes
+
+
+def encode_jpeg(planes, sampling, quality=1, restart=0, grey=False):
+    """A baseline file of planes (height, width), each at its own sampling; and the planes that its coefficients give."""
+    cos = np.array([[(np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+    zigzag = [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63]
+    dc_table, dc = huffman({v: 4 for v in range(12)})
+    ac_table, ac = huffman({v: 8 if v in (0, 240) or v < 128 and v % 16 < 8 else 9 for v in [0, 240, *(r * 16 + s for r in range(16) for s in range(1, 11))]})
+    h, w = planes[0].shape
+    most = max(x for x, _ in sampling), max(y for _, y in sampling)
+    across, down = -(-w // (8 * most[0])), -(-h // (8 * most[1]))
+    bits, scans, made = "", [], [np.zeros((down * v * 8, across * u * 8)) for u, v in sampling]
+    padded = [np.pad(p, ((0, down * v * 8 - p.shape[0]), (0, across * u * 8 - p.shape[1])), mode="edge") for p, (u, v) in zip(planes, sampling)]
+
+    def number(x):
+        size = int(abs(x)).bit_length()
+        return size, format(x if x > 0 else x + (1 << size) - 1, f"0{size}b") if size else ""
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") if bits else b""
+
+    before, unit = [0] * len(planes), 0
+    for my in range(down):
+        for mx in range(across):
+            if restart and unit and unit % restart == 0:
+                scans.append(flush(bits))
+                bits, before = "", [0] * len(planes)
+            unit += 1
+            for c, (u, v) in enumerate(sampling):
+                for by in range(v):
+                    for bx in range(u):
+                        y, x = (my * v + by) * 8, (mx * u + bx) * 8
+                        q = np.rint(cos @ (padded[c][y : y + 8, x : x + 8] - 128.0) @ cos.T / quality).astype(int)
+                        made[c][y : y + 8, x : x + 8] = np.clip(np.rint(cos.T @ (q * quality) @ cos + 128), 0, 255)
+                        flat = q.ravel()[zigzag]
+                        size, text = number(flat[0] - before[c])
+                        before[c] = flat[0]
+                        bits += format(dc[size][0], f"0{dc[size][1]}b") + text
+                        run = 0
+                        for k in range(1, 64):
+                            if not flat[k:].any():
+                                bits += format(ac[0][0], f"0{ac[0][1]}b")
+                                break
+                            if flat[k] == 0:
+                                run += 1
+                                continue
+                            while run > 15:
+                                bits, run = bits + format(ac[240][0], f"0{ac[240][1]}b"), run - 16
+                            size, text = number(flat[k])
+                            key = run * 16 + size
+                            bits, run = bits + format(ac[key][0], f"0{ac[key][1]}b") + text, 0
+    scans.append(flush(bits))
+    part = lambda marker, body: b"\xff" + bytes([marker]) + struct.pack(">H", len(body) + 2) + body
+    out = b"\xff\xd8" + part(0xDB, b"\0" + bytes([quality]) * 64) + part(0xC4, b"\0" + dc_table) + part(0xC4, b"\x10" + ac_table) + (part(0xDD, struct.pack(">H", restart)) if restart else b"")
+    out += part(0xC0, struct.pack(">BHHB", 8, h, w, len(planes)) + b"".join(bytes([i + 1, u * 16 + v, 0]) for i, (u, v) in enumerate(sampling)))
+    out += part(0xDA, bytes([len(planes)]) + b"".join(bytes([i + 1, 0]) for i in range(len(planes))) + b"\0?\0")
+    return out + b"".join(s + (b"\xff" + bytes([0xD0 + i % 8]) if i + 1 < len(scans) else b"") for i, s in enumerate(scans)) + b"\xff\xd9", made
+
+
+@pytest.mark.parametrize(("sampling", "restart", "quality"), [([(1, 1)], 0, 1), ([(1, 1)] * 3, 0, 1), ([(2, 2), (1, 1), (1, 1)], 0, 1), ([(2, 1), (1, 1), (1, 1)], 2, 7), ([(1, 1)], 3, 20)])
+def test_jpeg(sampling, restart, quality):
+    rng = np.random.default_rng(5)
+    h, w = 37, 51
+    most = max(x for x, _ in sampling), max(y for _, y in sampling)
+    wave = 128 + 100 * np.sin(np.arange(h)[:, None] / 5) * np.cos(np.arange(w)[None, :] / 7)
+    planes = [np.clip(wave[: -(-h * v // most[1]), : -(-w * u // most[0])] + rng.normal(0, 8, (-(-h * v // most[1]), -(-w * u // most[0]))) + 9 * i, 0, 255) for i, (u, v) in enumerate(sampling)]
+    content, made = encode_jpeg(planes, sampling, quality, restart)
+    got = ocr.load_image(content)
+    full = [images.resize(m[: p.shape[0], : p.shape[1]].astype(np.uint8)[..., None], w, h)[..., 0].astype(float) if p.shape != (h, w) else m[:h, :w] for p, m in zip(planes, made)]
+    if len(full) == 1:
+        want = np.repeat(full[0][..., None], 3, axis=2)
+    else:
+        y, cb, cr = full[0], full[1] - 128, full[2] - 128
+        want = np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2), 0, 255)
+    assert got.shape == (h, w, 3) and np.abs(got.astype(float) - want).max() <= 1
+    if quality == 1 and len(full) == 1:
+        assert np.abs(got[..., 0].astype(float) - planes[0]).max() <= 4
+
+
+def test_jpeg_turned_upright_and_broken():
+    plane = np.arange(64, dtype=float).reshape(8, 8) * 3
+    content, _ = encode_jpeg([plane], [(1, 1)])
+    head = jpeg(6)[2:-4]  # its orientation alone
+    turned = ocr.load_image(b"\xff\xd8" + head + content[2:])
+    assert np.abs(turned[..., 0].astype(int) - np.rot90(plane, -1)).max() <= 2
+    for broken in (b"\xff\xd8\xff\xd9", content[:40], content.replace(b"\xff\xc0", b"\xff\xc2"), b"\xff\xd8\xff\xe0"):
+        with pytest.raises((ValueError, IndexError, struct.error)):
+            ocr.load_image(broken)
+
+
 PDF_OBJECTS = {
     1: b"<< /Type /Catalog /Pages 2 0 R >>",
     2: b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 3 /MediaBox [0 0 595.5 842] >>",

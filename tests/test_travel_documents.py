@@ -218,7 +218,7 @@ def test_secondary_record(spark):
     pages = spark.createDataFrame([("c", 1, VISA), ("c", 2, VISA), ("d", 1, None)], "case_id string, page_number int, full_text string")
     rows = {r.case_id: r for r in read_secondary(pages).collect()}
     r = rows["c"]
-    assert (r.documentType, r.classificationConfidence, r.documentCategory, r.visaNumber, r.passportNumber, r.documentNumber) == ("Visa", "60%", "Immigration Authorization", "20120241234567", "L898902C3", "")
+    assert (r.documentType, r.classificationConfidence, r.documentCategory, r.visaNumber, r.holderNumber, r.documentNumber) == ("Visa", "60%", "Immigration Authorization", "20120241234567", "L898902C3", "")
     assert (r.surname, r.givenNames, r.fullName, r.nationality, r.dateOfBirth, r.gender) == ("ERIKSSON", "ANNA MARIA", "ANNA MARIA ERIKSSON", "UTOPIA", "1974-08-12", "F")
     assert (r.issueDate, r.expiryDate, r.validFrom, r.validUntil, r.issuingCountry, r.processingScore, r.selectedPage, r.warnings) == ("2025-01-01", "2027-01-01", "", "2027-01-01", "ARE", 100, 1, None)
     assert rows["d"].processingScore == 0 and rows["d"].warnings.startswith("Low confidence")
@@ -291,7 +291,7 @@ def test_visible_text(spark):
     # NAME is found inside SURNAME, whose line comes first
     text = "SURNAME: SMITH\nGIVEN NAMES\nJOHN\nPASSPORT NO AB1234567\nNATIONALITY: UTO\nDATE OF BIRTH: 01/02/1980\nSEX: M"
     r = read_visible(spark.createDataFrame([(text,)], "full_text string"), NOW).first()["record"]
-    assert (r.surname, r.givenNames, r.passportNumber, r.nationality, r.dateOfBirth, r.gender, r.confidenceScore) == ("SMITH", "SMITH", "AB1234567", "UTO", "1980-02-01", "M", "35% - LOW")
+    assert (r.surname, r.givenNames, r.holderNumber, r.nationality, r.dateOfBirth, r.gender, r.confidenceScore) == ("SMITH", "SMITH", "AB1234567", "UTO", "1980-02-01", "M", "35% - LOW")
 
 
 def test_specialised_readers(spark):
@@ -300,7 +300,7 @@ def test_specialised_readers(spark):
     assert (r.visaType, r.validFrom, r.validUntil, r.entries, r.durationOfStay, r.issuingCountryCode) == ("C", "2025-02-01", "2027-03-01", "MULT", "90", "SCHENGEN")
     assert r.validFor == "SCHENGEN STATES FROM" and r.confidence.score == 30
     u = read_uae(spark.createDataFrame([(VISA + "\nUID NO: 123456789",)], "t string"), "t", NOW).first()["record"]
-    assert (u.documentSubtype, u.uid, u.passportNumber, u.expiryDate, u.dateOfBirth, u.gender) == ("UAE_RESIDENCE_VISA", "123456789", "L898902C3", "2027-01-01", "1974-08-12", "FEMALE")
+    assert (u.documentSubtype, u.uid, u.holderNumber, u.expiryDate, u.dateOfBirth, u.gender) == ("UAE_RESIDENCE_VISA", "123456789", "L898902C3", "2027-01-01", "1974-08-12", "FEMALE")
 
 
 
