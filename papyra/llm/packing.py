@@ -162,7 +162,9 @@ def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
     spare = int.from_bytes(np.packbits(have > 0, bitorder="little").tobytes(), "little")
     kept = []
     for f in sorted(found, key=lambda f: (room - sum(f), len(f), [-s for s in f])):
-        if all(counts[s] >= f.count(s) for s in set(f)) and not _replaceable(f, room - sum(f), spare):
+        # a filling's own pieces are at hand only as far as there are more of them
+        used_up = sum(1 << s for s in set(f) if counts[s] <= f.count(s))
+        if all(counts[s] >= f.count(s) for s in set(f)) and not _replaceable(f, room - sum(f), spare & ~used_up):
             kept.append(f)
             if len(kept) == most:
                 break

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.llm import lines, phrases, pipeline, repair, rules
+from papyra.llm import lines, packing, phrases, pipeline, repair, rules
 from papyra.llm.common import collecting
 
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
@@ -352,3 +352,11 @@ def test_the_pipeline_leaves_results_of_others_alone(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(str(tmp_path / "empty/documents.parquet"))
     spark.createDataFrame([(1, "an item")], "item_id long, text string").write.parquet(str(tmp_path / "empty/benchmark.parquet"))
     assert pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_a_filling_is_not_dominated_by_its_own_pieces():
+    counts = np.zeros(2049, dtype=np.int64)
+    counts[[300, 400, 700]] = 1
+    assert packing.fillings(counts, 1400, 12)[0] == (700, 400, 300)
+    counts[700] = 2  # a second one is at hand, and does replace the two
+    assert (700, 400, 300) not in packing.fillings(counts, 1399, 12) and packing.fillings(counts, 1400, 12) == [(700, 700)]
