@@ -21,7 +21,7 @@ from papyra.operators.primary import read_primary
 from papyra.operators.secondary import read_secondary
 from papyra.sources import files, sinks
 
-from . import sql_queries, zone_queries
+from . import sql_queries, view_queries, zone_queries
 
 AS_OF = dt.date(2026, 11, 26)
 
@@ -505,4 +505,6 @@ QUERIES = {
     "primary_records": (primary_records, PRIMARY_RECORDS),
     "secondary_records": (secondary_records, SECONDARY_RECORDS),
     "verify_cases": (verify_cases, VERIFY_CASES),
-} | zone_queries.QUERIES | sql_queries.QUERIES
+} | zone_queries.QUERIES | sql_queries.QUERIES | view_queries.QUERIES
+_SINK_SQL = view_queries.sink_sql(COMPARE_VERDICT, ALERTS_CONCAT, COMPARE_FIELDS)
+QUERIES |= {name: (query, _SINK_SQL[name]) for name, query in view_queries.SINKS.items()}
