@@ -1,8 +1,12 @@
 """What makes work grow faster than tables: one task for a whole file, code that doesn't compile, patterns tried many times."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from papyra.functions import checkdigit as cd
+from papyra.operators import automaton
+from papyra.operators.classify import Rule, Rules
 from papyra.operators.specialised import SCHENGEN, read_schengen
 from papyra.plans import queries, tables, zone_queries
 from papyra.plans.zone_queries import AS_OF
@@ -36,3 +40,20 @@ def test_patterns_are_tried_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(SCHENGEN["validUntil"][0][:40]) <= 3  # found, and its group
     assert found.first()["validUntil"] == "2027-02-01"
+
+
+def test_windows_find_what_the_automaton_finds(monkeypatch):
+    monkeypatch.setattr(automaton, "LONG", 7)
+    rng = random.Random(5)
+    word = lambda lo, hi: "".join(rng.choices("abé ", k=rng.randint(lo, hi)))
+    texts = [word(0, 60) for _ in range(40)] + ["", None, "a"]
+    keywords = [word(1, 9) for _ in range(60)] + ["", "a", "a"]
+    for own in (keywords, keywords[:3], [""], []):
+        a, b = automaton.Automaton(own).found(texts), automaton.Windows(own).found(texts)
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+
+
+def test_rules_of_any_number_of_bytes():
+    words = [f"WORD {i:07d}" for i in range(200_000)]  # 2.4 MB
+    rules = Rules(tuple(Rule(str(i), "c", "r", tuple(words[i : i + 10])) for i in range(0, len(words), 10)))
+    assert [x[:2] for x in rules.ranked([f"a {words[25]} {words[24]} b"])[0]] == [(20, 2), (0, 0), (0, 1), (0, 3)]
