@@ -1,10 +1,13 @@
 """What makes work grow faster than tables: one task for a whole file, code that doesn't compile, patterns tried many times."""
 
 import random
+from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from papyra.functions import checkdigit as cd
+from papyra.llm import passages
 from papyra.operators import automaton
 from papyra.operators.classify import Rule, Rules
 from papyra.operators.specialised import SCHENGEN, read_schengen
@@ -57,3 +60,38 @@ def test_rules_of_any_number_of_bytes():
     words = [f"WORD {i:07d}" for i in range(200_000)]  # 2.4 MB
     rules = Rules(tuple(Rule(str(i), "c", "r", tuple(words[i : i + 10])) for i in range(0, len(words), 10)))
     assert [x[:2] for x in rules.ranked([f"a {words[25]} {words[24]} b"])[0]] == [(20, 2), (0, 0), (0, 1), (0, 3)]
+
+
+def test_passages_meet_all_earlier_holders(spark):
+    """Each stretch of a passage stands in many other texts too, so that its one whole holder is neither first nor among the last."""
+    rng = np.random.default_rng(31)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    pieces = [words(8) for _ in range(8)]
+    whole = lambda: [w for piece in pieces for w in piece + words(1)]  # noqa: E731  a word in nine differs
+    texts = {50: whole(), 99: whole()}
+    for n, piece in enumerate(pieces):
+        texts |= {i: words(30) + piece + words(30) for i in (n, 10 + n, 60 + n, 70 + n, 80 + n)}
+    rows = [(i, " ".join(words(20) + body + words(20))) for i, body in texts.items()]
+    got = {(r.doc_id, r.other_id): r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(99, 50)} and (got[99, 50].start_word, got[99, 50].end_word) == (20, 91)
+
+
+def test_further_matches_come_in_pieces(monkeypatch):
+    """partners() and further() together meet every earlier document once, in pieces; parts of buckets keep two texts together."""
+    rng = np.random.default_rng(32)
+    h, ids, pos = np.sort(rng.integers(0, 9, 900)), rng.integers(0, 60, 900), rng.integers(0, 99, 900)
+    at = defaultdict(lambda: defaultdict(list))
+    for x, i, p in zip(h.tolist(), ids.tolist(), pos.tolist()):
+        at[x][i].append(p)
+    want = Counter((i, j, p, min(by[j])) for by in at.values() for i in by for j in by if j < i for p in by[i])
+    monkeypatch.setattr(passages, "AT_ONCE", 100)
+    parts = [passages.partners(h, ids, pos, 2), *passages.further(h, ids, pos, 2)]
+    assert max(len(part[0]) for part in parts[1:]) == 100
+    rows = np.concatenate(parts, axis=1)
+    assert Counter(zip(*rows.tolist())) == want
+    packer = passages.Packer(lambda x: np.zeros(len(x), dtype=np.int32))
+    packed = [*packer.put(*rows[:, ::2]), *packer.flush(), *packer.put(*rows[:, 1::2]), *packer.flush()]
+    parts = [part for part in passages._gathered(iter(packed), 4, 2) if part.shape[1]]
+    pairs = [set(zip(*part[:2].tolist())) for part in parts]
+    assert Counter(zip(*np.concatenate(parts, axis=1).tolist())) == want
+    assert len(parts) > 9 and all(max(a) < min(b) for a, b in zip(pairs, pairs[1:]))
