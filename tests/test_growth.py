@@ -95,3 +95,12 @@ def test_further_matches_come_in_pieces(monkeypatch):
     pairs = [set(zip(*part[:2].tolist())) for part in parts]
     assert Counter(zip(*np.concatenate(parts, axis=1).tolist())) == want
     assert len(parts) > 9 and all(max(a) < min(b) for a, b in zip(pairs, pairs[1:]))
+
+
+def test_readings_stop_at_the_first_that_is_valid(spark):
+    rng = random.Random(33)
+    rows = [("".join(rng.choice("O0I1B8S5Z2G6A7") for _ in range(9)), str(i % 10)) for i in range(400)] + [(None, "0"), ("", "0"), ("AAAA", "3")]
+    text, digit = F.col("text"), F.col("digit")
+    first = F.get(F.filter(cd.number_variants(text), lambda v: cd.validate(v["value"], digit)), F.lit(0))
+    got = spark.createDataFrame(rows, "text string, digit string").select(first.alias("a"), cd.first_valid_variant(text, digit).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and any(r.a and r.a.corrections for r in got) and any(r.a is None for r in got)
