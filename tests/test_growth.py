@@ -104,3 +104,9 @@ def test_readings_stop_at_the_first_that_is_valid(spark):
     first = F.get(F.filter(cd.number_variants(text), lambda v: cd.validate(v["value"], digit)), F.lit(0))
     got = spark.createDataFrame(rows, "text string, digit string").select(first.alias("a"), cd.first_valid_variant(text, digit).alias("b")).collect()
     assert all(r.a == r.b for r in got) and any(r.a and r.a.corrections for r in got) and any(r.a is None for r in got)
+
+
+def test_parts_stay_small(spark):
+    """What a task holds at once stops growing with the table: no more than 10,000 rows of it."""
+    dealt = tables.spread(spark.range(0, 400_000, 1, 1))
+    assert dealt.rdd.getNumPartitions() == 40 and max(dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 10_100
