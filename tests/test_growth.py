@@ -110,3 +110,35 @@ def test_parts_stay_small(spark):
     """What a task holds at once stops growing with the table: no more than 10,000 rows of it."""
     dealt = tables.spread(spark.range(0, 400_000, 1, 1))
     assert dealt.rdd.getNumPartitions() == 40 and max(dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 10_100
+
+
+def test_passages_meet_by_units():
+    """What meets by units gives the chains that all matches of all places give, and a line in many documents meets nowhere."""
+    rng = np.random.default_rng(33)
+    words = lambda n: rng.integers(0, 1 << 40, n).tolist()
+    lines, long, copy = [words(12) for _ in range(6)], words(60), words(150)
+    texts = [words(40) + lines[0] + words(40) for _ in range(60)]  # a line alone
+    texts += [words(30) + lines[k % 6] + words(k) + lines[k % 5] + lines[k % 5] + words(20) for k in range(40)]  # several near each other
+    texts += [words(10) + long + words(k % 9 * 5) + (lines[k % 6] if k % 2 else words(9)) for k in range(20)]
+    texts += [[w if rng.random() > 0.08 else words(1)[0] for w in copy] for _ in range(15)] + [[7] * (20 + k) + copy[k : k + 30] for k in range(9)]
+    texts += [copy[k : k + 50] + lines[2] * (k % 4) + lines[k % 3] + copy[60:90] for k in range(12)]
+    rng.shuffle(at := np.arange(len(texts)))
+    seeds = [(hash(tuple(texts[t][p : p + 5])) & (1 << 47) - 1, int(i), p) for i, t in enumerate(at) for p in range(len(texts[t]) - 4)]
+    h, ids, pos = (np.array(c, dtype=np.int64) for c in zip(*seeds))
+    all_of = np.concatenate([passages.partners(h, ids, pos, 2), *passages.further(h, ids, pos, 2)], axis=1)
+    places = passages.shared(h, ids, pos)
+    met = np.concatenate(list(passages.meet(*passages.units(*places))), axis=1)
+
+    def chained(rows: np.ndarray) -> list:
+        packer = passages.Packer(lambda x: np.zeros(len(x), dtype=np.int32))
+        return [r for b in passages._chained(iter([*packer.put(*rows), *packer.flush()])) for r in zip(*(c.to_pylist() for c in b.columns))]
+
+    want, got = (chained(x) for x in (np.vstack([all_of, np.ones_like(all_of[:1])]), met))
+    span = lambda r: (r[0], r[1], tuple(r[2]), tuple(r[3]))
+    assert len(want) > 100 and {span(r) for r in want} <= {span(r) for r in got}
+    whole = lambda r: r[2][-1] - r[2][0] + passages.KMER >= passages.LEAST_WORDS and all(q - p == r[3][0] - r[2][0] for p, q in zip(r[2], r[3]))
+    assert all(whole(r) for r in got if span(r) not in {span(r) for r in want})  # copies that came with other seeds of the two texts
+    assert met.shape[1] * 3 < all_of.shape[1]
+    line = [(1, i, 40 + p) for i in range(500) for p in range(1)] + [(2 + p, i, 41 + p) for i in range(500) for p in range(7)]
+    alone = passages.units(*passages.shared(*(np.array(c, dtype=np.int64) for c in zip(*line))))
+    assert len(alone[0]) == 0
