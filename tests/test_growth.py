@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from papyra.functions import checkdigit as cd
-from papyra.llm import passages
+from papyra.llm import decontam, passages
 from papyra.operators import automaton
 from papyra.operators.classify import Rule, Rules
 from papyra.operators.specialised import SCHENGEN, read_schengen
@@ -142,3 +142,20 @@ def test_passages_meet_by_units():
     line = [(1, i, 40 + p) for i in range(500) for p in range(1)] + [(2 + p, i, 41 + p) for i in range(500) for p in range(7)]
     alone = passages.units(*passages.shared(*(np.array(c, dtype=np.int64) for c in zip(*line))))
     assert len(alone[0]) == 0
+
+
+def test_windows_of_documents_are_not_sent_to_executors(spark):
+    """A document may have many windows; only its key goes to all executors."""
+    bench = spark.createDataFrame([(0, " ".join(f"w{j}" for j in range(20)))], "item_id long, text string")
+    rows = [(i, " ".join([*(f"d{i}x{j}" for j in range(9)), *(f"w{j}" for j in range(20))]) if i % 3 else f"text {i} of few words here") for i in range(60)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = decontam.leaks(spark.createDataFrame([*rows, (None, rows[1][1])], "doc_id long, text string"), bench)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "row_key" in line]
+    assert sent and all("LeftSemi" in line for line in sent) and "SortMergeJoin" in plan
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.item_id, r.start_word, r.n_words) for r in got) == sorted([(i, 0, 9, 20) for i in range(60) if i % 3] + [(-1, 0, 9, 20)])
