@@ -1,6 +1,8 @@
 """What makes work grow faster than tables: one task for a whole file, code that doesn't compile, patterns tried many times."""
 
+import pickle
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from papyra.functions import checkdigit as cd
 from papyra.llm import decontam, passages
 from papyra.operators import automaton
-from papyra.operators.classify import Rule, Rules
+from papyra.operators.classify import Rule, Rules, _points
 from papyra.operators.specialised import SCHENGEN, read_schengen
 from papyra.plans import queries, tables, zone_queries
 from papyra.plans.zone_queries import AS_OF
@@ -159,3 +161,33 @@ def test_windows_of_documents_are_not_sent_to_executors(spark):
     sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "row_key" in line]
     assert sent and all("LeftSemi" in line for line in sent) and "SortMergeJoin" in plan
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.item_id, r.start_word, r.n_words) for r in got) == sorted([(i, 0, 9, 20) for i in range(60) if i % 3] + [(-1, 0, 9, 20)])
+
+
+def test_many_hits_of_many_keywords_are_held_for_one_text_at_a_time():
+    """Texts that have 2,000 keywords each: neither their pairs nor the rules as objects are held together."""
+    words = [f"WORD {i:07d}" for i in range(20_000)]
+    rules = Rules(tuple(Rule(str(i), "c", "r", tuple(words[i : i + 10])) for i in range(0, len(words), 10)))
+    rng = random.Random(4)
+    texts = [" ".join(rng.sample(words, 2_000)) for _ in range(300)]
+    rules.ranked(texts[:1])
+    tracemalloc.start()
+    got = rules.ranked(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6 and len(pickle.dumps(rules)) < 150 * len(words) + 4e6
+    for text, best in zip(texts[:20], got):
+        has = set(text.split(" ")[1::2])
+        found = [[k for k in words[i : i + 10] if k[5:] in has] for i in range(0, len(words), 10)]
+        scores = sorted((-(sum(map(_points, f)) + 20 * (len(f) >= 3) + 25 * (len(f) >= 5)), i, f) for i, f in enumerate(found))[:4]
+        assert best == [(-s, i, f) for s, i, f in scores]
+
+
+def test_both_ways_rank_alike(monkeypatch):
+    rng = random.Random(6)
+    word = lambda lo, hi: "".join(rng.choices("ABC ", k=rng.randint(lo, hi))).strip()
+    rules = tuple(Rule(str(i), "c", "r", tuple(word(1, 7) for _ in range(rng.randint(0, 6)))) for i in range(70))
+    texts = [" ".join(word(0, 9) for _ in range(rng.randint(0, 8))) for _ in range(600)] + [None, ""]
+    a = Rules(rules).ranked(texts)
+    monkeypatch.setattr("papyra.operators.classify.MOST_BYTES", 0)
+    assert a == Rules(rules).ranked(texts) and Rules(rules).rules == rules
+    assert len(a) == len(texts) and all(len(r) == 4 for r in a)
