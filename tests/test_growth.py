@@ -191,3 +191,23 @@ def test_both_ways_rank_alike(monkeypatch):
     monkeypatch.setattr("papyra.operators.classify.MOST_BYTES", 0)
     assert a == Rules(rules).ranked(texts) and Rules(rules).rules == rules
     assert len(a) == len(texts) and all(len(r) == 4 for r in a)
+
+
+def test_matches_come_in_rounds_of_documents(spark, monkeypatch):
+    """Rounds are as many as matches need, together they match what one does, and what they shuffle is not left behind."""
+    assert passages.rounds(0, 0) == passages.rounds(5, 9) == [(0, passages.SLICES)]
+    many = passages.rounds(90, 20)
+    assert len(many) == 5 and many[0][0] == 0 and many[-1][1] == passages.SLICES and all(a[1] == b[0] for a, b in zip(many, many[1:]))
+    rng = np.random.default_rng(35)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    lines, long = [words(12) for _ in range(5)], words(70)
+    texts = [words(10) + lines[k % 5] + words(3) + lines[k % 3] + [w if rng.random() > 0.05 else "x" for w in long] * (k % 4 > 0) for k in range(60)]
+    seeds = [(hash(tuple(t[p : p + 5])) & (1 << 47) - 1, i, p) for i, t in enumerate(texts) for p in range(len(t) - 4)]
+    units = passages.units(*passages.shared(*(np.array(c, dtype=np.int64) for c in zip(*seeds))))
+    of = lambda x, y: Counter(zip(*np.concatenate(list(passages.meet(*units, some=(x, y))), axis=1).tolist()))
+    assert sum((of(x, y) for x, y in many), Counter()) == of(0, passages.SLICES)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    one = {tuple(r) for r in passages.repeated_passages(docs).collect()}
+    monkeypatch.setattr(passages, "rounds", lambda matches, seeds: many)
+    assert one == {tuple(r) for r in passages.repeated_passages(docs).collect()} and len(one) > 20
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) != "true"
